@@ -44,7 +44,8 @@ def neighbor_range(users: DataFrame) -> DataFrame:
     span = F.sequence(F.lit(20), F.lit(1600), F.lit(20))
     fits = F.filter(span, lambda i: i.between(low, high) & ((i % 200 == 0) | ((i <= 100) & (i % 20 == 0))))
     fallback = F.array(*[F.lit(v) for v in FALLBACK_NEIGHBORS], F.least(F.col("n"), F.lit(500)).cast("int"))
-    return n.select(F.explode(F.when(F.size(fits) > 0, fits).otherwise(fallback)).cast("bigint").alias("neighbors"))
+    return n.select(F.explode(F.when(F.size(fits) > 0, fits).otherwise(fallback)).alias("neighbors")).select(
+        F.col("neighbors").cast("bigint").alias("neighbors"))
 
 
 def with_trials(df: DataFrame, trials: DataFrame, cols: Sequence[str]) -> DataFrame:

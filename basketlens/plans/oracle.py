@@ -335,7 +335,7 @@ CTES = {
     "f_sum": "SELECT method, metric, avg(value) AS value, coalesce(stddev_samp(value), 0) / sqrt(count(*)) AS std_error, count(*) AS count FROM g_means GROUP BY method, metric",
 }
 
-SQL_TYPE = {"i": "CAST({0} AS BIGINT)", "s": "CAST({0} AS VARCHAR)", "f": "round({0}::DOUBLE + 3e-10, 6) + 0.0", "b": "{0}"}
+SQL_TYPE = {"i": "CAST({0} AS BIGINT)", "s": "CAST({0} AS VARCHAR)", "f": "round({0}::DOUBLE + 3.3e-10, 6) + 0.0", "b": "{0}"}
 
 
 def assemble(final: str, spec: str, item: str, local: dict[str, str] | None = None) -> str:

@@ -1,7 +1,7 @@
 """Registered queries: a Spark callable per operator and, where SQL can say it, the same in SQL.
 
 A spec such as `user:i rank:i score:f` names the result columns and their kinds (i BIGINT, f DOUBLE
-rounded to six decimals, s text, b boolean); both sides are cast by it. Doubles are nudged by 3e-10
+rounded to six decimals, s text, b boolean); both sides are cast by it. Doubles are nudged by 3.3e-10
 first, so that exact halves round up in any engine.
 """
 
@@ -42,7 +42,7 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
         name, kind = token.rsplit(":", 1)
         c = F.col(f"`{name}`")
         cast = {"i": lambda c: c.cast("bigint"), "s": lambda c: c.cast("string"), "b": lambda c: c.cast("boolean"),
-                "f": lambda c: F.round(c.cast("double") + F.lit(3e-10), 6) + F.lit(0.0)}[kind]
+                "f": lambda c: F.round(c.cast("double") + F.lit(3.3e-10), 6) + F.lit(0.0)}[kind]
         cols.append(cast(c).alias(name))
     return df.select(*cols)
 
@@ -228,7 +228,7 @@ LOYAL = {"bshare": "SELECT usr, item, c / n::DOUBLE AS v FROM uf JOIN h_end USIN
          "cum": "SELECT usr, t, size, sum(size) OVER (PARTITION BY usr ORDER BY t) - size AS before FROM sizes",
          "grid": """SELECT f.usr, f.item, c.t, c.size, c.before, f.first, (h.item IS NOT NULL) AS here FROM (SELECT usr, item, min(t) AS first FROM hist GROUP BY usr, item) f
            JOIN cum c ON c.usr = f.usr AND c.t >= f.first LEFT JOIN hist h ON h.usr = f.usr AND h.item = f.item AND h.t = c.t""",
-         "loyal": """SELECT usr, item, last(q ORDER BY t) AS q, last(l ORDER BY t) AS l FROM fold_l GROUP BY usr, item"""}
+         }
 FOLD_L = """fold_l(usr, item, t, q, l) AS (SELECT usr, item, t, 1.0::DOUBLE / (before + size), 0.5::DOUBLE FROM grid WHERE t = first UNION ALL
   SELECT g.usr, g.item, g.t, (f.q * before + here::INT) / (before + size), CASE WHEN here THEN (f.q * f.l + 1e-10) / (f.q * f.l + p * (1 - f.l) + 1e-10)
   ELSE ((1 - f.q) * f.l + 1e-10) / ((1 - f.q) * f.l + (1 - p) * (1 - f.l) + 1e-10) END FROM fold_l f JOIN grid g ON g.usr = f.usr AND g.item = f.item AND g.t = f.t + 1
@@ -240,6 +240,7 @@ def _loyal(d: BasketData) -> DataFrame:
 
 
 LOYAL["fold_l"] = FOLD_L
+LOYAL["loyal"] = "SELECT usr, item, last(q ORDER BY t) AS q, last(l ORDER BY t) AS l FROM fold_l GROUP BY usr, item"
 add("r20_loyalty", "user:i item:s q:f l:f", _loyal, "SELECT * FROM loyal", **LOYAL)
 add("r21_loyalty_blend", "user:i item:s score:f", lambda d: loyalty.loyalty_blend(recommend.basket_share(d.hist).withColumnRenamed("v", "score"), _loyal(d)),
     """SELECT usr, item, q * l + p * (1 - l) AS score FROM (SELECT usr, item, exp(v) / sum(exp(v)) OVER (PARTITION BY usr) AS p FROM bshare) JOIN loyal USING (usr, item)""", **LOYAL)
@@ -413,7 +414,7 @@ def _recency_trials(d: BasketData) -> DataFrame:
 REC = {"rg": """SELECT row_number() OVER (ORDER BY win, decay) - 1 AS trial_id, win, decay FROM (VALUES (1), (2), (5), (50)) a(win), (VALUES (0.5::DOUBLE), (0.8), (0.95)) b(decay)""",
        "rg_g": "SELECT trial_id, item, round(sum(pow(decay, last_t - t) * qty), 10) AS g FROM hist JOIN h_end USING (usr), rg WHERE last_t - t < win GROUP BY trial_id, item",
        "rg_p": """SELECT * FROM (SELECT trial_id, usr, item, row_number() OVER (PARTITION BY trial_id, usr ORDER BY latest DESC, coalesce(g, 0.0) DESC, item) AS rank FROM
-         (SELECT usr, item, max(t) AS latest FROM hist WHERE usr IN (SELECT usr FROM split WHERE fold = 0 AND split = 'val') GROUP BY usr, item), rg LEFT JOIN rg_g USING (trial_id, item)) WHERE rank <= 10""",
+         (SELECT usr, item, max(t) AS latest FROM hist WHERE usr IN (SELECT usr FROM split WHERE fold = 0 AND split = 'val') GROUP BY usr, item) CROSS JOIN rg LEFT JOIN rg_g USING (trial_id, item)) WHERE rank <= 10""",
        "rg_s": f"""SELECT trial_id, usr, total_purchases, count(*) AS length, {sql.metric_sums(5)}, {sql.metric_sums(10)} FROM (SELECT p.*, (x.item IS NOT NULL)::INT AS hit, total_purchases
          FROM rg_p p JOIN t_size USING (usr) LEFT JOIN target x ON x.usr = p.usr AND x.item = p.item) GROUP BY trial_id, usr, total_purchases""",
        "rg_m": f"SELECT trial_id, usr, {sql.metric_columns(5)}, {sql.metric_columns(10)} FROM rg_s",
@@ -487,9 +488,9 @@ BOOT = "dataset:s fold:i method_a:s method_b:s mean_difference:f ci_low:f ci_hig
 
 def _boot_draws(n, seed):
     return {"m_diff": "SELECT dataset, fold, usr, method_a, method_b, a - b AS d FROM m_pairs",
-            "people": "SELECT *, row_number() OVER (PARTITION BY dataset, fold ORDER BY usr) - 1 AS at, count(*) OVER (PARTITION BY dataset, fold) AS n FROM (SELECT DISTINCT dataset, fold, usr FROM panel)",
-            "draws": f"""SELECT dataset, fold, rep, {sql.hash32(f"'{seed}:' || rep || ':' || at")} % n AS at, count(*) AS w FROM people, range(1, {n + 1}) r(rep) GROUP BY ALL""",
-            "reps": """SELECT dataset, fold, method_a, method_b, rep, sum(d * w) / sum(w)::DOUBLE AS boot FROM m_diff JOIN people USING (dataset, fold, usr) JOIN draws USING (dataset, fold, at) GROUP BY ALL""",
+            "people": "SELECT *, row_number() OVER (PARTITION BY dataset, fold ORDER BY usr) - 1 AS pos, count(*) OVER (PARTITION BY dataset, fold) AS n FROM (SELECT DISTINCT dataset, fold, usr FROM panel)",
+            "draws": f"""SELECT dataset, fold, rep, {sql.hash32(f"'{seed}:' || rep || ':' || pos")} % n AS pos, count(*) AS w FROM people, range(1, {n + 1}) r(rep) GROUP BY ALL""",
+            "reps": """SELECT dataset, fold, method_a, method_b, rep, sum(d * w) / sum(w)::DOUBLE AS boot FROM m_diff JOIN people USING (dataset, fold, usr) JOIN draws USING (dataset, fold, pos) GROUP BY ALL""",
             "boot": """SELECT *, ci_low > 0 AS a_significantly_better, ci_high < 0 AS b_significantly_better FROM (SELECT dataset, fold, method_a, method_b, avg(d) AS mean_difference FROM m_diff GROUP BY ALL) JOIN
               (SELECT dataset, fold, method_a, method_b, quantile_cont(boot, 0.025) AS ci_low, quantile_cont(boot, 0.975) AS ci_high FROM reps GROUP BY ALL) USING (dataset, fold, method_a, method_b)"""}
 
