@@ -32,17 +32,18 @@ def _numeric_key(df: DataFrame, name: str) -> Column:
 
 
 def add_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str,
-                      out: str, ranges: int = RANGES) -> DataFrame:
-    """Add `out`: the sum of `amount` over the rows before this one in its group.
+                      out: str, ranges: int = RANGES, total: str | None = None) -> DataFrame:
+    """Add `out`: the sum of `amount` over the rows before this one in its group, and the group's sum as `total`.
 
-    `order` must be a total order inside a group; `keys` must not be NULL.
+    `order` must be a total order inside a group; `keys` must not be NULL. The input is read three times, always
+    with the same columns, so that a shuffle just below is made once and reused.
     """
     keys = list(keys)
     base = df
     if not keys:
         keys, base = ["_all"], df.withColumn("_all", F.lit(1))
     base = base.withColumn("_key", _numeric_key(df, order[0]))
-    span = base.groupBy(*keys).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
+    span = base.groupBy(*keys).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"), F.sum(amount).alias("_total"))
     share = F.try_divide(F.col("_key") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     cut = (base.join(span, keys)
            .withColumn("_range", F.coalesce(F.floor(share * ranges), F.lit(0)).cast("int"))
@@ -52,9 +53,11 @@ def add_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = (W.partitionBy(*keys, "_range").orderBy(*[F.col(c) for c in order])
               .rowsBetween(W.unboundedPreceding, -1))
-    return (cut.join(offsets, [*keys, "_range"])
-            .withColumn(out, F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-            .drop("_range", "_offset", "_all"))
+    placed = (cut.join(offsets, [*keys, "_range"])
+              .withColumn(out, F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0))))
+    if total:
+        placed = placed.withColumn(total, F.col("_total"))
+    return placed.drop("_range", "_offset", "_all", "_total")
 
 
 def add_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
@@ -73,11 +76,7 @@ def value_ranks(df: DataFrame, col: str, keys: Sequence[str], weight: str | None
     keys = list(keys)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(amount.alias("ties"))
-    ranked = add_running_total(counts, keys, [col], "ties", "before")
-    if keys:
-        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("ties").alias("n")), keys)
-    else:
-        ranked = ranked.withColumn("n", counts.agg(F.sum("ties")).scalar())
+    ranked = add_running_total(counts, keys, [col], "ties", "before", total="n")
     rank = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
     return ranked.withColumn("rank", rank).withColumn("pct", F.col("rank") / F.col("n"))
 

@@ -8,6 +8,7 @@ Stages therefore hand over Parquet tables, written to the shared folder the clus
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str | None = None) -> DataFrame:
     """Write `df` as a table of this application and read it back."""
     spark = df.sparkSession
+    name = name or f"step-{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

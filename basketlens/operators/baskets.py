@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seeded_hash
 from ..functions.ordering import add_position
+from ..functions.staging import stage
 
 
 def build_baskets(log: DataFrame, order_by: str | None = None) -> DataFrame:
     """`user, t, item, qty`: t is the 0-based position of the order among the user's orders.
 
     Orders are ranked by `order_by` (a column of the log, constant inside an order) and then by
-    order id; by default by order id alone.
+    order id; by default by order id alone. The counted lines are staged, so the log is read once.
     """
     rank_cols = ["order"] if order_by is None else [order_by, "order"]
-    lines = log.groupBy("user", *rank_cols, "item").agg(F.count(F.lit(1)).alias("qty"))
+    lines = stage(log.groupBy("user", *rank_cols, "item").agg(F.count(F.lit(1)).alias("qty")))
     orders = add_position(lines.select("user", *rank_cols).distinct(), ["user"], rank_cols, "t")
     return lines.join(orders.select("user", "order", "t"), ["user", "order"]).select("user", "t", "item", "qty")
 

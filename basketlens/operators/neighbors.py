@@ -21,7 +21,9 @@ from pyspark.sql import types as T
 from ..functions.columns import SCORE_DIGITS
 
 BLOCK_CELLS = 2_000_000
+PACK_ROWS = 10_000
 TILE = 4_000_000
+DENSE_CELLS = 32_000_000
 
 
 def top_k(scores: DataFrame, k: int, order: Sequence, keys: Sequence[str] = ("user",)) -> DataFrame:
@@ -36,14 +38,24 @@ def plan_blocks(query: DataFrame, ref: DataFrame, blocks: tuple[int, int] | None
     """(query blocks, reference blocks), from the two cell counts unless given."""
     if blocks is not None:
         return blocks
-    spark = ref.sparkSession
-    width = max(spark.sparkContext.defaultParallelism, 2)
-    n_query, n_ref = query.count(), ref.count()
+    width = max(ref.sparkSession.sparkContext.defaultParallelism, 2)
+    n_ref = ref.count()
+    n_query = n_ref if query is ref else query.count()
     ref_blocks = max(1, -(-n_ref // cells))
     query_blocks = max(-(-n_query // cells), -(-width // ref_blocks))
     return int(query_blocks), int(ref_blocks)
 
 
+def _pack(cells: DataFrame, keys: Sequence[str], stat: str) -> DataFrame:
+    """Cells as a few rows per id with arrays of items and values; an array never holds more than about
+    PACK_ROWS cells, whatever the id's size."""
+    place = [*keys, "id"]
+    big = (cells.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PACK_ROWS)
+           .select(*place, F.ceil(F.col("_n") / F.lit(PACK_ROWS)).cast("int").alias("_parts")))
+    cut = cells.join(big, place, "left").withColumn("_part", F.pmod(F.hash("item"), F.coalesce("_parts", F.lit(1))))
+    return cut.groupBy(*place, "_part", stat).agg(F.collect_list("item").alias("item"), F.collect_list("v").alias("v")).drop("_part")
+
+
 def _meet(query: DataFrame, ref: DataFrame, blocks: tuple[int, int], keys: Sequence[str],
           kernel: Callable, schema: T.StructType) -> DataFrame:
     """Run `kernel(query rows, reference rows)` for every pair of blocks."""
@@ -57,14 +69,13 @@ def _meet(query: DataFrame, ref: DataFrame, blocks: tuple[int, int], keys: Seque
     return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(kernel, schema)
 
 
-def _best_rows(score: np.ndarray, allowed: np.ndarray, id_rank: np.ndarray, k: int):
-    """(row, column) of the k best allowed entries of each row, ties by id."""
-    masked = np.where(allowed, score, -np.inf)
-    if masked.shape[1] > k:
-        cut = np.partition(masked, masked.shape[1] - k, axis=1)[:, masked.shape[1] - k]
-        rows, cols = np.nonzero(allowed & (masked >= cut[:, None]))
+def _best_rows(score: np.ndarray, id_rank: np.ndarray, k: int):
+    """(row, column) of the k best entries of each row that are not -inf, ties by id."""
+    if score.shape[1] > k:
+        cut = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        rows, cols = np.nonzero(score >= np.maximum(cut, -np.finfo(float).max)[:, None])
     else:
-        rows, cols = np.nonzero(allowed)
+        rows, cols = np.nonzero(score > -np.inf)
     order = np.lexsort((id_rank[cols], -score[rows, cols], rows))
     rows, cols = rows[order], cols[order]
     starts = np.searchsorted(rows, np.arange(score.shape[0]))
@@ -72,40 +83,58 @@ def _best_rows(score: np.ndarray, allowed: np.ndarray, id_rank: np.ndarray, k: i
     return rows[keep], cols[keep]
 
 
+def _unpack(rows: pd.DataFrame, stat: str):
+    """(ids, stat per id, row, item, value) with one entry of the last three per cell."""
+    code, ids = pd.factorize(rows["id"])
+    stats = np.empty(len(ids))
+    stats[code] = rows[stat].to_numpy()
+    row = np.repeat(code, rows["v"].map(len).to_numpy())
+    return ids, stats, row, np.concatenate(rows["item"].to_numpy()), np.concatenate(rows["v"].to_numpy())
+
+
 def _sparse_tiles(q: pd.DataFrame, r: pd.DataFrame):
-    """Yield (query ids, a, reference ids, b, dot products) in tiles of bounded size."""
-    codes = pd.factorize(pd.concat([q["item"], r["item"]], ignore_index=True))[0]
-    q_item, r_item = codes[:len(q)], codes[len(q):]
+    """Yield (query ids, a, reference ids, b, dot products) in tiles of bounded size.
+
+    Popular items make nearly full matrices, for which a matrix product is quicker than posting lists.
+    """
+    q_ids, q_stat, q_row, q_item, q_val = _unpack(q, "a")
+    r_ids, r_stat, r_row, r_item, r_val = _unpack(r, "b")
+    codes = pd.factorize(np.concatenate([q_item, r_item]))[0]
+    q_item, r_item = codes[:len(q_item)], codes[len(q_item):]
     n_items = int(codes.max()) + 1
-    q_row, q_ids = pd.factorize(q["id"])
-    r_row, r_ids = pd.factorize(r["id"])
-    q_stat, r_stat = np.empty(len(q_ids)), np.empty(len(r_ids))
-    q_stat[q_row], r_stat[r_row] = q["a"].to_numpy(), r["b"].to_numpy()
     by_item = np.argsort(r_item, kind="stable")
-    posting_row, posting_val = r_row[by_item], r["v"].to_numpy()[by_item]
     start = np.searchsorted(r_item[by_item], np.arange(n_items + 1))
     by_query = np.argsort(q_row, kind="stable")
-    cell_row, cell_item, cell_val = q_row[by_query], q_item[by_query], q["v"].to_numpy()[by_query]
-    width = start[cell_item + 1] - start[cell_item]
-    work = np.concatenate([[0], np.cumsum(width)])
-    first_cell = np.searchsorted(cell_row, np.arange(len(q_ids) + 1))
-    lo = 0
-    while lo < len(q_ids):
-        hi = lo + max(1, min(len(q_ids) - lo, TILE // max(1, len(r_ids))))
-        while hi > lo + 1 and work[first_cell[hi]] - work[first_cell[lo]] > 4 * TILE:
-            hi = lo + (hi - lo + 1) // 2
-        dots = np.zeros((hi - lo) * len(r_ids))
-        c0 = first_cell[lo]
-        while c0 < first_cell[hi]:
-            c1 = max(c0 + 1, min(first_cell[hi], int(np.searchsorted(work, work[c0] + 4 * TILE, side="right")) - 1))
-            w = width[c0:c1]
-            posting = np.repeat(start[cell_item[c0:c1]] - (work[c0:c1] - work[c0]), w) + np.arange(w.sum())
-            flat = np.repeat(cell_row[c0:c1] - lo, w) * len(r_ids) + posting_row[posting]
-            dots += np.bincount(flat, weights=np.repeat(cell_val[c0:c1], w) * posting_val[posting],
-                                minlength=len(dots))
-            c0 = c1
-        yield q_ids[lo:hi], q_stat[lo:hi], r_ids, r_stat, dots.reshape(hi - lo, len(r_ids))
-        lo = hi
+    q_row, q_item, q_val = q_row[by_query], q_item[by_query], q_val[by_query]
+    first_cell = np.searchsorted(q_row, np.arange(len(q_ids) + 1))
+    width = start[q_item + 1] - start[q_item]
+    products = float(width.sum()) / (len(q_ids) * len(r_ids))
+    dense = n_items <= 40 * products and n_items * len(r_ids) <= DENSE_CELLS
+    step = max(1, TILE // len(r_ids))
+    if dense:
+        right = np.zeros((n_items, len(r_ids)))
+        right[r_item, r_row] = r_val
+    else:
+        posting_row, posting_val = r_row[by_item], r_val[by_item]
+        work = np.concatenate([[0], np.cumsum(width)])
+    for lo in range(0, len(q_ids), step):
+        hi = min(len(q_ids), lo + step)
+        c0, end = first_cell[lo], first_cell[hi]
+        if dense:
+            left = np.zeros((hi - lo, n_items))
+            left[q_row[c0:end] - lo, q_item[c0:end]] = q_val[c0:end]
+            dots = left @ right
+        else:
+            dots = np.zeros((hi - lo) * len(r_ids))
+            while c0 < end:
+                c1 = max(c0 + 1, min(end, int(np.searchsorted(work, work[c0] + 4 * TILE, side="right")) - 1))
+                w = width[c0:c1]
+                posting = np.repeat(start[q_item[c0:c1]] - (work[c0:c1] - work[c0]), w) + np.arange(w.sum())
+                flat = np.repeat(q_row[c0:c1] - lo, w) * len(r_ids) + posting_row[posting]
+                dots += np.bincount(flat, weights=np.repeat(q_val[c0:c1], w) * posting_val[posting], minlength=len(dots))
+                c0 = c1
+            dots = dots.reshape(hi - lo, len(r_ids))
+        yield q_ids[lo:hi], q_stat[lo:hi], r_ids, r_stat, dots
 
 
 def sparse_top_k(query: DataFrame, ref: DataFrame, k: int, score: Callable, *, zeros: bool = True,
@@ -129,24 +158,23 @@ def sparse_top_k(query: DataFrame, ref: DataFrame, k: int, score: Callable, *, z
         if len(q) and len(r):
             for ids, a, others, b, dots in _sparse_tiles(q, r):
                 value = np.round(score(dots, a[:, None], b[None, :]), SCORE_DIGITS)
-                allowed = np.ones(value.shape, bool) if zeros else value != 0
                 if drop_self:
                     own = pd.Index(others).get_indexer(ids)
-                    allowed[np.flatnonzero(own >= 0), own[own >= 0]] = False
-                id_rank = np.argsort(np.argsort(np.asarray(others)))
-                rows, cols = _best_rows(value, allowed, id_rank, k)
-                filled = (allowed & (value != 0)).sum(axis=1)
-                first = np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else rows
-                parts.append(pd.DataFrame({"id": np.asarray(ids)[rows], "other": np.asarray(others)[cols],
-                                           "score": value[rows, cols],
-                                           "block_nonzero": np.where(first, filled[rows], 0)}))
+                    value[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
+                if not zeros:
+                    value[value == 0] = -np.inf
+                rows, cols = _best_rows(value, np.argsort(np.argsort(np.asarray(others))), k)
+                best = {"id": np.asarray(ids)[rows], "other": np.asarray(others)[cols], "score": value[rows, cols], "block_nonzero": 0}
+                if count_nonzero and len(rows):
+                    filled = ((value != 0) & (value > -np.inf)).sum(axis=1)
+                    best["block_nonzero"] = np.where(np.concatenate([[True], rows[1:] != rows[:-1]]), filled[rows], 0)
+                parts.append(pd.DataFrame(best))
         out = pd.concat(parts) if parts else pd.DataFrame(columns=["id", "other", "score", "block_nonzero"])
         for c in keys:
             out[c] = q[c].iloc[0] if len(q) else None
         return out[[f.name for f in schema]]
 
-    found = _meet(query.select(*keys, "id", "item", "v", "a"), ref.select(*keys, "id", "item", "v", "b"),
-                  plan_blocks(query, ref, blocks), keys, kernel, schema)
+    found = _meet(_pack(query, keys, "a"), _pack(ref, keys, "b"), plan_blocks(query, ref, blocks), keys, kernel, schema)
     if count_nonzero:
         found = found.withColumn("nonzero", F.sum("block_nonzero").over(W.partitionBy(*keys, "id")))
     return top_k(found.drop("block_nonzero"), k, [F.desc("score"), F.asc("other")], [*keys, "id"])
@@ -162,6 +190,7 @@ def _with_norm(vec: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame
 def cosine_knn(vec: DataFrame, k: int = 20, blocks: tuple[int, int] | None = None) -> DataFrame:
     """`user, neighbor, rank, sim` over non-negative vectors `user, item, v`."""
     cells = _with_norm(vec, "a").withColumn("a", F.sqrt("a"))
+    blocks = plan_blocks(vec, vec, blocks)
     best = sparse_top_k(cells, cells.withColumnRenamed("a", "b"), k, lambda dot, a, b: dot / (a * b), blocks=blocks)
     return best.select(F.col("id").alias("user"), F.col("other").alias("neighbor"), "rank", F.col("score").alias("sim"))
 
@@ -169,6 +198,7 @@ def cosine_knn(vec: DataFrame, k: int = 20, blocks: tuple[int, int] | None = Non
 def euclidean_knn(query: DataFrame, ref: DataFrame, k: int, keys: Sequence[str] = (),
                   blocks: tuple[int, int] | None = None) -> DataFrame:
     """`user, neighbor, rank, dist`: the k nearest reference users; equal distance goes by user id."""
+    blocks = plan_blocks(query, ref, blocks)
     best = sparse_top_k(_with_norm(query, "a", keys), _with_norm(ref, "b", keys), k,
                         lambda dot, a, b: -np.maximum(a + b - 2.0 * dot, 0.0), drop_self=False, keys=keys, blocks=blocks)
     return best.select(*keys, F.col("id").alias("user"), F.col("other").alias("neighbor"), "rank",
@@ -200,7 +230,7 @@ def dot_top_k(user_vec: DataFrame, item_vec: DataFrame, k: int, blocks: tuple[in
                 tile = q.iloc[lo:lo + step]
                 value = np.stack(tile["vec"].to_numpy()) @ matrix.T + r["bias"].to_numpy()[None, :]
                 value = np.round(value, SCORE_DIGITS)
-                rows, cols = _best_rows(value, np.ones(value.shape, bool), id_rank, k)
+                rows, cols = _best_rows(value, id_rank, k)
                 parts.append(pd.DataFrame({"user": tile["id"].to_numpy()[rows], "item": ids[cols],
                                            "score": value[rows, cols]}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=["user", "item", "score"])
@@ -257,6 +287,7 @@ def similarity(cells: DataFrame, kind: str = "cosine", top: int = 100, shrink: f
     else:
         def score(dot, x, y): return dot
     signed = kind in ("adjusted", "pearson")
+    blocks = plan_blocks(cells, cells, blocks)
     best = sparse_top_k(query, base, top, score, zeros=False, blocks=blocks, count_nonzero=signed)
     if signed:
         best = best.withColumn("columns", data.agg(F.count_distinct("col")).scalar())

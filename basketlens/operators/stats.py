@@ -126,8 +126,12 @@ def bootstrap_mean_diff(df: DataFrame, diff: str, keys: Sequence[str], order: st
     reps = F.explode(F.sequence(F.lit(1), F.lit(n)))
     if scheme == "poisson":
         weight = poisson_weight(uniform(F.lit(seed), F.col("rep"), F.col(order)))
-        sums = (df.withColumn("rep", reps).withColumn("_w", weight).groupBy(*keys, "rep")
-                .agg(F.sum(F.col(diff) * F.col("_w")).alias("s"), F.sum("_w").alias("m")))
+        rest = [c for c in keys if c not in group]
+        packed = df.groupBy(*group, order).agg(F.collect_list(F.struct(*rest, F.col(diff).alias("_d"))).alias("_rows"))
+        # One draw per row of a population and replicate, then its short list of paired values; zero draws go no further.
+        drawn = packed.withColumn("rep", reps).withColumn("_w", weight).where(F.col("_w") > 0)
+        sums = (drawn.select(*group, "rep", "_w", F.explode("_rows").alias("_r")).select(*group, "rep", "_w", "_r.*")
+                .groupBy(*keys, "rep").agg(F.sum(F.col("_d") * F.col("_w")).alias("s"), F.sum("_w").alias("m")))
     elif scheme == "draws":
         people = add_position(df.select(*group, order).distinct(), group, [order], "_at")
         sizes = people.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))

@@ -112,5 +112,5 @@ def run_grid(recommender: Callable[[DataFrame], DataFrame], trials: DataFrame, t
 
 def leaderboard(results: DataFrame, metric: str = "nDCG@5", n: int = 10) -> DataFrame:
     """The n best trials, the first one on ties; trials without a score are skipped."""
-    scored = results.withColumn("score", F.round(F.col(f"`{metric}`"), 12)).where(F.col("score").isNotNull())
+    scored = results.withColumn("score", F.round(F.col(f"`{metric}`"), 9)).where(F.col("score").isNotNull())
     return top_k(scored.withColumn("_all", F.lit(1)), n, [F.desc("score"), F.asc("trial_id")], ["_all"]).drop("_all")

@@ -207,7 +207,7 @@ CTES = {
     "by_fold": "SELECT dataset, fold, method, avg(score) AS mean_score FROM panel GROUP BY dataset, fold, method",
     "centered": """SELECT *, score - user_mean AS centered FROM (SELECT *, avg(score) OVER w AS user_mean, max(score) OVER w > 1e-12 AS solved,
       max(abs(score)) OVER w <= 1e-12 AS all_zero FROM panel WINDOW w AS (PARTITION BY dataset, fold, usr))""",
-    "best": f"""SELECT dataset, method AS global_method FROM (SELECT dataset, method, row_number() OVER (PARTITION BY dataset ORDER BY round(avg(mean_score), 12) DESC,
+    "best": f"""SELECT dataset, method AS global_method FROM (SELECT dataset, method, row_number() OVER (PARTITION BY dataset ORDER BY round(avg(mean_score), 9) DESC,
       {order_of('method')}) AS r FROM by_fold GROUP BY dataset, method) WHERE r = 1""",
     "contrast": """SELECT c.*, global_method, p.score AS reference, c.score - p.score AS delta FROM centered c JOIN best USING (dataset)
       JOIN panel p ON p.dataset = c.dataset AND p.fold = c.fold AND p.usr = c.usr AND p.method = global_method WHERE c.method <> global_method""",
@@ -218,7 +218,7 @@ CTES = {
     "binned10": f"SELECT dataset, usr, feature, value, {bin_of(10)} AS bin FROM ({ranks('feat_long', 'value', 'dataset, feature')})",
     "bin_values": """SELECT dataset, fold, feature, bin, min(value) AS feature_min, median(value) AS feature_median, max(value) AS feature_max
       FROM (SELECT DISTINCT dataset, fold, usr FROM panel) JOIN binned USING (dataset, usr) GROUP BY dataset, fold, feature, bin""",
-    "scored": "SELECT c.* REPLACE (round(centered, 12) AS centered), feature, value, bin FROM centered c JOIN binned USING (dataset, usr)",
+    "scored": "SELECT c.* REPLACE (round(centered, 9) AS centered), feature, value, bin FROM centered c JOIN binned USING (dataset, usr)",
     "curve": "SELECT dataset, fold, feature, method, bin, avg(score) AS r, avg(centered) AS c FROM scored GROUP BY ALL",
     "trend": f"""SELECT * FROM ({spearman('scored', 'value', 'score', 'dataset, fold, feature, method', 'rho_raw')}) JOIN
       ({spearman('scored', 'value', 'centered', 'dataset, fold, feature, method', 'rho_centered')}) USING (dataset, fold, feature, method) JOIN
@@ -264,7 +264,7 @@ CTES = {
       + " FROM t_users_raw JOIN h_end USING (usr) JOIN (SELECT usr, size FROM sizes JOIN h_end USING (usr) WHERE t = last_t) USING (usr)",
     "tf_long": unpivot("t_users", TARGET_FEATURES, "dataset, usr"),
     "tf_binned": f"SELECT dataset, usr, feature, value, {bin_of(5)} AS bin FROM ({ranks('tf_long', 'value', 'dataset, feature')})",
-    "tf_scored": "SELECT c.* REPLACE (round(centered, 12) AS centered), feature, value, bin FROM centered c JOIN tf_binned USING (dataset, usr)",
+    "tf_scored": "SELECT c.* REPLACE (round(centered, 9) AS centered), feature, value, bin FROM centered c JOIN tf_binned USING (dataset, usr)",
     "tf_curve": "SELECT dataset, fold, feature, method, bin, avg(score) AS r, avg(centered) AS c FROM tf_scored GROUP BY ALL",
     "tf_trend": f"""SELECT * FROM ({spearman('tf_scored', 'value', 'score', 'dataset, fold, feature, method', 'rho_raw')}) JOIN
       ({spearman('tf_scored', 'value', 'centered', 'dataset, fold, feature, method', 'rho_centered')}) USING (dataset, fold, feature, method) JOIN
@@ -303,7 +303,7 @@ CTES = {
       coalesce(string_agg(method, ';' ORDER BY {order_of('method')}) FILTER (WHERE winner), '') AS oracle_winners,
       CASE WHEN n_winners = 1 THEN max(method) FILTER (WHERE winner) ELSE '' END AS unique_winner, list_sort(list(score), 'DESC')[2] AS second_best_score
       FROM oracle JOIN fold_best USING (dataset, fold) GROUP BY dataset, fold, usr, global_method, oracle_score, all_zero, n_winners)""",
-    "w_share": f"""SELECT *, rank() OVER (PARTITION BY dataset, fold ORDER BY round(mean_score, 12) DESC) AS global_rank,
+    "w_share": f"""SELECT *, rank() OVER (PARTITION BY dataset, fold ORDER BY round(mean_score, 9) DESC) AS global_rank,
       max(mean_score) OVER (PARTITION BY dataset, fold) - mean_score <= 1e-12 AS is_global_best FROM (SELECT dataset, fold, method, avg(score) AS mean_score,
       sum(credit) AS winner_credit, avg(credit) AS winner_share_all_users, avg(credit) FILTER (WHERE NOT all_zero) AS winner_share_nonzero_users,
       count(*) FILTER (WHERE winner AND n_winners = 1) AS unique_winner_count, {rate('winner AND n_winners = 1')} AS unique_winner_share_all_users,

@@ -438,7 +438,7 @@ def _similarity_trials(d: BasketData) -> DataFrame:
 add("h5_run_grid_temporal_knn", f"trial_id:i {MEAN_COLS}", _knn_trials)
 add("h5_run_grid_similarity", f"trial_id:i {MEAN_COLS}", _similarity_trials)
 add("h6_leaderboard", "rank:i trial_id:i score:f", lambda d: trials.leaderboard(_recency_trials(d), "nDCG@5", 5),
-    'SELECT * FROM (SELECT trial_id, "nDCG@5" AS score, row_number() OVER (ORDER BY round("nDCG@5", 12) DESC, trial_id) AS rank FROM rg_r) WHERE rank <= 5', **REC)
+    'SELECT * FROM (SELECT trial_id, "nDCG@5" AS score, row_number() OVER (ORDER BY round("nDCG@5", 9) DESC, trial_id) AS rank FROM rg_r) WHERE rank <= 5', **REC)
 
 # Statistics -----------------------------------------------------------------------------------
 
@@ -510,7 +510,8 @@ def _pair_diffs(d: BasketData) -> DataFrame:
 
 add("g9_bootstrap_mean_diff", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", 200, 11,
     "draws", ["dataset", "fold"]), "SELECT * FROM boot", **_boot_draws(200, 11))
-add("g9_bootstrap_poisson", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", 200, 11, "poisson"),
+add("g9_bootstrap_poisson", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", 200, 11,
+    "poisson", ["dataset", "fold"]),
     "SELECT * FROM boot", **{**_boot_draws(200, 11), "reps": f"""SELECT dataset, fold, method_a, method_b, rep, sum(d * w) / nullif(sum(w), 0)::DOUBLE AS boot FROM (SELECT *, {_poisson_sql('u')} AS w FROM
     (SELECT *, {sql.hash32("'11:' || rep || ':' || usr")} / 4294967296.0 AS u FROM m_diff, range(1, 201) r(rep))) GROUP BY ALL"""})
 add("g10_bootstrap_ols", "dataset:s outcome:s feature:s coef:f n_users:i ci_level:f bootstrap_mean:f bootstrap_sd:f ci_low:f ci_high:f ci_sign:s", lambda d: regression.bootstrap_ols(
@@ -519,14 +520,14 @@ add("g11_sign_label", "dataset:s method:s sign:s", lambda d: study.benchmark_by_
     study.sign_of(F.col("mean_score") - 0.1).alias("sign")), f"SELECT dataset, method, {sql.sign('(mean_score - 0.1)')} AS sign FROM by_fold GROUP BY dataset, method")
 add("g12_fold_side_by_side", "dataset:s method:s mean_score_k0:f mean_score_k1:f mean_score_k2:f mean_score_mean:f mean_score_sd:f", lambda d: stats.fold_side_by_side(
     study.benchmark_by_fold(d.panel), ["mean_score"], ["dataset", "method"]), sql.side_by_side("by_fold", ["mean_score"], "dataset, method"))
-add("g13_min_rank", "dataset:s method:s fold:i rank:i", lambda d: stats.min_rank(study.benchmark_by_fold(d.panel).withColumn("m", F.round("mean_score", 12)), "m", ["dataset", "fold"]),
-    "SELECT dataset, method, fold, rank() OVER (PARTITION BY dataset, fold ORDER BY round(mean_score, 12) DESC) AS rank FROM by_fold")
+add("g13_min_rank", "dataset:s method:s fold:i rank:i", lambda d: stats.min_rank(study.benchmark_by_fold(d.panel).withColumn("m", F.round("mean_score", 9)), "m", ["dataset", "fold"]),
+    "SELECT dataset, method, fold, rank() OVER (PARTITION BY dataset, fold ORDER BY round(mean_score, 9) DESC) AS rank FROM by_fold")
 
 # Study ----------------------------------------------------------------------------------------
 
 add("q1_benchmark_by_fold", "dataset:s fold:i method:s mean_score:f", lambda d: study.benchmark_by_fold(d.panel), "SELECT * FROM by_fold")
 add("q2_benchmark_summary", "dataset:s method:s n_folds:i mean:f fold_sd:f min:f max:f rank:i", lambda d: study.benchmark_summary(d.panel),
-    """SELECT *, rank() OVER (PARTITION BY dataset ORDER BY round(mean, 12) DESC) AS rank FROM (SELECT dataset, method, count(*) AS n_folds, avg(mean_score) AS mean,
+    """SELECT *, rank() OVER (PARTITION BY dataset ORDER BY round(mean, 9) DESC) AS rank FROM (SELECT dataset, method, count(*) AS n_folds, avg(mean_score) AS mean,
     stddev_pop(mean_score) AS fold_sd, min(mean_score) AS min, max(mean_score) AS max FROM by_fold GROUP BY dataset, method)""")
 add("q3_pairwise_bootstrap", BOOT + " a_significantly_better:b b_significantly_better:b", lambda d: study.pairwise_bootstrap(d.panel, METHODS, 200, 0),
     "SELECT * FROM boot", **_boot_draws(200, 0))
@@ -640,7 +641,7 @@ add("q37_competence_averages", "dataset:s " + " ".join(f"{c}:f" for c in AVG), l
 add("q37_winner_averages", "dataset:s method:s mean_score:f winner_share:f unique_winner_share:f", lambda d: study.winner_averages(study.winner_share(d.panel)),
     "SELECT dataset, method, avg(mean_score) AS mean_score, avg(winner_share_nonzero_users) AS winner_share, avg(unique_winner_share_nonzero_users) AS unique_winner_share FROM w_share GROUP BY dataset, method")
 add("q37_top_pairs", "dataset:s rank:i method_a:s method_b:s pair_oracle_gain:f success_set_jaccard:f unique_success_fraction:f", lambda d: study.top_pairs(study.complementarity(d.panel, METHODS), 3),
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(pair_oracle_gain, 12) DESC, method_a, method_b) AS rank FROM (SELECT dataset, method_a, method_b,
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(pair_oracle_gain, 9) DESC, method_a, method_b) AS rank FROM (SELECT dataset, method_a, method_b,
     avg(pair_oracle_gain) AS pair_oracle_gain, avg(success_set_jaccard) AS success_set_jaccard, avg(unique_success_fraction) AS unique_success_fraction FROM compl GROUP BY ALL)) WHERE rank <= 3""")
 add("q38_nonzero_comparison", "dataset:s fold:i method:s feature:s coef_all:f coef_nonzero:f n_users:i r2:f same_sign:b delta:f", lambda d: study.nonzero_comparison(d.regression, METHODS))
 add("q38_sign_agreement", "dataset:s sign_agreement:f", lambda d: study.sign_agreement(study.nonzero_comparison(d.regression, METHODS)))

@@ -25,6 +25,8 @@ from ..operators.regression import bootstrap_ols, gram, ols, vif
 from ..operators.stats import (bootstrap_mean_diff, fold_side_by_side, min_rank, quantile_bins, spearman,
                                to_long, zscore)
 
+# Means are compared at nine decimals, well above the noise of adding in any order.
+MEAN_DIGITS = 9
 GROUP = ["dataset", "fold"]
 USER = ["dataset", "fold", "user"]
 TARGET_FEATURES = ["target_basket_size", "target_repeat_fraction", "target_last_jaccard", "target_novelty_fraction", "target_popularity_profile",
@@ -62,7 +64,7 @@ def benchmark_summary(panel: DataFrame) -> DataFrame:
     out = folds.groupBy("dataset", "method").agg(
         F.count("mean_score").alias("n_folds"), F.avg("mean_score").alias("mean"), F.stddev_pop("mean_score").alias("fold_sd"),
         F.min("mean_score").alias("min"), F.max("mean_score").alias("max"))
-    return min_rank(out.withColumn("_m", F.round("mean", 12)), "_m").drop("_m")
+    return min_rank(out.withColumn("_m", F.round("mean", MEAN_DIGITS)), "_m").drop("_m")
 
 
 def method_pairs(panel: DataFrame, methods: Sequence[str]) -> DataFrame:
@@ -97,7 +99,7 @@ def centered(panel: DataFrame) -> DataFrame:
 
 def global_best(panel: DataFrame, methods: Sequence[str]) -> DataFrame:
     """`dataset, global_method`: best mean of fold means."""
-    means = benchmark_by_fold(panel).groupBy("dataset", "method").agg(F.round(F.avg("mean_score"), 12).alias("m"))
+    means = benchmark_by_fold(panel).groupBy("dataset", "method").agg(F.round(F.avg("mean_score"), MEAN_DIGITS).alias("m"))
     return means.groupBy("dataset").agg(F.max_by("method", F.struct(F.col("m"), -order_of(methods))).alias("global_method"))
 
 
@@ -157,7 +159,7 @@ def trends(panel: DataFrame, binned: DataFrame) -> DataFrame:
     place = [*GROUP, "feature", "method"]
     scored = centered(panel).join(binned, ["dataset", "user"])
     raw = spearman(scored, "value", "score", place, out="rho_raw").withColumnRenamed("n", "n_users")
-    mid = spearman(scored.withColumn("centered", F.round("centered", 12)), "value", "centered", place, out="rho_centered").drop("n")
+    mid = spearman(scored.withColumn("centered", F.round("centered", MEAN_DIGITS)), "value", "centered", place, out="rho_centered").drop("n")
     curve = scored.groupBy(*place, "bin").agg(F.avg("score").alias("r"), F.avg("centered").alias("c"))
     return raw.join(mid, place).join(_ends(curve, place, {"r": "raw", "c": "centered"}), place)
 
@@ -625,7 +627,7 @@ def winner_share(panel: DataFrame) -> DataFrame:
         _mean_if(live, F.col("credit")).alias("winner_share_nonzero_users"), F.count_if(only).alias("unique_winner_count"),
         _rate(only).alias("unique_winner_share_all_users"), _rate(only, live).alias("unique_winner_share_nonzero_users"),
         _rate(F.col("winner"), live).alias("winner_presence_share_nonzero_users"))
-    ranked = min_rank(g.withColumn("_m", F.round("mean_score", 12)), "_m", GROUP, "global_rank").drop("_m")
+    ranked = min_rank(g.withColumn("_m", F.round("mean_score", MEAN_DIGITS)), "_m", GROUP, "global_rank").drop("_m")
     return ranked.withColumn("is_global_best", F.max("mean_score").over(W.partitionBy(*GROUP)) - F.col("mean_score") <= EPS)
 
 
@@ -665,7 +667,7 @@ def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
     g = pairs.groupBy("dataset", "method_a", "method_b").agg(
         F.avg("pair_oracle_gain").alias("pair_oracle_gain"), F.avg("success_set_jaccard").alias("success_set_jaccard"),
         F.avg("unique_success_fraction").alias("unique_success_fraction"))
-    return top_k(g, n, [F.desc(F.round("pair_oracle_gain", 12)), F.asc("method_a"), F.asc("method_b")], ["dataset"])
+    return top_k(g, n, [F.desc(F.round("pair_oracle_gain", MEAN_DIGITS)), F.asc("method_a"), F.asc("method_b")], ["dataset"])
 
 
 # Plot inputs ----------------------------------------------------------------------------------
