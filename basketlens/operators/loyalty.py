@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.ordering import add_running_total
+from ..functions.skew import pairs_within
 from .association import basket_sizes
 from .recommend import softmax
 
@@ -45,7 +46,7 @@ def loyalty(hist: DataFrame, p: DataFrame, l0: float = 0.5, chunk: int = CHUNK)
     first = hist.groupBy("user", "item").agg(F.min("t").alias("first"))
     bought = hist.select("user", "item", "t", F.lit(1).alias("here")).distinct()
     # The state before basket t uses the count of appearances before t, over purchases before t.
-    grid = (first.join(steps, "user").where(F.col("t") >= F.col("first"))
+    grid = (pairs_within(first, steps, ["user"], "item").where(F.col("t") >= F.col("first"))
             .join(bought, ["user", "item", "t"], "left").withColumn("here", F.coalesce("here", F.lit(0)))
             .withColumn("chunk", F.floor(F.col("t") / F.lit(chunk))))
     tallies = grid.groupBy("user", "item", "chunk").agg(F.sum("here").alias("inside"))

@@ -8,14 +8,17 @@ first, so that exact halves round up in any engine.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import scratch_dir
 from ..operators import association as assoc
 from ..operators import baskets, factors, features, loyalty, metrics, neighbors, recommend, regression, stats, trials
+from ..sources import exchange, results, tables
 from . import oracle as sql
 from . import study
 from .data import METHODS, BasketData, open_data
@@ -73,6 +76,77 @@ add("flagship_test_metrics", MEANS, flagship, "SELECT * FROM g_means")
 
 add("s1_read_transactions", "user:i order:i item:s n:i", lambda d: _count_by(d.log, "user", "order", "item"),
     'SELECT usr, ord AS "order", item, count(*) AS n FROM log GROUP BY usr, ord, item')
+
+REC = {"rg": """SELECT row_number() OVER (ORDER BY win, decay) - 1 AS trial_id, win, decay FROM (VALUES (1), (2), (5), (50)) a(win), (VALUES (0.5::DOUBLE), (0.8), (0.95)) b(decay)""",
+       "rg_g": "SELECT trial_id, item, round(sum(pow(decay, last_t - t) * qty), 10) AS g FROM hist JOIN h_end USING (usr), rg WHERE last_t - t < win GROUP BY trial_id, item",
+       "rg_p": """SELECT * FROM (SELECT trial_id, usr, item, row_number() OVER (PARTITION BY trial_id, usr ORDER BY latest DESC, coalesce(g, 0.0) DESC, item) AS rank FROM
+         (SELECT usr, item, max(t) AS latest FROM hist WHERE usr IN (SELECT usr FROM split WHERE fold = 0 AND split = 'val') GROUP BY usr, item) CROSS JOIN rg LEFT JOIN rg_g USING (trial_id, item)) WHERE rank <= 10""",
+       "rg_s": f"""SELECT trial_id, usr, total_purchases, count(*) AS length, {sql.metric_sums(5)}, {sql.metric_sums(10)} FROM (SELECT p.*, (x.item IS NOT NULL)::INT AS hit, total_purchases
+         FROM rg_p p JOIN t_size USING (usr) LEFT JOIN target x ON x.usr = p.usr AND x.item = p.item) GROUP BY trial_id, usr, total_purchases""",
+       "rg_m": f"SELECT trial_id, usr, {sql.metric_columns(5)}, {sql.metric_columns(10)} FROM rg_s",
+       "rg_r": "SELECT trial_id, " + ", ".join(f'avg("{m}") AS "{m}"' for m in metrics.metric_names()) + " FROM rg_m GROUP BY trial_id"}
+
+
+def _scratch(d: BasketData, name: str) -> str:
+    return f"{scratch_dir(d.spark)}/exchange-{uuid.uuid4().hex}/{name}"
+
+
+def _baskets_file(d: BasketData) -> DataFrame:
+    path = _scratch(d, "history.json")
+    exchange.write_baskets_json(d.hist, path)
+    return exchange.read_baskets_json(d.spark, path, lines=True)
+
+
+def _split_file(d: BasketData) -> DataFrame:
+    path = _scratch(d, "split")
+    exchange.write_split_json(d.split, path)
+    return exchange.read_split_lines(d.spark, path)
+
+
+def _predictions_file(d: BasketData) -> DataFrame:
+    path = _scratch(d, "predictions")
+    exchange.write_predictions_json(d.preds, path)
+    return exchange.read_prediction_lines(d.spark, path, "string")
+
+
+def _fold_files(d: BasketData) -> DataFrame:
+    root = _scratch(d, "folds")
+    for fold in range(3):
+        d.split.where(F.col("fold") == fold).select(F.col("user").cast("string")).write.text(f"{root}/keyset_{fold}.json")
+    lines = d.spark.read.text(f"{root}/keyset_*.json").withColumn("path", F.input_file_name())
+    return _count_by(exchange.fold_from_path(lines), "fold")
+
+
+def _metrics_file(d: BasketData) -> DataFrame:
+    path = _scratch(d, "metrics")
+    results.write_metrics(metrics.fold_summary(metrics.user_mean(d.scores)), path, ("method",))
+    return results.read_metrics(d.spark, path, "metric string, value double, std_error double, count bigint, method string")
+
+
+def _trials_file(d: BasketData) -> DataFrame:
+    path = _scratch(d, "trials")
+    board = trials.leaderboard(_recency_trials(d), "nDCG@5", 12)
+    log = board.select(F.lit("all").alias("dataset"), "trial_id", F.create_map(F.lit("rank"), F.col("rank").cast("string")).alias("params"),
+                       F.create_map(F.lit("nDCG@5"), F.col("score")).alias("metrics"), "score")
+    results.write_trials(log, path)
+    return results.read_trial_lines(d.spark, path).withColumn("rank", F.col("params")["rank"])
+
+
+def _embedding_file(d: BasketData) -> DataFrame:
+    path = _scratch(d, "vectors.parquet")
+    tables.write_embeddings(d.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), path)
+    back = tables.read_embeddings(d.spark, path)
+    return back.select("id", F.size("vec").alias("dim"), F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+add("s2_read_baskets_json", "user:i t:i item:i qty:i", _baskets_file, "SELECT * FROM hist", "part")
+add("s3_split_json", "fold:i split:s user:i", _split_file, "SELECT * FROM split")
+add("s4_predictions_json", "fold:i method:s user:i rank:i item:s", _predictions_file, "SELECT * FROM preds")
+add("s5_fold_from_path", "fold:i n:i", _fold_files, "SELECT fold, count(*) AS n FROM split GROUP BY fold")
+add("s6_metrics_csv", "method:s metric:s value:f std_error:f count:i", _metrics_file, "SELECT * FROM f_sum")
+add("s7_trials_json", "trial_id:i rank:i score:f", _trials_file,
+    'SELECT trial_id, "nDCG@5" AS score, row_number() OVER (ORDER BY round("nDCG@5", 9) DESC, trial_id) AS rank FROM rg_r', **REC)
+add("s8_embeddings_parquet", "id:i dim:i total:f", _embedding_file, "SELECT vec_id AS id, len(embedding) AS dim, list_sum(embedding::DOUBLE[]) AS total FROM embeddings")
 add("i1_build_baskets", "user:i t:i item:i qty:i", lambda d: d.baskets, "SELECT * FROM baskets", "part")
 add("i1_build_baskets_by_date", "user:i t:i item:s qty:i", lambda d: baskets.build_baskets(d.log, "ordered_at"),
     """SELECT usr, t, item, qty FROM (SELECT usr, ord, item, count(*) AS qty FROM log GROUP BY ALL) JOIN (SELECT usr, ord,
@@ -411,14 +485,6 @@ def _recency_trials(d: BasketData) -> DataFrame:
     return trials.run_grid(lambda g: trials.grid_recency(d.hist, users, g), grid, d.target)
 
 
-REC = {"rg": """SELECT row_number() OVER (ORDER BY win, decay) - 1 AS trial_id, win, decay FROM (VALUES (1), (2), (5), (50)) a(win), (VALUES (0.5::DOUBLE), (0.8), (0.95)) b(decay)""",
-       "rg_g": "SELECT trial_id, item, round(sum(pow(decay, last_t - t) * qty), 10) AS g FROM hist JOIN h_end USING (usr), rg WHERE last_t - t < win GROUP BY trial_id, item",
-       "rg_p": """SELECT * FROM (SELECT trial_id, usr, item, row_number() OVER (PARTITION BY trial_id, usr ORDER BY latest DESC, coalesce(g, 0.0) DESC, item) AS rank FROM
-         (SELECT usr, item, max(t) AS latest FROM hist WHERE usr IN (SELECT usr FROM split WHERE fold = 0 AND split = 'val') GROUP BY usr, item) CROSS JOIN rg LEFT JOIN rg_g USING (trial_id, item)) WHERE rank <= 10""",
-       "rg_s": f"""SELECT trial_id, usr, total_purchases, count(*) AS length, {sql.metric_sums(5)}, {sql.metric_sums(10)} FROM (SELECT p.*, (x.item IS NOT NULL)::INT AS hit, total_purchases
-         FROM rg_p p JOIN t_size USING (usr) LEFT JOIN target x ON x.usr = p.usr AND x.item = p.item) GROUP BY trial_id, usr, total_purchases""",
-       "rg_m": f"SELECT trial_id, usr, {sql.metric_columns(5)}, {sql.metric_columns(10)} FROM rg_s",
-       "rg_r": "SELECT trial_id, " + ", ".join(f'avg("{m}") AS "{m}"' for m in metrics.metric_names()) + " FROM rg_m GROUP BY trial_id"}
 MEAN_COLS = " ".join(f"{m}:f" for m in metrics.metric_names())
 add("h5_run_grid_recency", f"trial_id:i {MEAN_COLS}", _recency_trials, "SELECT * FROM rg_r", **REC)
 

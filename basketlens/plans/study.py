@@ -405,8 +405,8 @@ def transition_support(hist: DataFrame, target: DataFrame, assoc: DataFrame) ->
     sizes = basket_sizes(last).select("user", "size")
     inside = last.select("user", "item").withColumn("own", F.lit(1))
     known = assoc.where(F.col("assoc") > 0).select("i", F.col("j").alias("item"), "assoc")
-    sums = wanted.join(last.select("user", F.col("item").alias("i")), "user").where(F.col("i") != F.col("item")).join(
-        known, ["i", "item"]).groupBy("user", "item").agg(F.sum("assoc").alias("s"))
+    met = pairs_within(wanted, last.select("user", F.col("item").alias("i")), ["user"], "item")
+    sums = met.where(F.col("i") != F.col("item")).join(known, ["i", "item"]).groupBy("user", "item").agg(F.sum("assoc").alias("s"))
     rows = wanted.join(sizes, "user", "left").join(inside, ["user", "item"], "left").join(sums, ["user", "item"], "left")
     others = (F.col("size") - F.coalesce(F.col("own"), F.lit(0))).cast("double")
     value = F.coalesce(F.try_divide(F.col("s"), others), F.lit(0.0))

@@ -12,29 +12,47 @@ from pyspark.sql import functions as F
 FOLD = r"keyset_?(\d+)"
 
 
-def _whole(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Parsed documents with their file's path: one per file, or one per line."""
+    text = spark.read.text(path, wholetext=not lines)
     return text.select(F.from_json("value", schema).alias("doc"), F.input_file_name().alias("path"))
 
 
 def fold_from_path(df: DataFrame, path_col: str = "path", out: str = "fold") -> DataFrame:
-    """Add the fold number found in a file name such as keyset_2.json; NULL when there is none."""
-    number = F.regexp_extract(path_col, FOLD + r"[^/]*$", 1)
+    """Add the fold number found in a path such as keyset_2.json; NULL when there is none."""
+    number = F.regexp_extract(path_col, FOLD, 1)
     return df.withColumn(out, F.when(number != "", number).cast("bigint"))
 
 
-def read_baskets_json(spark: SparkSession, path: str) -> DataFrame:
-    """`user, t, item, qty` from a map of user to baskets; the marker baskets at both ends are dropped by position."""
-    users = _whole(spark, path, "map<string, array<array<int>>>").select(F.explode("doc").alias("user", "seq"))
+MARKER = -1
+
+
+def read_baskets_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """`user, t, item, qty` from maps of user to baskets; the marker baskets at both ends are dropped by position.
+
+    With `lines` a file holds one map per line, as `write_baskets_json` writes it.
+    """
+    users = _documents(spark, path, "map<string, array<array<int>>>", lines).select(F.explode("doc").alias("user", "seq"))
     inner = F.slice("seq", F.lit(2), F.greatest(F.size("seq") - 2, F.lit(0)))
     baskets = users.select("user", F.posexplode(inner).alias("t", "basket"))
     return (baskets.select("user", F.col("t").cast("bigint").alias("t"), F.explode("basket").alias("item"))
             .groupBy("user", "t", "item").agg(F.count(F.lit(1)).alias("qty")))
 
 
+def write_baskets_json(hist: DataFrame, path: str) -> None:
+    """One map per line: a user's baskets in order, a marker basket at each end. Items must be integers."""
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("qty")))
+    baskets = (hist.withColumn("_copy", copies).groupBy("user", "t")
+               .agg(F.sort_array(F.collect_list(F.col("item").cast("int"))).alias("basket")))
+    users = baskets.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("t", "basket"))).alias("seq"))
+    end = F.array(F.array(F.lit(MARKER)))
+    users.select(F.to_json(F.create_map(F.col("user").cast("string"), F.concat(end, F.col("seq.basket"), end)))).write.mode(
+        "overwrite").text(path)
+
+
 def read_split_json(spark: SparkSession, path: str) -> DataFrame:
     """`fold, split, user` from one or more split files; the fold comes from the file name."""
-    doc = fold_from_path(_whole(spark, path, "struct<item_num:int, train:array<string>, val:array<string>, test:array<string>>"))
+    doc = fold_from_path(_documents(spark, path, "struct<item_num:int, train:array<string>, val:array<string>, test:array<string>>"))
     parts = [doc.select("fold", F.lit(p).alias("split"), F.explode(f"doc.{p}").alias("user")) for p in ("train", "val", "test")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -51,7 +69,7 @@ def read_split_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_predictions_json(spark: SparkSession, path: str) -> DataFrame:
     """`fold, method, user, rank, item` from files <method>/keyset<fold>.json holding a map of user to ranked items."""
-    doc = fold_from_path(_whole(spark, path, "map<string, array<int>>"))
+    doc = fold_from_path(_documents(spark, path, "map<string, array<int>>"))
     named = doc.withColumn("method", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     users = named.select("fold", "method", F.explode("doc").alias("user", "items"))
     return users.select("fold", "method", "user", F.posexplode("items").alias("pos", "item")).select(
