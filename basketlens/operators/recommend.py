@@ -77,7 +77,8 @@ def recommend_recency(hist: DataFrame, users: DataFrame, k: int = 10, window: in
     """A user's own items by last purchase, then overall recency, then item id."""
     own = (hist.join(users.select("user"), "user", "left_semi")
            .groupBy("user", "item").agg(F.max("t").alias("latest")))
-    scored = own.join(global_recency(hist, window, decay), "item")
+    # An item outside every user's window has no recency score and ranks as 0.
+    scored = own.join(global_recency(hist, window, decay), "item", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
     best = top_k(scored, k, [F.desc("latest"), F.desc(score_key(F.col("g"))), F.asc("item")])
     return best.select("user", "rank", "item", F.col("latest").cast("double").alias("score"))
 

@@ -181,7 +181,7 @@ CTES = {
     "gf": "SELECT item, sum(qty)::BIGINT AS c FROM hist GROUP BY item",
     "frequency_list": f"SELECT usr, rank, item, c AS score FROM ({top('(SELECT usr, item, uf.c, gf.c AS g FROM uf JOIN gf USING (item))', 10, 'c DESC, g DESC, item')})",
     "g_recency": "SELECT item, sum(pow(0.95::DOUBLE, last_t - t) * qty) AS g FROM hist JOIN h_end USING (usr) WHERE last_t - t < 50 GROUP BY item",
-    "recency_list": f"""SELECT usr, rank, item, latest AS score FROM ({top('(SELECT usr, item, latest, round(g, 10) AS g FROM (SELECT usr, item, max(t) AS latest FROM hist GROUP BY usr, item) JOIN g_recency USING (item))', 10, 'latest DESC, g DESC, item')})""",
+    "recency_list": f"""SELECT usr, rank, item, latest AS score FROM ({top('(SELECT usr, item, latest, coalesce(round(g, 10), 0.0) AS g FROM (SELECT usr, item, max(t) AS latest FROM hist GROUP BY usr, item) LEFT JOIN g_recency USING (item))', 10, 'latest DESC, g DESC, item')})""",
     "jitter": f"SELECT item, {hash32('0 || chr(58) || item')} / 4294967296.0 * 0.01::DOUBLE AS jit FROM gf",
     "popular_list": """SELECT usr, rank, item, score FROM users, (SELECT item, c + jit AS score, row_number() OVER (ORDER BY round(c + jit, 10) DESC, item) AS rank
       FROM gf JOIN jitter USING (item)) WHERE rank <= 10""",

@@ -1,0 +1,119 @@
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from basketlens.operators import factors, loyalty, recommend
+
+
+def as_hist(spark, baskets):
+    rows = [(u, t, i, 1) for u, bs in baskets.items() for t, b in enumerate(bs) for i in b]
+    return spark.createDataFrame(rows, "user string, t bigint, item string, qty bigint")
+
+
+def group_sizes(n, m):
+    if n <= m:
+        return [1] * n
+    return [n // m] * (m - n % m) + [n // m + 1] * (n % m)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 8, 12])
+def test_decay_vectors(spark, n):
+    hist = as_hist(spark, {"u": [[f"x{t}", "y"] for t in range(n)]})
+    got = {r["item"]: r["v"] for r in recommend.decay_vectors(hist, 3, 0.9, 0.7).collect()}
+    sizes = group_sizes(n, 3)
+    assert sum(sizes) == n
+    want, t = defaultdict(float), 0
+    for g, size in enumerate(sizes):
+        for _ in range(size):
+            for item in (f"x{t}", "y"):
+                want[item] += 0.9 ** (n - 1 - t) * 0.7 ** (len(sizes) - 1 - g) / size / len(sizes)
+            t += 1
+    assert got == pytest.approx(dict(want))
+
+
+def test_frequency_and_recency_ties(spark):
+    hist = as_hist(spark, {"u": [["a", "b", "z"], ["c", "b"]], "v": [["a"], ["a", "c"]]})
+    users = spark.createDataFrame([("u",), ("v",)], "user string")
+    freq = {r["user"]: r["items"] for r in recommend.recommend_frequency(hist, users).groupBy("user").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]), "").alias("items")).collect()}
+    assert freq == {"u": "bacz", "v": "ac"}
+    rec = {(r["user"], r["rank"]): r["item"] for r in recommend.recommend_recency(hist, users, window=1).collect()}
+    # b and c were last bought together, and b also counts for less in the last baskets of all users.
+    assert rec[("u", 1)] == "c" and rec[("u", 2)] == "b"
+    # z lies outside every window of one basket and is still listed, last.
+    assert rec[("u", 3)] == "a" and rec[("u", 4)] == "z"
+
+
+def test_fill_adds_highest_ids(spark):
+    ranked = spark.createDataFrame([("u", 1, 9, 3.0), ("u", 2, 4, 1.0)], "user string, rank bigint, item int, score double")
+    items = spark.createDataFrame([(i,) for i in range(10)], "item int")
+    got = [r["item"] for r in recommend.fill_to_k(ranked, items, 5).orderBy("rank").collect()]
+    assert got == [9, 4, 8, 7, 6]
+
+
+@pytest.mark.parametrize("chunk", [2, 500])
+def test_loyalty_fold(spark, chunk):
+    rng = np.random.default_rng(3)
+    baskets = {u: [sorted(set(rng.choice(list("abcdef"), rng.integers(1, 5)))) for _ in range(9)] for u in "uv"}
+    hist = as_hist(spark, baskets)
+    p = {(u, i): float(rng.uniform(0.01, 0.5)) for u in "uv" for i in "abcdef"}
+    table = spark.createDataFrame([(u, i, v) for (u, i), v in p.items()], "user string, item string, p double")
+    got = {(r["user"], r["item"]): (r["q"], r["l"]) for r in loyalty.loyalty(hist, table, 0.5, chunk).collect()}
+    e = 1e-10
+    for u, bs in baskets.items():
+        state, seen = {}, 0
+        for b in bs:
+            for i in set(state) | set(b):
+                q, l = state.get(i, (0.0, None))
+                x = p[(u, i)]
+                if l is None:
+                    l = 0.5
+                elif i in b:
+                    l = (q * l + e) / (q * l + x * (1 - l) + e)
+                else:
+                    l = ((1 - q) * l + e) / ((1 - q) * l + (1 - x) * (1 - l) + e)
+                state[i] = ((q * seen + (i in b)) / (seen + len(b)), l)
+            seen += len(b)
+        for i, (q, l) in state.items():
+            assert got[(u, i)] == pytest.approx((q, l), abs=1e-9)
+
+
+def test_blend_is_a_distribution(spark, hist):
+    from basketlens.operators.association import transition_assoc
+    scores = recommend.blend_scores(recommend.last_basket_scores(hist, transition_assoc(hist)), recommend.item_share(hist), recommend.history_share(hist))
+    sums = scores.groupBy("user").agg(F.sum("score").alias("s"), F.min("score").alias("m")).collect()
+    assert all(r["s"] == pytest.approx(1.0) and r["m"] > 0 for r in sums)
+
+
+def test_negatives_differ_and_repeat(spark, hist):
+    inst = factors.transition_instances(hist)
+    draw = lambda: {tuple(r) for r in factors.negative_samples(inst, hist, 3, 1).select("user", "t", "item", "draw", "neg").collect()}
+    first = draw()
+    assert first == draw() and all(r[2] != r[4] for r in first) and len(first) == 3 * inst.count()
+
+
+def test_factor_and_embedding_lists(spark, hist):
+    users = hist.select("user").distinct().limit(7)
+    for ranked in (recommend_factors(hist, users), recommend_embeddings(hist, users, False), recommend_embeddings(hist, users, True)):
+        rows = ranked.collect()
+        assert len(rows) == 7 * 5 and {r["rank"] for r in rows} == set(range(1, 6))
+
+
+def recommend_factors(hist, users):
+    return factors.recommend_factors(factors.fit_factors(hist, rank=4, iterations=2), hist, users, 5)
+
+
+def recommend_embeddings(hist, users, ensemble):
+    return factors.recommend_embeddings(factors.fit_embeddings(hist, 6, partitions=2), hist, users, 5, ensemble)
+
+
+def test_factor_scores_are_the_stated_sum(spark):
+    hist = as_hist(spark, {"u": [["a"], ["a", "b"]]})
+    def vecs(key, rows):
+        return spark.createDataFrame(rows, f"{key} string, vec array<float>")
+    model = factors.FactorModel(vecs("user", [("u", [1.0, 2.0])]), vecs("item", [("a", [1.0, 0.0]), ("b", [0.5, 0.5])]),
+                                vecs("item", [("a", [2.0, 0.0]), ("b", [0.0, 4.0])]), vecs("item", [("a", [1.0, 1.0]), ("b", [3.0, 0.0])]))
+    got = {r["item"]: r["score"] for r in factors.recommend_factors(model, hist, hist.select("user"), 2).collect()}
+    assert got == {"a": pytest.approx(1.0 + 3.0), "b": pytest.approx(1.5 + 3.0)}
