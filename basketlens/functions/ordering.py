@@ -1,9 +1,9 @@
 """Positions, ranks and exact percentiles of groups too large for one task.
 
-A window over a whole group sorts that group in one task. Here each group is first cut into
-value ranges; a window only runs inside one range, and the ranges' totals (a few hundred rows
-per group) supply the offset. The cut uses the group's minimum and maximum, so a recomputed
-task always makes the same cut.
+A window over a whole group sorts that group in one task. Here a group with many rows is first cut
+into value ranges; a window only runs inside one range, and the ranges' totals (at most a few
+thousand rows per group) supply the offset. The cut uses the group's size, minimum and maximum, so
+a recomputed task always makes the same cut. Small groups stay in one range.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-RANGES = 256
+RANGE_ROWS = 50_000
+MOST_RANGES = 4096
 
 
 def _numeric_key(df: DataFrame, name: str) -> Column:
@@ -32,7 +33,7 @@ def _numeric_key(df: DataFrame, name: str) -> Column:
 
 
 def add_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str,
-                      out: str, ranges: int = RANGES, total: str | None = None) -> DataFrame:
+                      out: str, range_rows: int = RANGE_ROWS, total: str | None = None) -> DataFrame:
     """Add `out`: the sum of `amount` over the rows before this one in its group, and the group's sum as `total`.
 
     `order` must be a total order inside a group; `keys` must not be NULL. The input is read three times, always
@@ -43,11 +44,12 @@ def add_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if not keys:
         keys, base = ["_all"], df.withColumn("_all", F.lit(1))
     base = base.withColumn("_key", _numeric_key(df, order[0]))
-    span = base.groupBy(*keys).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"), F.sum(amount).alias("_total"))
+    span = base.groupBy(*keys).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"), F.sum(amount).alias("_total"),
+                                   F.least(F.lit(MOST_RANGES), F.ceil(F.count(F.lit(1)) / F.lit(range_rows))).alias("_ranges"))
     share = F.try_divide(F.col("_key") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     cut = (base.join(span, keys)
-           .withColumn("_range", F.coalesce(F.floor(share * ranges), F.lit(0)).cast("int"))
-           .drop("_key", "_lo", "_hi"))
+           .withColumn("_range", F.coalesce(F.least(F.floor(share * F.col("_ranges")), F.col("_ranges") - 1), F.lit(0)).cast("int"))
+           .drop("_key", "_lo", "_hi", "_ranges"))
     totals = cut.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
@@ -61,10 +63,10 @@ def add_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def add_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-                 ranges: int = RANGES) -> DataFrame:
+                 range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add the 0-based BIGINT position of each row in its group."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return add_running_total(one, keys, order, "_one", out, ranges).drop("_one")
+    return add_running_total(one, keys, order, "_one", out, range_rows).drop("_one")
 
 
 def value_ranks(df: DataFrame, col: str, keys: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -70,16 +70,19 @@ def describe(df: DataFrame, features: Sequence[str], keys: Sequence[str] = DATAS
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = DATASET, min_rows: int = 3, out: str = "rho") -> DataFrame:
     """`keys, n, <out>`: rank correlation over complete rows; NULL under `min_rows` or when a side is constant.
 
-    Equal (x, y) pairs are counted first, so ranks are computed on distinct values only.
+    Equal (x, y) pairs are counted first, so ranks are computed on distinct values only; both sides are
+    ranked in one pass, with the side as one more key.
     """
     keys = list(keys)
     cells = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
-    rx = value_ranks(cells, "_x", keys, "_w").select(*keys, "_x", F.col("rank").alias("_rx"), "n")
-    ry = value_ranks(cells, "_y", keys, "_w").select(*keys, "_y", F.col("rank").alias("_ry"))
-    placed = cells.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
-    half = (F.col("n") + 1) / F.lit(2.0)
-    w, a, b = F.col("_w"), F.col("_rx") - half, F.col("_ry") - half
+             .groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+             .agg(F.count(F.lit(1)).alias("_w")))
+    both = F.array(F.struct(F.lit("x").alias("side"), F.col("_x").alias("val")), F.struct(F.lit("y").alias("side"), F.col("_y").alias("val")))
+    long = cells.select("*", F.explode(both).alias("_s")).select(*keys, "_x", "_y", "_w", "_s.side", "_s.val")
+    ranks = value_ranks(long, "val", [*keys, "side"], "_w").select(*keys, "side", "val", "n", (F.col("rank") - (F.col("n") + 1) / F.lit(2.0)).alias("_r"))
+    placed = long.join(ranks, [*keys, "side", "val"]).groupBy(*keys, "_x", "_y", "_w", "n").agg(
+        F.max(F.when(F.col("side") == "x", F.col("_r"))).alias("_a"), F.max(F.when(F.col("side") == "y", F.col("_r"))).alias("_b"))
+    w, a, b = F.col("_w"), F.col("_a"), F.col("_b")
     sums = placed.groupBy(*keys).agg(
         F.sum("_w").alias("n"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"),
         F.sum(w * b * b).alias("syy"), F.sum(w * a * b).alias("sxy"))
@@ -87,6 +90,15 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = DATASET, min_r
     return sums.select(*keys, "n", F.when(F.col("n") >= min_rows, rho).alias(out))
 
 
+def spearman_each(df: DataFrame, x: str, ys: dict[str, Column], keys: Sequence[str] = DATASET) -> DataFrame:
+    """`keys` and one correlation of `x` per entry of `ys` (name -> outcome), all in one pass."""
+    keys = list(keys)
+    cells = F.array(*[F.struct(F.lit(name).alias("_kind"), y.cast("double").alias("_out")) for name, y in ys.items()])
+    long = df.select(*keys, x, F.explode(cells).alias("_c")).select(*keys, x, "_c.*")
+    rho = spearman(long, x, "_out", [*keys, "_kind"], out="_rho")
+    return rho.groupBy(*keys).agg(*[F.max(F.when(F.col("_kind") == name, F.col("_rho"))).alias(name) for name in ys])
+
+
 def spearman_matrix(df: DataFrame, features: Sequence[str], keys: Sequence[str] = DATASET) -> DataFrame:
     """`keys, feature_a, feature_b, spearman, abs_spearman` for every pair of features, in the given order."""
     keys = list(keys)
@@ -125,12 +137,13 @@ def bootstrap_mean_diff(df: DataFrame, diff: str, keys: Sequence[str], order: st
     group = list(group_keys if group_keys is not None else keys)
     reps = F.explode(F.sequence(F.lit(1), F.lit(n)))
     if scheme == "poisson":
-        weight = poisson_weight(uniform(F.lit(seed), F.col("rep"), F.col(order)))
         rest = [c for c in keys if c not in group]
         packed = df.groupBy(*group, order).agg(F.collect_list(F.struct(*rest, F.col(diff).alias("_d"))).alias("_rows"))
         # One draw per row of a population and replicate, then its short list of paired values; zero draws go no further.
-        drawn = packed.withColumn("rep", reps).withColumn("_w", weight).where(F.col("_w") > 0)
-        sums = (drawn.select(*group, "rep", "_w", F.explode("_rows").alias("_r")).select(*group, "rep", "_w", "_r.*")
+        draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: uniform(F.lit(seed), r, F.col(order)))
+        drawn = packed.select(*group, "_rows", F.posexplode(draws).alias("rep", "_u")).withColumn("_w", poisson_weight(F.col("_u")))
+        sums = (drawn.where(F.col("_w") > 0).select(*group, "rep", "_w", F.explode("_rows").alias("_r"))
+                .select(*group, "rep", "_w", "_r.*")
                 .groupBy(*keys, "rep").agg(F.sum(F.col("_d") * F.col("_w")).alias("s"), F.sum("_w").alias("m")))
     elif scheme == "draws":
         people = add_position(df.select(*group, order).distinct(), group, [order], "_at")

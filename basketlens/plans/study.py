@@ -23,7 +23,7 @@ from ..operators.features import FEATURES
 from ..operators.neighbors import top_k
 from ..operators.regression import bootstrap_ols, gram, ols, vif
 from ..operators.stats import (bootstrap_mean_diff, fold_side_by_side, min_rank, quantile_bins, spearman,
-                               to_long, zscore)
+                               spearman_each, to_long, zscore)
 
 # Means are compared at nine decimals, well above the noise of adding in any order.
 MEAN_DIGITS = 9
@@ -141,10 +141,11 @@ def response_curves(panel: DataFrame, binned: DataFrame) -> DataFrame:
     return means.join(_bin_values(panel, binned), place)
 
 
-def _ends(curve: DataFrame, place: Sequence[str], values: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+def _ends(curve: DataFrame, place: Sequence[str], values: dict[str, str], keep: Sequence[str] = (),
+          extra: Sequence[Column] = ()) -> DataFrame:
     """Highest occupied bin minus lowest, per column of `values` (name -> result); NULL under two bins.
     Columns in `keep` also give `<result>_low` and `<result>_high`."""
-    aggs = [F.count(F.lit(1)).alias("n_bins")]
+    aggs = [F.count(F.lit(1)).alias("n_bins"), *extra]
     many = F.count(F.lit(1)) >= 2
     for col, out in values.items():
         low, high = F.min_by(col, "bin"), F.max_by(col, "bin")
@@ -158,10 +159,10 @@ def trends(panel: DataFrame, binned: DataFrame) -> DataFrame:
     """Rank correlation of each feature with raw and centred scores, and the lowest-to-highest bin difference."""
     place = [*GROUP, "feature", "method"]
     scored = centered(panel).join(binned, ["dataset", "user"])
-    raw = spearman(scored, "value", "score", place, out="rho_raw").withColumnRenamed("n", "n_users")
-    mid = spearman(scored.withColumn("centered", F.round("centered", MEAN_DIGITS)), "value", "centered", place, out="rho_centered").drop("n")
-    curve = scored.groupBy(*place, "bin").agg(F.avg("score").alias("r"), F.avg("centered").alias("c"))
-    return raw.join(mid, place).join(_ends(curve, place, {"r": "raw", "c": "centered"}), place)
+    rho = spearman_each(scored, "value", {"rho_raw": F.col("score"), "rho_centered": F.round("centered", MEAN_DIGITS)}, place)
+    curve = scored.groupBy(*place, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("r"), F.avg("centered").alias("c"))
+    ends = _ends(curve, place, {"r": "raw", "c": "centered"}, extra=[F.sum("n").alias("n_users")])
+    return rho.join(ends, place)
 
 
 TREND_METRICS = ["rho_raw", "rho_centered", "raw_low_to_high", "centered_low_to_high"]
@@ -195,15 +196,14 @@ def contrast_trends(panel: DataFrame, binned: DataFrame, methods: Sequence[str])
     solved = F.col("solved")
     pair = (F.col("score") > EPS) | (F.col("reference") > EPS)
     win = F.col("delta") > EPS
-    every = spearman(rows, "value", "delta", place, out="rho_delta").drop("n")
-    some = spearman(rows.where(solved), "value", "delta", place, out="rho_delta_nonzero_users").drop("n")
+    rho = spearman_each(rows, "value", {"rho_delta": F.col("delta"), "rho_delta_nonzero_users": F.when(solved, F.col("delta"))}, place)
     curve = rows.groupBy(*place, "bin").agg(
-        F.avg("delta").alias("d"), _mean_if(solved, F.col("delta")).alias("dn"), _mean_if(pair, F.col("delta")).alias("dp"),
+        F.count(F.lit(1)).alias("n"), F.count_if(solved).alias("ns"), F.avg("delta").alias("d"), _mean_if(solved, F.col("delta")).alias("dn"), _mean_if(pair, F.col("delta")).alias("dp"),
         _rate(win, solved).alias("w"), _rate(win, pair).alias("wp"))
     ends = _ends(curve, place, {"d": "delta", "dn": "delta_nonzero", "dp": "delta_pair_active", "w": "challenger_win_rate",
-                                "wp": "challenger_win_rate_pair_active"}, keep=["w", "wp"])
-    counts = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n_users"), F.count_if(solved).alias("n_nonzero_users"))
-    return counts.join(every, place, "left").join(some, place, "left").join(ends, place)
+                                "wp": "challenger_win_rate_pair_active"}, keep=["w", "wp"],
+                 extra=[F.sum("n").alias("n_users"), F.sum("ns").alias("n_nonzero_users")])
+    return ends.join(rho, place, "left")
 
 
 CONTRAST_METRICS = ["rho_delta", "rho_delta_nonzero_users", "delta_low_to_high", "delta_nonzero_low_to_high",
@@ -495,12 +495,11 @@ def item_mechanisms(hits: DataFrame, items: DataFrame) -> DataFrame:
     binned = quantile_bins(long, "value", 5, ["dataset", "feature"])
     rows = hits.select(*place, "user", "item", "hit", "gain").join(binned, key).withColumnRenamed("feature", "mechanism")
     place = [*place, "mechanism"]
-    base = rows.groupBy(*place).agg(*shared)
-    curve = rows.groupBy(*place, "bin").agg(F.avg("hit").alias("h"), F.avg("gain").alias("g"))
-    ends = _ends(curve, place, {"h": "hit", "g": "gain"})
-    out = (base.join(spearman(rows, "value", "hit", place, out="rho_hit").drop("n"), place)
-           .join(spearman(rows.withColumn("gain", F.round("gain", 12)), "value", "gain", place, out="rho_gain").drop("n"), place)
-           .join(ends, place))
+    curve = rows.groupBy(*place, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("h"), F.avg("gain").alias("g"))
+    pooled = [F.sum("n").alias("n_items"), (F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("hit_rate"),
+              (F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("mean_gain")]
+    ends = _ends(curve, place, {"h": "hit", "g": "gain"}, extra=pooled)
+    out = ends.join(spearman_each(rows, "value", {"rho_hit": F.col("hit"), "rho_gain": F.round("gain", 12)}, place), place)
     return by_class.unionByName(out.select(
         *place[:3], F.lit("continuous").alias("analysis_type"), "mechanism", F.lit("").alias("category"), "n_items", "hit_rate", "mean_gain",
         "rho_hit", "rho_gain", F.col("hit_low_to_high").alias("low_to_high_hit"), F.col("gain_low_to_high").alias("low_to_high_gain")))
