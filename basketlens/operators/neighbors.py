@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.columns import SCORE_DIGITS
 
 BLOCK_CELLS = 2_000_000
+SMALL_CELLS = 25_000
 PACK_ROWS = 10_000
 TILE = 4_000_000
 DENSE_CELLS = 32_000_000
@@ -34,7 +35,7 @@ def top_k(scores: DataFrame, k: int, order: Sequence, keys: Sequence[str] = ("us
 
 
 def plan_blocks(query: DataFrame, ref: DataFrame, blocks: tuple[int, int] | None = None,
-                cells: int = BLOCK_CELLS) -> tuple[int, int]:
+                cells: int = BLOCK_CELLS, small: int = SMALL_CELLS) -> tuple[int, int]:
     """(query blocks, reference blocks), from the two cell counts unless given."""
     if blocks is not None:
         return blocks
@@ -42,7 +43,8 @@ def plan_blocks(query: DataFrame, ref: DataFrame, blocks: tuple[int, int] | None
     n_ref = ref.count()
     n_query = n_ref if query is ref else query.count()
     ref_blocks = max(1, -(-n_ref // cells))
-    query_blocks = max(-(-n_query // cells), -(-width // ref_blocks))
+    # Enough query blocks to occupy the cores, but none so small that copying the references costs more than it saves.
+    query_blocks = max(1, -(-n_query // cells), min(-(-width // ref_blocks), -(-n_query // small)))
     return int(query_blocks), int(ref_blocks)
 
 
@@ -213,7 +215,7 @@ def dot_top_k(user_vec: DataFrame, item_vec: DataFrame, k: int, blocks: tuple[in
     """
     if blocks is None:
         size = item_vec.select(F.coalesce(F.max(F.size("vec")), F.lit(1))).first()[0] or 1
-        blocks = plan_blocks(user_vec, item_vec, cells=max(1, cells // size))
+        blocks = plan_blocks(user_vec, item_vec, cells=max(1, cells // size), small=max(1, SMALL_CELLS // size))
     bias = F.col("bias").cast("double") if "bias" in item_vec.columns else F.lit(0.0)
     users = user_vec.select(F.col("user").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     items = item_vec.select(F.col("item").alias("id"), F.col("vec").cast("array<double>").alias("vec"), bias.alias("bias"))
