@@ -501,8 +501,46 @@ def _similarity_trials(d: BasketData) -> DataFrame:
     return trials.run_grid(lambda g: trials.grid_similarity(d.hist, val, g), grid, d.target)
 
 
-add("h5_run_grid_temporal_knn", f"trial_id:i {MEAN_COLS}", _knn_trials)
-add("h5_run_grid_similarity", f"trial_id:i {MEAN_COLS}", _similarity_trials)
+
+def _grid_sql(scored: str) -> dict[str, str]:
+    """Padded lists and mean metrics per trial from `scored(trial_id, usr, item, score)`."""
+    return {"gl_own": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, usr ORDER BY round(score, 10) DESC, item DESC) AS rank FROM {scored}
+              WHERE round(score, 10) > 0) WHERE rank <= 10""",
+            "gl": """SELECT * FROM (SELECT trial_id, usr, item, row_number() OVER (PARTITION BY trial_id, usr ORDER BY given DESC, r, item DESC) AS rank FROM
+              (SELECT trial_id, usr, item, 1 AS given, rank AS r FROM gl_own UNION ALL SELECT u.trial_id, u.usr, p.item, 0, 0 FROM (SELECT DISTINCT trial_id, usr FROM gl_own) u,
+              (SELECT item FROM gf ORDER BY item DESC LIMIT 10) p WHERE NOT EXISTS (SELECT 1 FROM gl_own x WHERE x.trial_id = u.trial_id AND x.usr = u.usr AND x.item = p.item)))
+              WHERE rank <= 10""",
+            "gl_s": f"""SELECT trial_id, usr, total_purchases, count(*) AS length, {sql.metric_sums(5)}, {sql.metric_sums(10)} FROM (SELECT p.*, (x.item IS NOT NULL)::INT AS hit,
+              total_purchases FROM gl p JOIN t_size USING (usr) LEFT JOIN target x ON x.usr = p.usr AND x.item = p.item) GROUP BY trial_id, usr, total_purchases""",
+            "gl_m": f"SELECT trial_id, usr, {sql.metric_columns(5)}, {sql.metric_columns(10)} FROM gl_s",
+            "gl_r": "SELECT trial_id, " + ", ".join(f'avg("{m}") AS "{m}"' for m in metrics.metric_names()) + " FROM gl_m GROUP BY trial_id"}
+
+
+KNN_GRID = {"val0": "SELECT usr FROM split WHERE fold = 0 AND split = 'val'",
+            "kg": "SELECT row_number() OVER (ORDER BY nb, al, m) - 1 AS trial_id, nb, al, m FROM (VALUES (10), (40)) a(nb), (VALUES (0.3::DOUBLE), (0.7)) b(al), (VALUES (3), (7)) c(m)",
+            "kv": _vec_sql("m", 0.9, 0.7, "hist CROSS JOIN kg", "trial_id, "),
+            "kn": "SELECT trial_id, usr, sum(v * v) AS n2 FROM kv GROUP BY trial_id, usr",
+            "kd": """SELECT a.trial_id, a.usr, b.usr AS other, sum(a.v * b.v) AS dot FROM kv a JOIN kv b ON a.trial_id = b.trial_id AND a.item = b.item
+              WHERE a.usr IN (SELECT usr FROM val0) AND b.usr IN (SELECT usr FROM train0) GROUP BY ALL""",
+            "ke": """SELECT trial_id, usr, other FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, usr ORDER BY d2, other) AS rank FROM
+              (SELECT q.trial_id, q.usr, r.usr AS other, round(greatest(q.n2 + r.n2 - 2 * coalesce(dot, 0.0), 0.0), 10) AS d2 FROM (SELECT * FROM kn JOIN val0 USING (usr)) q
+              JOIN (SELECT * FROM kn JOIN train0 USING (usr)) r ON r.trial_id = q.trial_id LEFT JOIN kd d ON d.trial_id = q.trial_id AND d.usr = q.usr AND d.other = r.usr))
+              JOIN kg USING (trial_id) WHERE rank <= nb""",
+            "ks": """SELECT trial_id, usr, item, sum(p) AS score FROM (SELECT trial_id, usr, item, al * v AS p FROM kv JOIN val0 USING (usr) JOIN kg USING (trial_id) UNION ALL
+              SELECT e.trial_id, e.usr, x.item, (1.0 - al) / least(nb, (SELECT count(*) FROM train0)) * x.v FROM ke e JOIN kv x ON x.trial_id = e.trial_id AND x.usr = e.other
+              JOIN kg ON kg.trial_id = e.trial_id) GROUP BY trial_id, usr, item"""}
+SIM_GRID = {"val0": KNN_GRID["val0"], "u_sq": USIM["u_sq"], "u_dot": USIM["u_dot"],
+            "sg": "SELECT row_number() OVER (ORDER BY rc, al, q) - 1 AS trial_id, rc, al, q FROM (VALUES (2), (5)) a(rc), (VALUES (0.3::DOUBLE), (0.7)) b(al), (VALUES (1), (2)) c(q)",
+            "sm": """SELECT al, usr, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY al, usr ORDER BY sim DESC, other) AS r FROM
+              (SELECT al, d.usr, d.other, round(dot / (pow(x.sq, al) * pow(y.sq, 1.0 - al) + 1000 + 1e-6), 10) AS sim FROM (SELECT DISTINCT al FROM sg) CROSS JOIN u_dot d
+              JOIN u_sq x ON x.usr = d.usr JOIN u_sq y ON y.usr = d.other WHERE d.usr IN (SELECT usr FROM val0))) WHERE r <= 100 AND sim <> 0 UNION ALL
+              SELECT al, usr, usr, 1.0 FROM val0, (SELECT DISTINCT al FROM sg)""",
+            "sr": """SELECT rc, usr, item, sum(qty) / least(rc, n)::DOUBLE AS s FROM hist JOIN h_end USING (usr), (SELECT DISTINCT rc FROM sg) WHERE t >= n - least(rc, n)
+              GROUP BY rc, usr, item, n""",
+            "ss": """SELECT trial_id, m.usr, r.item, sum(pow(sim, q) * s) AS score FROM sg JOIN sm m ON m.al = sg.al JOIN sr r ON r.rc = sg.rc AND r.usr = m.other
+              GROUP BY trial_id, m.usr, r.item"""}
+add("h5_run_grid_temporal_knn", f"trial_id:i {MEAN_COLS}", _knn_trials, "SELECT * FROM gl_r", **KNN_GRID, **_grid_sql("ks"))
+add("h5_run_grid_similarity", f"trial_id:i {MEAN_COLS}", _similarity_trials, "SELECT * FROM gl_r", **SIM_GRID, **_grid_sql("ss"))
 add("h6_leaderboard", "rank:i trial_id:i score:f", lambda d: trials.leaderboard(_recency_trials(d), "nDCG@5", 5),
     'SELECT * FROM (SELECT trial_id, "nDCG@5" AS score, row_number() OVER (ORDER BY round("nDCG@5", 9) DESC, trial_id) AS rank FROM rg_r) WHERE rank <= 5', **REC)
 
