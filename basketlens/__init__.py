@@ -1 +1,8 @@
 """Basket analytics on Spark: baskets, recommenders, metrics and method studies as DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The functions run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
