@@ -37,23 +37,22 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.predict(docs.withColumn("held_out", held), models, carry=["doc_id", "held_out"])
 
 
-_WORD = r"[^\x20\x09-\x0D]+"
 
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
          FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d)),
-line AS (SELECT doc_id, line, at, row_number() OVER (PARTITION BY doc_id, line ORDER BY at) > 1 AS old,
+line AS (SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS old,
                 len(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), '')) AS chars
-         FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS at FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d))
+         FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d))
          WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-win AS (SELECT doc_id, at, n, list(word) OVER (PARTITION BY doc_id, n ORDER BY at ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)[1:n] AS gram
+win AS (SELECT doc_id, pos, n, list(word) OVER (PARTITION BY doc_id, n ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)[1:n] AS gram
         FROM word, (VALUES (5), (8), (10)) AS v(n)),
-met AS (SELECT doc_id, n, at, count(*) OVER (PARTITION BY doc_id, n, gram) > 1 AS twice,
-               row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY at) > 1 AS later
+met AS (SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, n, gram) > 1 AS twice,
+               row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY pos) > 1 AS later
         FROM win WHERE len(gram) = n),
-cover AS (SELECT w.doc_id, w.at, len(w.word) AS chars, m.n, bool_or(m.twice) AS twice, bool_or(m.later) AS later
-          FROM word w JOIN met m ON m.doc_id = w.doc_id AND m.at BETWEEN w.at - m.n + 1 AND w.at GROUP BY ALL),
+cover AS (SELECT w.doc_id, w.pos, len(w.word) AS chars, m.n, bool_or(m.twice) AS twice, bool_or(m.later) AS later
+          FROM word w JOIN met m ON m.doc_id = w.doc_id AND m.pos BETWEEN w.pos - m.n + 1 AND w.pos GROUP BY ALL),
 gram AS (SELECT doc_id, count(*) FILTER (n = 8 AND twice) AS n_repeat_words, coalesce(sum(chars) FILTER (n = 5 AND later), 0) AS g5,
                 coalesce(sum(chars) FILTER (n = 10 AND later), 0) AS g10 FROM cover GROUP BY 1),
 size AS (SELECT doc_id, count(*) AS n_words, sum(len(word)) AS word_chars FROM word GROUP BY 1),
@@ -95,12 +94,12 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
                   ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT / 1152921504606846976.0 AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1] AS weight FROM s),
-a AS (SELECT *, 3.0::DOUBLE * source_size AS lim, 3.0::DOUBLE * source_size / weight AS at FROM w),
+a AS (SELECT *, 3.0::DOUBLE * source_size AS lim, 3.0::DOUBLE * source_size / weight AS pos FROM w),
 l AS (SELECT *, row_number() OVER o AS rank, (sum(source_size) OVER ()
-        - coalesce(sum(lim) OVER (ORDER BY at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-        / sum(weight) OVER (ORDER BY at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-      FROM a WINDOW o AS (ORDER BY at, source NULLS LAST)),
-f AS (SELECT *, at <= level AS is_full, min_by(level, CASE WHEN at > level THEN rank END) OVER () AS common FROM l),
+        - coalesce(sum(lim) OVER (ORDER BY pos, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY pos, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM a WINDOW o AS (ORDER BY pos, source NULLS LAST)),
+f AS (SELECT *, pos <= level AS is_full, min_by(level, CASE WHEN pos > level THEN rank END) OVER () AS common FROM l),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN lim ELSE weight * common END AS target, is_full FROM f),
 r AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0 WHEN is_full THEN 3.0 ELSE least(target / source_size, 3.0) END AS rate FROM t)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies,
