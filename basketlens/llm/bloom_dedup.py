@@ -39,10 +39,15 @@ def _block(sha: Column, blocks: int) -> Column:
 
 def repeated_filter(digests: DataFrame, rows: int, bits_per_row: int = 16) -> tuple[DataFrame, int]:
     """The filter of positions met twice or more: `block`, `bits` (a bitmap); and the number of blocks."""
+    return position_filter(digests, rows, 2, bits_per_row)
+
+
+def position_filter(digests: DataFrame, rows: int, least: int, bits_per_row: int = 16) -> tuple[DataFrame, int]:
+    """A filter of the positions met at least `least` times by `rows` digests (`sha`): `block`, `bits`; and the number of blocks."""
     blocks = max(1, min(rows * bits_per_row, MOST_BITS) // BLOCK_BITS)
     met = digests.select(_block(F.col("sha"), blocks).alias("block"), F.explode(F.array(*[_bit(F.col("sha"), i) for i in range(PROBES)])).alias("bit"))
-    twice = met.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return twice.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), blocks
+    often = met.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return often.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), blocks
 
 
 def _is_set(bits: Column, at: Column) -> Column:

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_dedup, language_mixture, repetition, source_mixing, swap_packing
+from ..functions.staging import stage
+from . import bloom_dedup, hamming_index, language_mixture, list_intervals, pitman_yor, repetition, skip_chain, source_mixing, swap_packing, text_density
 from .common import id_modulus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +83,16 @@ def op3_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.Groups(table(spark, sf_dir, "documents")).report().withColumnsRenamed({"id": "doc_id", "sha": "text_sha256"})
 
 
+@query()
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = id_modulus(F.col("doc_id"), 7) == 2
+    counts = stage(pitman_yor.count(docs.where(~held)))
+    scored = pitman_yor.score(docs.withColumn("held_out", held), pitman_yor.fit(counts), counts, carry=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op5_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed into sequences of 4,096 tokens."""
@@ -89,6 +100,14 @@ def op5_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query()
+def op6_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = skip_chain.find(docs, skip_chain.fit(docs), carry=["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                   ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT / 1152921504606846976.0 AS u FROM documents),
@@ -109,3 +128,70 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return source_mixing.mix_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _hash(text, places: int):
+    """An integer below `places` from an md5."""
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint") % places
+
+
+@query(r"""
+WITH page AS (SELECT page_id, url, DATE '2020-01-01' + (('0x' || substr(md5(page_id::VARCHAR), 1, 7))::BIGINT % 1000)::INT AS fetch_date,
+        lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+        list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') AS path FROM pages),
+pat AS (SELECT DISTINCT unnest([host, array_to_string(string_split(host, '.')[2:], '.'), host || '/' || path[1]]) AS pattern FROM page WHERE host <> '' AND len(path) > 0),
+entry AS (SELECT ['ads', 'malware', 'spam'][(('0x' || substr(md5('list' || pattern), 1, 7))::BIGINT % 3)::INT + 1] AS list, pattern,
+        DATE '2020-01-01' + (('0x' || substr(md5(k || pattern), 1, 7))::BIGINT % 1000)::INT AS since, k % 2 = 0 AS added
+        FROM pat, range(0, 4) AS r(k) WHERE ('0x' || substr(md5(pattern), 1, 7))::BIGINT % 4 < 2),
+day AS (SELECT list, pattern, since, bool_and(added) AS added FROM entry GROUP BY ALL),
+change AS (SELECT *, lag(added, 1, false) OVER (PARTITION BY list, pattern ORDER BY since) AS before FROM day),
+span AS (SELECT list, pattern, since AS valid_from, lead(since) OVER (PARTITION BY list, pattern ORDER BY since) AS valid_to, added FROM change WHERE added <> before),
+asked AS (SELECT page_id, fetch_date, unnest(list_concat(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+        list_transform(range(1, len(path) + 1), lambda i: host || '/' || array_to_string(path[1:i], '/')))) AS pattern FROM page WHERE host <> ''),
+hit AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n_active, min(valid_from) AS listed_since
+        FROM asked JOIN span USING (pattern) WHERE added AND valid_from <= fetch_date AND (valid_to IS NULL OR fetch_date < valid_to) GROUP BY page_id)
+SELECT page_id, url, fetch_date::DATE::VARCHAR AS fetch_date, coalesce(lists, '') AS lists, coalesce(n_active, 0) AS n_active, listed_since::DATE::VARCHAR AS listed_since, n_active IS NULL AS kept FROM page LEFT JOIN hit USING (page_id)
+""")
+def op8_list_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the lists of its fetch date. Dates and list entries are drawn by md5 from the pages' own ids, hosts and first path segments."""
+    first = F.to_date(F.lit("2020-01-01"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(first, _hash(F.col("page_id").cast("string"), 1000).cast("int")).alias("fetch_date"))
+    parts = pages.select(list_intervals.host(F.col("url")).alias("host"), list_intervals.segments(F.col("url"))[0].alias("segment")).distinct()
+    parts = parts.where("host <> '' AND segment IS NOT NULL")
+    names = F.array(F.col("host"), F.expr("array_join(slice(split(host, '[.]'), 2, greatest(size(split(host, '[.]')) - 1, 1)), '.')"), F.concat_ws("/", "host", "segment"))
+    patterns = parts.select(F.explode(names).alias("pattern")).distinct().where(_hash(F.col("pattern"), 4) < 2)
+    dated = patterns.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    of = F.element_at(F.array(*[F.lit(x) for x in ("ads", "malware", "spam")]), (_hash(F.concat(F.lit("list"), "pattern"), 3) + 1).cast("int"))
+    entries = dated.select(of.alias("list"), "pattern", F.date_add(first, _hash(F.concat(F.col("k").cast("string"), "pattern"), 1000).cast("int")).alias("since"),
+                           (F.col("k") % 2 == 0).alias("added"))
+    return list_intervals.judge(pages, entries).select("page_id", "url", *[F.col(c).cast("string") for c in ("fetch_date", "listed_since")], "lists", "n_active", "kept")
+
+
+_SHINGLES = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+rare AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS r FROM s JOIN (SELECT g, count(*) AS f FROM s GROUP BY 1) USING (g)),
+head AS (SELECT doc_id, g FROM rare JOIN n USING (doc_id) WHERE r <= n - ceil(0.85 * n) + 1),
+pair AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM head a JOIN head b ON a.g = b.g AND a.doc_id < b.doc_id),
+common AS (SELECT a, b, count(*) AS c FROM pair JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT edge.b, reach.c FROM reach JOIN edge ON edge.a = reach.v)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON v = doc_id GROUP BY doc_id, n
+"""
+
+
+@query(_SHINGLES)
+def op9_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hamming_index.near_duplicates(docs, words=3, percent=85, chunks=8).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return text_density.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
