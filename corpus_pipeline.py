@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.functions.staging import scratch_dir
-from basketlens.llm import bloom_dedup, repetition, source_mixing, swap_packing
+from basketlens.llm import bloom_dedup, hamming_index, repetition, source_mixing, swap_packing
 from basketlens.llm.common import col, table
 from basketlens.llm.queries import tokenizer_path
 
@@ -30,6 +30,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bloom_dedup.Groups(docs).kept()
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words a shingle, a similarity of 0.8 or more."""
+    return hamming_index.deduplicate(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     return source_mixing.mix(docs)
@@ -40,7 +45,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return swap_packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("mix sources", mix_sources), ("pack sequences", pack_sequences)]
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mix sources", mix_sources), ("pack sequences", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
