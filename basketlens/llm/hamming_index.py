@@ -125,9 +125,11 @@ def _agree(a: Column, b: Column, symbols: int) -> Column:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stage(docs.select(col(key).alias("id"), col(text).alias("text")).join(ids, "id", "left_semi"))
+    """The pairs (a, b) whose shingle sets have 100 * intersection >= percent * union. A Bloom filter of the ids picks the texts that are moved."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("sha", digest(F.col("id").cast("string"))))
+    marked, count = position_filter(ids, ids.count(), 1)
+    named = docs.select(col(key).alias("id"), col(text).alias("text"), digest(col(key).cast("string")).alias("sha"))
+    texts = stage(probe(named, stage(marked), count).where("maybe").select("id", "text"))
     both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"))
 
