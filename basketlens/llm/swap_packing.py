@@ -16,10 +16,10 @@ own, told apart by `row`; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,84 @@ from pyspark.sql import types as T
 
 from ..functions.staging import stage
 from .common import col
+from .textcode import LOWER, Block, blocks, per_doc
 
 LIMIT = 4096
 END = 1
 BLOCK = 20_000
-KEPT_WORDS = 400_000
-WORD = "[^\\x20\\x09-\\x0D]+"
+KEPT_WORDS = 600_000
 PACKED = 1 << 62
 SECOND = 1 << 61
 
 
+class WordIds:
+    """Token ids of words, each distinct word encoded once as long as it is remembered."""
+
+    def __init__(self, model, end: int):
+        self.encode, self.end = getattr(model, "encode_batch_fast", model.encode_batch), end
+        special = [(i, x.content) for i, x in model.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
+        self.mark_id, self.mark = special[-1] if special else (None, None)
+        self.folds = str(model.encode("AZ", add_special_tokens=False).ids) == str(model.encode("az", add_special_tokens=False).ids)
+        self.forget()
+
+    def forget(self) -> None:
+        """Slot 0 is the end id."""
+        self.slot: dict[int, int] = {}
+        self.pool, self.used = np.full(1 << 16, self.end, dtype="<u4"), 1
+        self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.ones(1 << 14, dtype=np.int64)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of ids per word. A special token, which is always cut out, stands between the words of one call."""
+        if self.mark is None or any(self.mark in w for w in words):
+            got = [e.ids for e in self.encode(words, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), dtype="<u4"), np.array([len(x) for x in got], dtype=np.int64)
+        joined = [self.mark.join([*words[i:i + 64], ""]) for i in range(0, len(words), 64)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.encode(joined, add_special_tokens=False)), dtype="<u4")
+        is_mark = flat == self.mark_id
+        ends = np.flatnonzero(is_mark)
+        return flat[~is_mark], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        flat, sizes = self._ids(words)
+        first = len(self.slot) + 1
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while first + len(words) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.pool[self.used:self.used + len(flat)] = flat
+        self.start[first:first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.length[first:first + len(words)] = sizes
+        self.used += len(flat)
+        self.slot.update(zip(hashes, range(first, first + len(words))))
+
+    def documents(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's texts, the end id after each text, and each text's number of ids.
+
+        Where the tokenizer ignores case, A-Z are lowered first, unless a special token or a combining mark may follow them.
+        """
+        raw = block.data.tobytes()
+        if self.folds and b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            block = Block(block.first, LOWER[block.data], block.bounds)
+        words = block.words()
+        if len(self.slot) > KEPT_WORDS:
+            self.forget()
+        kinds, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
+        keys = kinds.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.slot]
+        for lo in range(0, len(new), 20_000):
+            some = new[lo:lo + 20_000]
+            spans = [(int(words.start[i]), int(words.end[i])) for i in first[some]]
+            self._learn([keys[k] for k in some], [block.data[s:e].tobytes().decode("utf-8", "replace") for s, e in spans])
+        slot = np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))[at]
+        per_text = per_doc(block.size, words.doc)
+        order = np.insert(slot, np.cumsum(per_text), 0)
+        length = self.length[order]
+        total = np.cumsum(length)
+        ids = self.pool[np.repeat(self.start[order] - (total - length), length) + np.arange(int(total[-1]))]
+        last = np.cumsum(per_text + 1) - 1
+        return ids, np.diff(np.concatenate([[0], total[last]]))
+
+
 def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), limit: int = LIMIT, end: int = END) -> DataFrame:
     """One row per piece: the carried columns, `row` (a number of its own for every input row), `piece`, `start`, `length`, `ids`, `ids_crc32`, `full_no` (numbers full pieces).
 
@@ -53,44 +121,26 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequenc
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        model = Tokenizer.from_file(tokenizer)
-        encode, find = getattr(model, "encode_batch_fast", model.encode_batch), re.compile(WORD).findall
-        known: dict[str, bytes] = {}
-        stop = np.array([end], dtype="<u4").tobytes()
+        words_ids = WordIds(Tokenizer.from_file(tokenizer), end)
         row = full = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words = [find(t) for t in part.column(n).to_pylist()]
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                new = [w for w in set().union(*words) if w not in known]
-                for lo in range(0, len(new), 20_000):
-                    some = new[lo:lo + 20_000]
-                    for w, e in zip(some, encode(some, add_special_tokens=False)):
-                        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                take, rows, pieces, starts, lengths, sums, fulls, data = [], [], [], [], [], [], [], []
-                for i, doc in enumerate(words):
-                    ids = b"".join([known[w] for w in doc]) + stop
-                    data.append(ids)
-                    count = len(ids) // 4
-                    for k, lo in enumerate(range(0, count, limit)):
-                        hi = min(lo + limit, count)
-                        take.append(i)
-                        rows.append(row)
-                        pieces.append(k)
-                        starts.append(lo)
-                        lengths.append(hi - lo)
-                        sums.append(zlib.crc32(ids[4 * lo:4 * hi]))
-                        fulls.append(full if hi - lo == limit else None)
-                        full += hi - lo == limit
-                    row += 1
-                values = np.frombuffer(b"".join(data), dtype="<u4").astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            for b in blocks(batch.column(n)):
+                ids, count = words_ids.documents(b)
+                pieces = -(-count // limit)
+                doc = np.repeat(np.arange(b.size), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * limit
+                length = np.minimum(count[doc] - start, limit)
+                cut = np.concatenate([[0], np.cumsum(length)])
+                sums = [zlib.crc32(ids[lo:hi]) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                is_full = length == limit
+                number = full + np.cumsum(is_full) - is_full
+                full += int(is_full.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.take(pa.array(take, pa.int64())) for c in part.columns[:n]], pa.array(rows, pa.int64()), pa.array(pieces, pa.int32()),
-                     pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                     pa.array(sums, pa.int64()), pa.array(fulls, pa.int64())], schema.names)
+                    [*[c.take(pa.array(b.first + doc)) for c in batch.columns[:n]], pa.array(row + b.first + doc), pa.array(piece.astype(np.int32)), pa.array(start),
+                     pa.array(length), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.view(np.int32))), pa.array(sums, pa.int64()),
+                     pa.array(number, mask=~is_full)], schema.names)
+            row += batch.num_rows
 
     return source.mapInArrow(run, schema).toDF(*carry, *own.names)
 
