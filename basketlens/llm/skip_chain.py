@@ -8,7 +8,7 @@ labels of a document agree: a number the base rules passed over is marked where
 
 Shape weights are a multinomial logistic regression on the counts of (shape, base label), and edge weights are log odds of
 agreement, both over all documents; only distinct shapes, a bounded number, reach the driver. Occurrences of a
-repeated mention are linked in a row, not pairwise. A document is one row in and out.
+repeated mention are linked in a row and to one base span, not pairwise. A document is one row in and out.
 
 Defined results: a NULL or empty text has no spans; positions are code points, ends exclusive; a tie goes to "no personal data".
 """
@@ -128,15 +128,22 @@ def mentions(text: str) -> list[Mention]:
 
 
 def _edges(found: list[Mention]) -> list[tuple[int, int, int]]:
-    """(from, to, kind): kind 0 joins neighbours, kind 1 successive occurrences of one key."""
+    """(from, to, kind): kind 0 joins neighbours, kind 1 successive occurrences of one key, and each with the key's first base span."""
     edges = [(i, i + 1, 0) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= NEAR]
     last: dict[str, int] = {}
+    sure: dict[str, int] = {}
+    for i, m in enumerate(found):
+        if m.label:
+            for key in m.keys:
+                sure.setdefault(key, i)
     linked = set()
     for i, m in enumerate(found):
         for key in m.keys:
-            if key in last and (last[key], i) not in linked:
-                linked.add((last[key], i))
-                edges.append((last[key], i, 1))
+            for other in (last.get(key, i), i if m.label else sure.get(key, i)):
+                pair = (min(other, i), max(other, i))
+                if other != i and pair not in linked:
+                    linked.add(pair)
+                    edges.append((*pair, 1))
             last[key] = i
     return edges
 
@@ -211,12 +218,19 @@ def fit(docs: DataFrame, text: str = "text", steps: int = 300, ridge: float = 1.
         share = edge[kind] + edge[kind].T
         alone = share.sum(axis=1) / share.sum()
         both[kind] = np.clip(np.log(share / share.sum() / (alone[:, None] * alone[None, :])), -0.5, 0.5)
-    agree = np.trace(edge[1, 1:, 1:]) + 20.0
-    differ = edge[1, 1:, 1:].sum() - np.trace(edge[1, 1:, 1:]) + 1.0
+    repeats = edge[1, 1:, 1:] - 1
+    agree, differ = np.trace(repeats) + 20.0, repeats.sum() - np.trace(repeats) + 1.0
     both[1] = np.eye(labels) * min(np.log(agree / differ), 4.0)
     return Weights(weight, both)
 
 
+def _possible(m: Mention) -> np.ndarray:
+    """Which kinds a mention that failed the base rules can be, by its form."""
+    on = {SHAPES[f] for f in m.shape}
+    spelled = "at" in on
+    return np.array([spelled, "dots3" in on, not spelled and bool(on & {"12-15", "16", "17-19"}), not spelled and bool(on & {"7-8", "9-11", "12-15"})])
+
+
 def infer(found: list[Mention], weights: Weights, rounds: int = 12) -> list[int]:
     """Label of each mention by loopy max-free message passing; base labels are held fixed."""
     labels = len(KINDS) + 1
@@ -228,7 +242,7 @@ def infer(found: list[Mention], weights: Weights, rounds: int = 12) -> list[int]
             own[i, m.label] = 0.0
         else:
             z = weights.shape[0] + weights.shape[[f + 1 for f in m.shape]].sum(axis=0)
-            own[i, 1:] = np.clip(z[1:] - z[0], -PULL, -0.1)
+            own[i, 1:] = np.where(_possible(m), np.clip(z[1:] - z[0], -PULL, -0.1), -50.0)
     if edges:
         a, b, kind = np.array(edges).T
         source, to = np.concatenate([a, b]), np.concatenate([b, a])
