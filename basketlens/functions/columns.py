@@ -8,34 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCORE_DIGITS = 10
+HASH_BITS = 60
 EPS = 1e-12
+# A Poisson(1) count above this has a chance below 2^-60, the step of `uniform`.
+MOST_POISSON = 19
 
 
 def score_key(score: Column) -> Column:
-    """Score as used for ranking: ten decimals, so the order in which a shuffle adds
-    doubles cannot change who wins a tie."""
-    return F.round(score, SCORE_DIGITS)
+    """Score as used for ranking: eleven significant digits, so the order in which a shuffle adds
+    doubles cannot change who wins a tie, however small the scores are."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(score))))
+    return F.when(score == 0, F.lit(0.0)).otherwise(F.round(score / unit, SCORE_DIGITS) * unit)
 
 
 def seeded_hash(*parts: Column) -> Column:
-    """Uniform integer in [0, 2^32) from an md5 of the parts. Any SQL engine gives the same value."""
+    """Uniform integer in [0, 2^60) from an md5 of the parts. Any SQL engine gives the same value."""
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def uniform(*parts: Column) -> Column:
     """Seeded uniform double in [0, 1)."""
-    return seeded_hash(*parts) / F.lit(4294967296.0)
-
-
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count from a uniform, by inverting the distribution function."""
-    total, term, weight = 0.0, math.exp(-1.0), F.lit(0)
-    for n in range(1, 12):
-        total += term
-        weight = weight + F.when(u >= F.lit(total), 1).otherwise(0)
-        term /= n
-    return weight
+    return seeded_hash(*parts) / F.lit(float(1 << HASH_BITS))
 
 
 def npmi(c: Column, pi: Column, pj: Column, pij: Column, shrink: float = 5.0) -> Column:

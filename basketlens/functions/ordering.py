@@ -1,65 +1,61 @@
 """Positions, ranks and exact percentiles of groups too large for one task.
 
-A window over a whole group sorts that group in one task. Here a group with many rows is first cut
-into value ranges; a window only runs inside one range, and the ranges' totals (at most a few
-thousand rows per group) supply the offset. The cut uses the group's size, minimum and maximum, so
-a recomputed task always makes the same cut. Small groups stay in one range.
+A window over a whole group sorts that group in one task. Here a group of more than `range_rows` rows is first cut into
+ranges, at values taken from its own rows by a hash, so ranges hold about as many rows each whatever the values are (text
+with a common prefix, outliers). A window only runs inside one range; the ranges' totals supply the offset. Small
+groups are left as they are: only the few large ones are looked up. The hash is of the row's order columns, so a
+recomputed task makes the same cuts, and rows that tie in all of them fall into one range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
 RANGE_ROWS = 50_000
-MOST_RANGES = 4096
+MOST_CUTS = 4096
+PICKED = 8
+UNIT = 1_000_003
 
 
-def _numeric_key(df: DataFrame, name: str) -> Column:
-    """Order-preserving double for a column of any orderable simple type."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 4)), 8, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.col(name).cast("timestamp").cast("double")
-    return F.col(name).cast("double")
+def _cuts(df: DataFrame, keys: list[str], order: str, range_rows: int) -> DataFrame:
+    """`keys, _cuts`: ordered cut values of every group with more than `range_rows` rows.
+
+    About PICKED rows per range are picked by a hash and every PICKED-th of them becomes a cut.
+    """
+    large = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > range_rows)
+             .select(*keys, F.least(F.lit(1.0), F.lit(float(PICKED)) * F.least(F.lit(float(MOST_CUTS)), F.ceil(F.col("_n") / F.lit(range_rows))) / F.col("_n")).alias("_share")))
+    picked = df.join(large, keys).where(F.pmod(F.xxhash64(order), F.lit(UNIT)) < F.col("_share") * UNIT)
+    values = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("_picked"))
+    return values.select(*keys, F.filter("_picked", lambda v, i: i % PICKED == PICKED - 1).alias("_cuts"))
 
 
 def add_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str,
                       out: str, range_rows: int = RANGE_ROWS, total: str | None = None) -> DataFrame:
     """Add `out`: the sum of `amount` over the rows before this one in its group, and the group's sum as `total`.
 
-    `order` must be a total order inside a group; `keys` must not be NULL. The input is read three times, always
-    with the same columns, so that a shuffle just below is made once and reused.
+    `order` must be a total order inside a group; `keys` and the first order column must not be NULL.
     """
     keys = list(keys)
     base = df
     if not keys:
         keys, base = ["_all"], df.withColumn("_all", F.lit(1))
-    base = base.withColumn("_key", _numeric_key(df, order[0]))
-    span = base.groupBy(*keys).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"), F.sum(amount).alias("_total"),
-                                   F.least(F.lit(MOST_RANGES), F.ceil(F.count(F.lit(1)) / F.lit(range_rows))).alias("_ranges"))
-    share = F.try_divide(F.col("_key") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    cut = (base.join(span, keys)
-           .withColumn("_range", F.coalesce(F.least(F.floor(share * F.col("_ranges")), F.col("_ranges") - 1), F.lit(0)).cast("int"))
-           .drop("_key", "_lo", "_hi", "_ranges"))
-    totals = cut.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
+    cut = (base.join(_cuts(base, keys, order[0], range_rows), keys, "left")
+           .withColumn("_range", F.when(F.col("_cuts").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda v: v <= F.col(order[0]))))).drop("_cuts"))
+    totals = cut.where("_range >= 0").groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = (W.partitionBy(*keys, "_range").orderBy(*[F.col(c) for c in order])
-              .rowsBetween(W.unboundedPreceding, -1))
-    placed = (cut.join(offsets, [*keys, "_range"])
-              .withColumn(out, F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0))))
+    offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_sum").over(W.partitionBy(*keys)).alias("_whole"))
+    place = W.partitionBy(*keys, "_range")
+    inside = place.orderBy(*[F.col(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    placed = (cut.join(offsets, [*keys, "_range"], "left")
+              .withColumn(out, F.coalesce("_offset", F.lit(0)) + F.coalesce(F.sum(amount).over(inside), F.lit(0))))
     if total:
-        placed = placed.withColumn(total, F.col("_total"))
-    return placed.drop("_range", "_offset", "_all", "_total")
+        placed = placed.withColumn(total, F.coalesce("_whole", F.sum(amount).over(place)))
+    return placed.drop("_range", "_offset", "_whole", "_all")
 
 
 def add_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,

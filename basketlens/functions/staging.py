@@ -7,27 +7,52 @@ Stages therefore hand over Parquet tables, written to the shared folder the clus
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
+
+
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+
+
+def _own_folder(app: str) -> str:
+    """A temporary folder for one application on this machine, removed when the driver ends."""
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="basketlens-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is, as in local tests."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder; a folder of our own only where none is set and all tasks run on this machine.
+
+    The caller's setting is never changed.
+    """
+    folder = _configured(spark)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="basketlens-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
+        folder = _own_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
 def stage(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Write `df` as a table of this application and read it back."""
+    """Write `df` as a table of this application, under a name of its own, and read it back."""
     spark = df.sparkSession
-    name = name or f"step-{uuid.uuid4().hex}"
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name or 'step'}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def close(spark: SparkSession) -> None:
+    """Delete every table that this application has staged."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

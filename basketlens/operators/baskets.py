@@ -51,11 +51,11 @@ def leave_last_out(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
     return history, target
 
 
-def user_folds(users: DataFrame, n: int = 3) -> DataFrame:
-    """`fold, split, user` for folds 0..n-1: each fold is a seeded shuffle cut into train,
-    val and test at floor(n*4/5*0.9) and floor(n*4/5)."""
+def user_folds(users: DataFrame, n: int = 3, first: int = 0) -> DataFrame:
+    """`fold, split, user` for n folds from `first` on: each fold is a shuffle seeded by its number, cut into train,
+    val and test at floor(users*4/5*0.9) and floor(users*4/5)."""
     people = users.select("user").distinct()
-    seeds = F.sequence(F.lit(0), F.lit(n - 1))
+    seeds = F.sequence(F.lit(first), F.lit(first + n - 1))
     keyed = (people.withColumn("fold", F.explode(seeds))
              .withColumn("draw", seeded_hash(F.col("fold"), F.col("user"))))
     placed = add_position(keyed, ["fold"], ["draw", "user"], "place")
@@ -69,7 +69,7 @@ def user_folds(users: DataFrame, n: int = 3) -> DataFrame:
 
 def user_split(users: DataFrame, seed: int = 0) -> DataFrame:
     """One seeded split: `fold, split, user` with fold = seed."""
-    return user_folds(users, seed + 1).where(F.col("fold") == seed)
+    return user_folds(users, 1, seed)
 
 
 def flag_rows(hist: DataFrame, target: DataFrame, split: DataFrame) -> DataFrame:

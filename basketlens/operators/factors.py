@@ -17,26 +17,30 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seeded_hash
 from ..functions.ordering import add_position
-from .association import basket_sizes, transition_counts
+from .association import pair_counts, transition_counts
 from .baskets import last_index
 from .neighbors import dot_top_k
 from .recommend import user_frequency
 
 SENTENCE = 1000
+WINDOW = 10
+ROWS_PER_PART = 2_000_000
 
 
 def transition_instances(hist: DataFrame) -> DataFrame:
-    """`user, t, item, context_t`: every item of basket t with the basket before it as context;
-    a user with one basket uses that basket."""
+    """`user, t, item, copy, context_t`: every item of basket t, as often as it was bought, with the basket before it as
+    context; a user with one basket uses that basket."""
     placed = hist.join(last_index(hist).select("user", "n_baskets"), "user")
     single = F.col("n_baskets") == 1
     return placed.where(single | (F.col("t") > 0)).select(
-        "user", "t", "item", F.when(single, F.col("t")).otherwise(F.col("t") - 1).alias("context_t"))
+        "user", "t", "item", F.explode(F.sequence(F.lit(1), F.col("qty").cast("int"))).alias("copy"),
+        F.when(single, F.col("t")).otherwise(F.col("t") - 1).alias("context_t"))
 
 
 def attach_context(instances: DataFrame, hist: DataFrame) -> DataFrame:
-    """Add the context basket as a sorted array of items."""
-    baskets = hist.groupBy("user", F.col("t").alias("context_t")).agg(F.sort_array(F.collect_set("item")).alias("context"))
+    """Add the context basket as a sorted array of items, each as often as it was bought."""
+    copies = F.flatten(F.collect_list(F.array_repeat("item", F.col("qty").cast("int"))))
+    baskets = hist.groupBy("user", F.col("t").alias("context_t")).agg(F.sort_array(copies).alias("context"))
     return instances.join(baskets, ["user", "context_t"])
 
 
@@ -46,7 +50,7 @@ def negative_samples(instances: DataFrame, items: DataFrame, n: int = 1, seed: i
     size = items.agg(F.count_distinct("item")).scalar()
     drawn = (instances.join(catalog, "item").withColumn("n_items", size)
              .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))))
-    raw = F.pmod(seeded_hash(F.lit(seed), F.col("user"), F.col("t"), F.col("item"), F.col("draw")), F.col("n_items"))
+    raw = F.pmod(seeded_hash(F.lit(seed), F.col("user"), F.col("t"), F.col("item"), F.col("copy"), F.col("draw")), F.col("n_items"))
     pick = F.when(raw == F.col("idx"), F.pmod(raw + 1, F.col("n_items"))).otherwise(raw)
     picked = drawn.withColumn("pick", pick)
     names = catalog.select(F.col("idx").alias("pick"), F.col("item").alias("neg"))
@@ -100,7 +104,7 @@ def recommend_factors(model: FactorModel, hist: DataFrame, users: DataFrame, k:
     concatenated vectors."""
     people = users.select("user").distinct()
     last = hist.join(last_index(hist).select("user", F.col("last_t").alias("t")), ["user", "t"]).join(people, "user", "left_semi")
-    context = _mean_vec(last.join(model.last_items, "item"), "user").withColumnRenamed("vec", "ctx")
+    context = _mean_vec(last.join(model.last_items, "item"), "user", "qty").withColumnRenamed("vec", "ctx")
     rank = F.size("vec")
     blank = F.array_repeat(F.lit(0.0), rank)
     user_vec = model.users.join(people, "user", "left_semi").join(context, "user", "left").select(
@@ -112,12 +116,13 @@ def recommend_factors(model: FactorModel, hist: DataFrame, users: DataFrame, k:
 
 
 def sample_triples(hist: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """`draw, user, i, j`: a basket drawn uniformly with replacement, then two of its items with replacement."""
-    sizes = add_position(basket_sizes(hist), [], ["user", "t"], "pick")
+    """`draw, user, i, j`: a basket drawn uniformly with replacement, then two of its purchases with replacement."""
+    sizes = add_position(hist.groupBy("user", "t").agg(F.sum("qty").alias("size")), [], ["user", "t"], "pick")
     total = last_index(hist).agg(F.sum("n_baskets")).scalar()
     draws = hist.sparkSession.range(1, n + 1).select(F.col("id").alias("draw")).withColumn("total", total)
     draws = draws.withColumn("pick", F.pmod(seeded_hash(F.lit(seed), F.col("draw"), F.lit("b")), F.col("total"))).join(sizes, "pick")
-    slots = add_position(hist.select("user", "t", "item"), ["user", "t"], ["item"], "slot")
+    bought = hist.select("user", "t", "item", F.explode(F.sequence(F.lit(1), F.col("qty").cast("int"))).alias("copy"))
+    slots = add_position(bought, ["user", "t"], ["item", "copy"], "slot").drop("copy")
     for name in ("i", "j"):
         at = F.pmod(seeded_hash(F.lit(seed), F.col("draw"), F.lit(name)), F.col("size"))
         chosen = slots.withColumnRenamed("item", name)
@@ -132,20 +137,30 @@ class Embeddings:
     users: DataFrame
 
 
-def fit_embeddings(hist: DataFrame, dim: int = 32, seed: int = 0, iterations: int = 1, partitions: int = 8) -> Embeddings:
+def fit_embeddings(hist: DataFrame, dim: int = 32, seed: int = 0, iterations: int = 1, partitions: int | None = None) -> Embeddings:
     """Word2Vec over baskets for items; users are the count-weighted mean of their items.
 
-    Long baskets are cut into sentences of bounded length, as Word2Vec itself does.
+    A basket's purchases stand in the order of a hash, so any two of them can fall into one window, whatever their ids;
+    a basket longer than SENTENCE is read in runs of that order. `vec1` is the trained vector, `vec2` an item's context:
+    the mean vector of what it is bought with (its own vector if it is never bought with anything). Partitions follow the
+    number of purchases, ROWS_PER_PART each.
     """
-    big = basket_sizes(hist).withColumn("parts", F.ceil(F.col("size") / F.lit(SENTENCE)).cast("int"))
-    words = hist.join(big, ["user", "t"]).withColumn("part", F.pmod(F.hash("item"), F.col("parts")))
-    sentences = words.groupBy("user", "t", "part").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("words"))
-    w2v = Word2Vec(vectorSize=dim, minCount=1, seed=seed, maxIter=iterations, numPartitions=partitions, windowSize=5,
-                   inputCol="words", outputCol="out")
+    if partitions is None:
+        partitions = max(1, -(-hist.count() // ROWS_PER_PART))
+    bought = hist.select("user", "t", "item", F.explode(F.sequence(F.lit(1), F.col("qty").cast("int"))).alias("copy"))
+    placed = add_position(bought.withColumn("draw", seeded_hash(F.lit(seed), F.col("user"), F.col("t"), F.col("item"), F.col("copy"))), ["user", "t"], ["draw", "item", "copy"], "at")
+    parted = placed.withColumn("part", F.floor(F.col("at") / F.lit(SENTENCE)))
+    word = F.struct("at", F.col("item").cast("string").alias("word"))
+    sentences = parted.groupBy("user", "t", "part").agg(F.sort_array(F.collect_list(word)).getField("word").alias("words"))
+    w2v = Word2Vec(vectorSize=dim, minCount=1, seed=seed, maxIter=iterations, numPartitions=partitions, windowSize=WINDOW,
+                   maxSentenceLength=SENTENCE, inputCol="words", outputCol="out")
     vectors = w2v.fit(sentences.sortWithinPartitions("user", "t", "part")).getVectors()
     names = hist.select("item").distinct().withColumn("word", F.col("item").cast("string"))
-    items = vectors.select("word", vector_to_array("vector").alias("vec")).join(names, "word").select(
-        "item", F.col("vec").alias("vec1"), F.col("vec").alias("vec2"), F.lit(0.0).alias("bias"))
+    own = vectors.select("word", vector_to_array("vector").alias("vec")).join(names, "word").select("item", "vec")
+    pairs = pair_counts(hist).select("i", "j", "c")
+    sides = pairs.select(F.col("i").alias("of"), F.col("j").alias("item"), "c").unionByName(pairs.select(F.col("j").alias("of"), F.col("i").alias("item"), "c"))
+    context = _mean_vec(sides.where("of <> item").join(own, "item"), "of", "c").withColumnsRenamed({"of": "item", "vec": "vec2"})
+    items = own.join(context, "item", "left").select("item", F.col("vec").alias("vec1"), F.coalesce("vec2", "vec").alias("vec2"), F.lit(0.0).alias("bias"))
     return Embeddings(items, history_vectors(hist, items.select("item", F.col("vec1").alias("vec"))))
 
 

@@ -16,6 +16,12 @@ from .neighbors import cosine_knn
 FEATURES = ["n_baskets", "avg_basket_size", "repeat_rate", "adjacent_basket_jaccard",
             "recent_basket_novelty", "popularity_profile", "neighbor_similarity",
             "transition_strength", "relational_strength"]
+# What a history feature is called when measured on the target basket.
+TARGET_OF = {
+    "avg_basket_size": "target_basket_size", "repeat_rate": "target_repeat_fraction", "adjacent_basket_jaccard": "target_last_jaccard",
+    "recent_basket_novelty": "target_novelty_fraction", "popularity_profile": "target_popularity_profile", "neighbor_similarity": "target_neighbor_support",
+    "transition_strength": "target_transition_strength", "relational_strength": "target_relational_strength",
+}
 
 
 def adjacent_jaccard(hist: DataFrame) -> DataFrame:

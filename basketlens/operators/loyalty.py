@@ -1,7 +1,7 @@
 """Loyalty of a user to an item, folded over the user's baskets.
 
-After every basket the pair (q, l) is updated. q is the item's share of the purchases since it first
-appeared, so it is a running ratio. Each update of l is a fraction of two linear terms in l, i.e. a
+After every basket the pair (q, l) is updated, once per copy of the item. q is about the item's share of the
+purchases; times their number it changes by one linear step per basket. Each update of l is a fraction of two linear terms in l, i.e. a
 2x2 matrix, and matrices multiply in any grouping: long histories are cut into chunks, each chunk is
 reduced to one matrix, and only the chunk matrices are folded per (user, item).
 """
@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 
 from ..functions.ordering import add_running_total
 from ..functions.skew import pairs_within
-from .association import basket_sizes
 from .recommend import softmax
 
 TINY = 1e-10
@@ -35,39 +34,65 @@ def _product(steps: Column) -> Column:
 
 
 def running_purchases(hist: DataFrame) -> DataFrame:
-    """`user, t, before, upto`: distinct-item purchases before and up to each basket."""
-    sized = add_running_total(basket_sizes(hist), ["user"], ["t"], "size", "before")
+    """`user, t, before, upto`: purchases before and up to each basket, copies counted."""
+    sizes = hist.groupBy("user", "t").agg(F.sum("qty").alias("size"))
+    sized = add_running_total(sizes, ["user"], ["t"], "size", "before")
     return sized.select("user", "t", "before", (F.col("before") + F.col("size")).alias("upto"))
 
 
+def _mass_before(grid: DataFrame) -> DataFrame:
+    """Add `mass`: q times the purchases so far, just before each basket.
+
+    With count c before the basket, n purchases in it and k copies of the item, mass m becomes a^(k-1) m + (1 - a^k) / (1 - a),
+    a = c / (c + n), and stays m without the item. So the mass is a sum of terms over a running product of factors, both of
+    which are running totals; chunks hand on their product and sum.
+    """
+    a = F.col("before") / F.col("upto")
+    shrinks = (F.col("hits") > 1) & (F.col("before") > 0)
+    gain = F.when(F.col("hits") > 0, (1.0 - F.pow(a, F.col("hits"))) * F.col("upto") / (F.col("upto") - F.col("before"))).otherwise(0.0)
+    rows = grid.withColumn("factor", F.when(shrinks, (F.col("hits") - 1) * F.ln(a)).otherwise(0.0)).withColumn("gain", gain)
+    upto = W.partitionBy("user", "item", "chunk").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("user", "item", "chunk").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("product", F.sum("factor").over(upto)).withColumn("term", F.col("gain") * F.exp(-F.col("product")))
+    chunks = rows.groupBy("user", "item", "chunk").agg(F.sum("factor").alias("whole"), F.sum("term").alias("terms"))
+    earlier = W.partitionBy("user", "item").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumn("to_here", F.coalesce(F.sum("whole").over(earlier), F.lit(0.0)))
+    carried = chunks.withColumn("carried", F.exp("to_here") * F.coalesce(F.sum(F.col("terms") * F.exp(-F.col("to_here"))).over(earlier), F.lit(0.0)))
+    mass = F.exp(F.col("product") - F.col("factor")) * (F.col("carried") + F.coalesce(F.sum("term").over(before), F.lit(0.0)))
+    return rows.join(carried.select("user", "item", "chunk", "carried"), ["user", "item", "chunk"]).withColumn("mass", mass).drop("factor", "gain", "product", "term", "carried")
+
+
 def loyalty(hist: DataFrame, p: DataFrame, l0: float = 0.5, chunk: int = CHUNK) -> DataFrame:
-    """`user, item, q, l`; `p(user, item, p)` is the model's probability of the item for the user."""
+    """`user, item, q, l`; `p(user, item, p)` is the model's probability of the item for the user.
+
+    An item bought several times in a basket is updated once per copy.
+    """
     steps = running_purchases(hist)
     first = hist.groupBy("user", "item").agg(F.min("t").alias("first"))
-    bought = hist.select("user", "item", "t", F.lit(1).alias("here")).distinct()
-    # The state before basket t uses the count of appearances before t, over purchases before t.
+    bought = hist.groupBy("user", "item", "t").agg(F.sum("qty").cast("int").alias("hits"))
     grid = (pairs_within(first, steps, ["user"], "item").where(F.col("t") >= F.col("first"))
-            .join(bought, ["user", "item", "t"], "left").withColumn("here", F.coalesce("here", F.lit(0)))
+            .join(bought, ["user", "item", "t"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
             .withColumn("chunk", F.floor(F.col("t") / F.lit(chunk))))
-    tallies = grid.groupBy("user", "item", "chunk").agg(F.sum("here").alias("inside"))
-    w = W.partitionBy("user", "item").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = tallies.withColumn("carried", F.coalesce(F.sum("inside").over(w), F.lit(0))).drop("inside")
-    inside = W.partitionBy("user", "item", "chunk").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
-    counted = (grid.join(carried, ["user", "item", "chunk"])
-               .withColumn("seen", F.col("carried") + F.coalesce(F.sum("here").over(inside), F.lit(0))))
-    q = F.coalesce(F.try_divide(F.col("seen").cast("double"), F.col("before").cast("double")), F.lit(0.0))
-    prob, hit = F.coalesce(F.col("p"), F.lit(0.0)), F.col("here") == 1
-    a = F.when(hit, q).otherwise(1.0 - q)
-    b = F.when(hit, prob).otherwise(1.0 - prob)
-    start = F.col("t") == F.col("first")
-    matrix = F.struct(F.when(start, 1.0).otherwise(a).alias("11"), F.when(start, 0.0).otherwise(F.lit(TINY)).alias("12"),
-                      F.when(start, 0.0).otherwise(a - b).alias("21"), F.when(start, 1.0).otherwise(b + TINY).alias("22"))
-    rows = counted.join(p.select("user", "item", "p"), ["user", "item"], "left").select(
-        "user", "item", "chunk", "t", F.struct("t", matrix.alias("m")).alias("step"),
-        (F.col("seen") + F.col("here")).alias("total"), "upto")
-    chunks = rows.groupBy("user", "item", "chunk").agg(
-        _product(F.sort_array(F.collect_list("step"))).alias("m"),
-        F.max_by(F.col("total") / F.col("upto"), "t").alias("q"))
+    a = F.col("before") / F.col("upto")
+    n = F.col("upto") - F.col("before")
+    q = F.coalesce(F.try_divide(F.col("mass"), F.col("before").cast("double")), F.lit(0.0))
+    prob, start = F.coalesce(F.col("p"), F.lit(0.0)), F.col("t") == F.col("first")
+
+    def after(copies: Column) -> Column:
+        """q once some copies are counted."""
+        return F.pow(a, copies) * F.col("q") + (1.0 - F.pow(a, copies)) / n
+
+    def matrix(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("11"), F.lit(TINY).alias("12"), (x - y).alias("21"), (y + TINY).alias("22"))
+    one = F.struct(F.lit(1.0).alias("11"), F.lit(0.0).alias("12"), F.lit(0.0).alias("21"), F.lit(1.0).alias("22"))
+    # The first copy of all sets l0 and does not update it.
+    copies = F.sequence(F.when(start, 1).otherwise(0), F.col("hits") - 1)
+    here = F.when(start & (F.col("hits") == 1), one).otherwise(F.aggregate(copies, one, lambda m, j: _then(m, matrix(after(j), prob))))
+    step = F.when(F.col("hits") == 0, matrix(1.0 - F.col("q"), 1.0 - prob)).otherwise(here)
+    left = F.when(F.col("hits") == 0, a * F.col("q")).otherwise(after(F.col("hits")))
+    rows = (_mass_before(grid).withColumn("q", q).join(p.select("user", "item", "p"), ["user", "item"], "left")
+            .select("user", "item", "chunk", "t", F.struct("t", step.alias("m")).alias("step"), left.alias("q")))
+    chunks = rows.groupBy("user", "item", "chunk").agg(_product(F.sort_array(F.collect_list("step"))).alias("m"), F.max_by("q", "t").alias("q"))
     folded = chunks.groupBy("user", "item").agg(
         _product(F.sort_array(F.collect_list(F.struct("chunk", "m")))).alias("m"), F.max_by("q", "chunk").alias("q"))
     l = (F.col("m")["11"] * l0 + F.col("m")["12"]) / (F.col("m")["21"] * l0 + F.col("m")["22"])

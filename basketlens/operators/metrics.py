@@ -105,27 +105,27 @@ def method_table(summary: DataFrame, metrics: Sequence[str], order: Sequence[str
 
 
 def rank_auc(scores: DataFrame, target: DataFrame) -> DataFrame:
-    """`user, item, auc, ndcg` of every target item against all items that are not targets.
+    """`user, item, qty, auc, ndcg` of every target item against all items that are not targets.
 
     `scores(user, item, score)` covers the catalogue; a non-target with an equal score counts as better.
     """
-    wanted = target.select("user", "item").distinct().withColumn("_t", F.lit(1))
+    wanted = target.groupBy("user", "item").agg(F.sum("qty").alias("qty")).withColumn("_t", F.lit(1))
     served = scores.join(target.select("user").distinct(), "user", "left_semi")
     marked = served.join(wanted, ["user", "item"], "left").withColumn("_neg", F.when(F.col("_t").isNull(), 1).otherwise(0))
     ahead = W.partitionBy("user").orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, W.currentRow)
     totals = marked.groupBy("user").agg(F.sum("_neg").alias("n_neg"))
     placed = marked.withColumn("wrong", F.sum("_neg").over(ahead)).where(F.col("_t") == 1).join(totals, "user")
-    return placed.select("user", "item", F.try_divide(F.col("n_neg") - F.col("wrong"), F.col("n_neg")).alias("auc"),
+    return placed.select("user", "item", "qty", F.try_divide(F.col("n_neg") - F.col("wrong"), F.col("n_neg")).alias("auc"),
                          (1.0 / F.log2(F.col("wrong") + 2.0)).alias("ndcg"))
 
 
 def warm_cold(item_scores: DataFrame, hist: DataFrame) -> DataFrame:
-    """`population, auc, ndcg` for all, warm (already bought) and cold target items: user means, then their mean."""
+    """`population, auc, ndcg` for all, warm (already bought) and cold target items: user means over purchases, then their mean."""
     bought = hist.select("user", "item").distinct().withColumn("_warm", F.lit(1))
     marked = item_scores.join(bought, ["user", "item"], "left").withColumn(
         "population", F.array(F.lit("all"), F.when(F.col("_warm") == 1, "warm").otherwise("cold")))
     users = (marked.withColumn("population", F.explode("population"))
-             .groupBy("user", "population").agg(F.avg("auc").alias("auc"), F.avg("ndcg").alias("ndcg")))
+             .groupBy("user", "population").agg(*[(F.sum(F.col(c) * F.col("qty")) / F.sum("qty")).alias(c) for c in ("auc", "ndcg")]))
     return users.groupBy("population").agg(F.avg("auc").alias("auc"), F.avg("ndcg").alias("ndcg"))
 
 

@@ -23,14 +23,17 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
-def fill_to_k(ranked: DataFrame, items: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Pad lists shorter than k with zero-score items, highest item id first.
+def fill_to_k(ranked: DataFrame, items: DataFrame, k: int, keys: Sequence[str] = (), users: DataFrame | None = None) -> DataFrame:
+    """Pad lists shorter than k with zero-score items, highest item id first; with `users` also theirs that have no list at all.
 
     k items are enough for the pool: a list of m items can hide at most m of them.
     """
     pool = items.select("item").distinct().orderBy(F.desc("item")).limit(k).agg(F.collect_list("item")).scalar()
     place = [*keys, "user"]
-    short = ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") < k)
+    short = ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("m"))
+    if users is not None:
+        short = users.select(*place).distinct().join(short, place, "left").select(*place, F.coalesce("m", F.lit(0)).alias("m"))
+    short = short.where(F.col("m") < k)
     offered = short.select(*place, "m", F.explode(pool).alias("item"))
     extra = top_k(offered.join(ranked.select(*place, "item"), [*place, "item"], "left_anti"), k,
                   [F.desc("item")], place)
@@ -158,14 +161,14 @@ def recommend_temporal_knn(hist: DataFrame, train: DataFrame, query: DataFrame,
     near = euclidean_knn(own, ref, neighbors, blocks=blocks)
     found = F.least(F.lit(neighbors), ref.agg(F.count_distinct("user")).scalar())
     scored = blend_neighbors(own, near.withColumn("share", 1.0 / found), ref, alpha, F.col("share"))
-    return _dense_list(scored, hist, k)
+    return _dense_list(scored, hist, k, users=query)
 
 
-def _dense_list(scored: DataFrame, hist: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
+def _dense_list(scored: DataFrame, hist: DataFrame, k: int, keys: Sequence[str] = (), users: DataFrame | None = None) -> DataFrame:
     """Top-k of positive scores, ties to the higher item id, padded to k."""
-    best = top_k(scored.where(score_key(F.col("score")) > 0), k, [F.desc(score_key(F.col("score"))), F.desc("item")],
+    best = top_k(scored.where(F.col("score") > 0), k, [F.desc(score_key(F.col("score"))), F.desc("item")],
                  [*keys, "user"])
-    return fill_to_k(best, hist.select("item"), k, keys)
+    return fill_to_k(best, hist.select("item"), k, keys, users)
 
 
 def recency_scores(hist: DataFrame, r: int | Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -193,7 +196,7 @@ def recommend_similarity(hist: DataFrame, users: DataFrame, r: int = 5, alpha: f
     lent = recency_scores(hist, r).withColumnRenamed("user", "other")
     scored = (sim.join(lent, "other").groupBy("user", "item")
               .agg(F.sum(F.pow("sim", F.lit(float(q))) * F.col("s")).alias("score")))
-    return _dense_list(scored, hist, k)
+    return _dense_list(scored, hist, k, users=users)
 
 
 def recommend_user_knn(inter: DataFrame, sim: DataFrame, k: int = 10, mask_seen: bool = True) -> DataFrame:
@@ -245,7 +248,9 @@ def softmax(scores: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def blend_scores(trans: DataFrame, bias: DataFrame, share: DataFrame, alpha: float = 0.3, beta: float = 1.0) -> DataFrame:
-    """`user, item, score`: softmax of trans - alpha*bias + beta*share over the user's candidate items.
+    """`user, item, raw, score`: raw = trans - alpha*bias + beta*share, score its softmax over the user's candidate items.
+
+    Rank by `raw`: among many candidates the softmax has few digits left.
 
     `trans(user, item, v)`, `bias(item, v)` and `share(user, item, v)` may each lack rows; those count as 0.
     """
@@ -253,7 +258,7 @@ def blend_scores(trans: DataFrame, bias: DataFrame, share: DataFrame, alpha: flo
     mixed = parts.groupBy("user", "item").agg(F.sum("v").alias("v"))
     drag = bias.select("item", (F.lit(alpha) * F.col("v")).alias("drag"))
     raw = mixed.join(drag, "item", "left").withColumn("raw", F.col("v") - F.coalesce(F.col("drag"), F.lit(0.0)))
-    return softmax(raw.select("user", "item", "raw"), "raw", "score").select("user", "item", "score")
+    return softmax(raw.select("user", "item", "raw"), "raw", "score").select("user", "item", "raw", "score")
 
 
 def temporal_edges(hist: DataFrame) -> DataFrame:

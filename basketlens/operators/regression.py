@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import EPS
-
-GROUPS_HELD = 20
+from ..functions.resample import replicate_sums
 
 
 def _design(xs: Sequence[str], ys: Sequence[str]) -> list[str]:
@@ -130,59 +129,13 @@ def vif(df: DataFrame, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
     return grams.mapInPandas(solve, schema)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """64-bit mixing of seeds into uniform bits, the same on every retry of a task."""
-    with np.errstate(over="ignore"):
-        x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def poisson_counts(row_hash: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Poisson(1) counts, one row per hash and one column per replicate."""
-    cdf = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 13)]))
-    reps = _mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003))
-    bits = _mix(row_hash.astype(np.int64).view(np.uint64)[:, None] ^ reps[None, :])
-    return np.searchsorted(cdf, (bits >> np.uint64(11)) * 2.0 ** -53, side="right").astype(float)
-
-
 def bootstrap_grams(df: DataFrame, xs: Sequence[str], ys: Sequence[str], keys: Sequence[str], user: str = "user",
                     n: int = 1000, seed: int = 0) -> DataFrame:
-    """`keys, rep, g, varies`: one table of sums per replicate, each row weighted by its Poisson(1) count.
-
-    Rows are never copied per replicate: a task multiplies its batch's products by the batch's counts and
-    emits one row of sums per (group, replicate).
-    """
+    """`keys, rep, g, varies`: one table of sums per replicate, each row weighted by its Poisson(1) count."""
     xs, ys, keys = list(xs), list(ys), list(keys)
     names, cells = _design(xs, ys), _cells(xs, ys)
-    left, right = [i for i, _ in cells], [j for _, j in cells]
-    source = _complete(df, xs, ys).select(*keys, *names, F.xxhash64(user).alias("_h"))
-    schema = T.StructType([*[source.schema[k] for k in keys], T.StructField("rep", T.IntegerType()),
-                           *[T.StructField(f"g{c}", T.DoubleType()) for c in range(len(cells))]])
-
-    def flush(held: dict) -> Iterator[pd.DataFrame]:
-        for key, sums in held.items():
-            out = pd.DataFrame(sums, columns=[f"g{c}" for c in range(len(cells))])
-            out.insert(0, "rep", np.arange(1, n + 1, dtype=np.int32))
-            for k, v in zip(keys, key):
-                out[k] = v
-            yield out[schema.names]
-        held.clear()
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                values = part[names].to_numpy(float)
-                sums = poisson_counts(part["_h"].to_numpy(), n, seed).T @ (values[:, left] * values[:, right])
-                held[key] = held[key] + sums if key in held else sums
-                if len(held) > GROUPS_HELD:
-                    yield from flush(held)
-        yield from flush(held)
-
-    summed = source.mapInPandas(partial, schema).groupBy(*keys, "rep").agg(
-        *[F.sum(f"g{c}").alias(f"g{c}") for c in range(len(cells))])
+    source = _complete(df, xs, ys).select(*keys, *names, F.col(user).alias("_user"))
+    summed = replicate_sums(source, keys, names, cells, "_user", n, seed)
     return summed.select(*keys, "rep", F.array(*[F.col(f"g{c}") for c in range(len(cells))]).alias("g"),
                          F.array(*[F.lit(True)] * len(xs)).alias("varies"))
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import EPS, pearson, poisson_weight, seeded_hash, sign_of, uniform
-from ..functions.ordering import add_position, exact_percentiles, value_ranks
+from ..functions.columns import EPS, pearson, sign_of
+from ..functions.ordering import exact_percentiles, value_ranks
+from ..functions.resample import replicate_sums
 
 DATASET = ("dataset",)
 
@@ -124,39 +125,16 @@ def zscore(df: DataFrame, features: Sequence[str], keys: Sequence[str] = DATASET
     return joined
 
 
-def bootstrap_mean_diff(df: DataFrame, diff: str, keys: Sequence[str], order: str = "user", n: int = 1000, seed: int = 0,
-                        scheme: str = "draws", group_keys: Sequence[str] | None = None) -> DataFrame:
-    """`keys, mean_difference, ci_low, ci_high`: percentile interval of the mean of `diff` over resampled rows.
+def bootstrap_mean_diff(df: DataFrame, diff: str, keys: Sequence[str], order: str = "user", n: int = 1000, seed: int = 0) -> DataFrame:
+    """`keys, mean_difference, ci_low, ci_high`: percentile interval of the mean of `diff` over resampled users.
 
-    `draws` resamples exactly as many rows as a group has, by a seeded index; it shuffles n copies of the
-    rows. `poisson` gives every row a Poisson(1) count per replicate, which needs no draw index and is summed
-    before the shuffle: use it for groups beyond about a million rows. `group_keys` are the keys that identify
-    a population of users; the rest of `keys` (say, method pairs) share its resamples.
+    Each user has a Poisson(1) count per replicate, the same in every group of `keys`, so groups that hold the same users (say,
+    method pairs) share their resamples. Only one row of sums per group, replicate and task is shuffled.
     """
     keys = list(keys)
-    group = list(group_keys if group_keys is not None else keys)
-    reps = F.explode(F.sequence(F.lit(1), F.lit(n)))
-    if scheme == "poisson":
-        rest = [c for c in keys if c not in group]
-        packed = df.groupBy(*group, order).agg(F.collect_list(F.struct(*rest, F.col(diff).alias("_d"))).alias("_rows"))
-        # One draw per row of a population and replicate, then its short list of paired values; zero draws go no further.
-        draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: uniform(F.lit(seed), r, F.col(order)))
-        drawn = packed.select(*group, "_rows", F.posexplode(draws).alias("rep", "_u")).withColumn("_w", poisson_weight(F.col("_u")))
-        sums = (drawn.where(F.col("_w") > 0).select(*group, "rep", "_w", F.explode("_rows").alias("_r"))
-                .select(*group, "rep", "_w", "_r.*")
-                .groupBy(*keys, "rep").agg(F.sum(F.col("_d") * F.col("_w")).alias("s"), F.sum("_w").alias("m")))
-    elif scheme == "draws":
-        people = add_position(df.select(*group, order).distinct(), group, [order], "_at")
-        sizes = people.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        draws = (people.join(sizes, group).select(*group, F.col("_at").alias("_draw"), "_n", reps.alias("rep"))
-                 .withColumn("_at", F.pmod(seeded_hash(F.lit(seed), F.col("rep"), F.col("_draw")), F.col("_n")))
-                 .groupBy(*group, "rep", "_at").agg(F.count(F.lit(1)).alias("_w")))
-        picked = draws.join(people, [*group, "_at"]).select(*group, order, "rep", "_w")
-        sums = (df.join(picked, [*group, order]).groupBy(*keys, "rep")
-                .agg(F.sum(F.col(diff) * F.col("_w")).alias("s"), F.sum("_w").alias("m")))
-    else:
-        raise ValueError(f"unknown scheme {scheme!r}")
-    means = sums.withColumn("boot", F.try_divide(F.col("s"), F.col("m").cast("double")))
+    rows = df.select(*keys, F.col(order).alias("_order"), F.lit(1.0).alias("_one"), F.col(diff).alias("_diff")).where(F.col("_diff").isNotNull())
+    sums = replicate_sums(rows, keys, ["_one", "_diff"], [(0, 0), (0, 1)], "_order", n, seed)
+    means = sums.withColumn("boot", F.try_divide(F.col("g1"), F.col("g0")))
     ci = means.groupBy(*keys).agg(F.percentile("boot", F.lit(0.025)).alias("ci_low"), F.percentile("boot", F.lit(0.975)).alias("ci_high"))
     seen = df.groupBy(*keys).agg(F.avg(diff).alias("mean_difference"))
     return seen.join(ci, keys).select(*keys, "mean_difference", "ci_low", "ci_high")

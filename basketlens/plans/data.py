@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import score_key
 from ..functions.staging import stage
 from ..operators import association, baskets, features, metrics, recommend
 from ..operators.neighbors import top_k
@@ -26,7 +26,7 @@ class BasketData:
         self.spark, self.path, self.item = spark, path.rstrip("/"), item
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, f"{zlib.crc32(self.path.encode()):08x}/{self.item}/{name}")
+        return stage(df, f"{self.item}-{name}")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -100,8 +100,8 @@ class BasketData:
         return recommend.blend_scores(recommend.last_basket_scores(self.hist, self.step_assoc), recommend.item_share(self.hist),
                                       recommend.history_share(self.hist))
 
-    def ranked(self, scores: DataFrame) -> DataFrame:
-        return top_k(scores, K, [F.desc(F.round("score", 10)), F.asc("item")]).select("user", "rank", "item")
+    def ranked(self, scores: DataFrame, score: str = "score") -> DataFrame:
+        return top_k(scores, K, [F.desc(score_key(F.col(score))), F.asc("item")]).select("user", "rank", "item")
 
     @cached_property
     def preds(self) -> DataFrame:
@@ -110,7 +110,7 @@ class BasketData:
         users = test.select("user").distinct()
         lists = {"recency": recommend.recommend_recency(self.hist, users, K), "frequency": recommend.recommend_frequency(self.hist, users, K),
                  "popular": recommend.recommend_popular(self.hist, users, K), "decayed": self.ranked(self.decayed_scores),
-                 "blend": self.ranked(self.blended_scores)}
+                 "blend": self.ranked(self.blended_scores, "raw")}
         out = None
         for name, ranked in lists.items():
             one = ranked.select(F.lit(name).alias("method"), "user", "rank", "item")
@@ -123,7 +123,7 @@ class BasketData:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return self.keep(metrics.build_panel(self.scores, self.split, "nDCG@5", self.groups, check=False), "panel")
+        return self.keep(metrics.build_panel(self.scores, self.split, "nDCG@5", self.groups), "panel")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -166,7 +166,7 @@ class BasketData:
 
     @cached_property
     def boot(self) -> DataFrame:
-        return self.keep(study.bootstrap_effects(self.regression, METHODS, n=200), "boot")
+        return self.keep(study.bootstrap_effects(self.regression, METHODS), "boot")
 
 
 _OPEN: dict[tuple[str, str, str], BasketData] = {}

@@ -19,8 +19,17 @@ def npmi(c, pi, pj, pij):
             f"greatest(0.0, ln({pij} / ({pi} * {pj})) / -ln({pij})) ELSE 0.0 END")
 
 
-def hash32(text):
-    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+def hash60(text):
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+UNIT = "1152921504606846976.0"
+
+
+def key(x):
+    """A score at eleven significant digits."""
+    unit = f"pow(10.0::DOUBLE, floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} / {unit}, 10) * {unit} END"
 
 
 def ideal(m):
@@ -130,7 +139,7 @@ CTES = {
     "target": "SELECT usr, item, qty FROM kept JOIN all_end USING (usr) WHERE t = m",
     "users": "SELECT DISTINCT usr FROM target",
     "h_end": "SELECT usr, max(t) AS last_t, max(t) + 1 AS n FROM hist GROUP BY usr",
-    "placed": f"""SELECT usr, fold, row_number() OVER (PARTITION BY fold ORDER BY {hash32("fold || ':' || usr")}, usr) - 1 AS place,
+    "placed": f"""SELECT usr, fold, row_number() OVER (PARTITION BY fold ORDER BY {hash60("fold || ':' || usr")}, usr) - 1 AS place,
       count(*) OVER (PARTITION BY fold) AS total FROM users, range(3) f(fold)""",
     "split": """SELECT fold, CASE WHEN place < floor(total * 4 / 5.0::DOUBLE * 0.9::DOUBLE) THEN 'train' WHEN place < floor(total * 4 / 5.0::DOUBLE) THEN 'val'
       ELSE 'test' END AS split, usr FROM placed""",
@@ -181,20 +190,20 @@ CTES = {
     "gf": "SELECT item, sum(qty)::BIGINT AS c FROM hist GROUP BY item",
     "frequency_list": f"SELECT usr, rank, item, c AS score FROM ({top('(SELECT usr, item, uf.c, gf.c AS g FROM uf JOIN gf USING (item))', 10, 'c DESC, g DESC, item')})",
     "g_recency": "SELECT item, sum(pow(0.95::DOUBLE, last_t - t) * qty) AS g FROM hist JOIN h_end USING (usr) WHERE last_t - t < 50 GROUP BY item",
-    "recency_list": f"""SELECT usr, rank, item, latest AS score FROM ({top('(SELECT usr, item, latest, coalesce(round(g, 10), 0.0) AS g FROM (SELECT usr, item, max(t) AS latest FROM hist GROUP BY usr, item) LEFT JOIN g_recency USING (item))', 10, 'latest DESC, g DESC, item')})""",
-    "jitter": f"SELECT item, {hash32('0 || chr(58) || item')} / 4294967296.0 * 0.01::DOUBLE AS jit FROM gf",
-    "popular_list": """SELECT usr, rank, item, score FROM users, (SELECT item, c + jit AS score, row_number() OVER (ORDER BY round(c + jit, 10) DESC, item) AS rank
+    "recency_list": f"""SELECT usr, rank, item, latest AS score FROM ({top('(SELECT usr, item, latest, coalesce(g, 0.0) AS g FROM (SELECT usr, item, max(t) AS latest FROM hist GROUP BY usr, item) LEFT JOIN g_recency USING (item))', 10, 'latest DESC, sig(g) DESC, item')})""",
+    "jitter": f"SELECT item, {hash60('0 || chr(58) || item')} / {UNIT} * 0.01::DOUBLE AS jit FROM gf",
+    "popular_list": """SELECT usr, rank, item, score FROM users, (SELECT item, c + jit AS score, row_number() OVER (ORDER BY sig((c + jit)) DESC, item) AS rank
       FROM gf JOIN jitter USING (item)) WHERE rank <= 10""",
     "decayed": "SELECT usr, item, sum(pow(0.6::DOUBLE, last_t - t) * qty) AS v FROM hist JOIN h_end USING (usr) GROUP BY usr, item",
-    "decayed_list": f"SELECT usr, rank, item FROM ({top('decayed', 10, 'round(v, 10) DESC, item')})",
+    "decayed_list": f"SELECT usr, rank, item FROM ({top('decayed', 10, 'sig(v) DESC, item')})",
     "hshare": "SELECT usr, item, c / sum(c) OVER (PARTITION BY usr) AS v FROM uf",
     "ishare": "SELECT item, c / sum(c) OVER () AS v FROM gf",
     "last_links": """SELECT usr, j AS item, sum(assoc) AS v FROM hist JOIN h_end USING (usr) JOIN step_assoc ON i = item WHERE t = last_t AND assoc > 0
       GROUP BY usr, j""",
     "blend_raw": """SELECT usr, item, m.v - 0.3::DOUBLE * coalesce(b.v, 0.0) AS raw FROM (SELECT usr, item, sum(v) AS v FROM
       (SELECT usr, item, v FROM last_links UNION ALL SELECT usr, item, v FROM hshare) GROUP BY usr, item) m LEFT JOIN ishare b USING (item)""",
-    "blended": """SELECT usr, item, e / sum(e) OVER (PARTITION BY usr) AS score FROM (SELECT usr, item, exp(raw - max(raw) OVER (PARTITION BY usr)) AS e FROM blend_raw)""",
-    "blend_list": f"SELECT usr, rank, item FROM ({top('blended', 10, 'round(score, 10) DESC, item')})",
+    "blended": """SELECT usr, item, raw, e / sum(e) OVER (PARTITION BY usr) AS score FROM (SELECT usr, item, raw, exp(raw - max(raw) OVER (PARTITION BY usr)) AS e FROM blend_raw)""",
+    "blend_list": f"SELECT usr, rank, item FROM ({top('blended', 10, 'sig(raw) DESC, item')})",
     "lists": " UNION ALL ".join(f"SELECT '{m}' AS method, usr, rank, item FROM {m}_list" for m in METHODS),
     "preds": "SELECT fold, method, usr, rank, item FROM lists JOIN split USING (usr) WHERE split = 'test'",
     "t_size": "SELECT usr, sum(qty)::BIGINT AS total_purchases FROM target GROUP BY usr",
@@ -356,4 +365,5 @@ def assemble(final: str, spec: str, item: str, local: dict[str, str] | None = No
     # A recursive table carries its own header.
     body = ",\n".join(ctes[n] if ctes[n].startswith(f"{n}(") else f"{n} AS ({ctes[n]})" for n in ctes if n in need)
     text = (f"WITH RECURSIVE {body}\n" if body else "") + f"SELECT {', '.join(cols)} FROM ({final})"
+    text = re.sub(r"sig\((\w+|\(c \+ jit\))\)", lambda m: key(m[1]), text)
     return text.replace("{item}", ITEM_COLUMN[item])

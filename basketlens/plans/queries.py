@@ -7,7 +7,6 @@ first, so that exact halves round up in any engine.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import score_key
+from ..functions.resample import poisson_cuts
 from ..functions.staging import scratch_dir
 from ..operators import association as assoc
 from ..operators import baskets, factors, features, loyalty, metrics, neighbors, recommend, regression, stats, trials
@@ -199,7 +200,7 @@ add("f12_feature_table", "dataset:s user:i " + " ".join(f"{f}:f" for f in featur
 LIST = "user:i rank:i item:s score:f"
 VALUE = "user:i item:s v:f"
 add("t1_top_k", "user:i rank:i item:i score:f", lambda d: neighbors.top_k(recommend.history_share(d.hist).withColumnRenamed("v", "score"), 5,
-    [F.desc(F.round("score", 10)), F.asc("item")]), sql.top("(SELECT usr, item, v AS score FROM hshare)", 5, "round(score, 10) DESC, item"), "part")
+    [F.desc(score_key(F.col("score"))), F.asc("item")]), sql.top("(SELECT usr, item, v AS score FROM hshare)", 5, "sig(score) DESC, item"), "part")
 
 def _filled(ranked: str) -> str:
     """SQL of a list padded to ten with the highest item ids."""
@@ -244,7 +245,7 @@ def _euclid(d: BasketData) -> DataFrame:
     return neighbors.euclidean_knn(v.join(d.served, "user", "left_semi"), v.join(d.part("train"), "user", "left_semi"), 20)
 
 
-DENSE = "SELECT usr, item, score, row_number() OVER (PARTITION BY usr ORDER BY round(score, 10) DESC, item DESC) AS rank FROM {0} WHERE round(score, 10) > 0"
+DENSE = "SELECT usr, item, score, row_number() OVER (PARTITION BY usr ORDER BY sig(score) DESC, item DESC) AS rank FROM {0} WHERE score > 0"
 add("r6_decay_vectors", "user:i item:s v:f", _vectors, VEC)
 add("r7_neighbor_search", "user:i neighbor:i rank:i dist:f", _euclid, "SELECT * FROM euc", **VEC_CTES)
 add("r8_recommend_temporal_knn", LIST, lambda d: recommend.recommend_temporal_knn(d.hist, d.part("train"), d.served, 20, 0.7, 7, 0.9, 0.7),
@@ -263,13 +264,18 @@ add("r11_user_similarity", "user:i other:i sim:f", lambda d: recommend.user_simi
 add("r12_recommend_similarity", LIST, lambda d: recommend.recommend_similarity(d.hist, d.served), _filled("r12_list"), **USIM,
     r12_scored="SELECT m.usr, rc.item, sum(sim * s) AS score FROM u_sim m JOIN served USING (usr) JOIN rc ON rc.usr = m.other GROUP BY m.usr, rc.item",
     r12_list="SELECT * FROM (" + DENSE.format("r12_scored") + ") WHERE rank <= 10")
-INST = "SELECT usr, t, item, CASE WHEN n = 1 THEN t ELSE t - 1 END AS context_t FROM hist JOIN h_end USING (usr) WHERE n = 1 OR t > 0"
-add("r13_transition_instances", "user:i t:i item:s context_t:i context:s", lambda d: factors.attach_context(factors.transition_instances(d.hist), d.hist).withColumn(
-    "context", F.array_join("context", ",")), f"""SELECT i.*, context FROM ({INST}) i JOIN (SELECT usr, t AS ct, string_agg(item, ',' ORDER BY item) AS context FROM hist
+add("r12_recommend_similarity_q5", LIST, lambda d: recommend.recommend_similarity(d.hist, d.served, q=5.0), _filled("r12_list"), **USIM,
+    r12_scored="SELECT m.usr, rc.item, sum(pow(sim, 5.0::DOUBLE) * s) AS score FROM u_sim m JOIN served USING (usr) JOIN rc ON rc.usr = m.other GROUP BY m.usr, rc.item",
+    r12_list="SELECT * FROM (" + DENSE.format("r12_scored") + ") WHERE rank <= 10")
+INST = "SELECT usr, t, item, unnest(range(1, qty + 1)) AS copy, CASE WHEN n = 1 THEN t ELSE t - 1 END AS context_t FROM hist JOIN h_end USING (usr) WHERE n = 1 OR t > 0"
+QSIZES = "SELECT usr, t, sum(qty)::BIGINT AS size FROM hist GROUP BY usr, t"
+BOUGHT = "SELECT usr, t, item, unnest(range(1, qty + 1)) AS copy FROM hist"
+add("r13_transition_instances", "user:i t:i item:s copy:i context_t:i context:s", lambda d: factors.attach_context(factors.transition_instances(d.hist), d.hist).withColumn(
+    "context", F.array_join("context", ",")), f"""SELECT i.*, context FROM ({INST}) i JOIN (SELECT usr, t AS ct, string_agg(item, ',' ORDER BY item) AS context FROM ({BOUGHT})
     GROUP BY usr, t) b ON b.usr = i.usr AND b.ct = i.context_t""")
-add("r14_negative_samples", "user:i t:i item:i draw:i neg:i", lambda d: factors.negative_samples(factors.transition_instances(d.hist), d.hist, 2, 7),
-    f"""SELECT x.usr, x.t, x.item, x.draw, c.item AS neg FROM (SELECT usr, t, item, draw, CASE WHEN raw = idx THEN (raw + 1) % n ELSE raw END AS pick FROM
-    (SELECT *, {sql.hash32("'7:' || usr || ':' || t || ':' || item || ':' || draw")} % n AS raw FROM inst JOIN cat USING (item), range(1, 3) r(draw))) x JOIN cat c ON c.idx = x.pick""",
+add("r14_negative_samples", "user:i t:i item:i copy:i draw:i neg:i", lambda d: factors.negative_samples(factors.transition_instances(d.hist), d.hist, 2, 7),
+    f"""SELECT x.usr, x.t, x.item, x.copy, x.draw, c.item AS neg FROM (SELECT usr, t, item, copy, draw, CASE WHEN raw = idx THEN (raw + 1) % n ELSE raw END AS pick FROM
+    (SELECT *, {sql.hash60("'7:' || usr || ':' || t || ':' || item || ':' || copy || ':' || draw")} % n AS raw FROM inst JOIN cat USING (item), range(1, 3) r(draw))) x JOIN cat c ON c.idx = x.pick""",
     "part", inst=INST, cat="SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx, count(*) OVER () AS n FROM gf")
 add("r15_r16_recommend_factors", "user:i rank:i item:s score:f", lambda d: recommend_factors(d))
 
@@ -279,11 +285,11 @@ def recommend_factors(d: BasketData) -> DataFrame:
 
 
 add("r17_sample_triples", "draw:i user:i i:s j:s", lambda d: factors.sample_triples(d.hist, d.hist.count(), 3),
-    f"""SELECT d.draw, b.usr, x.item AS i, y.item AS j FROM (SELECT draw, {sql.hash32("'3:' || draw || ':b'")} % total AS pick FROM
-    (SELECT unnest(range(1, (SELECT count(*) FROM hist) + 1)) AS draw), n_all) d JOIN (SELECT usr, t, size, row_number() OVER (ORDER BY usr, t) - 1 AS pick FROM sizes) b USING (pick)
-    JOIN slots x ON x.usr = b.usr AND x.t = b.t AND x.slot = {sql.hash32("'3:' || draw || ':i'")} % size
-    JOIN slots y ON y.usr = b.usr AND y.t = b.t AND y.slot = {sql.hash32("'3:' || draw || ':j'")} % size""",
-    slots="SELECT usr, t, item, row_number() OVER (PARTITION BY usr, t ORDER BY item) - 1 AS slot FROM hist")
+    f"""SELECT d.draw, b.usr, x.item AS i, y.item AS j FROM (SELECT draw, {sql.hash60("'3:' || draw || ':b'")} % total AS pick FROM
+    (SELECT unnest(range(1, (SELECT count(*) FROM hist) + 1)) AS draw), n_all) d JOIN (SELECT usr, t, size, row_number() OVER (ORDER BY usr, t) - 1 AS pick FROM qsizes) b USING (pick)
+    JOIN slots x ON x.usr = b.usr AND x.t = b.t AND x.slot = {sql.hash60("'3:' || draw || ':i'")} % size
+    JOIN slots y ON y.usr = b.usr AND y.t = b.t AND y.slot = {sql.hash60("'3:' || draw || ':j'")} % size""",
+    slots=f"SELECT usr, t, item, row_number() OVER (PARTITION BY usr, t ORDER BY item, copy) - 1 AS slot FROM ({BOUGHT})", qsizes=QSIZES)
 add("r18_r19_recommend_embeddings", "user:i rank:i item:s score:f", lambda d: factors.recommend_embeddings(
     factors.fit_embeddings(d.hist, 16), d.hist, d.served, ensemble=True))
 
@@ -299,13 +305,14 @@ def _prob(d: BasketData) -> DataFrame:
 
 LOYAL = {"bshare": "SELECT usr, item, c / n::DOUBLE AS v FROM uf JOIN h_end USING (usr)",
          "prob": """SELECT usr, item, exp(v) / (sum(exp(v)) OVER (PARTITION BY usr) + (SELECT count(*) FROM gf) - count(*) OVER (PARTITION BY usr)) AS p FROM bshare""",
-         "cum": "SELECT usr, t, size, sum(size) OVER (PARTITION BY usr ORDER BY t) - size AS before FROM sizes",
-         "grid": """SELECT f.usr, f.item, c.t, c.size, c.before, f.first, (h.item IS NOT NULL) AS here FROM (SELECT usr, item, min(t) AS first FROM hist GROUP BY usr, item) f
-           JOIN cum c ON c.usr = f.usr AND c.t >= f.first LEFT JOIN hist h ON h.usr = f.usr AND h.item = f.item AND h.t = c.t""",
+         "qsizes": QSIZES, "cum": "SELECT usr, t, size, sum(size) OVER (PARTITION BY usr ORDER BY t) - size AS before FROM qsizes",
+         "grid": """SELECT *, row_number() OVER (PARTITION BY usr, item ORDER BY t, copy) AS step FROM (SELECT f.usr, f.item, c.t, c.size, c.before, (h.item IS NOT NULL) AS here,
+           unnest(range(1, coalesce(h.qty, 1) + 1)) AS copy FROM (SELECT usr, item, min(t) AS first FROM hist GROUP BY usr, item) f
+           JOIN cum c ON c.usr = f.usr AND c.t >= f.first LEFT JOIN hist h ON h.usr = f.usr AND h.item = f.item AND h.t = c.t)""",
          }
-FOLD_L = """fold_l(usr, item, t, q, l) AS (SELECT usr, item, t, 1.0::DOUBLE / (before + size), 0.5::DOUBLE FROM grid WHERE t = first UNION ALL
-  SELECT g.usr, g.item, g.t, (f.q * before + here::INT) / (before + size), CASE WHEN here THEN (f.q * f.l + 1e-10) / (f.q * f.l + p * (1 - f.l) + 1e-10)
-  ELSE ((1 - f.q) * f.l + 1e-10) / ((1 - f.q) * f.l + (1 - p) * (1 - f.l) + 1e-10) END FROM fold_l f JOIN grid g ON g.usr = f.usr AND g.item = f.item AND g.t = f.t + 1
+FOLD_L = """fold_l(usr, item, step, q, l) AS (SELECT usr, item, step, 1.0::DOUBLE / (before + size), 0.5::DOUBLE FROM grid WHERE step = 1 UNION ALL
+  SELECT g.usr, g.item, g.step, (f.q * before + here::INT) / (before + size), CASE WHEN here THEN (f.q * f.l + 1e-10) / (f.q * f.l + p * (1 - f.l) + 1e-10)
+  ELSE ((1 - f.q) * f.l + 1e-10) / ((1 - f.q) * f.l + (1 - p) * (1 - f.l) + 1e-10) END FROM fold_l f JOIN grid g ON g.usr = f.usr AND g.item = f.item AND g.step = f.step + 1
   JOIN prob ON prob.usr = f.usr AND prob.item = f.item)"""
 
 
@@ -314,15 +321,15 @@ def _loyal(d: BasketData) -> DataFrame:
 
 
 LOYAL["fold_l"] = FOLD_L
-LOYAL["loyal"] = "SELECT usr, item, last(q ORDER BY t) AS q, last(l ORDER BY t) AS l FROM fold_l GROUP BY usr, item"
+LOYAL["loyal"] = "SELECT usr, item, last(q ORDER BY step) AS q, last(l ORDER BY step) AS l FROM fold_l GROUP BY usr, item"
 add("r20_loyalty", "user:i item:s q:f l:f", _loyal, "SELECT * FROM loyal", **LOYAL)
 add("r21_loyalty_blend", "user:i item:s score:f", lambda d: loyalty.loyalty_blend(recommend.basket_share(d.hist).withColumnRenamed("v", "score"), _loyal(d)),
     """SELECT usr, item, q * l + p * (1 - l) AS score FROM (SELECT usr, item, exp(v) / sum(exp(v)) OVER (PARTITION BY usr) AS p FROM bshare) JOIN loyal USING (usr, item)""", **LOYAL)
 add("r22_recommend_popular", LIST, lambda d: recommend.recommend_popular(d.hist, d.users), "SELECT * FROM popular_list")
 add("r22_recommend_popular_personal", "user:i rank:i item:i score:f", lambda d: recommend.recommend_popular(d.hist, d.users, personal=True),
     sql.top("""(SELECT usr, item, coalesce(c, 0) + jit AS score FROM (SELECT usr, item, c FROM uf UNION ALL SELECT u.usr, j.item, 0 FROM users u,
-    (SELECT item FROM jitter ORDER BY round(jit, 10) DESC, item LIMIT 10) j WHERE NOT EXISTS (SELECT 1 FROM uf WHERE uf.usr = u.usr AND uf.item = j.item)) JOIN jitter USING (item))""",
-            10, "round(score, 10) DESC, item"), "part")
+    (SELECT item FROM jitter ORDER BY sig(jit) DESC, item LIMIT 10) j WHERE NOT EXISTS (SELECT 1 FROM uf WHERE uf.usr = u.usr AND uf.item = j.item)) JOIN jitter USING (item))""",
+            10, "sig(score) DESC, item"), "part")
 add("r23_frequency_maps", "user:i n_baskets:i n_items:i purchases:i", lambda d: _maps(d),
     "SELECT usr, n AS n_baskets, count(*) AS n_items, sum(c) AS purchases FROM uf JOIN h_end USING (usr) GROUP BY usr, n")
 
@@ -360,7 +367,7 @@ def _dense_knn(d: BasketData) -> DataFrame:
 
 
 add("n3_dot_top_k", "user:i rank:i item:i score:f", _dense_knn,
-    """SELECT usr, rank, item, score FROM (SELECT usr, item, score, row_number() OVER (PARTITION BY usr ORDER BY round(score, 10) DESC, item) AS rank FROM
+    """SELECT usr, rank, item, score FROM (SELECT usr, item, score, row_number() OVER (PARTITION BY usr ORDER BY sig(score) DESC, item) AS rank FROM
     (SELECT a.vec_id AS usr, b.vec_id AS item, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b)) WHERE rank <= 10""")
 
 
@@ -411,7 +418,7 @@ add("y10_row_weights", SIM, lambda d: neighbors.similarity(_item_cells(d), "cosi
     **_sim_sql("sqrt(x) * sqrt(y) + 1e-6", weight="1.0::DOUBLE / count(*) OVER (PARTITION BY usr)"))
 add("y11_recommend_user_knn", LIST, lambda d: recommend.recommend_user_knn(recommend.interactions(d.hist), neighbors.similarity(_user_cells(d), "asymmetric", 100, 1000.0)),
     sql.top("(SELECT s.usr, uf.item, sum(sim * uf.c) AS score FROM u_sim s JOIN uf ON uf.usr = s.other WHERE s.usr <> s.other AND NOT EXISTS "
-            "(SELECT 1 FROM uf o WHERE o.usr = s.usr AND o.item = uf.item) GROUP BY s.usr, uf.item)", 10, "round(score, 10) DESC, item"), **USIM)
+            "(SELECT 1 FROM uf o WHERE o.usr = s.usr AND o.item = uf.item) GROUP BY s.usr, uf.item)", 10, "sig(score) DESC, item"), **USIM)
 
 # Evaluation -----------------------------------------------------------------------------------
 
@@ -447,10 +454,10 @@ AUC = {"dense": """SELECT u.usr, s.item, round(coalesce(c, 0) + s.v, 10) AS scor
        "auc": """SELECT p.usr, p.item, (n_neg - wrong) / n_neg AS auc, 1.0 / log2(2.0 + wrong) AS ndcg FROM (SELECT p.usr, p.item, count(*)::DOUBLE AS n_neg,
          count(*) FILTER (WHERE n.score >= p.score)::DOUBLE AS wrong FROM dense p JOIN dense n ON n.usr = p.usr WHERE EXISTS (SELECT 1 FROM target t WHERE t.usr = p.usr AND t.item = p.item)
          AND NOT EXISTS (SELECT 1 FROM target t WHERE t.usr = n.usr AND t.item = n.item) GROUP BY p.usr, p.item) p"""}
-add("m13_rank_auc", "user:i item:s auc:f ndcg:f", lambda d: metrics.rank_auc(_dense_scores(d), d.target), "SELECT * FROM auc", **AUC)
+add("m13_rank_auc", "user:i item:s qty:i auc:f ndcg:f", lambda d: metrics.rank_auc(_dense_scores(d), d.target), "SELECT auc.*, qty FROM auc JOIN target USING (usr, item)", **AUC)
 add("m14_warm_cold", "population:s auc:f ndcg:f", lambda d: metrics.warm_cold(metrics.rank_auc(_dense_scores(d), d.target), d.hist),
-    """SELECT population, avg(auc) AS auc, avg(ndcg) AS ndcg FROM (SELECT usr, population, avg(auc) AS auc, avg(ndcg) AS ndcg FROM (SELECT *, 'all' AS population FROM auc UNION ALL
-    SELECT auc.*, CASE WHEN uf.item IS NULL THEN 'cold' ELSE 'warm' END FROM auc LEFT JOIN uf USING (usr, item)) GROUP BY usr, population) GROUP BY population""", **AUC)
+    """SELECT population, avg(auc) AS auc, avg(ndcg) AS ndcg FROM (SELECT usr, population, sum(auc * qty) / sum(qty) AS auc, sum(ndcg * qty) / sum(qty) AS ndcg FROM target JOIN (SELECT *, 'all' AS population FROM auc UNION ALL
+    SELECT auc.*, CASE WHEN uf.item IS NULL THEN 'cold' ELSE 'warm' END FROM auc LEFT JOIN uf USING (usr, item)) USING (usr, item) GROUP BY usr, population) GROUP BY population""", **AUC)
 add("m15_panel_ndcg5", "dataset:s fold:i user:i method:s score:f", lambda d: metrics.build_panel(d.scores, d.split, "nDCG@5", d.groups), "SELECT * FROM panel")
 add("m15_panel_recall5", "dataset:s fold:i user:i method:s score:f", lambda d: metrics.build_panel(d.scores, d.split, "recall@5", d.groups),
     'SELECT dataset, fold, usr, method, "recall@5" AS score FROM scores JOIN usr_ds USING (usr)')
@@ -475,7 +482,7 @@ GRID = {"nn": """SELECT unnest(CASE WHEN len(ok) > 0 THEN ok ELSE [10, 50, 100,
 TRIAL = "trial_id:i neighbors:i decay:f groups:i low:f high:f"
 add("h1_grid", TRIAL, _data_grid, "SELECT * FROM grid_all", **GRID)
 add("h2_constrain", TRIAL, lambda d: trials.constrain(_data_grid(d), "low < high"), "SELECT * FROM grid_all WHERE low < high", **GRID)
-add("h3_subset", TRIAL, lambda d: trials.subset(_data_grid(d), 12, 5), f"SELECT * FROM grid_all ORDER BY {sql.hash32(chr(39) + '5:' + chr(39) + ' || trial_id')}, trial_id LIMIT 12", **GRID)
+add("h3_subset", TRIAL, lambda d: trials.subset(_data_grid(d), 12, 5), f"SELECT * FROM grid_all ORDER BY {sql.hash60(chr(39) + '5:' + chr(39) + ' || trial_id')}, trial_id LIMIT 12", **GRID)
 add("h4_neighbor_range", "neighbors:i", _train_range, "SELECT * FROM nn", **GRID)
 
 
@@ -504,8 +511,8 @@ def _similarity_trials(d: BasketData) -> DataFrame:
 
 def _grid_sql(scored: str) -> dict[str, str]:
     """Padded lists and mean metrics per trial from `scored(trial_id, usr, item, score)`."""
-    return {"gl_own": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, usr ORDER BY round(score, 10) DESC, item DESC) AS rank FROM {scored}
-              WHERE round(score, 10) > 0) WHERE rank <= 10""",
+    return {"gl_own": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, usr ORDER BY sig(score) DESC, item DESC) AS rank FROM {scored}
+              WHERE score > 0) WHERE rank <= 10""",
             "gl": """SELECT * FROM (SELECT trial_id, usr, item, row_number() OVER (PARTITION BY trial_id, usr ORDER BY given DESC, r, item DESC) AS rank FROM
               (SELECT trial_id, usr, item, 1 AS given, rank AS r FROM gl_own UNION ALL SELECT u.trial_id, u.usr, p.item, 0, 0 FROM (SELECT DISTINCT trial_id, usr FROM gl_own) u,
               (SELECT item FROM gf ORDER BY item DESC LIMIT 10) p WHERE NOT EXISTS (SELECT 1 FROM gl_own x WHERE x.trial_id = u.trial_id AND x.usr = u.usr AND x.item = p.item)))
@@ -590,36 +597,33 @@ add("g8_vif", "dataset:s feature:s vif:f n_users:i", lambda d: regression.vif(d.
 BOOT = "dataset:s fold:i method_a:s method_b:s mean_difference:f ci_low:f ci_high:f"
 
 
-def _boot_draws(n, seed):
+REPLICATES = 1000
+
+
+def _boot_sql(seed):
     return {"m_diff": "SELECT dataset, fold, usr, method_a, method_b, a - b AS d FROM m_pairs",
-            "people": "SELECT *, row_number() OVER (PARTITION BY dataset, fold ORDER BY usr) - 1 AS pos, count(*) OVER (PARTITION BY dataset, fold) AS n FROM (SELECT DISTINCT dataset, fold, usr FROM panel)",
-            "draws": f"""SELECT dataset, fold, rep, {sql.hash32(f"'{seed}:' || rep || ':' || pos")} % n AS pos, count(*) AS w FROM people, range(1, {n + 1}) r(rep) GROUP BY ALL""",
-            "reps": """SELECT dataset, fold, method_a, method_b, rep, sum(d * w) / sum(w)::DOUBLE AS boot FROM m_diff JOIN people USING (dataset, fold, usr) JOIN draws USING (dataset, fold, pos) GROUP BY ALL""",
+            "people": "SELECT DISTINCT usr FROM panel",
+            "draws": f"""SELECT usr, rep, {_poisson_sql('u')} AS w FROM (SELECT usr, rep, {sql.hash60(f"'{seed}:' || rep || ':' || usr")} / {sql.UNIT} AS u
+              FROM people, range(1, {REPLICATES + 1}) r(rep))""",
+            "reps": "SELECT dataset, fold, method_a, method_b, rep, sum(d * w) / nullif(sum(w), 0)::DOUBLE AS boot FROM m_diff JOIN draws USING (usr) GROUP BY ALL",
             "boot": """SELECT *, ci_low > 0 AS a_significantly_better, ci_high < 0 AS b_significantly_better FROM (SELECT dataset, fold, method_a, method_b, avg(d) AS mean_difference FROM m_diff GROUP BY ALL) JOIN
               (SELECT dataset, fold, method_a, method_b, quantile_cont(boot, 0.025) AS ci_low, quantile_cont(boot, 0.975) AS ci_high FROM reps GROUP BY ALL) USING (dataset, fold, method_a, method_b)"""}
 
 
 def _poisson_sql(u):
-    cut, term, parts = 0.0, math.exp(-1.0), []
-    for n in range(1, 12):
-        cut += term
-        parts.append(f"(CASE WHEN {u} >= {cut!r}::DOUBLE THEN 1 ELSE 0 END)")
-        term /= n
-    return " + ".join(parts)
+    return " + ".join(f"(CASE WHEN {u} >= {float(cut)!r}::DOUBLE THEN 1 ELSE 0 END)" for cut in poisson_cuts())
 
 
 def _pair_diffs(d: BasketData) -> DataFrame:
     return study.method_pairs(d.panel, METHODS).withColumn("diff", F.col("a") - F.col("b"))
 
 
-add("g9_bootstrap_mean_diff", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", 200, 11,
-    "draws", ["dataset", "fold"]), "SELECT * FROM boot", **_boot_draws(200, 11))
-add("g9_bootstrap_poisson", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", 200, 11,
-    "poisson", ["dataset", "fold"]),
-    "SELECT * FROM boot", **{**_boot_draws(200, 11), "reps": f"""SELECT dataset, fold, method_a, method_b, rep, sum(d * w) / nullif(sum(w), 0)::DOUBLE AS boot FROM (SELECT *, {_poisson_sql('u')} AS w FROM
-    (SELECT *, {sql.hash32("'11:' || rep || ':' || usr")} / 4294967296.0 AS u FROM m_diff, range(1, 201) r(rep))) GROUP BY ALL"""})
+add("g9_bootstrap_mean_diff", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", REPLICATES, 11),
+    "SELECT * FROM boot", **_boot_sql(11))
+add("g9_bootstrap_poisson", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", REPLICATES, 12),
+    "SELECT * FROM boot", **_boot_sql(12))
 add("g10_bootstrap_ols", "dataset:s outcome:s feature:s coef:f n_users:i ci_level:f bootstrap_mean:f bootstrap_sd:f ci_low:f ci_high:f ci_sign:s", lambda d: regression.bootstrap_ols(
-    d.features, GX, GY, ["dataset"], n=200))
+    d.features, GX, GY, ["dataset"], n=REPLICATES))
 add("g11_sign_label", "dataset:s method:s sign:s", lambda d: study.benchmark_by_fold(d.panel).groupBy("dataset", "method").agg(
     study.sign_of(F.col("mean_score") - 0.1).alias("sign")), f"SELECT dataset, method, {sql.sign('(mean_score - 0.1)')} AS sign FROM by_fold GROUP BY dataset, method")
 add("g12_fold_side_by_side", "dataset:s method:s mean_score_k0:f mean_score_k1:f mean_score_k2:f mean_score_mean:f mean_score_sd:f", lambda d: stats.fold_side_by_side(
@@ -633,8 +637,8 @@ add("q1_benchmark_by_fold", "dataset:s fold:i method:s mean_score:f", lambda d:
 add("q2_benchmark_summary", "dataset:s method:s n_folds:i mean:f fold_sd:f min:f max:f rank:i", lambda d: study.benchmark_summary(d.panel),
     """SELECT *, rank() OVER (PARTITION BY dataset ORDER BY round(mean, 9) DESC) AS rank FROM (SELECT dataset, method, count(*) AS n_folds, avg(mean_score) AS mean,
     stddev_pop(mean_score) AS fold_sd, min(mean_score) AS min, max(mean_score) AS max FROM by_fold GROUP BY dataset, method)""")
-add("q3_pairwise_bootstrap", BOOT + " a_significantly_better:b b_significantly_better:b", lambda d: study.pairwise_bootstrap(d.panel, METHODS, 200, 0),
-    "SELECT * FROM boot", **_boot_draws(200, 0))
+add("q3_pairwise_bootstrap", BOOT + " a_significantly_better:b b_significantly_better:b", lambda d: study.pairwise_bootstrap(d.panel, METHODS, REPLICATES, 0),
+    "SELECT * FROM boot", **_boot_sql(0))
 add("q4_all_zero_users", "dataset:s fold:i n_users:i n_all_zero:i all_zero_rate:f", lambda d: study.all_zero_users(d.panel),
     f"""SELECT dataset, fold, count(*) AS n_users, count(*) FILTER (WHERE z) AS n_all_zero, {sql.rate('z')} AS all_zero_rate FROM
     (SELECT dataset, fold, usr, max(abs(score)) <= 1e-12 AS z FROM panel GROUP BY dataset, fold, usr) GROUP BY dataset, fold""")
@@ -726,7 +730,7 @@ add("q30_bootstrap_effects", "dataset:s fold:i method:s feature:s n_users:i coef
 EVID = "n_folds:i coef_mean:f coef_sd_across_folds:f point_direction:s n_folds_ci_support:i evidence:s"
 add("q31_evidence", f"dataset:s method:s feature:s {EVID}", lambda d: study.evidence(d.boot))
 add("q32_cross_dataset", "method:s feature:s coef_mean_across_datasets:f n_datasets_positive:i n_datasets_negative:i n_datasets_mixed_folds:i n_datasets_strong:i n_datasets_moderate:i "
-    "n_datasets_directional:i n_datasets_mixed:i cross_dataset_direction:s", lambda d: study.cross_dataset(study.evidence(d.boot), 5))
+    "n_datasets_directional:i n_datasets_mixed:i cross_dataset_direction:s", lambda d: study.cross_dataset(study.evidence(d.boot)))
 add("q33_oracle_users", "dataset:s fold:i user:i global_method:s global_score:f oracle_score:f global_regret:f all_zero:b n_winners:i oracle_winners:s unique_winner:s second_best_score:f oracle_margin:f",
     lambda d: study.oracle_users(d.panel, METHODS), "SELECT * FROM o_users")
 SUMMARY = ("n_users:i n_nonzero_users:i n_all_zero_users:i all_zero_rate:f global_method:s tied_methods:s n_ties:i global_best_mean:f oracle_mean:f headroom_abs:f headroom_relative:f "
@@ -744,9 +748,9 @@ add("q37_competence_averages", "dataset:s " + " ".join(f"{c}:f" for c in AVG), l
     "SELECT dataset, " + ", ".join(f"avg({c}) AS {c}" for c in AVG) + " FROM comp_sum GROUP BY dataset")
 add("q37_winner_averages", "dataset:s method:s mean_score:f winner_share:f unique_winner_share:f", lambda d: study.winner_averages(study.winner_share(d.panel)),
     "SELECT dataset, method, avg(mean_score) AS mean_score, avg(winner_share_nonzero_users) AS winner_share, avg(unique_winner_share_nonzero_users) AS unique_winner_share FROM w_share GROUP BY dataset, method")
-add("q37_top_pairs", "dataset:s rank:i method_a:s method_b:s pair_oracle_gain:f success_set_jaccard:f unique_success_fraction:f", lambda d: study.top_pairs(study.complementarity(d.panel, METHODS), 3),
+add("q37_top_pairs", "dataset:s rank:i method_a:s method_b:s pair_oracle_gain:f success_set_jaccard:f unique_success_fraction:f", lambda d: study.top_pairs(study.complementarity(d.panel, METHODS), 10),
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(pair_oracle_gain, 9) DESC, method_a, method_b) AS rank FROM (SELECT dataset, method_a, method_b,
-    avg(pair_oracle_gain) AS pair_oracle_gain, avg(success_set_jaccard) AS success_set_jaccard, avg(unique_success_fraction) AS unique_success_fraction FROM compl GROUP BY ALL)) WHERE rank <= 3""")
+    avg(pair_oracle_gain) AS pair_oracle_gain, avg(success_set_jaccard) AS success_set_jaccard, avg(unique_success_fraction) AS unique_success_fraction FROM compl GROUP BY ALL)) WHERE rank <= 10""")
 add("q38_nonzero_comparison", "dataset:s fold:i method:s feature:s coef_all:f coef_nonzero:f n_users:i r2:f same_sign:b delta:f", lambda d: study.nonzero_comparison(d.regression, METHODS))
 add("q38_sign_agreement", "dataset:s sign_agreement:f", lambda d: study.sign_agreement(study.nonzero_comparison(d.regression, METHODS)))
 
