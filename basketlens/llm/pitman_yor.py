@@ -86,7 +86,7 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
                     code, n = np.concatenate(parts, axis=1)
                     keys, at = np.unique(code, return_inverse=True)
                     sums = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(keys), pa.array(sums)], ["kind", "code", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys), pa.array(sums)], ["kind", "code", "n"])
 
     counts = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).mapInArrow(run, "kind string, code bigint, n bigint")
     return counts.groupBy("kind", "code").agg(F.sum("n").alias("n"))
@@ -279,7 +279,7 @@ def _sample(batches: Iterator[pa.RecordBatch], short: np.ndarray, seed: list[int
     mean, upper, tables = _run_trees(levels, short, [*seed, int(code.min() & 0xFFFFFF)], sweeps, kept)
 
     def batch(part: str, k: int, codes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(codes)), pa.array(np.full(len(codes), k, dtype=np.int32)),
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(codes), pa.string()), pa.array(np.full(len(codes), k, dtype=np.int32)),
                                            pa.array(codes.astype(np.int64)), pa.array(values.astype(np.float64))], ["part", "depth", "code", "value"])
 
     yield batch("t", 2, upper, tables)
