@@ -7,7 +7,8 @@ bins: a document moves, or one is swapped for one, one for two or two for one, s
 emptier loses. Every exchange raises the sum of squared fills, and the emptiest bin is emptied while the others have room for it.
 Bins that stay underfull in their blocks are opened again and packed together in a second round.
 
-Token ids are written once with the pieces and never shuffled; packing moves only (row, piece, length).
+Token ids are written once with the pieces; packing moves only (row, piece, length). A caller who drops `ids` from the result keeps them out
+of the last join as well.
 
 Defined results: a NULL or empty text is a document of the end id alone; rows that repeat an id are documents of their
 own, told apart by `row`; an empty table gives an empty result.
@@ -34,7 +35,7 @@ from .textcode import LOWER, Block, blocks, per_doc
 LIMIT = 4096
 END = 1
 BLOCK = 20_000
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 PACKED = 1 << 62
 SECOND = 1 << 61
 
