@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, with their token ids and place in a sequence."""
-    return swap_packing.pack_documents(docs, tokenizer_path())
+    """Pieces of the documents and their place in a sequence. Token ids are left out, so that they are not shuffled; their CRC-32 stays."""
+    return swap_packing.pack_documents(docs, tokenizer_path()).drop("ids")
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mix sources", mix_sources), ("pack sequences", pack_sequences)]
