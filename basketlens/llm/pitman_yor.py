@@ -5,12 +5,15 @@ the five symbols before it, so the product is the probability of the words and t
 of five symbols is a restaurant, its customers are the symbols that follow; a table's first customer also enters the
 restaurant of the shorter context, which all contexts with that ending share, down to the empty context.
 
-Counting covers every training text. Events rarer than one in MOST_EVENTS are seated in the shorter context only, so a level has at
-most MOST_EVENTS of them, which bounds the model that is broadcast. Restaurants are dealt to tasks by the last two
+Counting covers every training text, and every event is seated in its full context whatever the size of the input, so the model
+grows with it and stays a table. Restaurants are dealt to tasks by the last two
 symbols of their contexts: whole trees of them sit in one task, and only tables of the two shortest levels (at most 257^2 kinds) come to
 the driver. Gibbs sweeps take each dish's customers out of a restaurant and seat them again by the restaurant's rule given the
 others; predictive probabilities are averaged over the last sweeps.
 
+Scores are exact under the whole model: the probabilities of the most frequent events, at most MOST_EVENTS, are broadcast; a text's other
+events are counted, each distinct one is looked up once among the restaurants of its ending, and joined back.
+
 Unigram counts for the plain base score are exact: words above one in MOST_WORDS are broadcast, the others are joined.
 
 Defined results: a NULL or empty text is the end alone; without training texts every symbol has probability 1/257 and the
@@ -20,16 +23,18 @@ base score is 0; rows that repeat an id are scored each; NULL ids are scored lik
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from .common import col
+from .common import attach, col
 from .textcode import Block, Runs, blocks, per_doc
 
 MOST_EVENTS = 1 << 22
@@ -184,14 +189,33 @@ def _run_trees(levels: list[Level], short: np.ndarray, seed: list[int], sweeps:
 
 @dataclass
 class Model:
-    """Average probabilities: after one symbol as a table; for longer contexts sorted event codes and contexts of each length."""
+    """Average probabilities after one symbol as an array; for longer contexts a staged table: part ('p' event, 'b' context), depth, code, value, and an event's n."""
 
     short: np.ndarray
-    events: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
+    table: DataFrame
 
     def parts(self) -> tuple:
-        return self.short, self.events, self.contexts
+        """The whole model in the driver, for small ones."""
+        return self.short, *_sorted(self.table.toArrow())
+
+    @property
+    def contexts(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return self.parts()[2]
+
+
+def _sorted(rows: pa.Table) -> tuple[dict, dict]:
+    """Sorted event codes and contexts of each length, with log10 of their values."""
+    part, depth = rows.column("part").to_numpy(zero_copy_only=False), rows.column("depth").to_numpy()
+    code, value = rows.column("code").to_numpy(), rows.column("value").to_numpy()
+    made: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+    for kind in ("p", "b"):
+        into = {}
+        for k in range(2, ORDER):
+            which = np.flatnonzero((part == kind) & (depth == k))
+            order = which[np.argsort(code[which])]
+            into[k] = (code[order], np.log10(value[order]))
+        made.append(into)
+    return made[0], made[1]
 
 
 def _short_levels(direct: np.ndarray, seed: list[int], sweeps: int, kept: int) -> np.ndarray:
@@ -218,54 +242,34 @@ def _short_levels(direct: np.ndarray, seed: list[int], sweeps: int, kept: int) -
     return mean
 
 
-_DONE = "part string, depth int, code bigint, value double"
+_DONE = "part string, depth int, code bigint, value double, n bigint"
 
 
 def fit(counts: DataFrame, rounds: int = 3, sweeps: int = 8, kept: int = 4, seed: int = 11) -> Model:
     """The model from the staged table of `count`."""
-    events = counts.where("kind = 'e'")
-    total = events.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // MOST_EVENTS))
-    levels = None
-    rest = events.select("code", "n")
-    for depth in range(ORDER - 1, 1, -1):
-        seated = rest.where(F.col("n") >= least).select(F.lit(depth).alias("depth"), "code", "n")
-        levels = seated if levels is None else levels.unionByName(seated)
-        shorter = F.col("code").bitwiseAND(F.lit((1 << 8 * depth) - 1))
-        rest = rest.where(F.col("n") < least).groupBy(shorter.alias("code")).agg(F.sum("n").alias("n"))
-    direct = np.zeros((256, 256), dtype=np.int64)
-    if total:
-        for r in rest.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("code")).agg(F.sum("n").alias("n")).collect():
-            direct[r["code"] >> 8, r["code"] & 0xFF] += r["n"]
+    events = counts.where("kind = 'e'").select("code", "n")
     pairs = np.zeros((256, 256), dtype=np.int64)
     for r in events.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("code")).agg(F.sum("n").alias("n")).collect():
         pairs[r["code"] >> 8, r["code"] & 0xFF] = r["n"]
     short = _short_levels(pairs, [seed], sweeps, kept)
-    if not total:
-        return Model(short, {}, {})
-    ending = F.shiftright(F.col("code"), 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = stage(levels)
+    if not pairs.any():
+        return Model(short, counts.sparkSession.createDataFrame([], _DONE))
     got = None
     for r in range(rounds):
         last = r == rounds - 1
         run = functools.partial(_sample, short=short, seed=[seed, r + 1], sweeps=sweeps, kept=kept, last=last)
-        out = dealt.repartition(ending).mapInArrow(run, _DONE)
-        got = stage(out)
-        entered = direct.copy()
+        got = stage(events.repartition(_ending(F.col("code"))).mapInArrow(run, _DONE))
+        entered = np.zeros((256, 256), dtype=np.int64)
         tables = got.where("part = 't'").groupBy("code").agg(F.sum("value").cast("bigint").alias("n")).collect()
         for x in tables:
             entered[x["code"] >> 8, x["code"] & 0xFF] += x["n"]
         short = _short_levels(entered, [seed, 100 + r], sweeps, kept)
-    made = got.where("part <> 't'").toArrow()
-    part, depth = made.column("part").to_numpy(), made.column("depth").to_numpy()
-    code, value = made.column("code").to_numpy(), made.column("value").to_numpy()
-    tables_of: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {"p": {}, "b": {}}
-    for kind, into in tables_of.items():
-        for k in range(2, ORDER):
-            which = (part == kind) & (depth == k)
-            order = np.argsort(code[which])
-            into[k] = (code[which][order], np.log10(value[which][order]))
-    return Model(short, tables_of["p"], tables_of["b"])
+    return Model(short, got.where("part <> 't'"))
+
+
+def _ending(code: Column) -> Column:
+    """The last two symbols of an event's context."""
+    return F.shiftright(code, 8).bitwiseAND(F.lit(0xFFFF))
 
 
 def _sample(batches: Iterator[pa.RecordBatch], short: np.ndarray, seed: list[int], sweeps: int, kept: int, last: bool) -> Iterator[pa.RecordBatch]:
@@ -274,18 +278,19 @@ def _sample(batches: Iterator[pa.RecordBatch], short: np.ndarray, seed: list[int
     if not got:
         return
     rows = pa.Table.from_batches(got)
-    depth, code, n = (rows.column(c).to_numpy() for c in ("depth", "code", "n"))
-    levels = _trees({k: (code[depth == k], n[depth == k]) for k in range(2, ORDER)})
+    code, n = (rows.column(c).to_numpy() for c in ("code", "n"))
+    levels = _trees({ORDER - 1: (code, n)})
     mean, upper, tables = _run_trees(levels, short, [*seed, int(code.min() & 0xFFFFFF)], sweeps, kept)
 
-    def batch(part: str, k: int, codes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    def batch(part: str, k: int, codes: np.ndarray, values: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part] * len(codes), pa.string()), pa.array(np.full(len(codes), k, dtype=np.int32)),
-                                           pa.array(codes.astype(np.int64)), pa.array(values.astype(np.float64))], ["part", "depth", "code", "value"])
+                                           pa.array(codes.astype(np.int64)), pa.array(values.astype(np.float64)),
+                                           pa.array(np.zeros(len(codes), dtype=np.int64) if n is None else n.astype(np.int64))], ["part", "depth", "code", "value", "n"])
 
     yield batch("t", 2, upper, tables)
     if last:
         for level, (chance, back) in zip(levels, mean):
-            yield batch("p", level.depth, level.codes, chance)
+            yield batch("p", level.depth, level.codes, chance, level.direct)
             yield batch("b", level.depth, level.contexts, back)
 
 
@@ -304,33 +309,93 @@ def _log_chance(codes: np.ndarray, short: np.ndarray, events: dict, contexts: di
     return out
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Carried columns, n_tokens, n_known, train_tokens, base_score, score."""
+def _frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes of the most frequent whole events, at most `most`, and log10 of their probabilities."""
+    whole = table.where((F.col("part") == "p") & (F.col("depth") == ORDER - 1))
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    least, total = math.inf, 0
+    for r in sorted(whole.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("kinds")).collect(), reverse=True):
+        total += r["kinds"]
+        if total > most:
+            break
+        least = r["step"]
+    got = whole.where(step >= F.lit(float(least))).select("code", "value").toArrow()
+    code, value = got.column("code").to_numpy(), got.column("value").to_numpy()
+    order = np.argsort(code)
+    return code[order], np.log10(value[order])
+
+
+def _look_up(model: Model, codes: DataFrame) -> DataFrame:
+    """`codes` (code, rows) with `log`, log10 of each code's probability under the whole model."""
+    short = model.short
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        asked = rows.filter(pc.equal(rows.column("part"), "q"))
+        if not asked.num_rows:
+            return
+        code = asked.column("code").to_numpy()
+        log = _log_chance(code, short, *_sorted(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(asked.column("n").to_numpy()), pa.array(log)], ["code", "rows", "log"])
+
+    asked = codes.select(F.lit("q").alias("part"), F.lit(ORDER - 1).alias("depth"), "code", F.lit(0.0).alias("value"), F.col("rows").alias("n"))
+    ending = F.when(F.col("part") == "b", F.col("code").bitwiseAND(F.lit(0xFFFF))).otherwise(_ending(F.col("code")))
+    return model.table.unionByName(asked).repartition(ending).mapInArrow(run, "code bigint, rows bigint, log double")
+
+
+def _counted(size: int, doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of distinct codes per text, the codes text by text, and how often each occurs in its text."""
+    order = np.lexsort((code, doc))
+    doc, code = doc[order], code[order]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (np.diff(code) != 0) | (np.diff(doc) != 0)
+    starts = np.flatnonzero(new)
+    return per_doc(size, doc[starts]), code[starts], np.diff(np.append(starts, len(code)))
+
+
+def _lists(counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """List columns of the codes and of their counts."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([x[0] for x in counted]))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in counted]).astype(np.int64))) for k in (1, 2)]
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), most: int = MOST_EVENTS) -> DataFrame:
+    """Carried columns, n_tokens, n_known, train_tokens, base_score, score. `most` says how many events are broadcast; results do not depend on it."""
     spark = docs.sparkSession
     words = counts.where("kind = 'w'").select("code", "n")
     size = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     train, distinct = size[0] or 0, size[1]
     top = words.where(F.col("n") >= F.lit(max(2, -(-train // MOST_WORDS)))).orderBy("code").toArrow()
-    shared = spark.sparkContext.broadcast((model.parts(), top.column("code").to_numpy(), top.column("n").to_numpy()))
+    shared = spark.sparkContext.broadcast((*_frequent(model.table, most), top.column("code").to_numpy(), top.column("n").to_numpy()))
     source = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(col(text), F.lit("")).alias("text"))
     n_carry = len(carry)
-    made = "row bigint, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, rare_n array<bigint>"
+    made = "row bigint, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, rare_n array<bigint>, event array<bigint>, event_n array<bigint>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        parts, top_code, top_n = shared.value
+        hot_code, hot_log, top_code, top_n = shared.value
         gain = np.log10(top_n + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            lists: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
             for b in blocks(batch.column(n_carry), lower=True):
                 found = b.words()
                 code, first, sizes = _stream(b, found)
                 kinds, at = np.unique(code.view(np.int64), return_inverse=True)
-                logs = _log_chance(kinds, *parts)[at]
-                columns[3].append(np.add.reduceat(logs, first))
+                if len(hot_code):
+                    place = np.minimum(np.searchsorted(hot_code, kinds), len(hot_code) - 1)
+                    is_hot = hot_code[place] == kinds
+                    logs = np.where(is_hot, hot_log[place], 0.0)
+                else:
+                    is_hot, logs = np.zeros(len(kinds), dtype=bool), np.zeros(len(kinds))
+                columns[3].append(np.add.reduceat(logs[at], first))
+                other = np.flatnonzero(~is_hot[at])
+                lists[1].append(_counted(b.size, np.searchsorted(first, other, side="right") - 1, kinds[at[other]]))
                 del code, at, logs
                 doc = np.concatenate([found.doc, np.arange(b.size)])
                 token = np.concatenate([found.hash, np.full(b.size, END_TOKEN, dtype=np.uint64)]).view(np.int64)
@@ -343,26 +408,26 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                     columns[2].append(np.zeros(b.size))
                 columns[0].append(per_doc(b.size, doc))
                 columns[1].append(per_doc(b.size, doc[hit]))
-                other_doc, other = doc[~hit], token[~hit]
-                order = np.lexsort((other, other_doc))
-                other_doc, other = other_doc[order], other[order]
-                new = np.ones(len(other), dtype=bool)
-                new[1:] = (np.diff(other) != 0) | (np.diff(other_doc) != 0)
-                starts = np.flatnonzero(new)
-                lists.append((per_doc(b.size, other_doc[starts]), other[starts], np.diff(np.append(starts, len(other)))))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([x[0] for x in lists]))]).astype(np.int32))
-            rare = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[1] for x in lists])))
-            rare_n = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[2] for x in lists]).astype(np.int64)))
+                lists[0].append(_counted(b.size, doc[~hit], token[~hit]))
             rows = np.arange(row, row + batch.num_rows, dtype=np.int64)
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_carry], pa.array(rows), *[pa.array(np.concatenate(c)) for c in columns[:4]], rare, rare_n],
-                                             [*[f"c{i}" for i in range(n_carry)], "row", "n_tokens", "known", "base", "score", "rare", "rare_n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_carry], pa.array(rows), *[pa.array(np.concatenate(c)) for c in columns[:4]], *_lists(lists[0]), *_lists(lists[1])],
+                                             [*[f"c{i}" for i in range(n_carry)], "row", "n_tokens", "known", "base", "score", "rare", "rare_n", "event", "event_n"])
 
     scored = stage(source.mapInArrow(run, f"{fields}, {made}"))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("code"), F.col("x.rare_n").alias("times"))
-    joined = rare.join(words, "code").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("gain"))
+
+    def listed(codes: str, times: str) -> DataFrame:
+        return scored.select("row", F.explode(F.arrays_zip(codes, times)).alias("x")).select("row", F.col(f"x.{codes}").alias("code"), F.col(f"x.{times}").alias("times"))
+
+    zero = F.lit(0.0)
+    known = listed("rare", "rare_n").join(words, "code").select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("gain"), zero.alias("log"))
+    events = listed("event", "event_n")
+    found = stage(_look_up(model, events.groupBy("code").agg(F.count(F.lit(1)).alias("rows"))))
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    backed = attach(events, found, "code", "rows", total).select("row", F.lit(0).cast("bigint").alias("more"), zero.alias("gain"), (F.col("times") * F.col("log")).alias("log"))
+    joined = known.unionByName(backed).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "gain", "log")])
     whole = F.log10(F.lit(float(train + distinct + 1)))
-    out = scored.drop("rare", "rare_n").join(joined, "row", "left")
+    out = scored.drop("rare", "rare_n", "event", "event_n").join(joined, "row", "left")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
                       F.lit(train).cast("bigint").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), "score")
+                      (F.col("base") + F.coalesce("gain", zero) - F.col("n_tokens") * whole).alias("base_score"), (F.col("score") + F.coalesce("log", zero)).alias("score"))

@@ -94,3 +94,22 @@ def test_null_ids_and_clashing_columns(spark, fitted):
     _, counts, model = fitted
     out = py.score(spark.createDataFrame([(None, "ka", 1)], "doc_id bigint, text string, row int").withColumn("held_out", F.lit(True)), model, counts, carry=("doc_id", "held_out"))
     assert out.count() == 1 and out.columns[:2] == ["doc_id", "held_out"]
+
+
+def test_every_event_is_seated_whatever_the_size(spark, fitted, monkeypatch):
+    """Events seen once keep their full context when there are far more events than are broadcast, and scores do not depend on what is broadcast."""
+    df, counts, model = fitted
+    monkeypatch.setattr(py, "MOST_EVENTS", 8)
+    again = py.fit(counts, rounds=2, sweeps=4, kept=2)
+    codes = {r["code"] for r in counts.where("kind = 'e'").collect()}
+    assert set(again.parts()[1][5][0].tolist()) == codes
+    want = {r["doc_id"]: r["score"] for r in py.score(df, model, counts).collect()}
+    for most in (8, 0):
+        got = {r["doc_id"]: r["score"] for r in py.score(df, model, counts, most=most).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    texts = [(r["doc_id"], r["text"]) for r in df.where("doc_id < 20").collect()]
+    parts = model.parts()
+    for b in textcode.blocks(pa.array([t for _, t in texts]), lower=True):
+        code, first, _ = py._stream(b, b.words())
+        plain = np.add.reduceat(py._log_chance(code.view(np.int64), *parts), first)
+        assert [want[i] for i, _ in texts[b.first:b.first + b.size]] == pytest.approx(plain.tolist(), rel=1e-9)
