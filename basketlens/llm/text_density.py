@@ -8,8 +8,9 @@ For every node the density is its characters per tag, adjusted for links:
 
 with C characters, T tags, LC characters in links, LT link tags, each at least 1 as a divisor. A node's sum adds the densities of its children
 and of its own runs of text. The subtree with the largest sum is the text's core; the smallest density on the path from it to
-the body is the threshold. Inside an enclosing `article` or `main` the whole element is taken, otherwise the core and
-the largest-sum subtrees of all other nodes at or above the threshold; lists of links below the threshold go.
+the body is the threshold. The core and the largest-sum subtrees of all other nodes at or above the threshold are taken, on every
+page; lists of links below the threshold go. Tags only enter the sum: an `article` around the largest sum, or a `main` with no article
+between, has that sum added to its own, so that its title and lead count with its longest part.
 
 A page is one row in and one row out, so nothing is shuffled. Defined results: NULL, empty or text-free html gives an empty
 text; markup that is cut off is read as far as it goes; repeated rows get equal results; an input column named `text` or
@@ -208,22 +209,18 @@ def main_text(source: str | None) -> str:
         if i:
             sums[parent[i]] += dense[i]
     core = max(range(body, end[body]), key=lambda i: (sums[i], -i))
+    most, holds, i = sums[core], tag[core] == "article", parent[core]
+    while i > 0:
+        if tag[i] == "article" or tag[i] == "main" and not holds:
+            sums[i] += most
+        holds = holds or tag[i] == "article"
+        i = parent[i]
+    core = max(range(body, end[body]), key=lambda i: (sums[i], -i))
     threshold, i = dense[core], core
     while i != body:
         i = parent[i]
         threshold = min(threshold, dense[i])
-    whole, i = -1, core
-    while i > 0:
-        if tag[i] in ("article", "main"):
-            whole = i
-            if tag[i] == "article":
-                break
-        i = parent[i]
-    if whole < 0:
-        inner = next((i for i in range(core, end[core]) if tag[i] == "article" and not gone[i]), -1)
-        if inner >= 0:
-            whole = core
-    roots = [whole] if whole >= 0 else _marked(core, body, threshold, dense, sums, end, gone)
+    roots = _marked(core, body, threshold, dense, sums, end, gone)
     keep = [False] * n
     for root in roots:
         keep[root:end[root]] = [True] * (end[root] - root)

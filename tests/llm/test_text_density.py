@@ -42,3 +42,22 @@ def test_table(spark):
     assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert sorted((r["page_id"], r["n_chars"]) for r in out.collect()) == [(1, len("\n".join(STORY)))] * 2 + [(2, 0)]
     assert extract(spark.createDataFrame(rows, "page_id int, url string, html string, x int").limit(0)).count() == 0
+
+
+LONG = [f"Paragraph {i} of the other part is long as well, with words enough to count as text." for i in range(8)]
+QUOTES = [" ".join([x] * 4) for x in LONG[:2]]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<body><article>{paragraphs(QUOTES)}<article>{paragraphs(LONG * 2)}</article></article></body>", QUOTES + LONG * 2),
+    (f"<body><div><article>{paragraphs(LONG)}</article><article>{paragraphs(LONG[::-1])}</article></div></body>", LONG + LONG[::-1]),
+    (f"<body><div>{paragraphs(LONG)}<article><p>A short teaser.</p></article></div><div>{paragraphs(LONG)}</div></body>", [*LONG, "A short teaser.", *LONG]),
+    (f"<body><article><p>A short teaser.</p></article><div>{paragraphs(LONG)}</div></body>", LONG),
+    (f"<body><article><h1>Title</h1><div>{paragraphs(LONG)}</div></article></body>", ["Title", *LONG]),
+], ids=["nested", "siblings", "teaser in the core", "teaser beside", "title beside the core"])
+def test_sums_and_threshold_choose_among_articles(html, want):
+    assert main_text(html).split("\n") == want
