@@ -7,8 +7,8 @@ bins: a document moves, or one is swapped for one, one for two or two for one, s
 emptier loses. Every exchange raises the sum of squared fills, and the emptiest bin is emptied while the others have room for it.
 Bins that stay underfull in their blocks are opened again and packed together in a second round.
 
-Token ids are written once with the pieces; packing moves only (row, piece, length). A caller who drops `ids` from the result keeps them out
-of the last join as well.
+Token ids are written once with the pieces; packing moves only (row, piece, length). The last join hashes the places and lets the rows with
+their ids stream past, so that it neither sorts nor holds them; a caller who drops `ids` keeps them out of it.
 
 Defined results: a NULL or empty text is a document of the end id alone; rows that repeat an id are documents of their
 own, told apart by `row`; an empty table gives an empty result.
@@ -256,5 +256,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", carry: S
     """The pieces of `tokenize` with `sequence_id` and `offset`."""
     pieces = stage(tokenize(docs, tokenizer, text, carry, limit, end))
     full = pieces.where(F.col("length") == limit).withColumn("sequence_id", F.col("full_no")).withColumn("offset", F.lit(0).cast("bigint"))
-    rest = pieces.where(F.col("length") < limit).join(assign(pieces, limit, block), ["row", "piece"])
+    rest = pieces.where(F.col("length") < limit).join(assign(pieces, limit, block).hint("shuffle_hash"), ["row", "piece"])
     return full.unionByName(rest).drop("full_no")

@@ -35,6 +35,22 @@ def test_stages_take_effect(spark):
     assert sorted({(r["row"], r["doc_id"]) for r in packed}, key=lambda x: x[1]) and sorted(d for _, d in {(r["row"], r["doc_id"]) for r in packed}) == kept[3]
 
 
+def test_packed_sequences_hold_the_token_ids(spark):
+    from tokenizers import Tokenizer
+    from basketlens.llm.queries import tokenizer_path
+    docs = corpus(spark).where("doc_id < 5 OR doc_id = 302")
+    docs = docs.unionByName(spark.createDataFrame([(400, "long words " * 6000, "en", "s0", 7)], docs.schema))
+    packed = pipeline.STAGES[-1][1](spark, docs, "").collect()
+    model, ids = Tokenizer.from_file(tokenizer_path()), {}
+    for r in sorted(packed, key=lambda r: r["piece"]):
+        assert len(r["ids"]) == r["length"]
+        ids.setdefault(r["doc_id"], []).extend(r["ids"])
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert ids.keys() == texts.keys()
+    for i, text in texts.items():
+        assert ids[i] == [t for w in text.split() for t in model.encode(w, add_special_tokens=False).ids] + [1]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
 def test_run_over_a_folder(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
