@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from . import bloom_dedup, hamming_index, language_mixture, list_intervals, pitman_yor, repetition, skip_chain, source_mixing, swap_packing, text_density
+from . import bloom_dedup, filter_audit, hamming_index, language_mixture, list_intervals, pitman_yor, repetition, skip_chain, source_mixing, swap_packing, text_density
 from .common import id_modulus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,28 @@ def op9_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return text_density.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+        + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+        + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (SELECT *, coalesce(list_min(list_filter(range(1, 6), lambda s: (mask >> (ascii(filter_order[s]) - 65)) & 1 = 1)), 6) AS gone FROM c, o),
+t AS (SELECT part, filter_order, step::INT AS step, filter_order[step] AS letter, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+        sum(n) FILTER (gone < step AND (mask >> (ascii(filter_order[step]) - 65)) & 1 = 1) AS redundant,
+        sum(n) FILTER (mask = 1 << (ascii(filter_order[step]) - 65)) AS unique_fails,
+        sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
+      FROM r, range(1, 6) AS s(step) GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley FROM t
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, per language."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), labels)
