@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -53,6 +55,18 @@ def add_columns(docs: DataFrame, inputs: Sequence[str], made: str, fn: Callable[
     return source.mapInArrow(run, schema).toDF(*kept, *new.names)
 
 
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` returns, made once by a worker process and kept between its tasks until another key is asked for.
+
+    Task functions travel with the job, so a module's globals are new in every task; a module of this process is not.
+    """
+    held = sys.modules.setdefault("basketlens_worker", types.ModuleType("basketlens_worker")).__dict__
+    if held.get("key") != key:
+        held["value"] = None
+        held["value"], held["key"] = make(), key
+    return held["value"]
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
     """Join `left` with the one row that `right` has for each `key`; right's `rows` is how many left rows the key has.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from . import bloom_dedup, filter_audit, hamming_index, language_mixture, list_intervals, pitman_yor, repetition, skip_chain, source_mixing, swap_packing, text_density, token_alignment
+from . import bloom_dedup, filter_audit, fingerprint_trees, hamming_index, language_mixture, list_intervals, pitman_yor, repetition, skip_chain, source_mixing, swap_packing, text_density, token_alignment
 from .common import id_modulus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,20 @@ def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_density.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
 
 
+@query()
+def op11_fingerprint_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document and its component."""
+    found = fingerprint_trees.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), fingerprint_trees.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.link_strength(table(spark, sf_dir, "documents"), *paths)
+
+
 @query(r"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 d AS (SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
@@ -220,10 +234,3 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders, per language."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
     return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), labels)
-
-
-@query()
-def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tokens by two tokenizers, aligned."""
-    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return token_alignment.link_strength(table(spark, sf_dir, "documents"), *paths)

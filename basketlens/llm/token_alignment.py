@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from .common import add_columns
+from .common import add_columns, per_process
 from .textcode import Block, blocks, per_doc
 
 MOST_SEGMENTS = 400_000
@@ -264,17 +264,6 @@ def segments(block: Block, splits: bool = True) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(block.bounds, opened, side="right") - 1, start, end
 
 
-_PROCESS: dict[tuple[str, str], Memory] = {}
-
-
-def _memory(path_a: str, path_b: str) -> Memory:
-    """What this worker process remembers of a pair of tokenizers."""
-    if (path_a, path_b) not in _PROCESS:
-        _PROCESS.clear()
-        _PROCESS[path_a, path_b] = Memory(Vocabularies(path_a, path_b))
-    return _PROCESS[path_a, path_b]
-
-
 def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry: Sequence[str] = ("doc_id",), digest: bool = False) -> DataFrame:
     """Per document, after the columns `carry`: n_a, n_b, n_groups, n_links, the groups as text (`groups`; with `digest` its SHA-256 instead,
     `groups_sha256`), `pair` (the numbers of its linked id pairs, as in `Vocabularies.pairs`) and `times` (how many links each has).
@@ -304,7 +293,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry:
                 pa.ListArray.from_arrays(of, pa.array(times.astype(np.int32)))]
 
     def fn(column: pa.Array) -> list[pa.Array]:
-        memory = _memory(path_a, path_b)
+        memory = per_process(("align", path_a, path_b), lambda: Memory(Vocabularies(path_a, path_b)))
         return [pa.concat_arrays(x) for x in zip(*[one(memory, b) for b in blocks(column)])]
 
     return add_columns(docs, [text], made, fn, carry=carry)
