@@ -82,8 +82,12 @@ def test_evidence_grades(spark):
     df = spark.createDataFrame(rows, "dataset string, fold int, method string, feature string, coef double, ci_sign string")
     graded = study.evidence(df)
     assert {r["method"]: r["evidence"] for r in graded.collect()} == {m: m for m in ("strong", "moderate", "directional", "mixed")}
-    cross = {r["method"]: r["cross_dataset_direction"] for r in study.cross_dataset(graded, 1).collect()}
+    cross = {r["method"]: r["cross_dataset_direction"] for r in study.cross_dataset(graded).collect()}
     assert cross == {"strong": "positive_1of1", "moderate": "positive_1of1", "directional": "negative_1of1", "mixed": "mixed_across_datasets"}
+    other = df.withColumn("dataset", F.lit("e")).withColumn("coef", F.when(F.col("method") == "moderate", -F.abs("coef")).otherwise(F.col("coef")))
+    both = {r["method"]: (r["cross_dataset_direction"], r["n_datasets_positive"], r["n_datasets_negative"])
+            for r in study.cross_dataset(study.evidence(df.unionByName(other))).collect()}
+    assert both == {"strong": ("positive_2of2", 2, 0), "moderate": ("mixed_across_datasets", 1, 1), "directional": ("negative_2of2", 0, 2), "mixed": ("mixed_across_datasets", 0, 0)}
 
 
 def test_pairwise_bootstrap_flags(spark, panel):
