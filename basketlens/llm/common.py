@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,18 @@ def add_columns(docs: DataFrame, inputs: Sequence[str], made: str, fn: Callable[
     return source.mapInArrow(run, schema).toDF(*kept, *new.names)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside pass at most so many rows at a time to Python, so that a batch of long texts stays small. The session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def per_process(key: tuple, make: Callable[[], object]) -> object:
     """What `make` returns, made once by a worker process and kept between its tasks until another key is asked for.
 

@@ -1,17 +1,16 @@
 """Packing tokenised documents into sequences: best fit first, then a local search by swaps.
 
-Documents are tokenised word by word (the tokenizer never joins what white space separates), closed by an end id, and
-only those longer than a sequence are cut. Pieces of a full sequence's length need no packing. The others are dealt by
+Documents are tokenised word by word (the tokenizer never joins what white space separates; a worker process remembers the words
+it has met), closed by an end id, and only those longer than a sequence are cut. Pieces of a full sequence's length need no packing. The others are dealt by
 hash into blocks of about BLOCK pieces; each block is packed by best-fit decreasing and improved by exchanges between underfull
 bins: a document moves, or one is swapped for one, one for two or two for one, so that the fuller bin gains what the
 emptier loses. Every exchange raises the sum of squared fills, and the emptiest bin is emptied while the others have room for it.
 Bins that stay underfull in their blocks are opened again and packed together in a second round.
 
-Token ids are written once with the pieces; packing moves only (row, piece, length). The last join hashes the places and lets the rows with
-their ids stream past, so that it neither sorts nor holds them; a caller who drops `ids` keeps them out of it.
+Token ids are written once with the pieces; packing moves only (row, piece, length). The last join brings the places back to the pieces.
 
 Defined results: a NULL or empty text is a document of the end id alone; rows that repeat an id are documents of their
-own, told apart by `row`; an empty table gives an empty result.
+own, told apart by `row`; an empty table gives an empty result; a carried column that bears the name of a made one is replaced by it.
 """
 
 from __future__ import annotations
@@ -29,56 +28,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.staging import stage
-from .common import col
+from .common import col, per_process, small_batches
 from .textcode import LOWER, Block, blocks, per_doc
 
 LIMIT = 4096
 END = 1
 BLOCK = 20_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
 PACKED = 1 << 62
 SECOND = 1 << 61
 
 
 class WordIds:
-    """Token ids of words, each distinct word encoded once as long as it is remembered."""
+    """Token ids of words, each distinct word encoded once as long as it is remembered.
 
-    def __init__(self, model, end: int):
-        self.encode, self.end = getattr(model, "encode_batch_fast", model.encode_batch), end
+    Sorted hashes and a pool of ids take some 50 bytes a word. Beyond `most` words the half that was used last is kept.
+    """
+
+    def __init__(self, model, end: int, most: int = KEPT_WORDS):
+        self.encode, self.most, self.clock = getattr(model, "encode_batch_fast", model.encode_batch), most, 0
         special = [(i, x.content) for i, x in model.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
         self.mark_id, self.mark = special[-1] if special else (None, None)
         self.folds = str(model.encode("AZ", add_special_tokens=False).ids) == str(model.encode("az", add_special_tokens=False).ids)
-        self.forget()
-
-    def forget(self) -> None:
-        """Slot 0 is the end id."""
-        self.slot: dict[int, int] = {}
-        self.pool, self.used = np.full(1 << 16, self.end, dtype="<u4"), 1
-        self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.ones(1 << 14, dtype=np.int64)
+        # Slot 0 is the end id; it has no hash.
+        self.keys, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
+        self.start, self.length, self.used_at = np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
+        self.pool, self.used = np.full(1 << 16, end, dtype="<u4"), 1
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of ids per word. A special token, which is always cut out, stands between the words of one call."""
         if self.mark is None or any(self.mark in w for w in words):
             got = [e.ids for e in self.encode(words, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(got), dtype="<u4"), np.array([len(x) for x in got], dtype=np.int64)
-        joined = [self.mark.join([*words[i:i + 64], ""]) for i in range(0, len(words), 64)]
+        joined = [self.mark.join([*words[i:i + 256], ""]) for i in range(0, len(words), 256)]
         flat = np.fromiter(chain.from_iterable(e.ids for e in self.encode(joined, add_special_tokens=False)), dtype="<u4")
         is_mark = flat == self.mark_id
         ends = np.flatnonzero(is_mark)
         return flat[~is_mark], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of sorted distinct hashes, 0 where a word is not remembered."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], 0)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         flat, sizes = self._ids(words)
-        first = len(self.slot) + 1
         while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while first + len(words) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2, dtype="<u4")])
         self.pool[self.used:self.used + len(flat)] = flat
-        self.start[first:first + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.length[first:first + len(words)] = sizes
+        slots = len(self.start) + np.arange(len(words), dtype=np.int32)
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.length = np.concatenate([self.length, sizes.astype(np.int32)])
+        self.used_at = np.concatenate([self.used_at, np.full(len(words), self.clock, dtype=np.int32)])
         self.used += len(flat)
-        self.slot.update(zip(hashes, range(first, first + len(words))))
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, place, keys), np.insert(self.slots, place, slots)
+
+    def _forget(self) -> None:
+        """Keep the half of the words that was used last, and the end id."""
+        keep = np.concatenate([[0], 1 + np.sort(np.argsort(self.used_at[1:], kind="stable")[len(self.keys) // 2:])])
+        slot = np.zeros(len(self.start), dtype=np.int32)
+        slot[keep] = np.arange(len(keep))
+        kept = slot[self.slots] > 0
+        self.keys, self.slots = self.keys[kept], slot[self.slots[kept]]
+        n = self.length[keep].astype(np.int64)
+        first = np.cumsum(n) - n
+        self.pool = self.pool[np.repeat(self.start[keep] - first, n) + np.arange(int(n.sum()))]
+        self.start, self.length, self.used_at, self.used = first.astype(np.int32), n.astype(np.int32), self.used_at[keep], len(self.pool)
 
     def documents(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's texts, the end id after each text, and each text's number of ids.
@@ -88,41 +106,48 @@ class WordIds:
         raw = block.data.tobytes()
         if self.folds and b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
             block = Block(block.first, LOWER[block.data], block.bounds)
+            raw = block.data.tobytes()
         words = block.words()
-        if len(self.slot) > KEPT_WORDS:
-            self.forget()
-        kinds, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
-        keys = kinds.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slot]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo:lo + 20_000]
-            spans = [(int(words.start[i]), int(words.end[i])) for i in first[some]]
-            self._learn([keys[k] for k in some], [block.data[s:e].tobytes().decode("utf-8", "replace") for s, e in spans])
-        slot = np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))[at]
+        self.clock += 1
+        if len(self.keys) > self.most:
+            self._forget()
+        keys, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
+        new = np.flatnonzero(self._find(keys) == 0)
+        for lo in range(0, len(new), 50_000):
+            some = new[lo:lo + 50_000]
+            spans = zip(words.start[first[some]].tolist(), words.end[first[some]].tolist())
+            self._learn(keys[some], [raw[s:e].decode("utf-8", "replace") for s, e in spans])
+        found = self._find(keys)
+        self.used_at[found] = self.clock
         per_text = per_doc(block.size, words.doc)
-        order = np.insert(slot, np.cumsum(per_text), 0)
-        length = self.length[order]
+        order = np.insert(found[at], np.cumsum(per_text), 0)
+        length = self.length[order].astype(np.int64)
         total = np.cumsum(length)
         ids = self.pool[np.repeat(self.start[order] - (total - length), length) + np.arange(int(total[-1]))]
         last = np.cumsum(per_text + 1) - 1
         return ids, np.diff(np.concatenate([[0], total[last]]))
 
 
+def _word_ids(tokenizer: str, end: int) -> WordIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    return WordIds(Tokenizer.from_file(tokenizer), end)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), limit: int = LIMIT, end: int = END) -> DataFrame:
     """One row per piece: the carried columns, `row` (a number of its own for every input row), `piece`, `start`, `length`, `ids`, `ids_crc32`, `full_no` (numbers full pieces).
 
     `tokenizer` is the path of a tokenizer file that every executor can read.
     """
+    own = T.StructType.fromDDL("row bigint, piece int, start bigint, length bigint, ids array<int>, ids_crc32 bigint, full_no bigint")
+    carry = [c for c in carry if c.lower() not in own.names]
     source = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(col(text), F.lit("")).alias("text"))
     n = len(carry)
-    own = T.StructType.fromDDL("row bigint, piece int, start bigint, length bigint, ids array<int>, ids_crc32 bigint, full_no bigint")
     schema = T.StructType([*source.schema.fields[:n], *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        words_ids = WordIds(Tokenizer.from_file(tokenizer), end)
+        words_ids = per_process(("words", tokenizer, end), lambda: _word_ids(tokenizer, end))
         row = full = TaskContext.get().partitionId() << 33
         for batch in batches:
             for b in blocks(batch.column(n)):
@@ -254,7 +279,8 @@ def assign(pieces: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFra
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), limit: int = LIMIT, end: int = END,
                    block: int = BLOCK) -> DataFrame:
     """The pieces of `tokenize` with `sequence_id` and `offset`."""
-    pieces = stage(tokenize(docs, tokenizer, text, carry, limit, end))
+    with small_batches(docs.sparkSession):
+        pieces = stage(tokenize(docs, tokenizer, text, [c for c in carry if c.lower() not in ("sequence_id", "offset")], limit, end))
     full = pieces.where(F.col("length") == limit).withColumn("sequence_id", F.col("full_no")).withColumn("offset", F.lit(0).cast("bigint"))
-    rest = pieces.where(F.col("length") < limit).join(assign(pieces, limit, block).hint("shuffle_hash"), ["row", "piece"])
+    rest = pieces.where(F.col("length") < limit).join(assign(pieces, limit, block), ["row", "piece"])
     return full.unionByName(rest).drop("full_no")

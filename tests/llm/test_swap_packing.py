@@ -88,3 +88,22 @@ def test_pack_documents(spark):
 
 def test_tokenizer_file_is_a_parameter():
     assert os.path.isfile(tokenizer_path())
+
+
+def test_forgetting_words_changes_no_ids(spark):
+    from tokenizers import Tokenizer
+    model, rng = Tokenizer.from_file(tokenizer_path()), random.Random(9)
+    words = sp.WordIds(model, 1, most=12)
+    for _ in range(40):
+        text = " ".join(f"{rng.choice(['over', 'under', 'Ærø', 'x-'])}{rng.randrange(25)}" for _ in range(10))
+        (b,) = blocks(pa.array([text]))
+        ids, count = words.documents(b)
+        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids + [1] and count.tolist() == [len(ids)]
+        assert len(words.keys) <= 24 and (np.diff(words.keys.astype(object)) > 0).all()
+
+
+def test_clashing_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7, 8), (1, "a b", 5, 6, 7, 8)], "doc_id bigint, text string, row int, piece int, offset int, sequence_id int")
+    got = sp.pack_documents(df, tokenizer_path(), carry=df.columns)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "row", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"])
+    assert sorted(r["offset"] for r in got.collect()) == [0, 3]
