@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import stage
 from .bloom_dedup import digest, position_filter, probe
-from .common import add_columns, attach, col
+from .common import add_columns, attach, col, small_batches
 from .textcode import blocks, mix, per_doc
 
 SYMBOLS = 4
 BYTES = 2
 SKETCH = 256
-SLOT_ROWS = 1000
+SLOT_ROWS = 2000
 _RNG = np.random.default_rng(977)
 FACTORS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -326,6 +326,11 @@ def _across(reps: DataFrame, labels: DataFrame, docs: DataFrame, text: str, key:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, chunks: int = 12) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links), kept (it is that id)."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, text, key, words, percent, chunks)
+
+
+def _near_duplicates(docs: DataFrame, text: str, key: str, words: int, percent: int, chunks: int) -> DataFrame:
     sets = stage(signatures(docs, text, key, words, chunks))
     held = sets.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull())
     classes = stage(held.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))

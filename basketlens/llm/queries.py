@@ -96,7 +96,7 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed into sequences of 4,096 tokens."""
-    packed = swap_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    packed = swap_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

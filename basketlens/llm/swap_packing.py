@@ -16,6 +16,7 @@ own, told apart by `row`; an empty table gives an empty result; a carried column
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
@@ -35,6 +36,11 @@ LIMIT = 4096
 END = 1
 BLOCK = 20_000
 KEPT_WORDS = 1_000_000
+TAILS = ".,;:!?"
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+TAIL = np.zeros(256, dtype=bool)
+TAIL[list(TAILS.encode())] = True
 PACKED = 1 << 62
 SECOND = 1 << 61
 
@@ -50,6 +56,9 @@ class WordIds:
         special = [(i, x.content) for i, x in model.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
         self.mark_id, self.mark = special[-1] if special else (None, None)
         self.folds = str(model.encode("AZ", add_special_tokens=False).ids) == str(model.encode("az", add_special_tokens=False).ids)
+        def ids(text: str) -> list[int]:
+            return model.encode(text, add_special_tokens=False).ids
+        self.trims = all(ids(word + tail) == ids(word) + ids(tail) for word in ("ab", "ABCD", "it's", "9x") for tail in TAILS)
         # Slot 0 is the end id; it has no hash.
         self.keys, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
         self.start, self.length, self.used_at = np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
@@ -108,18 +117,27 @@ class WordIds:
             block = Block(block.first, LOWER[block.data], block.bounds)
             raw = block.data.tobytes()
         words = block.words()
+        doc, start, end, hashes = words.doc, words.start, words.end, words.hash
+        if self.trims:
+            # A mark after a letter is always a token of its own, so "word." is read as "word" and ".".
+            ended = np.flatnonzero(TAIL[block.data[end - 1]] & LETTER[block.data[np.maximum(end - 2, 0)]] & (end - start > 1))
+            mark = end[ended] - 1
+            end = end.copy()
+            end[ended] = mark
+            doc, start, end = (np.insert(x, ended + 1, y) for x, y in ((doc, doc[ended]), (start, mark), (end, mark + 1)))
+            hashes = block.hashes(start, end)
         self.clock += 1
         if len(self.keys) > self.most:
             self._forget()
-        keys, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
+        keys, first, at = np.unique(hashes, return_index=True, return_inverse=True)
         new = np.flatnonzero(self._find(keys) == 0)
         for lo in range(0, len(new), 50_000):
             some = new[lo:lo + 50_000]
-            spans = zip(words.start[first[some]].tolist(), words.end[first[some]].tolist())
+            spans = zip(start[first[some]].tolist(), end[first[some]].tolist())
             self._learn(keys[some], [raw[s:e].decode("utf-8", "replace") for s, e in spans])
         found = self._find(keys)
         self.used_at[found] = self.clock
-        per_text = per_doc(block.size, words.doc)
+        per_text = per_doc(block.size, doc)
         order = np.insert(found[at], np.cumsum(per_text), 0)
         length = self.length[order].astype(np.int64)
         total = np.cumsum(length)
@@ -134,20 +152,22 @@ def _word_ids(tokenizer: str, end: int) -> WordIds:
     return WordIds(Tokenizer.from_file(tokenizer), end)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), limit: int = LIMIT, end: int = END) -> DataFrame:
-    """One row per piece: the carried columns, `row` (a number of its own for every input row), `piece`, `start`, `length`, `ids`, `ids_crc32`, `full_no` (numbers full pieces).
+def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), limit: int = LIMIT, end: int = END,
+             with_ids: bool = True) -> DataFrame:
+    """One row per piece: the carried columns, `row` (a number of its own for every input row), `piece`, `start`, `length`, `ids` (NULL without `with_ids`),
+    `ids_crc32`, `full_no` (numbers full pieces).
 
     `tokenizer` is the path of a tokenizer file that every executor can read.
     """
     own = T.StructType.fromDDL("row bigint, piece int, start bigint, length bigint, ids array<int>, ids_crc32 bigint, full_no bigint")
     carry = [c for c in carry if c.lower() not in own.names]
     source = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(col(text), F.lit("")).alias("text"))
-    n = len(carry)
+    n, call = len(carry), uuid.uuid4().hex
     schema = T.StructType([*source.schema.fields[:n], *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        words_ids = per_process(("words", tokenizer, end), lambda: _word_ids(tokenizer, end))
+        words_ids = per_process(("words", tokenizer, end, call), lambda: _word_ids(tokenizer, end))
         row = full = TaskContext.get().partitionId() << 33
         for batch in batches:
             for b in blocks(batch.column(n)):
@@ -159,12 +179,13 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequenc
                 length = np.minimum(count[doc] - start, limit)
                 cut = np.concatenate([[0], np.cumsum(length)])
                 sums = [zlib.crc32(ids[lo:hi]) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                listed = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.view(np.int32))) if with_ids else pa.nulls(len(doc), pa.list_(pa.int32()))
                 is_full = length == limit
                 number = full + np.cumsum(is_full) - is_full
                 full += int(is_full.sum())
                 yield pa.RecordBatch.from_arrays(
                     [*[c.take(pa.array(b.first + doc)) for c in batch.columns[:n]], pa.array(row + b.first + doc), pa.array(piece.astype(np.int32)), pa.array(start),
-                     pa.array(length), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.view(np.int32))), pa.array(sums, pa.int64()),
+                     pa.array(length), listed, pa.array(sums, pa.int64()),
                      pa.array(number, mask=~is_full)], schema.names)
             row += batch.num_rows
 
@@ -277,10 +298,11 @@ def assign(pieces: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFra
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), limit: int = LIMIT, end: int = END,
-                   block: int = BLOCK) -> DataFrame:
-    """The pieces of `tokenize` with `sequence_id` and `offset`."""
+                   block: int = BLOCK, with_ids: bool = True) -> DataFrame:
+    """The pieces of `tokenize` with `sequence_id` and `offset`; without `ids` (their CRC-32 stays) unless `with_ids`, so that they are never written."""
     with small_batches(docs.sparkSession):
-        pieces = stage(tokenize(docs, tokenizer, text, [c for c in carry if c.lower() not in ("sequence_id", "offset")], limit, end))
+        tokens = tokenize(docs, tokenizer, text, [c for c in carry if c.lower() not in ("sequence_id", "offset")], limit, end, with_ids)
+        pieces = stage(tokens if with_ids else tokens.drop("ids"))
     full = pieces.where(F.col("length") == limit).withColumn("sequence_id", F.col("full_no")).withColumn("offset", F.lit(0).cast("bigint"))
     rest = pieces.where(F.col("length") < limit).join(assign(pieces, limit, block), ["row", "piece"])
     return full.unionByName(rest).drop("full_no")
