@@ -5,6 +5,13 @@ third of the users buy it. Instead both sides are hashed into blocks of a bounde
 cells, every query block meets every reference block in its own task, and a task hands on only
 the k best references of each query. What is shuffled is the cells, once per opposite block, and
 k rows per (query, reference block); what a task holds is two blocks and a score tile.
+
+Where the references need several blocks, nearest-neighbour searches lay like references out in parts and bound what a query can score in a
+part: per-item maximum weights for cosines, triangle inequalities over pivots for distances, norms for dot products. A query first
+meets the part with its best bound; its k-th score there rules out every part whose bound is lower. Bounds are never below the
+scores, so results stay exact.
+
+An id with very many cells (a popular item's column) is not packed into a block: its dot products are summed from joins of its cells by row.
 """
 
 from __future__ import annotations
@@ -19,12 +26,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.columns import SCORE_DIGITS
+from ..functions.staging import stage
 
 BLOCK_CELLS = 2_000_000
 SMALL_CELLS = 25_000
 PACK_ROWS = 10_000
 TILE = 4_000_000
 DENSE_CELLS = 32_000_000
+MOST_PARTS = 256
+PIVOTS = 16
+HEAVY_CELLS = 500_000
+# What bounds are widened by: sums of doubles differ by less than this share.
+SLACK = 1e-9
 
 
 def top_k(scores: DataFrame, k: int, order: Sequence, keys: Sequence[str] = ("user",)) -> DataFrame:
@@ -71,6 +84,107 @@ def _meet(query: DataFrame, ref: DataFrame, blocks: tuple[int, int], keys: Seque
     return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(kernel, schema)
 
 
+def _meet_parts(query: DataFrame, ref: DataFrame, place: DataFrame, bound: DataFrame, blocks: tuple[int, int], k: int, keys: Sequence[str],
+                kernel: Callable, schema: T.StructType) -> DataFrame:
+    """As `_meet`, but a query meets only parts of the references that can hold one of its k best.
+
+    `place(keys, id, part)` gives each reference its part, `bound(keys, id, part, bound)` what a query can score there at most. A part
+    is cut into blocks by hash, as many as its share of the references asks for.
+    """
+    n_query, n_ref = blocks
+    by, group = [*keys, "id"], [*keys, "part", "_sub", "_qb"]
+    place, bound = stage(place), stage(bound)
+    per_block = F.ceil(place.agg(F.count(F.lit(1))).scalar() / F.lit(n_ref))
+    parts = place.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "part", F.ceil(F.col("_n") / per_block).cast("int").alias("_subs"))
+    right = (ref.join(place.join(parts, [*keys, "part"]), by).withColumn("_sub", F.pmod(F.xxhash64("id"), F.col("_subs")).cast("int")).drop("_subs")
+             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))))
+
+    def meet(asked: DataFrame) -> DataFrame:
+        left = (query.join(asked.select(*by, "part").join(parts, [*keys, "part"]), by).withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int"))
+                .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs"))
+        other = right.select(*[F.col(c).alias(c) for c in right.columns])
+        return left.groupBy(*group).cogroup(other.groupBy(*group)).applyInPandas(kernel, schema)
+
+    first, more = visits(bound, keys)
+    seed = stage(meet(first))
+    kth = (top_k(seed, k, [F.desc("score"), F.asc("other")], by).groupBy(*by).agg(F.count(F.lit(1)).alias("_m"), F.min("score").alias("kth")).where(F.col("_m") >= k).drop("_m"))
+    return seed.unionByName(meet(more(kth)))
+
+
+def visits(bound: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The part that every query meets first, and a function that gives the other parts it has to meet from its k-th score there (`kth`, no row if
+    it found fewer than k)."""
+    by = [*keys, "id"]
+    first = bound.groupBy(*by).agg(F.max(F.struct("bound", (-F.col("part")).alias("p"))).alias("_best")).select(*by, (-F.col("_best.p")).alias("part"))
+
+    def more(kth: DataFrame) -> DataFrame:
+        rest = bound.join(first.select(*by, F.col("part").alias("_first")), by).where(F.col("part") != F.col("_first"))
+        return rest.join(kth, by, "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))).select(*by, "part")
+    return first, more
+
+
+def cosine_parts(query: DataFrame, ref: DataFrame, keys: Sequence[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """References of one heaviest item together; a query's cosine in a part is at most its weights times the part's largest weight per item.
+
+    Cells are non-negative; `a` and `b` are the norms.
+    """
+    by = [*keys, "id"]
+    weight = (F.col("v") / F.col("b")).alias("w")
+    place = (ref.groupBy(*by).agg(F.max(F.struct("v", "item")).alias("_top"))
+             .select(*by, F.pmod(F.xxhash64("_top.item"), F.lit(parts)).cast("int").alias("part")))
+    largest = ref.select(*by, "item", weight).join(place, by).groupBy(*keys, "part", "item").agg(F.max("w").alias("w"))
+    met = query.join(largest, [*keys, "item"]).select(*by, "part", (F.col("v") / F.col("a") * F.col("w")).alias("bound"))
+    none = query.select(*by).distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("bound", F.lit(0.0))
+    return place, met.unionByName(none).groupBy(*by, "part").agg((F.sum("bound") * (1 + SLACK)).alias("bound"))
+
+
+def pivot_parts(query: DataFrame, ref: DataFrame, keys: Sequence[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """References go to the nearest of a few pivots. By the triangle inequality a query is no nearer to a part than its distance to any pivot lies outside
+    the range of that part's distances to the pivot. `a` and `b` are squared norms; the bound is of the negative squared distance."""
+    by = [*keys, "id"]
+    ids = ref.select(*by).distinct()
+    pivots = top_k(ids.withColumn("_all", F.lit(0)), min(parts, PIVOTS), [F.xxhash64("id"), F.asc("id")], [*keys, "_all"])
+    pivots = stage(pivots.select(*by, (F.col("rank") - 1).cast("int").alias("pivot")))
+    marks = ref.join(pivots, by)
+    marks = marks.withColumn("id", F.col("pivot")).drop("pivot")
+
+    def distances(cells: DataFrame, norm: str) -> DataFrame:
+        found = sparse_top_k(cells.withColumnRenamed(norm, "a"), marks, PIVOTS, _minus_square, drop_self=False, keys=keys, blocks=(plan_blocks(cells, marks)[0], 1), square=True)
+        return found.select(*by, F.col("other").alias("pivot"), F.sqrt(F.greatest(-F.col("score"), F.lit(0.0))).alias("d"))
+    far = stage(distances(ref, "b"))
+    place = far.groupBy(*by).agg(F.min(F.struct("d", "pivot")).alias("_near")).select(*by, F.col("_near.pivot").alias("part"))
+    ranges = far.join(place, by).groupBy(*keys, "part", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    gap = F.greatest(F.col("d") - F.col("hi"), F.col("lo") - F.col("d")) - SLACK * (F.col("d") + F.col("hi")) - F.lit(1e-150)
+    met = distances(query, "a").join(ranges, [*keys, "pivot"]).groupBy(*by, "part").agg(F.max(gap).alias("gap"))
+    return place, met.select(*by, "part", F.when(F.col("gap") > 0, -F.col("gap") * F.col("gap")).otherwise(F.lit(0.0)).alias("bound"))
+
+
+def norm_parts(users: DataFrame, items: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Items in order of their norm; by Cauchy and Schwarz a score is at most the product of the norms plus the part's largest bias."""
+    def norm(c): return F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x))
+    sized = items.select("id", "bias", norm("vec").alias("norm"))
+    cuts = sorted(set(sized.approxQuantile("norm", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    place = sized.withColumn("part", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("norm"))))
+    largest = place.groupBy("part").agg(F.max("norm").alias("most"), F.max("bias").alias("shift"))
+    of = largest.agg(F.collect_list(F.struct("part", "most", "shift"))).scalar()
+    met = users.select("id", norm("vec").alias("norm"), F.explode(of).alias("p"))
+    product = F.col("norm") * F.col("p.most")
+    bound = product + F.col("p.shift") + SLACK * (product + F.abs("p.shift"))
+    return place.select("id", "part"), met.select("id", F.col("p.part").alias("part"), bound.alias("bound"))
+
+
+def _significant(value: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """Values at eleven significant digits, or at ten decimals of the leading digit of `scale`: what a sum's order of addition cannot change."""
+    size = np.abs(value if scale is None else scale)
+    unit = np.where(size > 0, np.power(10.0, np.floor(np.log10(np.where(size > 0, size, 1.0)))), 1.0)
+    return np.round(value / unit, SCORE_DIGITS) * unit
+
+
+def _minus_square(dot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minus the squared distance, from the dot product and both squared norms."""
+    return -np.maximum(a + b - 2.0 * dot, 0.0)
+
+
 def _best_rows(score: np.ndarray, id_rank: np.ndarray, k: int):
     """(row, column) of the k best entries of each row that are not -inf, ties by id."""
     if score.shape[1] > k:
@@ -141,13 +255,15 @@ def _sparse_tiles(q: pd.DataFrame, r: pd.DataFrame):
 
 def sparse_top_k(query: DataFrame, ref: DataFrame, k: int, score: Callable, *, zeros: bool = True,
                  drop_self: bool = True, keys: Sequence[str] = (), blocks: tuple[int, int] | None = None,
-                 count_nonzero: bool = False) -> DataFrame:
+                 count_nonzero: bool = False, signed: bool = False, square: bool = False, prune: Callable | None = None) -> DataFrame:
     """`keys, id, other, score, rank`: the k best references of each query, exactly.
 
     `query(keys, id, item, v, a)` and `ref(keys, id, item, v, b)` hold one row per non-zero cell, with
     a and b constant per id; `score(dot, a, b)` works on NumPy arrays, larger is better. With `zeros=False`
     references with a zero score are left out. `count_nonzero` adds `nonzero`, the query's number of
-    non-zero scores over all references.
+    non-zero scores over all references. Scores are rounded to eleven significant digits; before that with `signed`, where terms may cancel, the dot products are
+    rounded on the scale of a * b, and with `square` (differences of squared norms) the scores on that of a + b. `prune(query, ref, keys, parts)`
+    gives the place of the references and the bounds of `_meet_parts`.
     """
     keys = list(keys)
     id_type, other_type = query.schema["id"].dataType, ref.schema["id"].dataType
@@ -159,7 +275,13 @@ def sparse_top_k(query: DataFrame, ref: DataFrame, k: int, score: Callable, *, z
         parts = []
         if len(q) and len(r):
             for ids, a, others, b, dots in _sparse_tiles(q, r):
-                value = np.round(score(dots, a[:, None], b[None, :]), SCORE_DIGITS)
+                left, right = a[:, None], b[None, :]
+                if square:
+                    value = _significant(_significant(score(dots, left, right), left + right))
+                elif signed:
+                    value = _significant(score(_significant(dots, left * right), left, right))
+                else:
+                    value = _significant(score(dots, left, right))
                 if drop_self:
                     own = pd.Index(others).get_indexer(ids)
                     value[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
@@ -176,7 +298,12 @@ def sparse_top_k(query: DataFrame, ref: DataFrame, k: int, score: Callable, *, z
             out[c] = q[c].iloc[0] if len(q) else None
         return out[[f.name for f in schema]]
 
-    found = _meet(_pack(query, keys, "a"), _pack(ref, keys, "b"), plan_blocks(query, ref, blocks), keys, kernel, schema)
+    blocks = plan_blocks(query, ref, blocks)
+    if prune is None or blocks[1] == 1:
+        found = _meet(_pack(query, keys, "a"), _pack(ref, keys, "b"), blocks, keys, kernel, schema)
+    else:
+        place, bound = prune(query, ref, keys, min(blocks[1], MOST_PARTS))
+        found = _meet_parts(_pack(query, keys, "a"), _pack(ref, keys, "b"), place, bound, blocks, k, keys, kernel, schema)
     if count_nonzero:
         found = found.withColumn("nonzero", F.sum("block_nonzero").over(W.partitionBy(*keys, "id")))
     return top_k(found.drop("block_nonzero"), k, [F.desc("score"), F.asc("other")], [*keys, "id"])
@@ -193,7 +320,7 @@ def cosine_knn(vec: DataFrame, k: int = 20, blocks: tuple[int, int] | None = Non
     """`user, neighbor, rank, sim` over non-negative vectors `user, item, v`."""
     cells = _with_norm(vec, "a").withColumn("a", F.sqrt("a"))
     blocks = plan_blocks(vec, vec, blocks)
-    best = sparse_top_k(cells, cells.withColumnRenamed("a", "b"), k, lambda dot, a, b: dot / (a * b), blocks=blocks)
+    best = sparse_top_k(cells, cells.withColumnRenamed("a", "b"), k, lambda dot, a, b: dot / (a * b), blocks=blocks, prune=cosine_parts)
     return best.select(F.col("id").alias("user"), F.col("other").alias("neighbor"), "rank", F.col("score").alias("sim"))
 
 
@@ -201,8 +328,8 @@ def euclidean_knn(query: DataFrame, ref: DataFrame, k: int, keys: Sequence[str]
                   blocks: tuple[int, int] | None = None) -> DataFrame:
     """`user, neighbor, rank, dist`: the k nearest reference users; equal distance goes by user id."""
     blocks = plan_blocks(query, ref, blocks)
-    best = sparse_top_k(_with_norm(query, "a", keys), _with_norm(ref, "b", keys), k,
-                        lambda dot, a, b: -np.maximum(a + b - 2.0 * dot, 0.0), drop_self=False, keys=keys, blocks=blocks)
+    best = sparse_top_k(_with_norm(query, "a", keys), _with_norm(ref, "b", keys), k, _minus_square, drop_self=False, keys=keys, blocks=blocks,
+                        square=True, prune=pivot_parts)
     return best.select(*keys, F.col("id").alias("user"), F.col("other").alias("neighbor"), "rank",
                        F.sqrt(F.greatest(-F.col("score"), F.lit(0.0))).alias("dist"))
 
@@ -219,8 +346,8 @@ def dot_top_k(user_vec: DataFrame, item_vec: DataFrame, k: int, blocks: tuple[in
     bias = F.col("bias").cast("double") if "bias" in item_vec.columns else F.lit(0.0)
     users = user_vec.select(F.col("user").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     items = item_vec.select(F.col("item").alias("id"), F.col("vec").cast("array<double>").alias("vec"), bias.alias("bias"))
-    schema = T.StructType([T.StructField("user", users.schema["id"].dataType),
-                           T.StructField("item", items.schema["id"].dataType),
+    schema = T.StructType([T.StructField("id", users.schema["id"].dataType),
+                           T.StructField("other", items.schema["id"].dataType),
                            T.StructField("score", T.DoubleType())])
 
     def kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -230,17 +357,49 @@ def dot_top_k(user_vec: DataFrame, item_vec: DataFrame, k: int, blocks: tuple[in
             id_rank, step = np.argsort(np.argsort(ids)), max(1, TILE // len(r))
             for lo in range(0, len(q), step):
                 tile = q.iloc[lo:lo + step]
-                value = np.stack(tile["vec"].to_numpy()) @ matrix.T + r["bias"].to_numpy()[None, :]
-                value = np.round(value, SCORE_DIGITS)
+                value = _significant(np.stack(tile["vec"].to_numpy()) @ matrix.T + r["bias"].to_numpy()[None, :])
                 rows, cols = _best_rows(value, id_rank, k)
-                parts.append(pd.DataFrame({"user": tile["id"].to_numpy()[rows], "item": ids[cols],
-                                           "score": value[rows, cols]}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["user", "item", "score"])
+                parts.append(pd.DataFrame({"id": tile["id"].to_numpy()[rows], "other": ids[cols], "score": value[rows, cols]}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["id", "other", "score"])
 
-    found = _meet(users, items, blocks, [], kernel, schema)
+    if blocks[1] == 1:
+        found = _meet(users, items, blocks, [], kernel, schema)
+    else:
+        found = _meet_parts(users, items, *norm_parts(users, items, min(blocks[1], MOST_PARTS)), blocks, k, [], kernel, schema)
+    found = found.select(F.col("id").alias("user"), F.col("other").alias("item"), "score")
     return top_k(found, k, [F.desc("score"), F.asc("item")]).select("user", "rank", "item", "score")
 
 
+def _with_heavy(query: DataFrame, ref: DataFrame, heavy: DataFrame, top: int, score: Callable, signed: bool, blocks: tuple[int, int] | None) -> DataFrame:
+    """`id, other, score, rank[, nonzero]` as `sparse_top_k` gives with zeros=False, where the ids of `heavy` have too many cells for a block.
+
+    Their dot products are summed over the rows by two joins (heavy queries with all references, light queries with heavy references); a sum
+    is combined in every map task, so no task holds more of an id than its share of the rows. Other pairs meet in blocks.
+    """
+    light_query, light_ref = query.join(heavy, "id", "left_anti"), ref.join(heavy, "id", "left_anti")
+    near = sparse_top_k(light_query, light_ref, top, score, zeros=False, blocks=plan_blocks(light_query, light_ref, blocks), count_nonzero=signed, signed=signed)
+
+    def dots(one: DataFrame, two: DataFrame) -> DataFrame:
+        two = two.select(F.col("id").alias("other"), "item", F.col("v").alias("u"), "b")
+        met = one.join(two, "item").where(F.col("id") != F.col("other"))
+        return met.groupBy("id", "other").agg(F.sum(F.col("v") * F.col("u")).alias("dot"), F.first("a").alias("a"), F.first("b").alias("b"))
+    pairs = dots(query.join(heavy, "id", "left_semi"), ref).unionByName(dots(light_query, ref.join(heavy, "id", "left_semi")))
+
+    def scored(batches):
+        for rows in batches:
+            dot, a, b = (rows[c].to_numpy() for c in ("dot", "a", "b"))
+            value = _significant(score(_significant(dot, a * b) if signed else dot, a, b))
+            yield rows[["id", "other"]].assign(score=value)[value != 0]
+    schema = T.StructType([near.schema["id"], near.schema["other"], near.schema["score"]])
+    far = stage(pairs.mapInPandas(scored, schema))
+    both = near.select("id", "other", "score").unionByName(far)
+    out = top_k(both, top, [F.desc("score"), F.asc("other")], ["id"])
+    if not signed:
+        return out
+    counts = near.select("id", "nonzero").distinct().unionByName(far.groupBy("id").agg(F.count(F.lit(1)).alias("nonzero")))
+    return out.join(counts.groupBy("id").agg(F.sum("nonzero").alias("nonzero")), "id")
+
+
 SIMILARITIES = ("cosine", "adjusted", "asymmetric", "pearson", "jaccard", "tanimoto", "dice", "tversky")
 
 
@@ -289,8 +448,12 @@ def similarity(cells: DataFrame, kind: str = "cosine", top: int = 100, shrink: f
     else:
         def score(dot, x, y): return dot
     signed = kind in ("adjusted", "pearson")
-    blocks = plan_blocks(cells, cells, blocks)
-    best = sparse_top_k(query, base, top, score, zeros=False, blocks=blocks, count_nonzero=signed)
+    query, base = query.drop("b"), base.drop("a")
+    heavy = stage(base.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HEAVY_CELLS).select("id"))
+    if heavy.isEmpty():
+        best = sparse_top_k(query, base, top, score, zeros=False, blocks=plan_blocks(cells, cells, blocks), count_nonzero=signed, signed=signed)
+    else:
+        best = _with_heavy(query, base, heavy, top, score, signed, blocks)
     if signed:
         best = best.withColumn("columns", data.agg(F.count_distinct("col")).scalar())
         zero_columns = F.col("columns") - F.col("nonzero")

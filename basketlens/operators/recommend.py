@@ -153,15 +153,21 @@ def blend_neighbors(own: DataFrame, neighbors: DataFrame, vectors: DataFrame, al
 
 def recommend_temporal_knn(hist: DataFrame, train: DataFrame, query: DataFrame, neighbors: int = 300, alpha: float = 0.7,
                            groups: int = 7, within: float = 0.9, group: float = 0.7, k: int = 10,
-                           blocks: tuple[int, int] | None = None) -> DataFrame:
-    """Own decay vector blended with the mean vector of the nearest training users; dense-list padding."""
+                           blocks: tuple[int, int] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Own decay vector blended with the mean vector of the nearest training users; dense-list padding.
+
+    `train` and `query` hold `keys, user`: with `keys` (a fold, say) there is a search for every value of them.
+    """
     vectors = decay_vectors(hist, groups, within, group)
-    ref = vectors.join(train.select("user"), "user", "left_semi")
-    own = vectors.join(query.select("user"), "user", "left_semi")
-    near = euclidean_knn(own, ref, neighbors, blocks=blocks)
-    found = F.least(F.lit(neighbors), ref.agg(F.count_distinct("user")).scalar())
-    scored = blend_neighbors(own, near.withColumn("share", 1.0 / found), ref, alpha, F.col("share"))
-    return _dense_list(scored, hist, k, users=query)
+    ref = vectors.join(train.select(*keys, "user").distinct(), "user")
+    own = vectors.join(query.select(*keys, "user").distinct(), "user")
+    near = euclidean_knn(own, ref, neighbors, keys, blocks)
+    if keys:
+        near = near.join(ref.groupBy(*keys).agg(F.count_distinct("user").alias("_n")), [*keys])
+    else:
+        near = near.withColumn("_n", ref.agg(F.count_distinct("user")).scalar())
+    scored = blend_neighbors(own, near.withColumn("share", 1.0 / F.least(F.lit(neighbors), F.col("_n"))), ref, alpha, F.col("share"), keys)
+    return _dense_list(scored, hist, k, keys, users=query)
 
 
 def _dense_list(scored: DataFrame, hist: DataFrame, k: int, keys: Sequence[str] = (), users: DataFrame | None = None) -> DataFrame:

@@ -75,7 +75,8 @@ def grid_temporal_knn(hist: DataFrame, train: DataFrame, query: DataFrame, trial
     # Positions depend on the user alone, so the vectors of all trials come from one aggregation.
     vectors = decay_vectors(spread, F.col("groups"), F.col("within"), F.col("group"), ["trial_id"])
     ref = vectors.join(train.select("user"), "user", "left_semi")
-    own = vectors.join(query.select("user").distinct(), "user", "left_semi")
+    people = query.select("user").distinct()
+    own = vectors.join(people, "user", "left_semi")
     most = trials.agg(F.max("neighbors")).first()[0]
     near = euclidean_knn(own, ref, most, ["trial_id"], blocks)
     params = trials.select("trial_id", "neighbors", "alpha")
@@ -84,14 +85,14 @@ def grid_temporal_knn(hist: DataFrame, train: DataFrame, query: DataFrame, trial
     near = near.withColumn("train_users", count).withColumn("share", 1.0 / F.least("neighbors", "train_users"))
     own = own.join(params.select("trial_id", "alpha"), "trial_id")
     scored = blend_neighbors(own, near, ref, F.col("alpha"), F.col("share"), ["trial_id"])
-    return _dense_list(scored, hist, k, ["trial_id"]).select("trial_id", "user", "rank", "item")
+    return _dense_list(scored, hist, k, ["trial_id"], with_trials(people, trials, ["trial_id"])).select("trial_id", "user", "rank", "item")
 
 
 def grid_similarity(hist: DataFrame, users: DataFrame, trials: DataFrame, k: int = 10,
                     blocks: tuple[int, int] | None = None) -> DataFrame:
     """Similarity recommender for every `(trial_id, recency, alpha, q)`; one similarity per distinct alpha."""
     alphas = sorted(r[0] for r in trials.select("alpha").distinct().collect())
-    inter, sims = interactions(hist), None
+    inter, sims, people = interactions(hist), None, users.select("user").distinct()
     for a in alphas:
         one = user_similarity(inter, a, blocks=blocks).join(users.select("user").distinct(), "user", "left_semi").withColumn("alpha", F.lit(a))
         sims = one if sims is None else sims.unionByName(one)
@@ -99,7 +100,7 @@ def grid_similarity(hist: DataFrame, users: DataFrame, trials: DataFrame, k: int
     lent = recency_scores(spread, F.col("recency"), ["trial_id", "alpha", "q"]).withColumnRenamed("user", "other")
     scored = (sims.join(lent, ["alpha", "other"]).groupBy("trial_id", "user", "item")
               .agg(F.sum(F.pow("sim", F.col("q").cast("double")) * F.col("s")).alias("score")))
-    return _dense_list(scored, hist, k, ["trial_id"]).select("trial_id", "user", "rank", "item")
+    return _dense_list(scored, hist, k, ["trial_id"], with_trials(people, trials, ["trial_id"])).select("trial_id", "user", "rank", "item")
 
 
 def run_grid(recommender: Callable[[DataFrame], DataFrame], trials: DataFrame, target: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:

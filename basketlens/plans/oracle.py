@@ -32,6 +32,17 @@ def key(x):
     return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} / {unit}, 10) * {unit} END"
 
 
+def _expand(text):
+    """Every sig(expression) of a text written out as `key` of the expression."""
+    while (found := re.search(r"\bsig\(", text)):
+        depth, end = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = f"{text[:found.start()]}({key('(' + _expand(text[found.end():end - 1]) + ')')}){text[end:]}"
+    return text
+
+
 def ideal(m):
     """Discounted gain of m hits in the first m ranks."""
     return f"(SELECT coalesce(sum(1.0 / ln(r + 1.0)), 0.0) FROM range(1, ({m})::BIGINT + 1) t(r))"
@@ -181,7 +192,7 @@ CTES = {
     "idf_norm": "SELECT usr, sqrt(sum(v * v)) AS norm FROM idf GROUP BY usr",
     "idf_dot": "SELECT a.usr, b.usr AS other, sum(a.v * b.v) AS dot FROM idf a JOIN idf b ON a.item = b.item AND a.usr <> b.usr GROUP BY a.usr, b.usr",
     "near": """SELECT usr, other AS neighbor, rank, sim FROM (SELECT usr, other, sim, row_number() OVER (PARTITION BY usr ORDER BY sim DESC, other) AS rank
-      FROM (SELECT u.usr, w.usr AS other, round(coalesce(dot / (u.norm * w.norm), 0.0), 10) AS sim FROM idf_norm u JOIN idf_norm w ON u.usr <> w.usr
+      FROM (SELECT u.usr, w.usr AS other, sig(coalesce(dot / (u.norm * w.norm), 0.0)) AS sim FROM idf_norm u JOIN idf_norm w ON u.usr <> w.usr
       LEFT JOIN idf_dot d ON d.usr = u.usr AND d.other = w.usr)) WHERE rank <= 20""",
     "near_mean": "SELECT usr, avg(sim) AS neighbor_similarity FROM near GROUP BY usr",
     "feat": "SELECT usr, dataset, " + ", ".join(f"round({f}, 12) AS {f}" for f in FEATURES) + """ FROM h_feat LEFT JOIN prof USING (usr)
@@ -365,5 +376,5 @@ def assemble(final: str, spec: str, item: str, local: dict[str, str] | None = No
     # A recursive table carries its own header.
     body = ",\n".join(ctes[n] if ctes[n].startswith(f"{n}(") else f"{n} AS ({ctes[n]})" for n in ctes if n in need)
     text = (f"WITH RECURSIVE {body}\n" if body else "") + f"SELECT {', '.join(cols)} FROM ({final})"
-    text = re.sub(r"sig\((\w+|\(c \+ jit\))\)", lambda m: key(m[1]), text)
+    text = _expand(text)
     return text.replace("{item}", ITEM_COLUMN[item])

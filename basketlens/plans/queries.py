@@ -202,11 +202,13 @@ VALUE = "user:i item:s v:f"
 add("t1_top_k", "user:i rank:i item:i score:f", lambda d: neighbors.top_k(recommend.history_share(d.hist).withColumnRenamed("v", "score"), 5,
     [F.desc(score_key(F.col("score"))), F.asc("item")]), sql.top("(SELECT usr, item, v AS score FROM hshare)", 5, "sig(score) DESC, item"), "part")
 
-def _filled(ranked: str) -> str:
+def _filled(ranked: str, keys: tuple = ()) -> str:
     """SQL of a list padded to ten with the highest item ids."""
-    return f"""SELECT usr, rank, item, score FROM (SELECT usr, item, score, row_number() OVER (PARTITION BY usr ORDER BY given DESC, r, item DESC) AS rank FROM
-      (SELECT usr, item, score, 1 AS given, rank AS r FROM {ranked} UNION ALL SELECT u.usr, p.item, 0.0, 0, 0 FROM (SELECT DISTINCT usr FROM {ranked}) u,
-      (SELECT item FROM gf ORDER BY item DESC LIMIT 10) p WHERE NOT EXISTS (SELECT 1 FROM {ranked} x WHERE x.usr = u.usr AND x.item = p.item))) WHERE rank <= 10"""
+    by = ", ".join([*keys, "usr"])
+    same = " AND ".join(f"x.{c} = u.{c}" for c in [*keys, "usr"])
+    return f"""SELECT {by}, rank, item, score FROM (SELECT {by}, item, score, row_number() OVER (PARTITION BY {by} ORDER BY given DESC, r, item DESC) AS rank FROM
+      (SELECT {by}, item, score, 1 AS given, rank AS r FROM {ranked} UNION ALL SELECT {", ".join("u." + c for c in [*keys, "usr"])}, p.item, 0.0, 0, 0 FROM (SELECT DISTINCT {by} FROM {ranked}) u,
+      (SELECT item FROM gf ORDER BY item DESC LIMIT 10) p WHERE NOT EXISTS (SELECT 1 FROM {ranked} x WHERE {same} AND x.item = p.item))) WHERE rank <= 10"""
 
 
 add("t2_fill_to_k", "user:i rank:i item:i score:f", lambda d: recommend.fill_to_k(
@@ -228,45 +230,56 @@ def _vec_sql(m, w, g, source="hist", keys=""):
 
 
 VEC = _vec_sql(7, 0.9, 0.7)
-EUC = """SELECT usr, other AS neighbor, rank, sqrt(greatest(d2, 0.0)) AS dist FROM (SELECT usr, other, d2, row_number() OVER (PARTITION BY usr ORDER BY d2, other) AS rank FROM
-  (SELECT q.usr, r.usr AS other, round(greatest(q.n2 + r.n2 - 2 * coalesce(dot, 0.0), 0.0), 10) AS d2 FROM (SELECT usr, n2 FROM vec_norm JOIN served USING (usr)) q,
-  (SELECT usr, n2 FROM vec_norm JOIN train0 USING (usr)) r LEFT JOIN vec_dot d ON d.usr = q.usr AND d.other = r.usr)) WHERE rank <= 20"""
+EUC = """SELECT fold, usr, other AS neighbor, rank, sqrt(greatest(d2, 0.0)) AS dist FROM (SELECT fold, usr, other, d2, row_number() OVER (PARTITION BY fold, usr ORDER BY d2, other) AS rank FROM
+  (SELECT q.fold, q.usr, r.usr AS other, sig(round(greatest(q.n2 + r.n2 - 2 * coalesce(dot, 0.0), 0.0) / pow(10.0::DOUBLE, floor(log10(q.n2 + r.n2))), 10)
+    * pow(10.0::DOUBLE, floor(log10(q.n2 + r.n2)))) AS d2 FROM (SELECT fold, usr, n2 FROM vec_norm JOIN split USING (usr) WHERE split <> 'train') q
+  JOIN (SELECT fold, usr, n2 FROM vec_norm JOIN split USING (usr) WHERE split = 'train') r ON q.fold = r.fold LEFT JOIN vec_dot d ON d.usr = q.usr AND d.other = r.usr)) WHERE rank <= 300"""
 VEC_CTES = {"vec": VEC, "vec_norm": "SELECT usr, sum(v * v) AS n2 FROM vec GROUP BY usr",
-            "vec_dot": """SELECT a.usr, b.usr AS other, sum(a.v * b.v) AS dot FROM vec a JOIN vec b USING (item) WHERE a.usr IN (SELECT usr FROM served)
-              AND b.usr IN (SELECT usr FROM train0) GROUP BY a.usr, b.usr""", "euc": EUC}
+            "vec_dot": "SELECT a.usr, b.usr AS other, sum(a.v * b.v) AS dot FROM vec a JOIN vec b USING (item) GROUP BY a.usr, b.usr", "euc": EUC}
 
 
 def _vectors(d: BasketData) -> DataFrame:
     return recommend.decay_vectors(d.hist, 7, 0.9, 0.7)
 
 
+def _sides(d: BasketData, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the validation and test users of every fold, and of its training users."""
+    parts = d.split.select("fold", "user", "split")
+    return tuple(of.join(parts.where(c).select("fold", "user"), "user") for c in ("split <> 'train'", "split = 'train'"))
+
+
 def _euclid(d: BasketData) -> DataFrame:
-    v = _vectors(d)
-    return neighbors.euclidean_knn(v.join(d.served, "user", "left_semi"), v.join(d.part("train"), "user", "left_semi"), 20)
+    return neighbors.euclidean_knn(*_sides(d, _vectors(d)), 300, ["fold"])
 
 
 DENSE = "SELECT usr, item, score, row_number() OVER (PARTITION BY usr ORDER BY sig(score) DESC, item DESC) AS rank FROM {0} WHERE score > 0"
+DENSE_BY = "SELECT {0}, usr, item, score, row_number() OVER (PARTITION BY {0}, usr ORDER BY sig(score) DESC, item DESC) AS rank FROM {1} WHERE score > 0"
 add("r6_decay_vectors", "user:i item:s v:f", _vectors, VEC)
-add("r7_neighbor_search", "user:i neighbor:i rank:i dist:f", _euclid, "SELECT * FROM euc", **VEC_CTES)
-add("r8_recommend_temporal_knn", LIST, lambda d: recommend.recommend_temporal_knn(d.hist, d.part("train"), d.served, 20, 0.7, 7, 0.9, 0.7),
-    _filled("r8_list"), **VEC_CTES, r8_scored="""SELECT usr, item, sum(p) AS score FROM (SELECT usr, item, 0.7::DOUBLE * v AS p FROM vec JOIN served USING (usr)
-      UNION ALL SELECT e.usr, vec.item, 0.3::DOUBLE / 20 * v FROM euc e JOIN vec ON vec.usr = e.neighbor) GROUP BY usr, item""",
-    r8_list="SELECT * FROM (" + DENSE.format("r8_scored") + ") WHERE rank <= 10")
+add("r7_neighbor_search", "fold:i user:i neighbor:i rank:i dist:f", _euclid, "SELECT * FROM euc", **VEC_CTES)
+def _people(d: BasketData, train: bool = False) -> DataFrame:
+    """`fold, user`: training users, or those held out."""
+    return d.split.where((F.col("split") == "train") == F.lit(train)).select("fold", "user")
+
+
+add("r8_recommend_temporal_knn", "fold:i " + LIST, lambda d: recommend.recommend_temporal_knn(d.hist, _people(d, True), _people(d), keys=["fold"]),
+    _filled("r8_list", ["fold"]), **VEC_CTES, n_train="SELECT fold, count(*) AS n FROM split WHERE split = 'train' GROUP BY fold",
+    r8_scored="""SELECT fold, usr, item, sum(p) AS score FROM (SELECT fold, usr, item, 0.7::DOUBLE * v AS p FROM vec JOIN split USING (usr) WHERE split <> 'train'
+      UNION ALL SELECT e.fold, e.usr, vec.item, 0.3::DOUBLE / least(300, n) * v FROM euc e JOIN vec ON vec.usr = e.neighbor JOIN n_train USING (fold)) GROUP BY fold, usr, item""",
+    r8_list="SELECT * FROM (" + DENSE_BY.format("fold", "r8_scored") + ") WHERE rank <= 10")
 add("r9_interactions", "user:i item:i c:i", lambda d: recommend.interactions(d.hist), "SELECT * FROM uf", "part")
 RC = "SELECT usr, item, sum(qty) / least(5, n)::DOUBLE AS s FROM hist JOIN h_end USING (usr) WHERE t >= n - least(5, n) GROUP BY usr, item, n"
 add("r10_recency_scores", "user:i item:s s:f", lambda d: recommend.recency_scores(d.hist, 5), RC)
 USIM = {"u_sq": "SELECT usr, sum(c * c)::DOUBLE AS sq FROM uf GROUP BY usr",
         "u_dot": "SELECT a.usr, b.usr AS other, sum(a.c * b.c)::DOUBLE AS dot FROM uf a JOIN uf b ON a.item = b.item AND a.usr <> b.usr GROUP BY a.usr, b.usr",
         "u_sim": """SELECT usr, other, sim FROM (SELECT usr, other, sim, row_number() OVER (PARTITION BY usr ORDER BY sim DESC, other) AS r FROM
-          (SELECT d.usr, d.other, round(dot / (pow(x.sq, 0.5::DOUBLE) * pow(y.sq, 0.5::DOUBLE) + 1000 + 1e-6), 10) AS sim FROM u_dot d JOIN u_sq x ON x.usr = d.usr
+          (SELECT d.usr, d.other, sig(dot / (pow(x.sq, 0.5::DOUBLE) * pow(y.sq, 0.5::DOUBLE) + 1000 + 1e-6)) AS sim FROM u_dot d JOIN u_sq x ON x.usr = d.usr
           JOIN u_sq y ON y.usr = d.other)) WHERE r <= 100 AND sim <> 0 UNION ALL SELECT usr, usr, 1.0 FROM u_sq""", "rc": RC}
 add("r11_user_similarity", "user:i other:i sim:f", lambda d: recommend.user_similarity(recommend.interactions(d.hist)), "SELECT * FROM u_sim", **USIM)
-add("r12_recommend_similarity", LIST, lambda d: recommend.recommend_similarity(d.hist, d.served), _filled("r12_list"), **USIM,
-    r12_scored="SELECT m.usr, rc.item, sum(sim * s) AS score FROM u_sim m JOIN served USING (usr) JOIN rc ON rc.usr = m.other GROUP BY m.usr, rc.item",
-    r12_list="SELECT * FROM (" + DENSE.format("r12_scored") + ") WHERE rank <= 10")
-add("r12_recommend_similarity_q5", LIST, lambda d: recommend.recommend_similarity(d.hist, d.served, q=5.0), _filled("r12_list"), **USIM,
-    r12_scored="SELECT m.usr, rc.item, sum(pow(sim, 5.0::DOUBLE) * s) AS score FROM u_sim m JOIN served USING (usr) JOIN rc ON rc.usr = m.other GROUP BY m.usr, rc.item",
-    r12_list="SELECT * FROM (" + DENSE.format("r12_scored") + ") WHERE rank <= 10")
+for _name, _q, _power in (("r12_recommend_similarity", 1.0, "sim"), ("r12_recommend_similarity_q5", 5.0, "pow(sim, 5.0::DOUBLE)")):
+    # Similarities are over the histories of all users, so a user's list is the same in every fold.
+    add(_name, LIST, lambda d, q=_q: recommend.recommend_similarity(d.hist, d.users, q=q), _filled("r12_list"), **USIM,
+        r12_scored=f"SELECT m.usr, rc.item, sum({_power} * s) AS score FROM u_sim m JOIN rc ON rc.usr = m.other GROUP BY m.usr, rc.item",
+        r12_list="SELECT * FROM (" + DENSE.format("r12_scored") + ") WHERE rank <= 10")
 INST = "SELECT usr, t, item, unnest(range(1, qty + 1)) AS copy, CASE WHEN n = 1 THEN t ELSE t - 1 END AS context_t FROM hist JOIN h_end USING (usr) WHERE n = 1 OR t > 0"
 QSIZES = "SELECT usr, t, sum(qty)::BIGINT AS size FROM hist GROUP BY usr, t"
 BOUGHT = "SELECT usr, t, item, unnest(range(1, qty + 1)) AS copy FROM hist"
@@ -357,7 +370,7 @@ add("r31_basket_share", VALUE, lambda d: recommend.basket_share(d.hist), "SELECT
 # Neighbours and similarity --------------------------------------------------------------------
 
 add("n1_cosine_knn", "user:i neighbor:i rank:i sim:f", lambda d: d.neighbors, "SELECT * FROM near")
-add("n2_euclidean_knn", "user:i neighbor:i rank:i dist:f", _euclid, "SELECT * FROM euc", "part", **VEC_CTES)
+add("n2_euclidean_knn", "fold:i user:i neighbor:i rank:i dist:f", _euclid, "SELECT * FROM euc", "part", **VEC_CTES)
 
 
 def _dense_knn(d: BasketData) -> DataFrame:
@@ -385,9 +398,12 @@ SIM = "a:s b:s sim:f"
 def _sim_sql(denominator, value="c::DOUBLE", top=10, weight="1.0", signed=False):
     """Top similarities of item columns; `x` and `y` are the two sums of squares."""
     keep = "sim <> 0 AND (sim > 0 OR r + (SELECT count(DISTINCT col) FROM m) - nz <= " + str(top) + ")" if signed else "sim <> 0"
+    # Where terms may cancel, what is left counts on the scale of the two norms.
+    unit = "pow(10.0::DOUBLE, floor(log10(sqrt(x) * sqrt(y))))"
+    sim = f"CASE WHEN x = 0 OR y = 0 THEN 0.0 ELSE sig(round(dot / {unit}, 10) * {unit} / ({denominator})) END" if signed else f"sig(dot / ({denominator}))"
     return {"m": f"SELECT usr AS row, item AS col, {value} AS v, {weight} AS w FROM uf", "m_sq": "SELECT col, sum(v * v) AS sq FROM m GROUP BY col",
             "m_sim": f"""SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r, count(*) OVER (PARTITION BY a) AS nz FROM
-              (SELECT a, b, round(dot / ({denominator}), 10) AS sim FROM (SELECT p.col AS a, q.col AS b, sum(p.w * p.v * q.v) AS dot FROM m p JOIN m q ON p.row = q.row AND p.col <> q.col
+              (SELECT a, b, {sim} AS sim FROM (SELECT p.col AS a, q.col AS b, sum(p.w * p.v * q.v) AS dot FROM m p JOIN m q ON p.row = q.row AND p.col <> q.col
               GROUP BY p.col, q.col) JOIN (SELECT col AS a, sq AS x FROM m_sq) USING (a) JOIN (SELECT col AS b, sq AS y FROM m_sq) USING (b)) WHERE sim <> 0)
               WHERE r <= {top} AND {keep}"""}
 
@@ -402,7 +418,7 @@ def _row_weights(d: BasketData) -> DataFrame:
 
 add("y1_similarity_users", "a:i b:i sim:f", lambda d: neighbors.similarity(_user_cells(d), "cosine", 20, 10.0),
     """SELECT usr AS a, other AS b, sim FROM (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY sim DESC, other) AS r FROM (SELECT d.usr, d.other,
-    round(dot / (sqrt(x.sq) * sqrt(y.sq) + 10 + 1e-6), 10) AS sim FROM u_dot d JOIN u_sq x ON x.usr = d.usr JOIN u_sq y ON y.usr = d.other)) WHERE r <= 20 AND sim <> 0""", "part", **USIM)
+    sig(dot / (sqrt(x.sq) * sqrt(y.sq) + 10 + 1e-6)) AS sim FROM u_dot d JOIN u_sq x ON x.usr = d.usr JOIN u_sq y ON y.usr = d.other)) WHERE r <= 20 AND sim <> 0""", "part", **USIM)
 for _id, _kind, _kw, _den in (
         ("y2", "cosine", {"shrink": 3.0}, "sqrt(x) * sqrt(y) + 3.0 + 1e-6"),
         ("y4", "asymmetric", {"alpha": 0.3, "shrink": 5.0}, "pow(x, 0.3::DOUBLE) * pow(y, 0.7::DOUBLE) + 5.0 + 1e-6"),
@@ -509,12 +525,12 @@ def _similarity_trials(d: BasketData) -> DataFrame:
 
 
 
-def _grid_sql(scored: str) -> dict[str, str]:
-    """Padded lists and mean metrics per trial from `scored(trial_id, usr, item, score)`."""
+def _grid_sql(scored: str, grid: str) -> dict[str, str]:
+    """Padded lists of all validation users and mean metrics per trial of `grid`, from `scored(trial_id, usr, item, score)`."""
     return {"gl_own": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, usr ORDER BY sig(score) DESC, item DESC) AS rank FROM {scored}
               WHERE score > 0) WHERE rank <= 10""",
-            "gl": """SELECT * FROM (SELECT trial_id, usr, item, row_number() OVER (PARTITION BY trial_id, usr ORDER BY given DESC, r, item DESC) AS rank FROM
-              (SELECT trial_id, usr, item, 1 AS given, rank AS r FROM gl_own UNION ALL SELECT u.trial_id, u.usr, p.item, 0, 0 FROM (SELECT DISTINCT trial_id, usr FROM gl_own) u,
+            "gl": f"""SELECT * FROM (SELECT trial_id, usr, item, row_number() OVER (PARTITION BY trial_id, usr ORDER BY given DESC, r, item DESC) AS rank FROM
+              (SELECT trial_id, usr, item, 1 AS given, rank AS r FROM gl_own UNION ALL SELECT u.trial_id, u.usr, p.item, 0, 0 FROM (SELECT trial_id, usr FROM {grid}, val0) u,
               (SELECT item FROM gf ORDER BY item DESC LIMIT 10) p WHERE NOT EXISTS (SELECT 1 FROM gl_own x WHERE x.trial_id = u.trial_id AND x.usr = u.usr AND x.item = p.item)))
               WHERE rank <= 10""",
             "gl_s": f"""SELECT trial_id, usr, total_purchases, count(*) AS length, {sql.metric_sums(5)}, {sql.metric_sums(10)} FROM (SELECT p.*, (x.item IS NOT NULL)::INT AS hit,
@@ -530,7 +546,7 @@ KNN_GRID = {"val0": "SELECT usr FROM split WHERE fold = 0 AND split = 'val'",
             "kd": """SELECT a.trial_id, a.usr, b.usr AS other, sum(a.v * b.v) AS dot FROM kv a JOIN kv b ON a.trial_id = b.trial_id AND a.item = b.item
               WHERE a.usr IN (SELECT usr FROM val0) AND b.usr IN (SELECT usr FROM train0) GROUP BY ALL""",
             "ke": """SELECT trial_id, usr, other FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, usr ORDER BY d2, other) AS rank FROM
-              (SELECT q.trial_id, q.usr, r.usr AS other, round(greatest(q.n2 + r.n2 - 2 * coalesce(dot, 0.0), 0.0), 10) AS d2 FROM (SELECT * FROM kn JOIN val0 USING (usr)) q
+              (SELECT q.trial_id, q.usr, r.usr AS other, sig(round(greatest(q.n2 + r.n2 - 2 * coalesce(dot, 0.0), 0.0) / pow(10.0::DOUBLE, floor(log10(q.n2 + r.n2))), 10) * pow(10.0::DOUBLE, floor(log10(q.n2 + r.n2)))) AS d2 FROM (SELECT * FROM kn JOIN val0 USING (usr)) q
               JOIN (SELECT * FROM kn JOIN train0 USING (usr)) r ON r.trial_id = q.trial_id LEFT JOIN kd d ON d.trial_id = q.trial_id AND d.usr = q.usr AND d.other = r.usr))
               JOIN kg USING (trial_id) WHERE rank <= nb""",
             "ks": """SELECT trial_id, usr, item, sum(p) AS score FROM (SELECT trial_id, usr, item, al * v AS p FROM kv JOIN val0 USING (usr) JOIN kg USING (trial_id) UNION ALL
@@ -539,15 +555,15 @@ KNN_GRID = {"val0": "SELECT usr FROM split WHERE fold = 0 AND split = 'val'",
 SIM_GRID = {"val0": KNN_GRID["val0"], "u_sq": USIM["u_sq"], "u_dot": USIM["u_dot"],
             "sg": "SELECT row_number() OVER (ORDER BY rc, al, q) - 1 AS trial_id, rc, al, q FROM (VALUES (2), (5)) a(rc), (VALUES (0.3::DOUBLE), (0.7)) b(al), (VALUES (1), (2)) c(q)",
             "sm": """SELECT al, usr, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY al, usr ORDER BY sim DESC, other) AS r FROM
-              (SELECT al, d.usr, d.other, round(dot / (pow(x.sq, al) * pow(y.sq, 1.0 - al) + 1000 + 1e-6), 10) AS sim FROM (SELECT DISTINCT al FROM sg) CROSS JOIN u_dot d
+              (SELECT al, d.usr, d.other, sig(dot / (pow(x.sq, al) * pow(y.sq, 1.0 - al) + 1000 + 1e-6)) AS sim FROM (SELECT DISTINCT al FROM sg) CROSS JOIN u_dot d
               JOIN u_sq x ON x.usr = d.usr JOIN u_sq y ON y.usr = d.other WHERE d.usr IN (SELECT usr FROM val0))) WHERE r <= 100 AND sim <> 0 UNION ALL
               SELECT al, usr, usr, 1.0 FROM val0, (SELECT DISTINCT al FROM sg)""",
             "sr": """SELECT rc, usr, item, sum(qty) / least(rc, n)::DOUBLE AS s FROM hist JOIN h_end USING (usr), (SELECT DISTINCT rc FROM sg) WHERE t >= n - least(rc, n)
               GROUP BY rc, usr, item, n""",
             "ss": """SELECT trial_id, m.usr, r.item, sum(pow(sim, q) * s) AS score FROM sg JOIN sm m ON m.al = sg.al JOIN sr r ON r.rc = sg.rc AND r.usr = m.other
               GROUP BY trial_id, m.usr, r.item"""}
-add("h5_run_grid_temporal_knn", f"trial_id:i {MEAN_COLS}", _knn_trials, "SELECT * FROM gl_r", **KNN_GRID, **_grid_sql("ks"))
-add("h5_run_grid_similarity", f"trial_id:i {MEAN_COLS}", _similarity_trials, "SELECT * FROM gl_r", **SIM_GRID, **_grid_sql("ss"))
+add("h5_run_grid_temporal_knn", f"trial_id:i {MEAN_COLS}", _knn_trials, "SELECT * FROM gl_r", **KNN_GRID, **_grid_sql("ks", "kg"))
+add("h5_run_grid_similarity", f"trial_id:i {MEAN_COLS}", _similarity_trials, "SELECT * FROM gl_r", **SIM_GRID, **_grid_sql("ss", "sg"))
 add("h6_leaderboard", "rank:i trial_id:i score:f", lambda d: trials.leaderboard(_recency_trials(d), "nDCG@5", 5),
     'SELECT * FROM (SELECT trial_id, "nDCG@5" AS score, row_number() OVER (ORDER BY round("nDCG@5", 9) DESC, trial_id) AS rank FROM rg_r) WHERE rank <= 5', **REC)
 

@@ -124,3 +124,97 @@ def test_packed_vectors_survive_cutting(spark, hist, monkeypatch):
     monkeypatch.setattr(neighbors, "PACK_ROWS", 3)
     got = {(r["user"], r["rank"]): r["neighbor"] for r in neighbors.cosine_knn(vec, 5, (2, 2)).collect()}
     assert got == want
+
+
+def nearest(m, ids, k, kind):
+    """Lists of (other, score) of every row of a matrix against every other, best first, ties by id."""
+    norm = np.sqrt((m * m).sum(1))
+    score = m @ m.T / np.outer(norm, norm) if kind == "cosine" else -np.sqrt(np.maximum(((m[:, None] - m[None]) ** 2).sum(2), 0))
+    score = np.round(score, 9)
+    if kind == "cosine":
+        np.fill_diagonal(score, -np.inf)
+    return {ids[i]: [(ids[j], score[i, j]) for j in sorted(range(len(ids)), key=lambda j: (-score[i, j], ids[j]))[:k] if score[i, j] > -np.inf] for i in range(len(ids))}
+
+
+@pytest.mark.parametrize("kind", ["cosine", "distance"])
+def test_parts_give_the_same_neighbours_as_all_pairs(spark, kind):
+    """Clusters, lone users, equal users and a user who shares nothing."""
+    rng = np.random.default_rng(7)
+    m = np.zeros((90, 40))
+    for i in range(90):
+        base = (i % 6) * 6
+        m[i, base + rng.permutation(6)[:4]] = rng.integers(1, 9, 4)
+        m[i, rng.integers(36, 40)] += 0.5
+    m[10], m[11] = m[4], 3 * m[4]
+    m[50] = 0
+    m[50, 39] = 2.0
+    rows = [(i, int(j), float(m[i, j])) for i in range(90) for j in np.flatnonzero(m[i])]
+    vec = spark.createDataFrame(rows, "user int, item int, v double").cache()
+    got = {}
+    found = neighbors.cosine_knn(vec, 7, (2, 9)) if kind == "cosine" else neighbors.euclidean_knn(vec, vec, 7, blocks=(2, 9))
+    for r in found.orderBy("user", "rank").collect():
+        got.setdefault(r["user"], []).append((r["neighbor"], r["sim"] if kind == "cosine" else -r["dist"]))
+    want = nearest(m, list(range(90)), 7, kind)
+    assert {u: [x for x, _ in v] for u, v in got.items()} == {u: [x for x, _ in v] for u, v in want.items()}
+    assert all(abs(a - b) < 1e-7 for u in want for (_, a), (_, b) in zip(got[u], want[u]))
+
+
+def test_bounds_hold_and_rule_parts_out(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(j), float(rng.integers(1, 9)) * 10 ** (i % 4)) for i in range(80) for j in (i % 8) * 5 + rng.permutation(5)[:3]]
+    vec = spark.createDataFrame(rows, "user int, item int, v double")
+    m = np.zeros((80, 40))
+    for i, j, v in rows:
+        m[i, j] = v
+    norm = np.sqrt((m * m).sum(1))
+    sides = {"cosine": (neighbors.cosine_parts, (m @ m.T) / np.outer(norm, norm), F.sqrt), "distance": (neighbors.pivot_parts, -((m[:, None] - m[None]) ** 2).sum(2), F.col)}
+    for layout, score, norm_of in sides.values():
+        cells = neighbors._with_norm(vec, "a").withColumn("a", norm_of("a"))
+        place, bound = layout(cells, cells.withColumnRenamed("a", "b"), [], 8)
+        part = {r["id"]: r["part"] for r in place.collect()}
+        bounds = {(r["id"], r["part"]): r["bound"] for r in bound.collect()}
+        assert sorted(part) == list(range(80)) and len(set(part.values())) > 2
+        for i in range(80):
+            for j in range(80):
+                assert score[i, j] <= bounds[i, part[j]] + 1e-12 * abs(score[i, j])
+        first, more = neighbors.visits(bound)
+        kth = spark.createDataFrame([(i, float(np.sort(score[i])[-3])) for i in range(80)], "id int, kth double")
+        assert first.count() == 80 and more(kth).count() < 40 * len(set(part.values()))
+
+
+def test_dot_products_stop_at_parts_of_small_norm(spark):
+    rng = np.random.default_rng(5)
+    u, v = rng.normal(size=(30, 6)), rng.normal(size=(200, 6)) * np.exp(rng.normal(size=(200, 1)) * 2)
+    bias = rng.normal(size=200)
+    v[7], bias[7] = v[3], bias[3]
+    users = spark.createDataFrame([(i, u[i].tolist()) for i in range(30)], "user int, vec array<double>")
+    items = spark.createDataFrame([(i, v[i].tolist(), float(bias[i])) for i in range(200)], "item int, vec array<double>, bias double")
+    score = np.round(u @ v.T + bias[None], 9)
+    got = {}
+    for r in neighbors.dot_top_k(users, items, 5, (2, 8)).orderBy("user", "rank").collect():
+        got.setdefault(r["user"], []).append(r["item"])
+    assert got == {i: sorted(range(200), key=lambda j: (-score[i, j], j))[:5] for i in range(30)}
+    ids = users.select(F.col("user").alias("id"), "vec"), items.select(F.col("item").alias("id"), "vec", "bias")
+    place, bound = neighbors.norm_parts(*ids, 8)
+    kth = spark.createDataFrame([(i, float(np.sort(score[i])[-5])) for i in range(30)], "id int, kth double")
+    assert neighbors.visits(bound)[1](kth).count() < 30 * 5 and place.select("part").distinct().count() == 8
+
+
+@pytest.mark.parametrize("kind,kw", [("cosine", {}), ("pearson", {}), ("jaccard", {})])
+def test_heavy_columns_are_summed_by_joins(spark, hist, monkeypatch, kind, kw):
+    cells = recommend.interactions(hist).select(F.col("user").alias("row"), F.col("item").alias("col"), F.col("c").alias("value"))
+    want = {(r["a"], r["b"]): r["sim"] for r in neighbors.similarity(cells, kind, 6, 2.0, **kw).collect()}
+    monkeypatch.setattr(neighbors, "HEAVY_CELLS", 20)
+    largest: list[int] = []
+    pack = neighbors._pack
+    monkeypatch.setattr(neighbors, "_pack", lambda c, keys, stat: (largest.append(c.groupBy("id").count().agg(F.max("count")).first()[0]), pack(c, keys, stat))[1])
+    got = {(r["a"], r["b"]): r["sim"] for r in neighbors.similarity(cells, kind, 6, 2.0, **kw).collect()}
+    assert max(largest) <= 20 < cells.groupBy("col").count().agg(F.max("count")).first()[0]
+    for a in {a for a, _ in want}:
+        assert sorted(v for (x, _), v in got.items() if x == a) == pytest.approx(sorted(v for (x, _), v in want.items() if x == a), abs=1e-9)
+
+
+def test_small_similarities_are_kept(spark):
+    cells = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1e-12), (2, "b", 1.0), (2, "c", 1.0)], "row int, col string, value double")
+    got = {(r["a"], r["b"]): r["sim"] for r in neighbors.similarity(cells, "cosine", 5).collect()}
+    assert got[("a", "b")] == pytest.approx(1e-12, rel=1e-5)
