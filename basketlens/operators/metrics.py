@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import discount, ideal_dcg
+from ..functions.columns import discount, ideal_dcg, score_key
+from ..functions.ordering import add_running_total
+from ..functions.staging import stage
 from .stats import require_unique
 
 METRICS = ("HR", "WHR", "nDCG", "recall", "precision")
@@ -119,14 +121,47 @@ def rank_auc(scores: DataFrame, target: DataFrame) -> DataFrame:
                          (1.0 / F.log2(F.col("wrong") + 2.0)).alias("ndcg"))
 
 
-def warm_cold(item_scores: DataFrame, hist: DataFrame) -> DataFrame:
-    """`population, auc, ndcg` for all, warm (already bought) and cold target items: user means over purchases, then their mean."""
+def _ahead(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, value, ahead`: the sum of `weight` over the events of a group (`keys, value, weight`) with this value or a greater one."""
+    per_value = events.groupBy(*keys, "value").agg(F.sum("weight").alias("weight")).withColumn("_down", -F.col("value"))
+    placed = add_running_total(per_value, keys, ["_down"], "weight", "_before")
+    return placed.select(*keys, "value", (F.col("_before") + F.col("weight")).alias("ahead"))
+
+
+def rank_auc_sparse(base: DataFrame, own: DataFrame, target: DataFrame) -> DataFrame:
+    """The result of `rank_auc` where only a user's few own items differ from a score that all users share.
+
+    `base(item, score)` is the catalogue, `own(user, item, score)` what replaces a user's base scores; own and target items outside the
+    catalogue are left out. No user meets the catalogue: how many base scores reach a target's is read off one ranking of the catalogue and all
+    targets' scores, and a user's own and target items, counted there with their base scores, are taken out and put back with their own.
+    """
+    shared = base.select("item", score_key(F.col("score")).alias("base"))
+    wanted = target.groupBy("user", "item").agg(F.sum("qty").alias("qty"))
+    mine = own.join(target.select("user").distinct(), "user", "left_semi").select("user", "item", score_key(F.col("score")).alias("own"))
+    rows = stage(mine.join(wanted, ["user", "item"], "full").join(shared, "item")
+                 .select("user", "item", "qty", "base", F.coalesce("own", "base").alias("value")))
+    asked = rows.where("qty IS NOT NULL")
+    world = shared.select(F.col("base").alias("value"), F.lit(1).cast("bigint").alias("weight")).unionByName(
+        asked.select("value", F.lit(0).cast("bigint").alias("weight")))
+    above = _ahead(world, []).withColumnRenamed("ahead", "_world")
+    moved = rows.select("user", F.col("base").alias("value"), F.lit(-1).cast("bigint").alias("weight")).unionByName(
+        rows.select("user", "value", F.when(F.col("qty").isNull(), 1).otherwise(0).cast("bigint").alias("weight")))
+    wrong = F.col("_world") + F.col("ahead")
+    n_targets = asked.groupBy("user").agg(F.count(F.lit(1)).alias("_targets"))
+    n_neg = base.agg(F.count(F.lit(1))).scalar() - F.col("_targets")
+    placed = asked.join(_ahead(moved, ["user"]), ["user", "value"]).join(above, "value").join(n_targets, "user").withColumn("_neg", n_neg).withColumn("_wrong", wrong)
+    return placed.select("user", "item", "qty", F.try_divide(F.col("_neg") - F.col("_wrong"), F.col("_neg")).alias("auc"),
+                         (1.0 / F.log2(F.col("_wrong") + 2.0)).alias("ndcg"))
+
+
+def warm_cold(item_scores: DataFrame, hist: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`keys, population, auc, ndcg` for all, warm (already bought) and cold target items: user means over purchases, then their mean."""
     bought = hist.select("user", "item").distinct().withColumn("_warm", F.lit(1))
     marked = item_scores.join(bought, ["user", "item"], "left").withColumn(
         "population", F.array(F.lit("all"), F.when(F.col("_warm") == 1, "warm").otherwise("cold")))
     users = (marked.withColumn("population", F.explode("population"))
-             .groupBy("user", "population").agg(*[(F.sum(F.col(c) * F.col("qty")) / F.sum("qty")).alias(c) for c in ("auc", "ndcg")]))
-    return users.groupBy("population").agg(F.avg("auc").alias("auc"), F.avg("ndcg").alias("ndcg"))
+             .groupBy(*keys, "user", "population").agg(*[(F.sum(F.col(c) * F.col("qty")) / F.sum("qty")).alias(c) for c in ("auc", "ndcg")]))
+    return users.groupBy(*keys, "population").agg(F.avg("auc").alias("auc"), F.avg("ndcg").alias("ndcg"))
 
 
 def build_panel(per_user: DataFrame, split: DataFrame, metric: str = "nDCG@5", groups: DataFrame | None = None,

@@ -276,15 +276,22 @@ def temporal_edges(hist: DataFrame) -> DataFrame:
     return edges.join(top, "user").select("user", "i", "j", (F.col("c") / F.col("top")).alias("w"))
 
 
-def class_weights(hist: DataFrame, train: DataFrame) -> DataFrame:
-    """`item, w`: add-one frequency over training baskets, inverted and scaled to a maximum of 1.
+def class_weights(hist: DataFrame, train: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`keys, item, w`: add-one frequency over training baskets, inverted and scaled to a maximum of 1, for each value of the `keys` of `train(keys, user)`.
 
     Scaling makes the weight the smallest add-one count over the item's.
     """
-    counts = global_frequency(hist.join(train.select("user"), "user", "left_semi"))
-    added = hist.select("item").distinct().join(counts, "item", "left").select(
-        "item", (F.coalesce(F.col("c"), F.lit(0)) + 1).alias("c"))
-    return added.withColumn("low", added.agg(F.min("c")).scalar()).select("item", (F.col("low") / F.col("c")).alias("w"))
+    counts = hist.join(train.select(*keys, "user").distinct(), "user").groupBy(*keys, "item").agg(F.sum("qty").alias("c"))
+    items = hist.select("item").distinct()
+    if keys:
+        every = train.agg(F.collect_set(F.struct(*keys))).scalar()
+        items = items.withColumn("_k", F.explode(every)).select("item", "_k.*")
+    added = items.join(counts, [*keys, "item"], "left").select(*keys, "item", (F.coalesce(F.col("c"), F.lit(0)) + 1).alias("c"))
+    if keys:
+        low = added.join(added.groupBy(*keys).agg(F.min("c").alias("low")), [*keys])
+    else:
+        low = added.withColumn("low", added.agg(F.min("c")).scalar())
+    return low.select(*keys, "item", (F.col("low") / F.col("c")).alias("w"))
 
 
 def max_frequency(hist: DataFrame) -> DataFrame:

@@ -77,6 +77,9 @@ add("flagship_test_metrics", MEANS, flagship, "SELECT * FROM g_means")
 
 add("s1_read_transactions", "user:i order:i item:s n:i", lambda d: _count_by(d.log, "user", "order", "item"),
     'SELECT usr, ord AS "order", item, count(*) AS n FROM log GROUP BY usr, ord, item')
+add("s1_read_parquet_log", "user:i order:i item:i n:i", lambda d: _count_by(tables.read_transactions(
+    d.spark, f"{d.path}/lineitem.parquet", "l_suppkey", "l_orderkey", "l_partkey"), "user", "order", "item"),
+    'SELECT l_suppkey AS usr, l_orderkey AS "order", l_partkey AS item, count(*) AS n FROM lineitem GROUP BY ALL', "part")
 
 REC = {"rg": """SELECT row_number() OVER (ORDER BY win, decay) - 1 AS trial_id, win, decay FROM (VALUES (1), (2), (5), (50)) a(win), (VALUES (0.5::DOUBLE), (0.8), (0.95)) b(decay)""",
        "rg_g": "SELECT trial_id, item, round(sum(pow(decay, last_t - t) * qty), 10) AS g FROM hist JOIN h_end USING (usr), rg WHERE last_t - t < win GROUP BY trial_id, item",
@@ -359,9 +362,9 @@ add("r26_blend_scores", "user:i item:s score:f", lambda d: d.blended_scores, "SE
 add("r27_temporal_edges", "user:i i:s j:s w:f", lambda d: recommend.temporal_edges(d.hist),
     """SELECT usr, i, j, c / max(c) OVER (PARTITION BY usr) AS w FROM (SELECT usr, i, j, count(*) AS c FROM b_pairs GROUP BY usr, i, j UNION ALL
     SELECT usr, j, i, count(*) FROM b_pairs GROUP BY usr, i, j UNION ALL SELECT DISTINCT usr, item, item, 1 FROM hist)""")
-add("r28_class_weights", "item:i w:f", lambda d: recommend.class_weights(d.hist, d.part("train")),
-    """SELECT item, min(c) OVER () / c AS w FROM (SELECT gf.item, coalesce(x.c, 0) + 1 AS c FROM gf LEFT JOIN (SELECT item, sum(qty) AS c FROM hist JOIN train0 USING (usr)
-    GROUP BY item) x USING (item))""", "part")
+add("r28_class_weights", "fold:i item:i w:f", lambda d: recommend.class_weights(d.hist, _people(d, True), ["fold"]),
+    """SELECT fold, item, min(c) OVER (PARTITION BY fold) / c AS w FROM (SELECT f.fold, gf.item, coalesce(x.c, 0) + 1 AS c FROM gf CROSS JOIN (SELECT DISTINCT fold FROM split) f
+    LEFT JOIN (SELECT fold, item, sum(qty) AS c FROM hist JOIN split USING (usr) WHERE split = 'train' GROUP BY fold, item) x ON x.fold = f.fold AND x.item = gf.item)""", "part")
 add("r29_max_frequency", VALUE, lambda d: recommend.max_frequency(d.hist), "SELECT usr, item, c / max(c) OVER (PARTITION BY usr) AS v FROM uf")
 add("r30_inverse_frequency", "item:i w:f", lambda d: recommend.inverse_frequency(d.hist, d.table("part").select(F.col("p_partkey").alias("item"))),
     "SELECT p_partkey AS item, coalesce((SELECT max(c) FROM gf) / c, 0.0) AS w FROM part LEFT JOIN gf ON gf.item = p_partkey", "part")
@@ -440,12 +443,15 @@ add("y11_recommend_user_knn", LIST, lambda d: recommend.recommend_user_knn(recom
 
 PER_USER = "fold:i method:s user:i total_purchases:i " + " ".join(f"{m}:f" for m in metrics.metric_names())
 add("m1_split_filter", "fold:i method:s user:i rank:i item:s", lambda d: metrics.split_filter(d.preds, d.split, "test"), "SELECT * FROM preds")
+add("m1_split_filter_val", "fold:i user:i rank:i item:s", lambda d: metrics.split_filter(recommend.recommend_frequency(d.hist, d.users).join(
+    d.split.select("fold", "user"), "user"), d.split, "val").select("fold", "user", "rank", "item"),
+    "SELECT fold, usr, rank, item FROM frequency_list JOIN split USING (usr) WHERE split = 'val'")
 add("m2_hits", "fold:i method:s user:i rank:i item:s hit:i", lambda d: metrics.hits(d.preds, d.target), "SELECT * FROM marked")
 for _id, _m in (("m3", "HR"), ("m4", "WHR"), ("m5", "nDCG"), ("m6", "precision"), ("m7", "recall")):
     add(f"{_id}_{_m.lower()}", f"fold:i method:s user:i {_m}@5:f {_m}@10:f", lambda d: d.scores, "SELECT * FROM scores")
-add("m8_missing_targets", "fold:i method:s n_missing:i", lambda d: metrics.missing_targets(d.preds, d.target.where(F.col("qty") > 1)),
+add("m8_missing_targets", "fold:i method:s n_missing:i", lambda d: metrics.missing_targets(d.preds, d.target),
     """SELECT fold, method, count(*) FILTER (WHERE t.usr IS NULL) AS n_missing FROM (SELECT DISTINCT fold, method, usr FROM preds) p LEFT JOIN
-    (SELECT DISTINCT usr FROM target WHERE qty > 1) t ON t.usr = p.usr GROUP BY fold, method""")
+    (SELECT DISTINCT usr FROM target) t ON t.usr = p.usr GROUP BY fold, method""")
 add("m9_evaluate", PER_USER, lambda d: d.scores, "SELECT * FROM scores")
 add("m10_user_mean", MEANS, lambda d: metrics.user_mean(d.scores), "SELECT * FROM g_means")
 add("m11_fold_summary", "method:s metric:s value:f std_error:f count:i", lambda d: metrics.fold_summary(metrics.user_mean(d.scores)), "SELECT * FROM f_sum")
@@ -456,24 +462,25 @@ add("m12_method_table", "method:s position:i " + " ".join(f"{m}:f" for m in TABL
     + ", ".join(f"max(value) FILTER (WHERE metric = '{m}') AS \"{m}\"" for m in TABLE_METRICS) + " FROM f_sum GROUP BY method")
 
 
-def _dense_scores(d: BasketData) -> DataFrame:
-    """Count plus popularity share for every item of the catalogue, for the test users of fold 0."""
-    users = d.part("test")
-    catalog = recommend.item_share(d.hist).agg(F.collect_list(F.struct("item", "v"))).scalar()
-    grid = users.select("user", F.explode(catalog).alias("e")).select("user", "e.item", "e.v")
-    own = recommend.user_frequency(d.hist)
-    return grid.join(own, ["user", "item"], "left").select("user", "item", F.round(F.coalesce("c", F.lit(0)) + F.col("v"), 10).alias("score"))
+def _target_ranks(d: BasketData) -> DataFrame:
+    """Ranks of the target items of the validation and test users of every fold by count plus popularity share."""
+    base = recommend.item_share(d.hist).withColumnRenamed("v", "score")
+    own = recommend.user_frequency(d.hist).join(base, "item").select("user", "item", (F.col("c") + F.col("score")).alias("score"))
+    ranks = metrics.rank_auc_sparse(base, own, d.target)
+    return ranks.join(d.split.where(F.col("split") != "train").select("fold", "split", "user"), "user")
 
 
-AUC = {"dense": """SELECT u.usr, s.item, round(coalesce(c, 0) + s.v, 10) AS score FROM (SELECT usr FROM split WHERE fold = 0 AND split = 'test') u, ishare s
+AUC = {"dense": """SELECT u.usr, s.item, sig(coalesce(c, 0) + s.v) AS score FROM (SELECT DISTINCT usr FROM target) u, ishare s
          LEFT JOIN uf ON uf.usr = u.usr AND uf.item = s.item""",
        "auc": """SELECT p.usr, p.item, (n_neg - wrong) / n_neg AS auc, 1.0 / log2(2.0 + wrong) AS ndcg FROM (SELECT p.usr, p.item, count(*)::DOUBLE AS n_neg,
          count(*) FILTER (WHERE n.score >= p.score)::DOUBLE AS wrong FROM dense p JOIN dense n ON n.usr = p.usr WHERE EXISTS (SELECT 1 FROM target t WHERE t.usr = p.usr AND t.item = p.item)
-         AND NOT EXISTS (SELECT 1 FROM target t WHERE t.usr = n.usr AND t.item = n.item) GROUP BY p.usr, p.item) p"""}
-add("m13_rank_auc", "user:i item:s qty:i auc:f ndcg:f", lambda d: metrics.rank_auc(_dense_scores(d), d.target), "SELECT auc.*, qty FROM auc JOIN target USING (usr, item)", **AUC)
-add("m14_warm_cold", "population:s auc:f ndcg:f", lambda d: metrics.warm_cold(metrics.rank_auc(_dense_scores(d), d.target), d.hist),
-    """SELECT population, avg(auc) AS auc, avg(ndcg) AS ndcg FROM (SELECT usr, population, sum(auc * qty) / sum(qty) AS auc, sum(ndcg * qty) / sum(qty) AS ndcg FROM target JOIN (SELECT *, 'all' AS population FROM auc UNION ALL
-    SELECT auc.*, CASE WHEN uf.item IS NULL THEN 'cold' ELSE 'warm' END FROM auc LEFT JOIN uf USING (usr, item)) USING (usr, item) GROUP BY usr, population) GROUP BY population""", **AUC)
+         AND NOT EXISTS (SELECT 1 FROM target t WHERE t.usr = n.usr AND t.item = n.item) GROUP BY p.usr, p.item) p""",
+       "auc_folds": "SELECT fold, split, auc.*, qty FROM auc JOIN target USING (usr, item) JOIN split USING (usr) WHERE split <> 'train'"}
+add("m13_rank_auc", "fold:i split:s user:i item:s qty:i auc:f ndcg:f", _target_ranks, "SELECT * FROM auc_folds", **AUC)
+add("m14_warm_cold", "fold:i split:s population:s auc:f ndcg:f", lambda d: metrics.warm_cold(_target_ranks(d), d.hist, ["fold", "split"]),
+    """SELECT fold, split, population, avg(auc) AS auc, avg(ndcg) AS ndcg FROM (SELECT fold, split, usr, population, sum(auc * qty) / sum(qty) AS auc, sum(ndcg * qty) / sum(qty) AS ndcg
+    FROM (SELECT *, 'all' AS population FROM auc_folds UNION ALL SELECT a.*, CASE WHEN uf.item IS NULL THEN 'cold' ELSE 'warm' END FROM auc_folds a LEFT JOIN uf USING (usr, item))
+    GROUP BY fold, split, usr, population) GROUP BY fold, split, population""", **AUC)
 add("m15_panel_ndcg5", "dataset:s fold:i user:i method:s score:f", lambda d: metrics.build_panel(d.scores, d.split, "nDCG@5", d.groups), "SELECT * FROM panel")
 add("m15_panel_recall5", "dataset:s fold:i user:i method:s score:f", lambda d: metrics.build_panel(d.scores, d.split, "recall@5", d.groups),
     'SELECT dataset, fold, usr, method, "recall@5" AS score FROM scores JOIN usr_ds USING (usr)')

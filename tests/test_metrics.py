@@ -63,3 +63,26 @@ def test_panel_checks(spark):
             metrics.build_panel(scores, spark.createDataFrame(bad, "fold int, split string, user string"))
     with pytest.raises(ValueError):
         metrics.build_panel(scores.union(scores), good)
+
+
+def test_sparse_ranks_equal_the_dense_ones(spark):
+    """Ties, own items that are targets, targets never bought, equal base scores; one user with most rows."""
+    import random
+    rng = random.Random(4)
+    base = [(i, rng.choice([0.1, 0.2, 0.25, 0.3])) for i in range(40)]
+    own = [(u, i, rng.choice([1.0, 2.0]) + dict(base)[i]) for u in range(12) for i in rng.sample(range(40), 30 if u == 3 else rng.randint(0, 6))]
+    target = [(u, i, rng.randint(1, 3)) for u in range(12) for i in rng.sample(range(40), rng.randint(1, 5))] + [(0, 99, 1)]
+    b = spark.createDataFrame(base, "item int, score double")
+    o = spark.createDataFrame(own, "user int, item int, score double")
+    t = spark.createDataFrame(target, "user int, item int, qty bigint")
+    scores = dict(((u, i), s) for u, i, s in own)
+    dense = spark.createDataFrame([(u, i, scores.get((u, i), s)) for u in range(12) for i, s in base], "user int, item int, score double")
+    want = {(r["user"], r["item"]): (r["qty"], round(r["auc"], 12), round(r["ndcg"], 12)) for r in metrics.rank_auc(dense, t).collect()}
+    got = {(r["user"], r["item"]): (r["qty"], round(r["auc"], 12), round(r["ndcg"], 12)) for r in metrics.rank_auc_sparse(b, o, t).collect()}
+    assert got == want and (0, 99) not in got
+
+
+def test_missing_targets_counts_users_without_any(spark):
+    preds = spark.createDataFrame([(0, "m", 1, 1, 5), (0, "m", 2, 1, 5), (1, "m", 3, 1, 5)], "fold int, method string, user int, rank int, item int")
+    target = spark.createDataFrame([(1, 9, 1), (7, 9, 1)], "user int, item int, qty bigint")
+    assert {(r["fold"], r["n_missing"]) for r in metrics.missing_targets(preds, target).collect()} == {(0, 1), (1, 1)}
