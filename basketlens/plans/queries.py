@@ -92,7 +92,7 @@ REC = {"rg": """SELECT row_number() OVER (ORDER BY win, decay) - 1 AS trial_id,
 
 
 def _scratch(d: BasketData, name: str) -> str:
-    return f"{scratch_dir(d.spark)}/exchange-{uuid.uuid4().hex}/{name}"
+    return f"{scratch_dir(d.spark)}/{d.spark.sparkContext.applicationId}/exchange-{uuid.uuid4().hex}/{name}"
 
 
 def _baskets_file(d: BasketData) -> DataFrame:
