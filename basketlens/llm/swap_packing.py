@@ -35,7 +35,7 @@ from .textcode import LOWER, Block, blocks, per_doc
 LIMIT = 4096
 END = 1
 BLOCK = 20_000
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
 TAILS = ".,;:!?"
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
