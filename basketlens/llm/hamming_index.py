@@ -38,7 +38,7 @@ from .textcode import blocks, mix, per_doc
 SYMBOLS = 4
 BYTES = 2
 SKETCH = 256
-SLOT_ROWS = 2000
+SLOT_ROWS = 1000
 _RNG = np.random.default_rng(977)
 FACTORS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
