@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import HASH_BITS, MOST_POISSON
+from .columns import HASH_BITS, MOST_POISSON, seeded_hash
 
 GROUPS_HELD = 64
-USERS_HELD = 2000
+ROWS_AT_ONCE = 2000
+MASK = (1 << 32) - 1
+MIX = ((16, 0x21F0AAAD), (15, 0x735A2D97))
+LAST_SHIFT = 15
 
 
 def poisson_cuts() -> np.ndarray:
@@ -28,24 +31,40 @@ def poisson_cuts() -> np.ndarray:
     return np.array(cuts)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 32-bit integer hash, one to one; products stay below 2^63, so SQL computes the same in BIGINT."""
+    for shift, factor in MIX:
+        x = ((x ^ (x >> shift)) * factor) & MASK
+    return x ^ (x >> LAST_SHIFT)
+
+
+def replicate_counts(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Poisson(1) counts, a row per 60-bit user hash and a column per replicate 1 to n.
+
+    A counter generator: replicate and hash are mixed by integer arithmetic, so any task gets a user's counts again.
+    """
+    hashes = np.asarray(hashes, dtype=np.int64)
+    low, high = hashes & MASK, hashes >> 32
+    mixed = _mix((_mix(low[:, None] ^ _mix(np.arange(1, n + 1, dtype=np.int64))) + high[:, None]) & MASK)
+    return np.searchsorted(poisson_cuts(), mixed / float(1 << 32), side="right").astype(np.float64)
+
+
 def poisson_counts(user: object, n: int, seed: int) -> np.ndarray:
-    """A user's Poisson(1) counts in replicates 1 to n, from the md5 of seed, replicate and user."""
-    digits = HASH_BITS // 4
-    draws = [int(hashlib.md5(f"{seed}:{r}:{user}".encode()).hexdigest()[:digits], 16) for r in range(1, n + 1)]
-    return np.searchsorted(poisson_cuts(), np.array(draws, dtype=np.float64) / float(1 << HASH_BITS), side="right").astype(np.float64)
+    """One user's counts in replicates 1 to n."""
+    return replicate_counts(np.array([int(hashlib.md5(f"{seed}:{user}".encode()).hexdigest()[:HASH_BITS // 4], 16)]), n)[0]
 
 
 def replicate_sums(df: DataFrame, keys: Sequence[str], names: Sequence[str], cells: Sequence[tuple[int, int]], user: str,
                    n: int, seed: int) -> DataFrame:
     """`keys, rep, g0, g1, ...`: per replicate the weighted sum of each product of two columns of `names`.
 
-    A task multiplies a batch's products by the batch's counts and hands on one row of sums per (group, replicate);
+    A task multiplies the products of some rows by their users' counts and hands on one row of sums per (group, replicate);
     only those are shuffled.
     """
     keys, names = list(keys), list(names)
     left, right = [i for i, _ in cells], [j for _, j in cells]
     out = [f"g{c}" for c in range(len(cells))]
-    source = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)], F.col(user).cast("string").alias("_user"))
+    source = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)], seeded_hash(F.lit(seed), F.col(user)).alias("_hash"))
     values = [f"_v{i}" for i in range(len(names))]
     schema = T.StructType([*[source.schema[k] for k in keys], T.StructField("rep", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in out]])
 
@@ -60,19 +79,16 @@ def replicate_sums(df: DataFrame, keys: Sequence[str], names: Sequence[str], cel
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
-        known: dict = {}
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                rows = part[values].to_numpy(float)
-                sums = np.zeros((n, len(cells)))
-                for lo in range(0, len(rows), USERS_HELD):
-                    some = part["_user"].iloc[lo:lo + USERS_HELD].tolist()
-                    if len(known) > USERS_HELD:
-                        known.clear()
-                    known.update((u, poisson_counts(u, n, seed)) for u in set(some) - known.keys())
-                    here = rows[lo:lo + USERS_HELD]
-                    sums += np.stack([known[u] for u in some]).T @ (here[:, left] * here[:, right])
-                held[key] = held[key] + sums if key in held else sums
+            for lo in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.iloc[lo:lo + ROWS_AT_ONCE]
+                users, which = np.unique(some["_hash"].to_numpy(), return_inverse=True)
+                counts, rows = replicate_counts(users, n), some[values].to_numpy(float)
+                products = rows[:, left] * rows[:, right]
+                for key, at in some.groupby(keys, sort=False, dropna=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    sums = counts[which[at]].T @ products[at]
+                    held[key] = held[key] + sums if key in held else sums
                 if len(held) > GROUPS_HELD:
                     yield from flush(held)
         yield from flush(held)

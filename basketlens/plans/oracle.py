@@ -312,17 +312,17 @@ CTES = {
       avg(value) FILTER (WHERE delta < -1e-12) AS global_win_mean, avg(value) FILTER (WHERE delta > 1e-12) - avg(value) FILTER (WHERE delta < -1e-12) AS win_group_difference
       FROM comp_long GROUP BY ALL) LEFT JOIN ({spearman('comp_long', 'value', 'delta', 'dataset, fold, method, target_component', 'rho_delta_target', 3, 'solved')})
       USING (dataset, fold, method, target_component)""",
-    "fold_best": f"""SELECT dataset, fold, arg_min(method, {order_of('method')}) AS global_method, string_agg(method, ';' ORDER BY {order_of('method')}) AS tied_methods,
-      count(*) AS n_ties FROM (SELECT *, max(mean_score) OVER (PARTITION BY dataset, fold) AS top FROM by_fold) WHERE top - mean_score <= 1e-12 GROUP BY dataset, fold""",
+    "fold_best": f"""SELECT dataset, fold, arg_min(method, {order_of('method')}) AS global_best_method, string_agg(method, ';' ORDER BY {order_of('method')}) AS global_best_methods_if_tied,
+      count(*) AS n_global_best_ties FROM (SELECT *, max(mean_score) OVER (PARTITION BY dataset, fold) AS top FROM by_fold) WHERE top - mean_score <= 1e-12 GROUP BY dataset, fold""",
     "oracle": """SELECT *, CASE WHEN winner THEN 1.0::DOUBLE / n_winners ELSE 0.0 END AS credit FROM (SELECT *, count(*) FILTER (WHERE winner) OVER
       (PARTITION BY dataset, fold, usr) AS n_winners FROM (SELECT *, NOT all_zero AND oracle_score - score <= 1e-12 AS winner FROM
       (SELECT *, max(score) OVER (PARTITION BY dataset, fold, usr) AS oracle_score FROM centered)))""",
     "o_users": f"""SELECT *, CASE WHEN abs(r) <= 1e-12 THEN 0.0 ELSE r END AS global_regret, CASE WHEN abs(oracle_score - second_best_score) <= 1e-12 THEN 0.0
-      ELSE oracle_score - second_best_score END AS oracle_margin FROM (SELECT dataset, fold, usr, global_method, oracle_score, all_zero, n_winners,
-      max(score) FILTER (WHERE method = global_method) AS global_score, oracle_score - max(score) FILTER (WHERE method = global_method) AS r,
+      ELSE oracle_score - second_best_score END AS oracle_margin FROM (SELECT dataset, fold, usr, global_best_method, oracle_score, all_zero, n_winners,
+      max(score) FILTER (WHERE method = global_best_method) AS global_score, oracle_score - max(score) FILTER (WHERE method = global_best_method) AS r,
       coalesce(string_agg(method, ';' ORDER BY {order_of('method')}) FILTER (WHERE winner), '') AS oracle_winners,
       CASE WHEN n_winners = 1 THEN max(method) FILTER (WHERE winner) ELSE '' END AS unique_winner, list_sort(list(score), 'DESC')[2] AS second_best_score
-      FROM oracle JOIN fold_best USING (dataset, fold) GROUP BY dataset, fold, usr, global_method, oracle_score, all_zero, n_winners)""",
+      FROM oracle JOIN fold_best USING (dataset, fold) GROUP BY dataset, fold, usr, global_best_method, oracle_score, all_zero, n_winners)""",
     "w_share": f"""SELECT *, rank() OVER (PARTITION BY dataset, fold ORDER BY round(mean_score, 9) DESC) AS global_rank,
       max(mean_score) OVER (PARTITION BY dataset, fold) - mean_score <= 1e-12 AS is_global_best FROM (SELECT dataset, fold, method, avg(score) AS mean_score,
       sum(credit) AS winner_credit, avg(credit) AS winner_share_all_users, avg(credit) FILTER (WHERE NOT all_zero) AS winner_share_nonzero_users,
@@ -338,15 +338,15 @@ CTES = {
       avg(abs(a - b)) AS mean_absolute_difference, avg(greatest(a, b)) AS pair_oracle_mean, """
       + ", ".join(f"count(*) FILTER (WHERE {c}) AS n_{n}, {rate(c)} AS share_{n}" for n, c in PAIR_CASES.items())
       + " FROM m_pairs GROUP BY dataset, fold, method_a, method_b)",
-    "comp_sum": f"""SELECT *, oracle_mean - global_best_mean AS headroom_abs, CASE WHEN global_best_mean > 1e-12 THEN (oracle_mean - global_best_mean) / global_best_mean END
-      AS headroom_relative, oracle_mean_nonzero_users - global_best_mean_nonzero_users AS headroom_abs_nonzero_users FROM (SELECT dataset, fold, count(*) AS n_users,
+    "comp_sum": f"""SELECT *, oracle_mean - global_best_mean AS oracle_headroom_abs, CASE WHEN global_best_mean > 1e-12 THEN (oracle_mean - global_best_mean) / global_best_mean END
+      AS oracle_headroom_relative, oracle_mean_nonzero_users - global_best_mean_nonzero_users AS oracle_headroom_abs_nonzero_users FROM (SELECT dataset, fold, count(*) AS n_users,
       count(*) FILTER (WHERE NOT all_zero) AS n_nonzero_users, count(*) FILTER (WHERE all_zero) AS n_all_zero_users, {rate('all_zero')} AS all_zero_rate,
       avg(global_score) AS global_best_mean, avg(oracle_score) AS oracle_mean, avg(global_score) FILTER (WHERE NOT all_zero) AS global_best_mean_nonzero_users,
       avg(oracle_score) FILTER (WHERE NOT all_zero) AS oracle_mean_nonzero_users, avg(global_regret) AS mean_global_regret,
-      avg(global_regret) FILTER (WHERE NOT all_zero) AS mean_global_regret_nonzero_users, {rate('global_regret > 1e-12')} AS positive_regret_rate,
-      {rate('oracle_score - global_score <= 1e-12 AND NOT all_zero')} AS global_oracle_share_all_users,
-      {rate('oracle_score - global_score <= 1e-12', 'NOT all_zero')} AS global_oracle_share_nonzero_users,
-      {rate('n_winners = 1', 'NOT all_zero')} AS unique_winner_rate_nonzero_users, {rate('n_winners > 1', 'NOT all_zero')} AS tie_rate_nonzero_users,
+      avg(global_regret) FILTER (WHERE NOT all_zero) AS mean_global_regret_nonzero_users, {rate('global_regret > 1e-12')} AS fraction_users_with_positive_global_regret,
+      {rate('oracle_score - global_score <= 1e-12 AND NOT all_zero')} AS global_method_oracle_share_all_users,
+      {rate('oracle_score - global_score <= 1e-12', 'NOT all_zero')} AS global_method_oracle_share_nonzero_users,
+      {rate('n_winners = 1', 'NOT all_zero')} AS unique_winner_rate_nonzero_users, {rate('n_winners > 1', 'NOT all_zero')} AS multiwinner_tie_rate_nonzero_users,
       avg(oracle_margin) FILTER (WHERE NOT all_zero) AS mean_oracle_margin_nonzero_users, quantile_cont(global_regret, 0.5) AS median_global_regret,
       quantile_cont(global_regret, 0.75) AS p75_global_regret, quantile_cont(global_regret, 0.9) AS p90_global_regret,
       quantile_cont(oracle_margin, 0.5) FILTER (WHERE NOT all_zero) AS median_oracle_margin_nonzero_users FROM o_users GROUP BY dataset, fold)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import score_key
-from ..functions.resample import poisson_cuts
+from ..functions.resample import LAST_SHIFT, MASK, MIX, poisson_cuts
 from ..functions.staging import scratch_dir
 from ..operators import association as assoc
 from ..operators import baskets, factors, features, loyalty, metrics, neighbors, recommend, regression, stats, trials
@@ -626,13 +626,25 @@ REPLICATES = 1000
 def _boot_sql(seed):
     return {"m_diff": "SELECT dataset, fold, usr, method_a, method_b, a - b AS d FROM m_pairs",
             "people": "SELECT DISTINCT usr FROM panel",
-            "draws": f"""SELECT usr, rep, {_poisson_sql('u')} AS w FROM (SELECT usr, rep, {sql.hash60(f"'{seed}:' || rep || ':' || usr")} / {sql.UNIT} AS u
-              FROM people, range(1, {REPLICATES + 1}) r(rep))""",
+            "draws": f"SELECT usr, rep, {_poisson_sql('x / 4294967296.0::DOUBLE')} AS w FROM ({_draws_sql(seed)})",
             "reps": "SELECT dataset, fold, method_a, method_b, rep, sum(d * w) / nullif(sum(w), 0)::DOUBLE AS boot FROM m_diff JOIN draws USING (usr) GROUP BY ALL",
             "boot": """SELECT *, ci_low > 0 AS a_significantly_better, ci_high < 0 AS b_significantly_better FROM (SELECT dataset, fold, method_a, method_b, avg(d) AS mean_difference FROM m_diff GROUP BY ALL) JOIN
               (SELECT dataset, fold, method_a, method_b, quantile_cont(boot, 0.025) AS ci_low, quantile_cont(boot, 0.975) AS ci_high FROM reps GROUP BY ALL) USING (dataset, fold, method_a, method_b)"""}
 
 
+def _mixed_sql(q):
+    """The integer hash of the bootstrap applied to column x of a select."""
+    for shift, factor in MIX:
+        q = f"SELECT * REPLACE ((xor(x, x >> {shift}) * {factor}) & {MASK} AS x) FROM ({q})"
+    return f"SELECT * REPLACE (xor(x, x >> {LAST_SHIFT}) AS x) FROM ({q})"
+
+
+def _draws_sql(seed):
+    reps = _mixed_sql(f"SELECT rep, rep AS x FROM range(1, {REPLICATES + 1}) r(rep)")
+    first = _mixed_sql(f"SELECT usr, h, rep, xor(h & {MASK}, x) AS x FROM (SELECT usr, {sql.hash60(f"'{seed}:' || usr")} AS h FROM people), ({reps})")
+    return _mixed_sql(f"SELECT usr, rep, (x + (h >> 32)) & {MASK} AS x FROM ({first})")
+
+
 def _poisson_sql(u):
     return " + ".join(f"(CASE WHEN {u} >= {float(cut)!r}::DOUBLE THEN 1 ELSE 0 END)" for cut in poisson_cuts())
 
@@ -754,19 +766,19 @@ EVID = "n_folds:i coef_mean:f coef_sd_across_folds:f point_direction:s n_folds_c
 add("q31_evidence", f"dataset:s method:s feature:s {EVID}", lambda d: study.evidence(d.boot))
 add("q32_cross_dataset", "method:s feature:s coef_mean_across_datasets:f n_datasets_positive:i n_datasets_negative:i n_datasets_mixed_folds:i n_datasets_strong:i n_datasets_moderate:i "
     "n_datasets_directional:i n_datasets_mixed:i cross_dataset_direction:s", lambda d: study.cross_dataset(study.evidence(d.boot)))
-add("q33_oracle_users", "dataset:s fold:i user:i global_method:s global_score:f oracle_score:f global_regret:f all_zero:b n_winners:i oracle_winners:s unique_winner:s second_best_score:f oracle_margin:f",
+add("q33_oracle_users", "dataset:s fold:i user:i global_best_method:s global_score:f oracle_score:f global_regret:f all_zero:b n_winners:i oracle_winners:s unique_winner:s second_best_score:f oracle_margin:f",
     lambda d: study.oracle_users(d.panel, METHODS), "SELECT * FROM o_users")
-SUMMARY = ("n_users:i n_nonzero_users:i n_all_zero_users:i all_zero_rate:f global_method:s tied_methods:s n_ties:i global_best_mean:f oracle_mean:f headroom_abs:f headroom_relative:f "
-           "global_best_mean_nonzero_users:f oracle_mean_nonzero_users:f headroom_abs_nonzero_users:f mean_global_regret:f median_global_regret:f p75_global_regret:f p90_global_regret:f "
-           "mean_global_regret_nonzero_users:f positive_regret_rate:f global_oracle_share_all_users:f global_oracle_share_nonzero_users:f unique_winner_rate_nonzero_users:f "
-           "tie_rate_nonzero_users:f mean_oracle_margin_nonzero_users:f median_oracle_margin_nonzero_users:f")
+SUMMARY = ("n_users:i n_nonzero_users:i n_all_zero_users:i all_zero_rate:f global_best_method:s global_best_methods_if_tied:s n_global_best_ties:i global_best_mean:f oracle_mean:f oracle_headroom_abs:f oracle_headroom_relative:f "
+           "global_best_mean_nonzero_users:f oracle_mean_nonzero_users:f oracle_headroom_abs_nonzero_users:f mean_global_regret:f median_global_regret:f p75_global_regret:f p90_global_regret:f "
+           "mean_global_regret_nonzero_users:f fraction_users_with_positive_global_regret:f global_method_oracle_share_all_users:f global_method_oracle_share_nonzero_users:f unique_winner_rate_nonzero_users:f "
+           "multiwinner_tie_rate_nonzero_users:f mean_oracle_margin_nonzero_users:f median_oracle_margin_nonzero_users:f")
 add("q34_competence_summary", f"dataset:s fold:i {SUMMARY}", lambda d: study.competence_summary(d.panel, METHODS), "SELECT * FROM comp_sum")
 add("q35_winner_share", "dataset:s fold:i method:s mean_score:f global_rank:i is_global_best:b winner_credit:f winner_share_all_users:f winner_share_nonzero_users:f unique_winner_count:i "
     "unique_winner_share_all_users:f unique_winner_share_nonzero_users:f winner_presence_share_nonzero_users:f", lambda d: study.winner_share(d.panel), "SELECT * FROM w_share")
 PAIR = " ".join(f"n_{n}:i share_{n}:f" for n in sql.PAIR_CASES)
 add("q36_complementarity", f"dataset:s fold:i method_a:s method_b:s n_users:i mean_a:f mean_b:f mean_difference:f mean_absolute_difference:f {PAIR} success_set_jaccard:f "
     "unique_success_fraction:f pair_oracle_mean:f better_global_mean:f pair_oracle_gain:f", lambda d: study.complementarity(d.panel, METHODS), "SELECT * FROM compl")
-AVG = ["global_best_mean", "oracle_mean", "headroom_abs", "headroom_relative", "all_zero_rate", "global_oracle_share_nonzero_users", "unique_winner_rate_nonzero_users", "tie_rate_nonzero_users"]
+AVG = ["global_best_mean", "oracle_mean", "oracle_headroom_abs", "oracle_headroom_relative", "all_zero_rate", "global_method_oracle_share_nonzero_users", "unique_winner_rate_nonzero_users", "multiwinner_tie_rate_nonzero_users"]
 add("q37_competence_averages", "dataset:s " + " ".join(f"{c}:f" for c in AVG), lambda d: study.competence_averages(study.competence_summary(d.panel, METHODS)),
     "SELECT dataset, " + ", ".join(f"avg({c}) AS {c}" for c in AVG) + " FROM comp_sum GROUP BY dataset")
 add("q37_winner_averages", "dataset:s method:s mean_score:f winner_share:f unique_winner_share:f", lambda d: study.winner_averages(study.winner_share(d.panel)),

@@ -563,12 +563,12 @@ def competence_effects(panel: DataFrame, targets: DataFrame, methods: Sequence[s
 # Competence landscape -------------------------------------------------------------------------
 
 def fold_best(panel: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """`dataset, fold, global_method, tied_methods, n_ties`: best mean in the fold, all methods within 1e-12 of it listed."""
+    """`dataset, fold, global_best_method, global_best_methods_if_tied, n_global_best_ties`: best mean in the fold, all methods within 1e-12 of it listed."""
     means = benchmark_by_fold(panel).withColumn("_best", F.max("mean_score").over(W.partitionBy(*GROUP)))
     tied = means.where(F.col("_best") - F.col("mean_score") <= EPS)
     listed = tied.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct(order_of(methods).alias("o"), "method"))).alias("m"))
-    return listed.select(*GROUP, F.col("m")[0]["method"].alias("global_method"),
-                         F.array_join("m.method", ";").alias("tied_methods"), F.size("m").cast("bigint").alias("n_ties"))
+    return listed.select(*GROUP, F.col("m")[0]["method"].alias("global_best_method"),
+                         F.array_join("m.method", ";").alias("global_best_methods_if_tied"), F.size("m").cast("bigint").alias("n_global_best_ties"))
 
 
 def oracle_marks(panel: DataFrame) -> DataFrame:
@@ -582,15 +582,15 @@ def oracle_marks(panel: DataFrame) -> DataFrame:
 
 def oracle_users(panel: DataFrame, methods: Sequence[str]) -> DataFrame:
     """One row per user: oracle score, winners, margin and regret of the fold's best method."""
-    rows = oracle_marks(panel).join(fold_best(panel, methods).select(*GROUP, "global_method"), GROUP)
-    g = rows.groupBy(*USER, "global_method", "oracle_score", "all_zero", "n_winners").agg(
-        F.max(F.when(F.col("method") == F.col("global_method"), F.col("score"))).alias("global_score"),
+    rows = oracle_marks(panel).join(fold_best(panel, methods).select(*GROUP, "global_best_method"), GROUP)
+    g = rows.groupBy(*USER, "global_best_method", "oracle_score", "all_zero", "n_winners").agg(
+        F.max(F.when(F.col("method") == F.col("global_best_method"), F.col("score"))).alias("global_score"),
         F.sort_array(F.collect_list(F.when(F.col("winner"), F.struct(order_of(methods).alias("o"), "method")))).alias("w"),
         F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
     second = F.col("scores")[1]
     regret, margin = F.col("oracle_score") - F.col("global_score"), F.col("oracle_score") - second
     def clip(c): return F.when(F.abs(c) <= EPS, 0.0).otherwise(c)
-    return g.select(*USER, "global_method", "global_score", "oracle_score", clip(regret).alias("global_regret"), "all_zero", "n_winners",
+    return g.select(*USER, "global_best_method", "global_score", "oracle_score", clip(regret).alias("global_regret"), "all_zero", "n_winners",
                     F.array_join("w.method", ";").alias("oracle_winners"),
                     F.when(F.col("n_winners") == 1, F.col("w")[0]["method"]).otherwise("").alias("unique_winner"),
                     second.alias("second_best_score"), clip(margin).alias("oracle_margin"))
@@ -605,16 +605,16 @@ def competence_summary(panel: DataFrame, methods: Sequence[str], users: DataFram
         _rate(F.col("all_zero")).alias("all_zero_rate"), F.avg("global_score").alias("global_best_mean"), F.avg("oracle_score").alias("oracle_mean"),
         _mean_if(live, F.col("global_score")).alias("global_best_mean_nonzero_users"), _mean_if(live, F.col("oracle_score")).alias("oracle_mean_nonzero_users"),
         F.avg("global_regret").alias("mean_global_regret"), _mean_if(live, F.col("global_regret")).alias("mean_global_regret_nonzero_users"),
-        _rate(F.col("global_regret") > EPS).alias("positive_regret_rate"), _rate(won & live).alias("global_oracle_share_all_users"),
-        _rate(won, live).alias("global_oracle_share_nonzero_users"), _rate(F.col("n_winners") == 1, live).alias("unique_winner_rate_nonzero_users"),
-        _rate(F.col("n_winners") > 1, live).alias("tie_rate_nonzero_users"), _mean_if(live, F.col("oracle_margin")).alias("mean_oracle_margin_nonzero_users"))
+        _rate(F.col("global_regret") > EPS).alias("fraction_users_with_positive_global_regret"), _rate(won & live).alias("global_method_oracle_share_all_users"),
+        _rate(won, live).alias("global_method_oracle_share_nonzero_users"), _rate(F.col("n_winners") == 1, live).alias("unique_winner_rate_nonzero_users"),
+        _rate(F.col("n_winners") > 1, live).alias("multiwinner_tie_rate_nonzero_users"), _mean_if(live, F.col("oracle_margin")).alias("mean_oracle_margin_nonzero_users"))
     cuts = exact_percentiles(users, "global_regret", GROUP, {"median_global_regret": 0.5, "p75_global_regret": 0.75, "p90_global_regret": 0.9})
     margin = exact_percentiles(users.where(live), "oracle_margin", GROUP, {"median_oracle_margin_nonzero_users": 0.5})
     head = F.col("oracle_mean") - F.col("global_best_mean")
     return (g.join(fold_best(panel, methods), GROUP).join(cuts, GROUP).join(margin, GROUP, "left")
-            .withColumn("headroom_abs", head)
-            .withColumn("headroom_relative", F.when(F.col("global_best_mean") > EPS, F.try_divide(head, F.col("global_best_mean"))))
-            .withColumn("headroom_abs_nonzero_users", F.col("oracle_mean_nonzero_users") - F.col("global_best_mean_nonzero_users")))
+            .withColumn("oracle_headroom_abs", head)
+            .withColumn("oracle_headroom_relative", F.when(F.col("global_best_mean") > EPS, F.try_divide(head, F.col("global_best_mean"))))
+            .withColumn("oracle_headroom_abs_nonzero_users", F.col("oracle_mean_nonzero_users") - F.col("global_best_mean_nonzero_users")))
 
 
 def winner_share(panel: DataFrame) -> DataFrame:
@@ -651,8 +651,8 @@ def complementarity(panel: DataFrame, methods: Sequence[str]) -> DataFrame:
 
 
 def competence_averages(summary: DataFrame) -> DataFrame:
-    names = ["global_best_mean", "oracle_mean", "headroom_abs", "headroom_relative", "all_zero_rate", "global_oracle_share_nonzero_users",
-             "unique_winner_rate_nonzero_users", "tie_rate_nonzero_users"]
+    names = ["global_best_mean", "oracle_mean", "oracle_headroom_abs", "oracle_headroom_relative", "all_zero_rate", "global_method_oracle_share_nonzero_users",
+             "unique_winner_rate_nonzero_users", "multiwinner_tie_rate_nonzero_users"]
     return summary.groupBy("dataset").agg(*[F.avg(n).alias(n) for n in names])
 
 

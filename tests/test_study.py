@@ -21,16 +21,16 @@ SUMMARY = {
     "dnntsp": (0.13300126737230164, 0.03673785610830659, 0.0811089159507991, 0.16115945689684863, 8),
 }
 LANDSCAPE = {
-    0: dict(n_users=170, n_nonzero_users=108, n_all_zero_users=62, global_method="recency", n_ties=1, global_best_mean=0.6131229473970605,
-            oracle_mean=0.6233615719148656, headroom_relative=0.016699137687264765, global_best_mean_nonzero_users=0.9651009357175954,
-            median_global_regret=0.0, mean_global_regret_nonzero_users=0.016116353407656006, positive_regret_rate=0.03529411764705882,
-            global_oracle_share_all_users=0.6, global_oracle_share_nonzero_users=0.9444444444444444, unique_winner_rate_nonzero_users=0.037037037037037035,
-            tie_rate_nonzero_users=0.9629629629629629, mean_oracle_margin_nonzero_users=0.008737910768215958),
-    1: dict(n_users=170, n_nonzero_users=106, n_all_zero_users=64, global_method="frequency", n_ties=1, global_best_mean=0.5840402609221802,
-            oracle_mean=0.6031934174750062, headroom_relative=0.03279424011383019, global_best_mean_nonzero_users=0.9366683429884022,
-            median_global_regret=0.0, mean_global_regret_nonzero_users=0.030717326546985195, positive_regret_rate=0.052941176470588235,
-            global_oracle_share_all_users=0.5705882352941176, global_oracle_share_nonzero_users=0.9150943396226415, unique_winner_rate_nonzero_users=0.04716981132075472,
-            tie_rate_nonzero_users=0.9528301886792453, mean_oracle_margin_nonzero_users=0.01862686667193791),
+    0: dict(n_users=170, n_nonzero_users=108, n_all_zero_users=62, global_best_method="recency", n_global_best_ties=1, global_best_mean=0.6131229473970605,
+            oracle_mean=0.6233615719148656, oracle_headroom_relative=0.016699137687264765, global_best_mean_nonzero_users=0.9651009357175954,
+            median_global_regret=0.0, mean_global_regret_nonzero_users=0.016116353407656006, fraction_users_with_positive_global_regret=0.03529411764705882,
+            global_method_oracle_share_all_users=0.6, global_method_oracle_share_nonzero_users=0.9444444444444444, unique_winner_rate_nonzero_users=0.037037037037037035,
+            multiwinner_tie_rate_nonzero_users=0.9629629629629629, mean_oracle_margin_nonzero_users=0.008737910768215958),
+    1: dict(n_users=170, n_nonzero_users=106, n_all_zero_users=64, global_best_method="frequency", n_global_best_ties=1, global_best_mean=0.5840402609221802,
+            oracle_mean=0.6031934174750062, oracle_headroom_relative=0.03279424011383019, global_best_mean_nonzero_users=0.9366683429884022,
+            median_global_regret=0.0, mean_global_regret_nonzero_users=0.030717326546985195, fraction_users_with_positive_global_regret=0.052941176470588235,
+            global_method_oracle_share_all_users=0.5705882352941176, global_method_oracle_share_nonzero_users=0.9150943396226415, unique_winner_rate_nonzero_users=0.04716981132075472,
+            multiwinner_tie_rate_nonzero_users=0.9528301886792453, mean_oracle_margin_nonzero_users=0.01862686667193791),
 }
 
 
