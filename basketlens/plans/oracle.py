@@ -11,6 +11,8 @@ import re
 METHODS = ["recency", "frequency", "popular", "decayed", "blend"]
 FEATURES = ["n_baskets", "avg_basket_size", "repeat_rate", "adjacent_basket_jaccard", "recent_basket_novelty", "popularity_profile",
             "neighbor_similarity", "transition_strength", "relational_strength"]
+CONTROLS = ["target_last_repeat_fraction", "target_older_repeat_fraction"]
+Z, C, D = [f"z_{f}" for f in FEATURES], [f"c_{m}" for m in METHODS], [f"d_{m}" for m in METHODS]
 ITEM_COLUMN = {"brand": "p_brand", "part": "l_partkey"}
 
 
@@ -103,6 +105,40 @@ def side_by_side(source, metrics, index, signs=()):
     return f"SELECT {index}, {', '.join(cols)} FROM {source} GROUP BY {index}"
 
 
+def zscores(source, names, keys):
+    """z_<name>: centred and scaled by the population sd of the group; NULL where the sd is 0."""
+    cols = [f"CASE WHEN stddev_pop({n}) OVER k > 1e-12 THEN ({n} - avg({n}) OVER k) / stddev_pop({n}) OVER k END AS z_{n}" for n in names]
+    return f"SELECT *, {', '.join(cols)} FROM {source} WINDOW k AS (PARTITION BY {keys})"
+
+
+def solved_by(source, xs, ys, keys, weight=None):
+    """`keys, n_users`, coefficients b_<x>__<y> and r2__<y> of every outcome, one row per group: the normal equations by
+    Gauss-Jordan elimination, a select per pivot."""
+    design, p, w = ["1.0::DOUBLE", *xs], len(xs) + 1, weight or "1.0::DOUBLE"
+    cells = [(i, j) for i in range(p) for j in range(p + len(ys))]
+    term = [*design, *ys]
+    sums = [f"sum({w} * {term[i]} * {term[j]}) AS a{i}_{j}" for i, j in cells]
+    sums += [f"sum({w} * {y} * {y}) AS yy{j}, sum({w} * {y}) AS sy{j}" for j, y in enumerate(ys)]
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, *ys])
+    q = f"SELECT {keys}, sum({w}) AS n, {', '.join(sums)} FROM {source} WHERE {complete} GROUP BY {keys} HAVING sum({w}) >= {len(xs) + 5}"
+    q = f"SELECT *, {', '.join(f'a{i}_{p + j} AS m{i}_{j}' for i in range(p) for j in range(len(ys)))} FROM ({q})"
+    for k in range(p):
+        new = [f"(a{k}_{j} / a{k}_{k}) AS a{k}_{j}" if i == k else f"(a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}) AS a{i}_{j}" for i, j in cells if j >= k]
+        q = f"SELECT * REPLACE ({', '.join(new)}) FROM ({q})"
+    found = [f"a{i + 1}_{p + j} AS b_{x}__{y}" for i, x in enumerate(xs) for j, y in enumerate(ys)]
+    for j, y in enumerate(ys):
+        explained = " + ".join(f"a{i}_{p + j} * m{i}_{j}" for i in range(p))
+        total = f"(yy{j} - sy{j} * sy{j} / n)"
+        found.append(f"CASE WHEN {total} > 1e-24 THEN 1.0 - (yy{j} - ({explained})) / {total} END AS r2__{y}")
+    return f"SELECT {keys}, n::BIGINT AS n_users, {', '.join(found)} FROM ({q})"
+
+
+def ols(source, xs, ys, keys, weight=None):
+    """`keys, outcome, feature, coef, r2, n_users`."""
+    cells = [f"{{'outcome': '{y}', 'feature': '{x}', 'coef': b_{x}__{y}, 'r2': r2__{y}}}" for x in xs for y in ys]
+    return f"SELECT {keys}, n_users, unnest([{', '.join(cells)}], recursive := true) FROM ({solved_by(source, xs, ys, keys, weight)})"
+
+
 def metric_columns(k):
     m, listed = f"least(total_purchases, {k})", f"least(length, {k})"
     short = f"least(total_purchases, length, {k})"
@@ -351,6 +387,28 @@ CTES = {
       quantile_cont(global_regret, 0.75) AS p75_global_regret, quantile_cont(global_regret, 0.9) AS p90_global_regret,
       quantile_cont(oracle_margin, 0.5) FILTER (WHERE NOT all_zero) AS median_oracle_margin_nonzero_users FROM o_users GROUP BY dataset, fold)
       JOIN fold_best USING (dataset, fold)""",
+    "z_table": zscores("study_feat", FEATURES, "dataset"),
+    "wide_panel": "SELECT dataset, fold, usr, avg(score) AS difficulty, max(score) > 1e-12 AS solved, " + ", ".join(
+        f"max(centered) FILTER (WHERE method = '{m}') AS c_{m}, max(score) FILTER (WHERE method = '{m}') AS s_{m}" for m in METHODS) + " FROM centered GROUP BY dataset, fold, usr",
+    "reg_table": f"""SELECT *, {', '.join(f's_{m} - top_score AS d_{m}' for m in METHODS)} FROM (SELECT *, CASE global_method
+      {' '.join(f"WHEN '{m}' THEN s_{m}" for m in METHODS)} END AS top_score FROM wide_panel JOIN best USING (dataset) JOIN z_table USING (dataset, usr))""",
+    "joint_raw": f"""SELECT *, 'all' AS population FROM ({ols('reg_table', Z, ['difficulty', *C, *D], 'dataset, fold, global_method')}) UNION ALL BY NAME
+      SELECT *, 'nonzero_any_method' AS population FROM ({ols('(SELECT * FROM reg_table WHERE solved)', Z, D, 'dataset, fold, global_method')})""",
+    "joint_fx": """SELECT dataset, fold, CASE WHEN outcome = 'difficulty' THEN 'difficulty' WHEN outcome[:2] = 'c_' THEN 'centered' ELSE 'global_delta' END AS outcome, population,
+      CASE WHEN outcome = 'difficulty' THEN 'all_method_mean' ELSE outcome[3:] END AS method,
+      CASE WHEN outcome = 'difficulty' THEN '' WHEN outcome[:2] = 'c_' THEN 'method_panel_mean' ELSE global_method END AS reference_method,
+      feature[3:] AS feature, n_users, r2, coef FROM joint_raw WHERE outcome <> 'd_' || global_method""",
+    "joint_sum": f"""SELECT dataset, outcome, population, method, reference_method, feature, avg(n_users) AS n_users, avg(coef) AS coef_mean, stddev_pop(coef) AS coef_sd, avg(r2) AS r2_mean,
+      count(coef) AS n_folds, {sign('coef')} AS coef_sign, abs(avg(coef)) AS abs_coef_mean FROM joint_fx GROUP BY ALL""",
+    "live_fx": f"SELECT dataset, fold, outcome[3:] AS method, feature[3:] AS feature, n_users, r2, coef FROM ({ols('(SELECT * FROM reg_table WHERE solved)', Z, C, 'dataset, fold')})",
+    "live_cmp": """SELECT dataset, fold, method, feature, e.coef AS coef_all, l.coef AS coef_nonzero, l.n_users, l.r2, sign(e.coef) = sign(l.coef) AS same_sign, l.coef - e.coef AS delta
+      FROM live_fx l JOIN (SELECT * FROM joint_fx WHERE outcome = 'centered') e USING (dataset, fold, method, feature)""",
+    "held_table": f"""SELECT * FROM wide_panel JOIN ({zscores(f"(SELECT f.*, {', '.join(CONTROLS)} FROM study_feat f JOIN t_users USING (dataset, usr))", [*FEATURES, *CONTROLS], 'dataset')})
+      USING (dataset, usr) WHERE {' AND '.join(f'z_{f} IS NOT NULL' for f in [*FEATURES, *CONTROLS])}""",
+    "held_fx": f"SELECT dataset, fold, outcome[3:] AS method, feature[3:] AS feature, n_users, r2, coef FROM ({ols('held_table', [*Z, *[f'z_{c}' for c in CONTROLS]], C, 'dataset, fold')})",
+    "control_fx": f"""SELECT dataset, fold, method, feature, n_users, b.coef AS coef_base, h.coef AS coef_controlled, b.r2 AS r2_base, h.r2 AS r2_controlled, h.coef - b.coef AS delta_coef,
+      sign(b.coef) = sign(h.coef) AS same_sign FROM (SELECT dataset, fold, outcome[3:] AS method, feature[3:] AS feature, r2, coef FROM ({ols('held_table', Z, C, 'dataset, fold')})) b
+      JOIN held_fx h USING (dataset, fold, method, feature)""",
     "g_means": 'SELECT fold, method, metric, avg(value) AS value FROM (UNPIVOT scores ON "HR@5", "WHR@5", "nDCG@5", "recall@5", "precision@5", "HR@10", "WHR@10", "nDCG@10", "recall@10", "precision@10" INTO NAME metric VALUE value) GROUP BY fold, method, metric',
     "f_sum": "SELECT method, metric, avg(value) AS value, coalesce(stddev_samp(value), 0) / sqrt(count(*)) AS std_error, count(*) AS count FROM g_means GROUP BY method, metric",
 }

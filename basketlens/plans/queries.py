@@ -614,7 +614,8 @@ add("g7_ols_one_feature", "dataset:s outcome:s feature:s coef:f r2:f n_users:i",
     """SELECT dataset, 'popularity_profile' AS outcome, 'repeat_rate' AS feature, regr_slope(popularity_profile, repeat_rate) AS coef,
     regr_r2(popularity_profile, repeat_rate) AS r2, count(*) AS n_users FROM feat GROUP BY dataset""")
 add("g7_ols", "dataset:s outcome:s feature:s coef:f r2:f n_users:i", lambda d: regression.ols(
-    regression.gram(d.features, features.FEATURES[:8], [features.FEATURES[8]], ["dataset"]), features.FEATURES[:8], [features.FEATURES[8]], ["dataset"]))
+    regression.gram(d.features, features.FEATURES[:8], [features.FEATURES[8]], ["dataset"]), features.FEATURES[:8], [features.FEATURES[8]], ["dataset"]),
+    sql.ols("feat", sql.FEATURES[:8], [sql.FEATURES[8]], "dataset"))
 add("g8_vif", "dataset:s feature:s vif:f n_users:i", lambda d: regression.vif(d.features, GX, ["dataset"]),
     " UNION ALL ".join(f"SELECT dataset, '{f}' AS feature, 1.0 / (1.0 - pow(corr(repeat_rate, avg_basket_size), 2)) AS vif, count(*) AS n_users FROM feat GROUP BY dataset" for f in GX))
 BOOT = "dataset:s fold:i method_a:s method_b:s mean_difference:f ci_low:f ci_high:f"
@@ -649,6 +650,16 @@ def _poisson_sql(u):
     return " + ".join(f"(CASE WHEN {u} >= {float(cut)!r}::DOUBLE THEN 1 ELSE 0 END)" for cut in poisson_cuts())
 
 
+def _boot_ols_sql(table, xs, ys, keys, seed=0):
+    place = f"{keys}, outcome, feature"
+    return {"people": f"SELECT DISTINCT usr FROM {table}",
+            "draws": f"SELECT usr, rep, {_poisson_sql('x / 4294967296.0::DOUBLE')} AS w FROM ({_draws_sql(seed)})",
+            "drawn": f"SELECT t.*, rep, w FROM {table} t JOIN draws USING (usr) WHERE w > 0",
+            "boot_fx": f"""SELECT *, 0.95 AS ci_level, CASE WHEN ci_low > 0 THEN 'positive' WHEN ci_high < 0 THEN 'negative' ELSE 'overlaps_zero' END AS ci_sign,
+              ci_low > 0 OR ci_high < 0 AS ci_excludes_zero FROM ({sql.ols(table, xs, ys, keys)}) JOIN (SELECT {place}, avg(coef) AS bootstrap_mean, stddev_samp(coef) AS bootstrap_sd,
+              quantile_cont(coef, 0.025) AS ci_low, quantile_cont(coef, 0.975) AS ci_high FROM ({sql.ols('drawn', xs, ys, keys + ', rep', 'w')}) GROUP BY {place}) USING ({place})"""}
+
+
 def _pair_diffs(d: BasketData) -> DataFrame:
     return study.method_pairs(d.panel, METHODS).withColumn("diff", F.col("a") - F.col("b"))
 
@@ -658,7 +669,7 @@ add("g9_bootstrap_mean_diff", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_di
 add("g9_bootstrap_poisson", BOOT, lambda d: stats.bootstrap_mean_diff(_pair_diffs(d), "diff", ["dataset", "fold", "method_a", "method_b"], "user", REPLICATES, 12),
     "SELECT * FROM boot", **_boot_sql(12))
 add("g10_bootstrap_ols", "dataset:s outcome:s feature:s coef:f n_users:i ci_level:f bootstrap_mean:f bootstrap_sd:f ci_low:f ci_high:f ci_sign:s", lambda d: regression.bootstrap_ols(
-    d.features, GX, GY, ["dataset"], n=REPLICATES))
+    d.features, GX, GY, ["dataset"], n=REPLICATES), "SELECT * FROM boot_fx", **_boot_ols_sql("feat", GX, GY, "dataset"))
 add("g11_sign_label", "dataset:s method:s sign:s", lambda d: study.benchmark_by_fold(d.panel).groupBy("dataset", "method").agg(
     study.sign_of(F.col("mean_score") - 0.1).alias("sign")), f"SELECT dataset, method, {sql.sign('(mean_score - 0.1)')} AS sign FROM by_fold GROUP BY dataset, method")
 add("g12_fold_side_by_side", "dataset:s method:s mean_score_k0:f mean_score_k1:f mean_score_k2:f mean_score_mean:f mean_score_sd:f", lambda d: stats.fold_side_by_side(
@@ -715,11 +726,16 @@ add("q12_contrast_stability", f"dataset:s feature:s method:s global_method:s {_s
     lambda d: study.contrast_stability(study.contrast_trends(d.panel, d.binned, METHODS)),
     f"SELECT *, abs(rho_delta_mean) AS abs_rho_delta_mean, abs(delta_low_to_high_mean) AS abs_delta_low_to_high_mean FROM ({sql.side_by_side('c_trend', study.CONTRAST_METRICS, 'dataset, feature, method, global_method', CSIGNED)})")
 EFFECT = "outcome:s population:s method:s reference_method:s feature:s"
-add("q13_joint_effects", f"dataset:s fold:i {EFFECT} n_users:i r2:f coef:f", lambda d: d.joint)
-add("q14_joint_summary", f"dataset:s {EFFECT} n_users:f coef_mean:f coef_sd:f r2_mean:f n_folds:i coef_sign:s abs_coef_mean:f", lambda d: study.joint_summary(d.joint))
-add("q15_vif", "dataset:s feature:s vif:f n_users:i", lambda d: study.vif_table(d.panel, d.features))
+add("q13_joint_effects", f"dataset:s fold:i {EFFECT} n_users:i r2:f coef:f", lambda d: d.joint, "SELECT * FROM joint_fx")
+add("q14_joint_summary", f"dataset:s {EFFECT} n_users:f coef_mean:f coef_sd:f r2_mean:f n_folds:i coef_sign:s abs_coef_mean:f", lambda d: study.joint_summary(d.joint), "SELECT * FROM joint_sum")
+add("q15_vif", "dataset:s feature:s vif:f n_users:i", lambda d: study.vif_table(d.panel, d.features),
+    " UNION ALL ".join(f"SELECT dataset, '{f}' AS feature, 1.0 / (1.0 - r2__z_{f}) AS vif, n_users FROM ({sql.solved_by('z_table', [z for z in sql.Z if z != f'z_{f}'], [f'z_{f}'], 'dataset')})"
+                       for f in sql.FEATURES))
 add("q16_population_sensitivity", "dataset:s method:s reference_method:s feature:s coef_all:f sign_all:s coef_nonzero:f sign_nonzero:s abs_coef_all:f",
-    lambda d: study.population_sensitivity(study.joint_summary(d.joint)))
+    lambda d: study.population_sensitivity(study.joint_summary(d.joint)),
+    """SELECT a.*, coef_nonzero, sign_nonzero, abs(coef_all) AS abs_coef_all FROM (SELECT dataset, method, reference_method, feature, coef_mean AS coef_all, coef_sign AS sign_all FROM joint_sum
+      WHERE outcome = 'global_delta' AND population = 'all') a LEFT JOIN (SELECT dataset, method, reference_method, feature, coef_mean AS coef_nonzero, coef_sign AS sign_nonzero FROM joint_sum
+      WHERE outcome = 'global_delta' AND population = 'nonzero_any_method') USING (dataset, method, reference_method, feature)""")
 
 
 def _study_target(d: BasketData) -> DataFrame:
@@ -761,11 +777,23 @@ add("q28_competence_groups", "dataset:s fold:i method:s global_method:s competen
 COMP = ["challenger_win_mean", "global_win_mean", "win_group_difference", "rho_delta_target"]
 add("q29_competence_effects", f"dataset:s method:s global_method:s target_component:s {_side_spec(COMP, COMP[2:])}", lambda d: study.competence_effects(d.panel, d.target_users, METHODS),
     sql.side_by_side("comp_fx", COMP, "dataset, method, global_method, target_component", COMP[2:]))
-add("q30_bootstrap_effects", "dataset:s fold:i method:s feature:s n_users:i coef:f bootstrap_mean:f bootstrap_sd:f ci_level:f ci_low:f ci_high:f ci_excludes_zero:b ci_sign:s", lambda d: d.boot)
+BOOTED = _boot_ols_sql("reg_table", sql.Z, sql.C, "dataset, fold")
+BOOTED["study_boot"] = "SELECT * REPLACE (feature[3:] AS feature), outcome[3:] AS method FROM boot_fx"
+BOOTED["graded"] = """SELECT *, CASE WHEN point_direction = 'mixed' THEN 'mixed' WHEN n_folds_ci_support = n_folds THEN 'strong' WHEN n_folds_ci_support >= 2 THEN 'moderate'
+  ELSE 'directional' END AS evidence FROM (SELECT *, CASE point_direction WHEN 'positive' THEN ups WHEN 'negative' THEN downs ELSE 0 END AS n_folds_ci_support FROM
+  (SELECT dataset, method, feature, count(*) AS n_folds, avg(coef) AS coef_mean, stddev_pop(coef) AS coef_sd_across_folds, count(*) FILTER (WHERE ci_sign = 'positive') AS ups,
+  count(*) FILTER (WHERE ci_sign = 'negative') AS downs, CASE WHEN min(coef) > 0 THEN 'positive' WHEN max(coef) < 0 THEN 'negative' ELSE 'mixed' END AS point_direction
+  FROM study_boot GROUP BY dataset, method, feature))"""
+add("q30_bootstrap_effects", "dataset:s fold:i method:s feature:s n_users:i coef:f bootstrap_mean:f bootstrap_sd:f ci_level:f ci_low:f ci_high:f ci_excludes_zero:b ci_sign:s", lambda d: d.boot, "SELECT * FROM study_boot", **BOOTED)
 EVID = "n_folds:i coef_mean:f coef_sd_across_folds:f point_direction:s n_folds_ci_support:i evidence:s"
-add("q31_evidence", f"dataset:s method:s feature:s {EVID}", lambda d: study.evidence(d.boot))
+add("q31_evidence", f"dataset:s method:s feature:s {EVID}", lambda d: study.evidence(d.boot), "SELECT * FROM graded", **BOOTED)
 add("q32_cross_dataset", "method:s feature:s coef_mean_across_datasets:f n_datasets_positive:i n_datasets_negative:i n_datasets_mixed_folds:i n_datasets_strong:i n_datasets_moderate:i "
-    "n_datasets_directional:i n_datasets_mixed:i cross_dataset_direction:s", lambda d: study.cross_dataset(study.evidence(d.boot)))
+    "n_datasets_directional:i n_datasets_mixed:i cross_dataset_direction:s", lambda d: study.cross_dataset(study.evidence(d.boot)),
+    f"""SELECT *, CASE WHEN n_datasets_positive = sets THEN 'positive_' || sets || 'of' || sets WHEN n_datasets_negative = sets THEN 'negative_' || sets || 'of' || sets
+      ELSE 'mixed_across_datasets' END AS cross_dataset_direction FROM (SELECT method, feature, avg(coef_mean) AS coef_mean_across_datasets,
+      {', '.join(f"count(*) FILTER (WHERE point_direction = '{d}') AS n_datasets_{d}{'_folds' if d == 'mixed' else ''}" for d in ('positive', 'negative', 'mixed'))},
+      {', '.join(f"count(*) FILTER (WHERE evidence = '{e}') AS n_datasets_{e}" for e in ('strong', 'moderate', 'directional', 'mixed'))}
+      FROM graded GROUP BY method, feature), (SELECT count(DISTINCT dataset) AS sets FROM graded)""", **BOOTED)
 add("q33_oracle_users", "dataset:s fold:i user:i global_best_method:s global_score:f oracle_score:f global_regret:f all_zero:b n_winners:i oracle_winners:s unique_winner:s second_best_score:f oracle_margin:f",
     lambda d: study.oracle_users(d.panel, METHODS), "SELECT * FROM o_users")
 SUMMARY = ("n_users:i n_nonzero_users:i n_all_zero_users:i all_zero_rate:f global_best_method:s global_best_methods_if_tied:s n_global_best_ties:i global_best_mean:f oracle_mean:f oracle_headroom_abs:f oracle_headroom_relative:f "
@@ -786,17 +814,28 @@ add("q37_winner_averages", "dataset:s method:s mean_score:f winner_share:f uniqu
 add("q37_top_pairs", "dataset:s rank:i method_a:s method_b:s pair_oracle_gain:f success_set_jaccard:f unique_success_fraction:f", lambda d: study.top_pairs(study.complementarity(d.panel, METHODS), 10),
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(pair_oracle_gain, 9) DESC, method_a, method_b) AS rank FROM (SELECT dataset, method_a, method_b,
     avg(pair_oracle_gain) AS pair_oracle_gain, avg(success_set_jaccard) AS success_set_jaccard, avg(unique_success_fraction) AS unique_success_fraction FROM compl GROUP BY ALL)) WHERE rank <= 10""")
-add("q38_nonzero_comparison", "dataset:s fold:i method:s feature:s coef_all:f coef_nonzero:f n_users:i r2:f same_sign:b delta:f", lambda d: study.nonzero_comparison(d.regression, METHODS))
-add("q38_sign_agreement", "dataset:s sign_agreement:f", lambda d: study.sign_agreement(study.nonzero_comparison(d.regression, METHODS)))
+add("q38_nonzero_comparison", "dataset:s fold:i method:s feature:s coef_all:f coef_nonzero:f n_users:i r2:f same_sign:b delta:f", lambda d: study.nonzero_comparison(d.regression, METHODS), "SELECT * FROM live_cmp")
+add("q38_nonzero_effects", "dataset:s fold:i method:s feature:s n_users:i r2:f coef:f", lambda d: study.nonzero_effects(d.regression, METHODS), "SELECT * FROM live_fx")
+add("q38_nonzero_summary", "dataset:s method:s feature:s n_users:f coef_mean:f coef_sd:f r2_mean:f sign_nonzero:s", lambda d: study.nonzero_summary(study.nonzero_effects(d.regression, METHODS)),
+    """SELECT dataset, method, feature, avg(n_users) AS n_users, avg(coef) AS coef_mean, stddev_pop(coef) AS coef_sd, avg(r2) AS r2_mean,
+      CASE WHEN min(coef) > 0 THEN 'positive' WHEN max(coef) < 0 THEN 'negative' ELSE 'mixed' END AS sign_nonzero FROM live_fx GROUP BY dataset, method, feature""")
+add("q38_sign_agreement", "dataset:s sign_agreement:f", lambda d: study.sign_agreement(study.nonzero_comparison(d.regression, METHODS)),
+    "SELECT dataset, avg(same_sign::INT) AS sign_agreement FROM live_cmp GROUP BY dataset")
 
 
 def _controlled(d: BasketData) -> DataFrame:
-    return study.target_control(d.panel, d.features, d.target_users, METHODS)
+    return study.target_control(study.control_table(d.panel, d.features, d.target_users, METHODS), METHODS)
 
 
-add("q39_target_control", "dataset:s fold:i method:s feature:s n_users:i coef_base:f coef_controlled:f r2_base:f r2_controlled:f delta_coef:f same_sign:b", _controlled)
+add("q39_target_control", "dataset:s fold:i method:s feature:s n_users:i coef_base:f coef_controlled:f r2_base:f r2_controlled:f delta_coef:f same_sign:b", _controlled, "SELECT * FROM control_fx")
+add("q39_control_coefficients", "dataset:s fold:i method:s control:s coef:f n_users:i", lambda d: study.control_coefficients(
+    study.control_table(d.panel, d.features, d.target_users, METHODS), METHODS),
+    f"SELECT dataset, fold, method, feature AS control, coef, n_users FROM held_fx WHERE feature IN {tuple(sql.CONTROLS)}")
 add("q39_target_control_summary", "dataset:s method:s feature:s n_users:f coef_base:f coef_controlled:f delta_coef:f r2_base:f r2_controlled:f same_sign:b abs_change:f pct_abs_retained:f r2_gain:f",
-    lambda d: study.target_control_summary(_controlled(d)))
+    lambda d: study.target_control_summary(_controlled(d)),
+    """SELECT *, abs(coef_controlled) - abs(coef_base) AS abs_change, CASE WHEN abs(coef_base) > 1e-12 THEN abs(coef_controlled) / abs(coef_base) END AS pct_abs_retained,
+      r2_controlled - r2_base AS r2_gain FROM (SELECT dataset, method, feature, avg(n_users) AS n_users, avg(coef_base) AS coef_base, avg(coef_controlled) AS coef_controlled,
+      avg(delta_coef) AS delta_coef, avg(r2_base) AS r2_base, avg(r2_controlled) AS r2_controlled, bool_and(same_sign) AS same_sign FROM control_fx GROUP BY dataset, method, feature)""")
 add("q40_method_points", "dataset:s method:s mean_score:f winner_share:f", lambda d: study.method_points(study.winner_share(d.panel)),
     "SELECT dataset, method, avg(mean_score) AS mean_score, avg(winner_share_nonzero_users) AS winner_share FROM w_share GROUP BY dataset, method")
 add("q40_plot_curves", "dataset:s feature:s method:s bin:i y:f", lambda d: study.plot_curves(d.panel, study.binned_features(d.panel, d.features, n=10)),

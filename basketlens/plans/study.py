@@ -320,41 +320,65 @@ def cross_dataset(graded: DataFrame) -> DataFrame:
     return out.withColumn("cross_dataset_direction", whole)
 
 
+def _centered_effects(table: DataFrame, methods: Sequence[str], xs: Sequence[str], label: str = "feature") -> DataFrame:
+    """Coefficients of the centred outcomes per fold, with outcome and regressor named without their prefixes."""
+    ys = [f"c_{m}" for m in methods]
+    fitted = ols(gram(table, xs, ys, GROUP), xs, ys, GROUP)
+    return fitted.select(*GROUP, F.substring("outcome", 3, 1000).alias("method"), F.regexp_replace("feature", "^z_", "").alias(label), "n_users", "r2", "coef")
+
+
+def nonzero_effects(table: DataFrame, methods: Sequence[str], zs: Sequence[str] = Z) -> DataFrame:
+    """Centred-outcome coefficients over solved users, per fold."""
+    return _centered_effects(table.where("solved"), methods, zs)
+
+
+def nonzero_summary(effects: DataFrame) -> DataFrame:
+    """Means over folds of `nonzero_effects`, and whether all folds share a sign."""
+    sign = F.when(F.min("coef") > 0, "positive").when(F.max("coef") < 0, "negative").otherwise("mixed")
+    return effects.groupBy("dataset", "method", "feature").agg(
+        F.avg("n_users").alias("n_users"), F.avg("coef").alias("coef_mean"), F.stddev_pop("coef").alias("coef_sd"), F.avg("r2").alias("r2_mean"), sign.alias("sign_nonzero"))
+
+
 def nonzero_comparison(table: DataFrame, methods: Sequence[str], zs: Sequence[str] = Z) -> DataFrame:
     """Centred-outcome coefficients over all users and over solved users, and whether their signs agree."""
-    ys = [f"c_{m}" for m in methods]
-    place = [*GROUP, "outcome", "feature"]
-    every = ols(gram(table, zs, ys, GROUP), zs, ys, GROUP).select(*place, F.col("coef").alias("coef_all"))
-    some = ols(gram(table.where("solved"), zs, ys, GROUP), zs, ys, GROUP).select(
-        *place, F.col("coef").alias("coef_nonzero"), "n_users", "r2")
-    both = every.join(some, place)
-    return both.select(*GROUP, F.substring("outcome", 3, 1000).alias("method"), F.regexp_replace("feature", "^z_", "").alias("feature"),
-                       "coef_all", "coef_nonzero", "n_users", "r2", (F.sign("coef_all") == F.sign("coef_nonzero")).alias("same_sign"),
-                       (F.col("coef_nonzero") - F.col("coef_all")).alias("delta"))
+    place = [*GROUP, "method", "feature"]
+    every = _centered_effects(table, methods, zs).select(*place, F.col("coef").alias("coef_all"))
+    some = nonzero_effects(table, methods, zs).withColumnRenamed("coef", "coef_nonzero")
+    return every.join(some, place).select(*place, "coef_all", "coef_nonzero", "n_users", "r2", (F.sign("coef_all") == F.sign("coef_nonzero")).alias("same_sign"),
+                                          (F.col("coef_nonzero") - F.col("coef_all")).alias("delta"))
 
 
 def sign_agreement(comparison: DataFrame) -> DataFrame:
     return comparison.groupBy("dataset").agg(_rate(F.col("same_sign")).alias("sign_agreement"))
 
 
-def target_control(panel: DataFrame, features: DataFrame, targets: DataFrame, methods: Sequence[str], names: Sequence[str] = FEATURES) -> DataFrame:
-    """History coefficients with and without the target's repeat composition as controls, on the same users."""
-    controls = ["target_last_repeat_fraction", "target_older_repeat_fraction"]
-    joined = features.join(targets.select("dataset", "user", *controls), ["dataset", "user"])
+CONTROLS = ["target_last_repeat_fraction", "target_older_repeat_fraction"]
+
+
+def control_table(panel: DataFrame, features: DataFrame, targets: DataFrame, methods: Sequence[str], names: Sequence[str] = FEATURES) -> DataFrame:
+    """Centred outcomes with z-scored features and target composition, users with all of them only."""
+    joined = features.join(targets.select("dataset", "user", *CONTROLS), ["dataset", "user"])
     users = panel.select("dataset", "user").distinct()
-    scaled = zscore(users.join(joined, ["dataset", "user"]), [*names, *controls])
-    table = _wide(panel, methods).join(scaled, ["dataset", "user"])
-    ys, base, full = [f"c_{m}" for m in methods], [f"z_{f}" for f in names], [f"z_{f}" for f in [*names, *controls]]
-    table = table.dropna(subset=full)
-    place = [*GROUP, "outcome", "feature"]
-    before = ols(gram(table, base, ys, GROUP), base, ys, GROUP).select(*place, "n_users", F.col("coef").alias("coef_base"), F.col("r2").alias("r2_base"))
-    after = ols(gram(table, full, ys, GROUP), full, ys, GROUP).select(*place, F.col("coef").alias("coef_controlled"), F.col("r2").alias("r2_controlled"))
+    scaled = zscore(users.join(joined, ["dataset", "user"]), [*names, *CONTROLS])
+    return _wide(panel, methods).join(scaled, ["dataset", "user"]).dropna(subset=[f"z_{f}" for f in [*names, *CONTROLS]])
+
+
+def target_control(table: DataFrame, methods: Sequence[str], names: Sequence[str] = FEATURES) -> DataFrame:
+    """History coefficients with and without the target's repeat composition as controls, on the users of `control_table`."""
+    place, base = [*GROUP, "method", "feature"], [f"z_{f}" for f in names]
+    before = _centered_effects(table, methods, base).select(*place, "n_users", F.col("coef").alias("coef_base"), F.col("r2").alias("r2_base"))
+    after = _centered_effects(table, methods, [*base, *[f"z_{c}" for c in CONTROLS]]).select(*place, F.col("coef").alias("coef_controlled"), F.col("r2").alias("r2_controlled"))
     return before.join(after, place).select(
-        *GROUP, F.substring("outcome", 3, 1000).alias("method"), F.regexp_replace("feature", "^z_", "").alias("feature"), "n_users",
-        "coef_base", "coef_controlled", "r2_base", "r2_controlled", (F.col("coef_controlled") - F.col("coef_base")).alias("delta_coef"),
+        *place, "n_users", "coef_base", "coef_controlled", "r2_base", "r2_controlled", (F.col("coef_controlled") - F.col("coef_base")).alias("delta_coef"),
         (F.sign("coef_base") == F.sign("coef_controlled")).alias("same_sign"))
 
 
+def control_coefficients(table: DataFrame, methods: Sequence[str], names: Sequence[str] = FEATURES) -> DataFrame:
+    """Coefficients of the two controls beside all history features: `dataset, fold, method, control, coef, n_users`."""
+    both = _centered_effects(table, methods, [f"z_{f}" for f in [*names, *CONTROLS]], "control")
+    return both.where(F.col("control").isin(CONTROLS)).select(*GROUP, "method", "control", "coef", "n_users")
+
+
 def target_control_summary(effects: DataFrame) -> DataFrame:
     g = effects.groupBy("dataset", "method", "feature").agg(
         F.avg("n_users").alias("n_users"), *[F.avg(c).alias(c) for c in ("coef_base", "coef_controlled", "delta_coef", "r2_base", "r2_controlled")],
