@@ -9,11 +9,13 @@ For every node the density is its characters per tag, adjusted for links:
 with C characters, T tags, LC characters in links, LT link tags, each at least 1 as a divisor. A node's sum adds the densities of its children
 and of its own runs of text. The subtree with the largest sum is the text's core; the smallest density on the path from it to
 the body is the threshold. The core and the largest-sum subtrees of all other nodes at or above the threshold are taken, on every
-page; lists of links below the threshold go. Tags only enter the sum: an `article` around the largest sum, or a `main` with no article
+page, with what lies between two of them under the same parent and the last h1 before the first; lists of links below the threshold
+go, but for the blocks in them that are not mostly links. Tags only enter the sum: an `article` around the largest sum, or a `main` with no article
 between, has that sum added to its own, so that its title and lead count with its longest part.
 
 A page is one row in and one row out, so nothing is shuffled. Defined results: NULL, empty or text-free html gives an empty
-text; markup that is cut off is read as far as it goes; repeated rows get equal results; an input column named `text` or
+text; markup that is cut off is read as far as it goes; noscript, template, svg and math are left out up to their end tag
+or their parent's, and an open tag alone if no end tag follows or it closes itself; repeated rows get equal results; an input column named `text` or
 `n_chars` is replaced.
 """
 
@@ -30,11 +32,12 @@ from .common import add_columns
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "svg", "math")}
+RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "xmp")}
+SKIPPED = frozenset(("noscript", "template", "svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption""".split())
-LEFT_OUT = frozenset("head nav header footer aside form button select option label input dialog menu object canvas video audio map".split())
+LEFT_OUT = frozenset("head nav header footer aside form button select option label input dialog menu object canvas video audio map".split()) | SKIPPED
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
         "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
@@ -72,6 +75,8 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, size = [0], 0, len(source)
+        lower = source.lower()
+        last_end = {name: lower.rfind(f"</{name}") for name in SKIPPED}
         tags = self.tag
         while at < size:
             m = TAG.search(source, at)
@@ -97,6 +102,8 @@ class Page:
                 if name in ("br", "hr"):
                     self.runs.append((stack[-1], None))
                 continue
+            if name in SKIPPED and (attributes.endswith("/") or last_end[name] < m.start()):
+                continue
             if name in BLOCK:
                 self._end_implied(stack, {"p"}, BLOCK - {"p"})
                 if name in ENDS:
@@ -131,11 +138,11 @@ class Page:
             if name in ended:
                 self._pop_to(stack, depth)
                 return
-            if name in stop:
+            if name in stop or name in SKIPPED:
                 return
 
     def _close(self, stack: list[int], name: str) -> None:
-        inline = name not in BLOCK
+        inline = name not in BLOCK and name not in SKIPPED
         for depth in range(len(stack) - 1, 0, -1):
             open_name = self.tag[stack[depth]]
             if open_name == name:
@@ -171,10 +178,11 @@ def main_text(source: str | None) -> str:
     tag, parent, end, gone = page.tag, page.parent, page.end, page.left_out()
     n = len(tag)
     chars, tags, link_chars, links = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
+    in_link, skipped = [False] * n, [False] * n
     own: list[list[int]] = [[] for _ in range(n)]
     for i in range(1, n):
         in_link[i] = tag[i] == "a" or in_link[parent[i]]
+        skipped[i] = tag[i] in SKIPPED or skipped[parent[i]]
     for node, text in page.runs:
         if text is not None and not gone[node] and (size := len(text.strip())):
             chars[node] += size
@@ -221,17 +229,23 @@ def main_text(source: str | None) -> str:
         i = parent[i]
         threshold = min(threshold, dense[i])
     roots = _marked(core, body, threshold, dense, sums, end, gone)
+    roots = _completed(roots, body, tag, parent, end, gone, chars, link_chars)
     keep = [False] * n
     for root in roots:
         keep[root:end[root]] = [True] * (end[root] - root)
+    listed = [False] * n
     for i in range(1, n):
-        linked = keep[i] and tag[i] in BLOCK and i not in roots and dense[i] < threshold and 2 * link_chars[i] > chars[i] > 0
-        if gone[i] or linked or (keep[i] and not keep[parent[i]] and i not in roots):
+        mostly = 2 * link_chars[i] > chars[i]
+        if gone[i]:
             keep[i] = False
+        elif keep[i] and i not in roots:
+            inside = listed[parent[i]]
+            listed[i] = mostly or tag[i] not in BLOCK if inside else tag[i] in BLOCK and dense[i] < threshold and mostly
+            keep[i] = not listed[i] and (inside or keep[parent[i]])
     lines, line = [], []
     for node, text in page.runs:
         if text is None:
-            if line:
+            if line and not skipped[node]:
                 lines.append(" ".join("".join(line).split()))
                 line = []
         elif keep[node]:
@@ -249,6 +263,24 @@ def _marked(core: int, body: int, threshold: float, dense: list[float], sums: li
     return sorted(roots)
 
 
+def _completed(roots: list[int], body: int, tag: list[str], parent: list[int], end: list[int], gone: list[bool], chars: list[int], link_chars: list[int]) -> list[int]:
+    """The roots, what lies between two of them under the same parent unless it is mostly links, and the page's last h1
+    before the first of them."""
+    first, last = {}, {}
+    for r in roots:
+        first.setdefault(parent[r], r)
+        last[parent[r]] = r
+    more = set(roots)
+    for i in range(body + 1, end[body]):
+        up = parent[i]
+        if first.get(up, i) < i < last.get(up, i) and not gone[i] and chars[i] and 2 * link_chars[i] <= chars[i]:
+            more.add(i)
+    title = next((i for i in range(roots[0] - 1, body, -1) if tag[i] == "h1" and chars[i] and not gone[i] and 2 * link_chars[i] <= chars[i]), None)
+    if title is not None and not title < roots[0] < end[title]:
+        more.add(title)
+    return sorted(more)
+
+
 def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """`pages` with the main text of each page as `text` and its length in code points as `n_chars`."""
 

@@ -61,3 +61,73 @@ def paragraphs(texts):
 ], ids=["nested", "siblings", "teaser in the core", "teaser beside", "title beside the core"])
 def test_sums_and_threshold_choose_among_articles(html, want):
     assert main_text(html).split("\n") == want
+
+
+@pytest.mark.parametrize("odd", ["<svg/>", "<svg width='4'/>", "<math />", "<noscript>", "<template>", "<svg><title>t</title><path d='1'/><text>no</text></svg>", "<noscript><div><p>no</noscript>",
+                                 "<template><p>no</p><svg><g>no</template>"])
+def test_skipped_elements_do_not_swallow_the_page(odd):
+    for html in (f"<body><article><h1>Title</h1>{odd}{BODY}</article></body>", f"<body><div><h1>Title</h1><p>{STORY[0]}{odd}</p>{''.join(f'<p>{p}</p>' for p in STORY[1:])}</div></body>"):
+        assert main_text(html) == "\n".join(["Title", *STORY])
+
+
+def test_skipped_element_inside_a_paragraph():
+    assert main_text(f"<body><article><p>One <noscript><p>no</p></noscript>two</p>{BODY}</article></body>") == "\n".join(["One two", *STORY])
+
+
+def test_many_open_tags_stay_linear():
+    assert main_text(f"<body><article>{'<svg>' * 20000}{BODY}</article></body>") == "\n".join(STORY)
+
+
+def test_title_and_short_parts_beside_the_core():
+    long, other = paragraphs(LONG), paragraphs(LONG[::-1])
+    assert main_text(f"<body><nav><h1>Site</h1></nav><div><h1>Title</h1></div><div>{long}</div></body>").split("\n") == ["Title", *LONG]
+    assert main_text(f"<body><div><div>{long}</div><div><p>Short.</p></div><ul><li><a href='/'>Link</a></li></ul><div>{other}</div></div></body>").split("\n") == [*LONG, "Short.", *LONG[::-1]]
+
+
+def plain_density(html):
+    """Composite text density written out node by node on a tree of the standard parser: (tag, sum) of the largest sum."""
+    import math
+    import xml.etree.ElementTree as ET
+    root = ET.fromstring(html)
+
+    def counts(e, linked=False):
+        linked = linked or e.tag == "a"
+        own = [len(t.strip()) for t in [e.text, *[c.tail for c in e]] if t and t.strip()]
+        kids = [counts(c, linked) for c in e]
+        c, lc = sum(own) + sum(k["c"] for k in kids), sum(own) * linked + sum(k["lc"] for k in kids)
+        return {"e": e, "own": own, "linked": linked, "kids": kids, "c": c, "lc": lc, "t": sum(k["t"] + 1 for k in kids), "lt": sum(k["lt"] + (k["e"].tag == "a") for k in kids)}
+
+    def density(c, t, lc, lt):
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+        inner = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+        return c / max(t, 1) * (math.log(inner) / math.log(base) if base > 1 + 1e-9 else math.log(c + 1.0))
+
+    top = counts(root)
+    ratio = top["lc"] / top["c"]
+    best = []
+
+    def walk(n):
+        best.append((sum(density(k["c"], k["t"], k["lc"], k["lt"]) for k in n["kids"]) + sum(density(c, 1, c * n["linked"], int(n["linked"])) for c in n["own"]), n["e"]))
+        for k in n["kids"]:
+            walk(k)
+    walk(top)
+    return max(best, key=lambda b: b[0])[1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_core_is_the_largest_sum_of_a_plain_reading(seed):
+    import random
+    draw = random.Random(seed)
+
+    def part(depth):
+        if depth == 0 or draw.random() < 0.3:
+            words = " ".join(draw.choice(["long", "text", "of", "words"]) + str(draw.randrange(999)) for _ in range(draw.choice([2, 8, 40])))
+            return f"<p>{words}</p>" if draw.random() < 0.7 else f"<p><a href='x'>{words}</a></p>"
+        return f"<div>{''.join(part(depth - 1) for _ in range(draw.randrange(1, 5)))}</div>"
+    html = f"<body>{''.join(part(3) for _ in range(4))}</body>"
+    core = " ".join("".join(plain_density(html).itertext()).split())
+    joined = "".join(main_text(html).split())
+    plain = ["".join(t.split()) for e in [plain_density(html)] for p in (e.iter("p") if e.tag != "p" else [e]) for t in ["".join(p.itertext())] if p.find("a") is None]
+    assert core and all(t in joined for t in plain)
