@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,20 @@ def test_grid_order_and_leaderboard(spark):
 def test_bootstrap_shuffles_sums_only(spark, table):
     plan = stats.bootstrap_mean_diff(table, "y", ["dataset"], n=50)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan
+
+
+def test_spearman_matrix_with_nulls_matches_pandas(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: rng.integers(0, 12, 300).astype(float) for c in "abcd"}).assign(dataset=["x", "y", "z"] * 100)
+    pdf.loc[rng.random(300) < 0.2, "b"] = np.nan
+    pdf.loc[rng.random(300) < 0.3, "c"] = np.nan
+    pdf.loc[pdf.dataset == "z", "d"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "a double, b double, c double, d double, dataset string")
+    got = {(r["dataset"], r["feature_a"], r["feature_b"]): r["spearman"] for r in stats.spearman_matrix(df, list("abcd")).collect()}
+    assert len(got) == 18
+    for g, part in pdf.groupby("dataset"):
+        for (d, a, b), rho in got.items():
+            if d == g:
+                both = part[[a, b]].dropna()
+                want = both[a].rank().corr(both[b].rank()) if len(both) > 1 else None
+                assert rho is None if want is None else rho == pytest.approx(want)
