@@ -1,9 +1,11 @@
 """Loyalty of a user to an item, folded over the user's baskets.
 
 After every basket the pair (q, l) is updated, once per copy of the item. q is about the item's share of the
-purchases; times their number it changes by one linear step per basket. Each update of l is a fraction of two linear terms in l, i.e. a
-2x2 matrix, and matrices multiply in any grouping: long histories are cut into chunks, each chunk is
-reduced to one matrix, and only the chunk matrices are folded per (user, item).
+purchases; times their number it changes only where the item is bought. Each update of l is a fraction of two linear terms
+in l, i.e. a 2x2 matrix, and matrices multiply in any grouping. So there is one row per purchase, and no row for a basket
+without the item: the gap up to the next purchase is folded over an array of the purchases before each of the user's baskets,
+which all items share. Long histories are cut into chunks of baskets, each with its own array; a gap is then a row per
+chunk it reaches into, and only the chunks' matrices are folded per (user, item).
 """
 
 from __future__ import annotations
@@ -12,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ordering import add_running_total
-from ..functions.skew import pairs_within
+from ..functions.ordering import add_position, add_running_total
 from .recommend import softmax
 
 TINY = 1e-10
@@ -34,14 +35,14 @@ def _product(steps: Column) -> Column:
 
 
 def running_purchases(hist: DataFrame) -> DataFrame:
-    """`user, t, before, upto`: purchases before and up to each basket, copies counted."""
+    """`user, t, at, before, upto`: a basket's position, and purchases before and up to it, copies counted."""
     sizes = hist.groupBy("user", "t").agg(F.sum("qty").alias("size"))
-    sized = add_running_total(sizes, ["user"], ["t"], "size", "before")
-    return sized.select("user", "t", "before", (F.col("before") + F.col("size")).alias("upto"))
+    sized = add_position(add_running_total(sizes, ["user"], ["t"], "size", "before"), ["user"], ["t"], "at")
+    return sized.select("user", "t", "at", "before", (F.col("before") + F.col("size")).alias("upto"))
 
 
-def _mass_before(grid: DataFrame) -> DataFrame:
-    """Add `mass`: q times the purchases so far, just before each basket.
+def _mass_before(bought: DataFrame) -> DataFrame:
+    """Add `mass`: q times the purchases so far, just before each basket that holds the item.
 
     With count c before the basket, n purchases in it and k copies of the item, mass m becomes a^(k-1) m + (1 - a^k) / (1 - a),
     a = c / (c + n), and stays m without the item. So the mass is a sum of terms over a running product of factors, both of
@@ -49,10 +50,10 @@ def _mass_before(grid: DataFrame) -> DataFrame:
     """
     a = F.col("before") / F.col("upto")
     shrinks = (F.col("hits") > 1) & (F.col("before") > 0)
-    gain = F.when(F.col("hits") > 0, (1.0 - F.pow(a, F.col("hits"))) * F.col("upto") / (F.col("upto") - F.col("before"))).otherwise(0.0)
-    rows = grid.withColumn("factor", F.when(shrinks, (F.col("hits") - 1) * F.ln(a)).otherwise(0.0)).withColumn("gain", gain)
-    upto = W.partitionBy("user", "item", "chunk").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("user", "item", "chunk").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
+    gain = (1.0 - F.pow(a, F.col("hits"))) * F.col("upto") / (F.col("upto") - F.col("before"))
+    rows = bought.withColumn("factor", F.when(shrinks, (F.col("hits") - 1) * F.ln(a)).otherwise(0.0)).withColumn("gain", gain)
+    upto = W.partitionBy("user", "item", "chunk").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("user", "item", "chunk").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("product", F.sum("factor").over(upto)).withColumn("term", F.col("gain") * F.exp(-F.col("product")))
     chunks = rows.groupBy("user", "item", "chunk").agg(F.sum("factor").alias("whole"), F.sum("term").alias("terms"))
     earlier = W.partitionBy("user", "item").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -67,36 +68,44 @@ def loyalty(hist: DataFrame, p: DataFrame, l0: float = 0.5, chunk: int = CHUNK)
 
     An item bought several times in a basket is updated once per copy.
     """
-    steps = running_purchases(hist)
-    first = hist.groupBy("user", "item").agg(F.min("t").alias("first"))
-    bought = hist.groupBy("user", "item", "t").agg(F.sum("qty").cast("int").alias("hits"))
-    grid = (pairs_within(first, steps, ["user"], "item").where(F.col("t") >= F.col("first"))
-            .join(bought, ["user", "item", "t"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-            .withColumn("chunk", F.floor(F.col("t") / F.lit(chunk))))
+    steps = running_purchases(hist).withColumn("chunk", F.floor(F.col("at") / F.lit(chunk)))
+    shared = steps.groupBy("user", "chunk").agg(F.sort_array(F.collect_list("before")).alias("sizes"))
+    ends = steps.groupBy("user").agg(F.max("at").alias("last_at"), F.max("upto").alias("total"))
+    bought = hist.groupBy("user", "item", "t").agg(F.sum("qty").cast("int").alias("hits")).join(steps, ["user", "t"]).drop("t")
     a = F.col("before") / F.col("upto")
     n = F.col("upto") - F.col("before")
     q = F.coalesce(F.try_divide(F.col("mass"), F.col("before").cast("double")), F.lit(0.0))
-    prob, start = F.coalesce(F.col("p"), F.lit(0.0)), F.col("t") == F.col("first")
+    prob = F.coalesce(F.col("p"), F.lit(0.0))
 
     def after(copies: Column) -> Column:
         """q once some copies are counted."""
-        return F.pow(a, copies) * F.col("q") + (1.0 - F.pow(a, copies)) / n
+        return F.pow(a, copies) * q + (1.0 - F.pow(a, copies)) / n
 
     def matrix(x: Column, y: Column) -> Column:
         return F.struct(x.alias("11"), F.lit(TINY).alias("12"), (x - y).alias("21"), (y + TINY).alias("22"))
     one = F.struct(F.lit(1.0).alias("11"), F.lit(0.0).alias("12"), F.lit(0.0).alias("21"), F.lit(1.0).alias("22"))
+    visits = W.partitionBy("user", "item").orderBy("at")
+    rows = (_mass_before(bought).join(ends, "user")
+            .withColumn("first", F.row_number().over(visits) == 1)
+            .withColumn("until", F.coalesce(F.lead("at").over(visits) - 1, F.col("last_at")))
+            .join(p.select("user", "item", "p"), ["user", "item"], "left"))
     # The first copy of all sets l0 and does not update it.
-    copies = F.sequence(F.when(start, 1).otherwise(0), F.col("hits") - 1)
-    here = F.when(start & (F.col("hits") == 1), one).otherwise(F.aggregate(copies, one, lambda m, j: _then(m, matrix(after(j), prob))))
-    step = F.when(F.col("hits") == 0, matrix(1.0 - F.col("q"), 1.0 - prob)).otherwise(here)
-    left = F.when(F.col("hits") == 0, a * F.col("q")).otherwise(after(F.col("hits")))
-    rows = (_mass_before(grid).withColumn("q", q).join(p.select("user", "item", "p"), ["user", "item"], "left")
-            .select("user", "item", "chunk", "t", F.struct("t", step.alias("m")).alias("step"), left.alias("q")))
-    chunks = rows.groupBy("user", "item", "chunk").agg(_product(F.sort_array(F.collect_list("step"))).alias("m"), F.max_by("q", "t").alias("q"))
-    folded = chunks.groupBy("user", "item").agg(
+    copies = F.sequence(F.when(F.col("first"), 1).otherwise(0), F.col("hits") - 1)
+    here = F.when(F.col("first") & (F.col("hits") == 1), one).otherwise(F.aggregate(copies, one, lambda m, j: _then(m, matrix(after(j), prob))))
+    parts = rows.select("user", "item", "at", "until", "total", prob.alias("p"), here.alias("here"), (after(F.col("hits")) * F.col("upto")).alias("mass"),
+                        F.sequence("chunk", F.floor(F.col("until") / F.lit(chunk))).alias("chunk")).withColumn("chunk", F.explode("chunk"))
+    begin = F.col("chunk") * chunk
+    start = F.greatest(F.col("at") + 1, begin)
+    gap = F.slice("sizes", (start - begin + 1).cast("int"), (F.least(F.col("until"), begin + chunk - 1) - start + 1).cast("int"))
+    opening = F.when(F.col("at") >= begin, F.col("here")).otherwise(one)
+    folded = F.aggregate(gap, opening, lambda m, before: _then(m, matrix(1.0 - F.col("mass") / before, 1.0 - F.col("p"))))
+    pieces = parts.join(shared, ["user", "chunk"]).select(
+        "user", "item", "chunk", F.struct("at", folded.alias("m")).alias("step"), "at", (F.col("mass") / F.col("total")).alias("q"))
+    chunks = pieces.groupBy("user", "item", "chunk").agg(_product(F.sort_array(F.collect_list("step"))).alias("m"), F.max_by("q", "at").alias("q"))
+    whole = chunks.groupBy("user", "item").agg(
         _product(F.sort_array(F.collect_list(F.struct("chunk", "m")))).alias("m"), F.max_by("q", "chunk").alias("q"))
     l = (F.col("m")["11"] * l0 + F.col("m")["12"]) / (F.col("m")["21"] * l0 + F.col("m")["22"])
-    return folded.select("user", "item", "q", l.alias("l"))
+    return whole.select("user", "item", "q", l.alias("l"))
 
 
 def loyalty_blend(scores: DataFrame, loyal: DataFrame) -> DataFrame:
