@@ -98,7 +98,25 @@ def _scratch(d: BasketData, name: str) -> str:
 def _baskets_file(d: BasketData) -> DataFrame:
     path = _scratch(d, "history.json")
     exchange.write_baskets_json(d.hist, path)
-    return exchange.read_baskets_json(d.spark, path, lines=True)
+    return exchange.read_baskets_json(d.spark, path)
+
+
+def _basket_maps(d: BasketData) -> DataFrame:
+    path = _scratch(d, "history_maps")
+    exchange.write_baskets_json(d.hist, path, 1000)
+    return exchange.read_baskets_json(d.spark, path)
+
+
+def _keysets(d: BasketData) -> DataFrame:
+    path = _scratch(d, "keysets")
+    exchange.write_split_keysets(d.split, path)
+    return exchange.read_split_json(d.spark, f"{path}/*")
+
+
+def _prediction_maps(d: BasketData) -> DataFrame:
+    path = _scratch(d, "prediction_maps")
+    exchange.write_prediction_maps(d.preds, path)
+    return exchange.read_predictions_json(d.spark, f"{path}/*/*", "string")
 
 
 def _split_file(d: BasketData) -> DataFrame:
@@ -127,15 +145,24 @@ def _metrics_file(d: BasketData) -> DataFrame:
     return results.read_metrics(d.spark, path, "metric string, value double, std_error double, count bigint, method string")
 
 
+def _trial_rows(d: BasketData) -> DataFrame:
+    board = trials.leaderboard(_recency_trials(d), "nDCG@5", 12)
+    return board.select(F.lit("all").alias("dataset"), "trial_id", F.create_map(F.lit("rank"), F.col("rank").cast("string")).alias("params"),
+                        F.create_map(F.lit("nDCG@5"), F.col("score")).alias("metrics"), "score")
+
+
 def _trials_file(d: BasketData) -> DataFrame:
     path = _scratch(d, "trials")
-    board = trials.leaderboard(_recency_trials(d), "nDCG@5", 12)
-    log = board.select(F.lit("all").alias("dataset"), "trial_id", F.create_map(F.lit("rank"), F.col("rank").cast("string")).alias("params"),
-                       F.create_map(F.lit("nDCG@5"), F.col("score")).alias("metrics"), "score")
-    results.write_trials(log, path)
+    results.write_trials(_trial_rows(d), path)
     return results.read_trial_lines(d.spark, path).withColumn("rank", F.col("params")["rank"])
 
 
+def _trial_log(d: BasketData) -> DataFrame:
+    path = _scratch(d, "trial_log")
+    results.write_trial_log(_trial_rows(d), path, "nDCG@5")
+    return results.read_trials(d.spark, f"{path}/*").withColumn("rank", F.col("params")["rank"])
+
+
 def _embedding_file(d: BasketData) -> DataFrame:
     path = _scratch(d, "vectors.parquet")
     tables.write_embeddings(d.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), path)
@@ -144,12 +171,17 @@ def _embedding_file(d: BasketData) -> DataFrame:
 
 
 add("s2_read_baskets_json", "user:i t:i item:i qty:i", _baskets_file, "SELECT * FROM hist", "part")
+add("s2_basket_maps", "user:i t:i item:i qty:i", _basket_maps, "SELECT * FROM hist", "part")
+add("s3_keysets", "fold:i split:s user:i", _keysets, "SELECT * FROM split")
+add("s4_prediction_maps", "fold:i method:s user:i rank:i item:s", _prediction_maps, "SELECT * FROM preds")
 add("s3_split_json", "fold:i split:s user:i", _split_file, "SELECT * FROM split")
 add("s4_predictions_json", "fold:i method:s user:i rank:i item:s", _predictions_file, "SELECT * FROM preds")
 add("s5_fold_from_path", "fold:i n:i", _fold_files, "SELECT fold, count(*) AS n FROM split GROUP BY fold")
 add("s6_metrics_csv", "method:s metric:s value:f std_error:f count:i", _metrics_file, "SELECT * FROM f_sum")
 add("s7_trials_json", "trial_id:i rank:i score:f", _trials_file,
     'SELECT trial_id, "nDCG@5" AS score, row_number() OVER (ORDER BY round("nDCG@5", 9) DESC, trial_id) AS rank FROM rg_r', **REC)
+add("s7_trial_log", "trial_id:i rank:i score:f", _trial_log,
+    'SELECT trial_id, "nDCG@5" AS score, row_number() OVER (ORDER BY round("nDCG@5", 9) DESC, trial_id) AS rank FROM rg_r', **REC)
 add("s8_embeddings_parquet", "id:i dim:i total:f", _embedding_file, "SELECT vec_id AS id, len(embedding) AS dim, list_sum(embedding::DOUBLE[]) AS total FROM embeddings")
 add("i1_build_baskets", "user:i t:i item:i qty:i", lambda d: d.baskets, "SELECT * FROM baskets", "part")
 add("i1_build_baskets_by_date", "user:i t:i item:s qty:i", lambda d: baskets.build_baskets(d.log, "ordered_at"),

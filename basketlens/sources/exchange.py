@@ -1,7 +1,10 @@
 """JSON exchange files: baskets, splits and predictions.
 
-A map file is one JSON object, which Spark can only read as one row; import it once and keep the
-long table as Parquet. Files written here hold one JSON object per line instead, so they split.
+A map file is one JSON object, often on a single line. It is read as text cut where a user's value ends (the brackets that
+close it), so Spark splits a large file over tasks as it splits lines, and each piece is parsed as a small object. A file may
+be written compactly, with line breaks or as several objects; one whose brackets stand apart is right too, but is one piece.
+A split file is cut at commas, and a user belongs to the last part named before it in the file. Ids that hold the separator
+raise an error. Files written here as lines hold one JSON object per line.
 """
 
 from __future__ import annotations
@@ -12,10 +15,22 @@ from pyspark.sql import functions as F
 FOLD = r"keyset_?(\d+)"
 
 
-def _documents(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    """Parsed documents with their file's path: one per file, or one per line."""
-    text = spark.read.text(path, wholetext=not lines)
-    return text.select(F.from_json("value", schema).alias("doc"), F.input_file_name().alias("path"))
+def _entries(spark: SparkSession, path: str, closing: str, schema: str) -> DataFrame:
+    """`doc, path`: maps of a few users each, from text cut at the brackets `closing` that end a user's value."""
+    text = spark.read.option("lineSep", closing).text(path).select(
+        F.regexp_replace("value", r"^[\s{},]+", "").alias("value"), F.col("_metadata.file_path").alias("path"))
+    # A piece that ends with a brace is the rest of an object, after its last cut; what was only braces is an empty map.
+    whole = (F.when(F.col("value") == "", "{}").when(F.regexp_replace("value", r"\s+$", "").endswith("}"), F.concat(F.lit("{"), "value"))
+             .otherwise(F.concat(F.lit("{"), "value", F.lit(closing + "}"))))
+    return text.select(F.from_json(whole, schema, {"mode": "FAILFAST"}).alias("doc"), "path")
+
+
+def _write_maps(rows: DataFrame, path: str, users_per_map: int) -> None:
+    """Objects of about `users_per_map` users from `user, value`."""
+    users = rows.select(F.count(F.lit(1))).first()[0]
+    bucket = F.pmod(F.xxhash64("user"), F.lit(max(1, -(-users // users_per_map))))
+    maps = rows.groupBy(bucket.alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("user").cast("string"), "value"))).alias("doc"))
+    maps.select(F.to_json("doc")).write.mode("overwrite").text(path)
 
 
 def fold_from_path(df: DataFrame, path_col: str = "path", out: str = "fold") -> DataFrame:
@@ -27,34 +42,55 @@ def fold_from_path(df: DataFrame, path_col: str = "path", out: str = "fold") ->
 MARKER = -1
 
 
-def read_baskets_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """`user, t, item, qty` from maps of user to baskets; the marker baskets at both ends are dropped by position.
-
-    With `lines` a file holds one map per line, as `write_baskets_json` writes it.
-    """
-    users = _documents(spark, path, "map<string, array<array<int>>>", lines).select(F.explode("doc").alias("user", "seq"))
+def read_baskets_json(spark: SparkSession, path: str) -> DataFrame:
+    """`user, t, item, qty` from maps of user to baskets; the marker baskets at both ends are dropped by position."""
+    users = _entries(spark, path, "]]", "map<string, array<array<int>>>").select(F.explode("doc").alias("user", "seq"))
     inner = F.slice("seq", F.lit(2), F.greatest(F.size("seq") - 2, F.lit(0)))
     baskets = users.select("user", F.posexplode(inner).alias("t", "basket"))
     return (baskets.select("user", F.col("t").cast("bigint").alias("t"), F.explode("basket").alias("item"))
             .groupBy("user", "t", "item").agg(F.count(F.lit(1)).alias("qty")))
 
 
-def write_baskets_json(hist: DataFrame, path: str) -> None:
-    """One map per line: a user's baskets in order, a marker basket at each end. Items must be integers."""
+def write_baskets_json(hist: DataFrame, path: str, users_per_map: int = 1) -> None:
+    """Maps of `users_per_map` users, one map per line: a user's baskets in order, a marker basket at each end. Items must be integers."""
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("qty")))
     baskets = (hist.withColumn("_copy", copies).groupBy("user", "t")
                .agg(F.sort_array(F.collect_list(F.col("item").cast("int"))).alias("basket")))
     users = baskets.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("t", "basket"))).alias("seq"))
     end = F.array(F.array(F.lit(MARKER)))
-    users.select(F.to_json(F.create_map(F.col("user").cast("string"), F.concat(end, F.col("seq.basket"), end)))).write.mode(
-        "overwrite").text(path)
+    rows = users.select("user", F.concat(end, F.col("seq.basket"), end).alias("value"))
+    if users_per_map > 1:
+        _write_maps(rows, path, users_per_map)
+    else:
+        rows.select(F.to_json(F.create_map(F.col("user").cast("string"), "value"))).write.mode("overwrite").text(path)
+
+
+PART = r'"(train|val|test)"\s*:'
+ELEMENT = r'^[\s{]*(?:"(?:train|val|test)"\s*:\s*\[)?\s*("(?:[^"\\]|\\.)*"|[^\s"\[\]{},:]+)(?!\s*:)'
 
 
 def read_split_json(spark: SparkSession, path: str) -> DataFrame:
-    """`fold, split, user` from one or more split files; the fold comes from the file name."""
-    doc = fold_from_path(_documents(spark, path, "struct<item_num:int, train:array<string>, val:array<string>, test:array<string>>"))
-    parts = [doc.select("fold", F.lit(p).alias("split"), F.explode(f"doc.{p}").alias("user")) for p in ("train", "val", "test")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """`fold, split, user` from one or more split files; the fold comes from the file's path."""
+    quotes = F.length(F.regexp_replace("value", r'\\.|[^"]', ""))
+    value = F.when(quotes % 2 == 1, F.raise_error(F.concat(F.lit("a user id holds a comma: "), "value"))).otherwise(F.col("value"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    pieces = spark.read.option("lineSep", ",").text(path).select(
+        value.alias("value"), F.col("_metadata.file_path").alias("path"), at.alias("at"))
+    named = pieces.withColumn("part", F.regexp_extract("value", PART, 1)).where("part <> ''")
+    parts = named.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    part = F.element_at(F.filter("parts", lambda p: p["at"] <= F.col("at")), -1)["part"]
+    user = F.get_json_object(F.concat(F.lit("["), F.regexp_extract("value", ELEMENT, 1), F.lit("]")), "$[0]")
+    users = pieces.join(parts, "path").select("path", F.when(F.regexp_extract("value", ELEMENT, 1) != "", part).alias("split"), user.alias("user"))
+    return fold_from_path(users).where("split IS NOT NULL AND user IS NOT NULL").select("fold", "split", "user")
+
+
+def write_split_keysets(split: DataFrame, path: str, users_per_object: int = 10_000) -> None:
+    """Objects `{train, val, test}` of about `users_per_object` users, in one folder keyset_<fold> per fold."""
+    sizes = {r["fold"]: r["n"] for r in split.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for fold, n in sizes.items():
+        mine = split.where(F.col("fold") == fold).groupBy(F.pmod(F.xxhash64("user"), F.lit(-(-n // users_per_object))).alias("bucket"))
+        lists = [F.collect_list(F.when(F.col("split") == p, F.col("user").cast("string"))).alias(p) for p in ("train", "val", "test")]
+        mine.agg(*lists).select(F.to_json(F.struct("train", "val", "test"))).write.mode("overwrite").text(f"{path}/keyset_{fold}")
 
 
 def write_split_json(split: DataFrame, path: str) -> None:
@@ -67,15 +103,23 @@ def read_split_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("user string, fold bigint, split string").json(path).select("fold", "split", "user")
 
 
-def read_predictions_json(spark: SparkSession, path: str) -> DataFrame:
-    """`fold, method, user, rank, item` from files <method>/keyset<fold>.json holding a map of user to ranked items."""
-    doc = fold_from_path(_documents(spark, path, "map<string, array<int>>"))
-    named = doc.withColumn("method", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+def read_predictions_json(spark: SparkSession, path: str, item_type: str = "int") -> DataFrame:
+    """`fold, method, user, rank, item` from maps of user to ranked items, in files (or folders of files) <method>/keyset<fold>.json."""
+    doc = fold_from_path(_entries(spark, path, "]", f"map<string, array<{item_type}>>"))
+    named = doc.withColumn("method", F.regexp_extract("path", r"([^/]+)/[^/]*keyset_?\d+[^/]*(/[^/]*)?$", 1))
     users = named.select("fold", "method", F.explode("doc").alias("user", "items"))
     return users.select("fold", "method", "user", F.posexplode("items").alias("pos", "item")).select(
         "fold", "method", "user", (F.col("pos") + 1).cast("bigint").alias("rank"), "item")
 
 
+def write_prediction_maps(preds: DataFrame, path: str, users_per_map: int = 1000) -> None:
+    """Maps of user to ranked items, in one folder <method>/keyset<fold>.json per method and fold."""
+    for method, fold in preds.select("method", "fold").distinct().collect():
+        mine = preds.where((F.col("method") == method) & (F.col("fold") == fold))
+        lists = mine.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("rank", "item"))).alias("ranked"))
+        _write_maps(lists.select("user", F.col("ranked.item").alias("value")), f"{path}/{method}/keyset{fold}.json", users_per_map)
+
+
 def write_predictions_json(preds: DataFrame, path: str) -> None:
     """One JSON line `{user, items}` per user, best first, partitioned by method and fold."""
     lists = preds.groupBy("method", "fold", "user").agg(F.sort_array(F.collect_list(F.struct("rank", "item"))).alias("ranked"))

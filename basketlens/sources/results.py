@@ -52,6 +52,14 @@ def write_trials(trials: DataFrame, path: str) -> None:
     trials.write.mode("overwrite").json(path)
 
 
+def write_trial_log(trials: DataFrame, path: str, best_metric: str) -> None:
+    """Tuning logs as `read_trials` takes them, one object per dataset in a folder of its own; a dataset has as many trials as its grid."""
+    row = F.struct(F.col("trial_id").alias("combination_id"), F.col("params").alias("parameters"), "metrics", "score")
+    logs = trials.groupBy("dataset").agg(F.max("score").alias("best_score"), F.collect_list(row).alias("all_results"))
+    doc = F.to_json(F.struct("dataset", F.lit(best_metric).alias("best_metric"), "best_score", "all_results"))
+    logs.select(doc.alias("value"), F.col("dataset").alias("log")).write.mode("overwrite").partitionBy("log").text(path)
+
+
 def read_trial_lines(spark: SparkSession, path: str) -> DataFrame:
     """What `write_trials` wrote from the columns of `read_trials`."""
     return spark.read.schema(f"dataset string, trial_id bigint, params {PARAMS}, metrics map<string,double>, score double").json(path)

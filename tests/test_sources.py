@@ -1,5 +1,8 @@
 import json
 
+import numpy as np
+import pytest
+
 from basketlens.sources import exchange, results, tables
 
 
@@ -18,7 +21,39 @@ def test_basket_map_file(spark, tmp_path):
     want = {("1", 0, 5, 1), ("1", 0, 7, 2), ("1", 1, 2, 1), ("2", 0, 9, 1)}
     assert {tuple(r) for r in hist.collect()} == want
     exchange.write_baskets_json(hist, str(tmp_path / "out"))
-    assert {tuple(r) for r in exchange.read_baskets_json(spark, str(tmp_path / "out"), lines=True).collect()} == want
+    assert {tuple(r) for r in exchange.read_baskets_json(spark, str(tmp_path / "out")).collect()} == want
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_large_objects_are_cut_over_tasks(spark, tmp_path, indent):
+    """One object per file; cut anywhere, compact or with line breaks, users are neither lost nor read twice."""
+    rng = np.random.default_rng(5)
+    baskets = {str(u): [[-1], *[rng.integers(0, 99, rng.integers(0, 4)).tolist() for _ in range(rng.integers(0, 4))], [-1]] for u in range(400)}
+    baskets["none"] = []
+    keys = {"item_num": 7, "train": [f"t{k}" for k in range(300)], "val": [], "test": ['a "b" ]', "train", *range(5)]}
+    lists = {f"u{k}": rng.integers(0, 99, k % 5).tolist() for k in range(400)}
+    (tmp_path / "m").mkdir()
+    for name, doc in (("history.json", baskets), ("keyset_3.json", keys), ("m/keyset_4.json", lists)):
+        (tmp_path / name).write_text(json.dumps(doc, indent=indent))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "997", "1024", "2003"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            hist = exchange.read_baskets_json(spark, str(tmp_path / "history.json"))
+            want = {(u, t, i, b.count(i)) for u, bs in baskets.items() for t, b in enumerate(bs[1:-1]) for i in b}
+            rows = [tuple(r) for r in hist.collect()]
+            assert len(rows) == len(want) and set(rows) == want
+            split = [tuple(r) for r in exchange.read_split_json(spark, str(tmp_path / "keyset_3.json")).collect()]
+            assert sorted(split) == sorted((3, p, str(u)) for p in ("train", "val", "test") for u in keys[p])
+            preds = [tuple(r) for r in exchange.read_predictions_json(spark, str(tmp_path / "m" / "keyset_4.json")).collect()]
+            assert sorted(preds) == sorted((4, "m", u, k + 1, i) for u, items in lists.items() for k, i in enumerate(items))
+            if size != before:
+                assert exchange._entries(spark, str(tmp_path / "history.json"), "]]", "map<string, array<array<int>>>").rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "keyset_5.json").write_text('{"train": ["a,b"]}')
+    with pytest.raises(Exception, match="comma"):
+        exchange.read_split_json(spark, str(tmp_path / "keyset_5.json")).collect()
 
 
 def test_split_and_prediction_files(spark, tmp_path):
