@@ -9,15 +9,20 @@ Counting covers every training text, and every event is seated in its full conte
 grows with it and stays a table. Restaurants are dealt to tasks by the last two
 symbols of their contexts: whole trees of them sit in one task, and only tables of the two shortest levels (at most 257^2 kinds) come to
 the driver. Gibbs sweeps take each dish's customers out of a restaurant and seat them again by the restaurant's rule given the
-others; predictive probabilities are averaged over the last sweeps.
+others. Each level's discount is estimated from its dishes with one and two customers, once / (once + 2 twice), and its strength is the most
+likely of a grid given the seating; both are set anew after every round, from sums over all tasks.
+
+Predictive probabilities of the symbols met in a context are averaged over the last sweeps, whole paths at a time; what they leave goes to the
+other symbols in proportion to the shorter context. So the probabilities of all 256 symbols add up to 1 in every context.
 
 Scores are exact under the whole model: the probabilities of the most frequent events, at most MOST_EVENTS, are broadcast; a text's other
 events are counted, each distinct one is looked up once among the restaurants of its ending, and joined back.
 
 Unigram counts for the plain base score are exact: words above one in MOST_WORDS are broadcast, the others are joined.
 
-Defined results: a NULL or empty text is the end alone; without training texts every symbol has probability 1/257 and the
-base score is 0; rows that repeat an id are scored each; NULL ids are scored like others.
+Defined results: a NULL or empty text is the end alone; without training texts every symbol has probability 1/256 and the
+base score is 0; rows that repeat an id are scored each; NULL ids are scored like others; a carried column named like one of the results
+gives way to it.
 """
 
 from __future__ import annotations
@@ -43,9 +48,12 @@ ORDER = 6
 END = 0x0A
 GAP = 0x20
 END_TOKEN = 1
-SYMBOLS = 257
-LEVEL_DISCOUNT = (0.2, 0.4, 0.5, 0.6, 0.7, 0.75)
-STRENGTH = 2.0
+SYMBOLS = 256
+TINY = 1e-12
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+FIRST_DISCOUNT = 0.5
+FIRST_STRENGTH = 2.0
+STRENGTHS = tuple(2.0**k for k in range(-4, 11))
 
 
 def _stream(block: Block, words: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,35 +125,75 @@ def _seat(rng: np.random.Generator, customers: np.ndarray, parent: np.ndarray, m
         i += run
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers, by Stirling's series beyond 8."""
+    shift = np.zeros_like(x)
+    for k in range(8):
+        shift += np.log(x + k)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
+
+
+@dataclass
+class Rates:
+    """Discount and strength of each context length."""
+
+    discount: np.ndarray
+    strength: np.ndarray
+
+    @classmethod
+    def first(cls) -> Rates:
+        return cls(np.full(ORDER, FIRST_DISCOUNT), np.full(ORDER, FIRST_STRENGTH))
+
+    def update(self, depth: int, once: float, twice: float, fit: np.ndarray) -> None:
+        """From the dishes with one and two customers and the log-likelihood of every strength of the grid."""
+        if once + twice > 0:
+            self.discount[depth] = min(max(once / (once + 2 * twice), 0.01), 0.95)
+        if fit.any():
+            self.strength[depth] = STRENGTHS[int(np.argmax(np.round(fit / np.abs(fit).max(), 9)))]
+
+
 class Level:
     """The restaurants of one context length: sorted event codes, their context, and their event in the next shorter one."""
 
-    def __init__(self, depth: int, codes: np.ndarray, direct: np.ndarray):
-        self.depth, self.codes, self.direct = depth, codes, direct
+    def __init__(self, depth: int, codes: np.ndarray, direct: np.ndarray, rates: Rates):
+        self.depth, self.codes, self.direct, self.rates = depth, codes, direct, rates
         self.contexts, self.context = np.unique(codes >> 8, return_inverse=True)
         self.customers = direct.astype(np.int64)
         self.tables = np.minimum(self.customers, 1)
 
+    @property
+    def pair(self) -> tuple[float, float]:
+        return float(self.rates.discount[self.depth]), float(self.rates.strength[self.depth])
+
+    def evidence(self) -> tuple[int, int, np.ndarray]:
+        """Dishes with one and with two customers, and the log-likelihood of the seating under every strength of the grid."""
+        d, _ = self.pair
+        n, t = self.totals(self.customers).astype(float), self.totals(self.tables).astype(float)
+        n, t = n[n > 0], t[n > 0]
+        fit = [float((_log_gamma(a / d + t) - _log_gamma(np.full_like(t, a / d + 1)) - _log_gamma(a + n) + _log_gamma(np.full_like(n, a + 1))).sum()) for a in STRENGTHS]
+        return int((self.customers == 1).sum()), int((self.customers == 2).sum()), np.array(fit)
+
     def totals(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.context, weights=values, minlength=len(self.contexts))
 
     def back_off(self) -> np.ndarray:
         """Weight of the shorter context, per restaurant."""
-        d = LEVEL_DISCOUNT[self.depth]
-        return (STRENGTH + d * self.totals(self.tables)) / (STRENGTH + np.maximum(self.totals(self.customers), 1e-12))
+        d, a = self.pair
+        return (a + d * self.totals(self.tables)) / (a + self.totals(self.customers))
 
     def predict(self, parent: np.ndarray) -> np.ndarray:
-        d = LEVEL_DISCOUNT[self.depth]
-        own = np.maximum(self.customers - d * self.tables, 0.0) / (STRENGTH + self.totals(self.customers)[self.context])
+        d, a = self.pair
+        own = (self.customers - d * self.tables) / (a + self.totals(self.customers)[self.context])
         return own + self.back_off()[self.context] * parent
 
     def sweep(self, rng: np.random.Generator, parent: np.ndarray) -> None:
-        d = LEVEL_DISCOUNT[self.depth]
+        d, a = self.pair
         others = self.totals(self.tables)[self.context] - self.tables
-        self.tables = _seat(rng, self.customers, parent, STRENGTH + d * others, d)
+        self.tables = _seat(rng, self.customers, parent, a + d * others, d)
 
 
-def _trees(events: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[Level]:
+def _trees(events: dict[int, tuple[np.ndarray, np.ndarray]], rates: Rates) -> list[Level]:
     """Levels from the longest context to two symbols, from (code, customers) that enter each directly."""
     levels: list[Level] = []
     above = np.empty(0, dtype=np.int64)
@@ -154,13 +202,13 @@ def _trees(events: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[Level]:
         codes = np.unique(np.concatenate([code, above & ((1 << 8 * (depth + 1)) - 1)]))
         direct = np.zeros(len(codes), dtype=np.int64)
         direct[np.searchsorted(codes, code)] = n
-        levels.append(Level(depth, codes, direct))
+        levels.append(Level(depth, codes, direct, rates))
         above = codes
     return levels
 
 
 def _run_trees(levels: list[Level], short: np.ndarray, seed: list[int], sweeps: int, kept: int):
-    """Gibbs sweeps given the probabilities `short` after one symbol: averages per level (events, back-off weights), and the tables of the shortest level."""
+    """Gibbs sweeps given the probabilities `short` after one symbol: per level average chances of events and weights of the shorter context, and the tables of the shortest level."""
     rng = np.random.default_rng(seed)
     to_parent = [np.searchsorted(b.codes, a.codes & ((1 << 8 * (a.depth)) - 1)) for a, b in zip(levels, levels[1:])]
     below = short[(levels[-1].codes >> 8) & 0xFF, levels[-1].codes & 0xFF]
@@ -171,7 +219,7 @@ def _run_trees(levels: list[Level], short: np.ndarray, seed: list[int], sweeps:
             got.append(level.predict(got[-1])[to])
         return got[::-1]
 
-    mean = [[np.zeros(len(x.codes)), np.zeros(len(x.contexts))] for x in levels]
+    mean = [np.zeros(len(x.codes)) for x in levels]
     for s in range(sweeps):
         parents = chances()
         for k, level in enumerate(levels):
@@ -182,9 +230,10 @@ def _run_trees(levels: list[Level], short: np.ndarray, seed: list[int], sweeps:
         if s >= sweeps - kept:
             parents = chances()
             for k, level in enumerate(levels):
-                mean[k][0] += level.predict(parents[k]) / kept
-                mean[k][1] += level.back_off() / kept
-    return mean, levels[-1].codes & 0xFFFF, levels[-1].tables
+                mean[k] += level.predict(parents[k]) / kept
+    shorter = [longer[to] for longer, to in zip(mean[1:], to_parent)] + [below]
+    left = [np.maximum(1.0 - level.totals(m), TINY) / np.maximum(1.0 - level.totals(up), TINY) for level, m, up in zip(levels, mean, shorter)]
+    return list(zip(mean, left)), levels[-1].codes & 0xFFFF, levels[-1].tables
 
 
 @dataclass
@@ -218,13 +267,13 @@ def _sorted(rows: pa.Table) -> tuple[dict, dict]:
     return made[0], made[1]
 
 
-def _short_levels(direct: np.ndarray, seed: list[int], sweeps: int, kept: int) -> np.ndarray:
-    """Probabilities after one symbol from a 256 x 256 table of customers, with the empty context above it."""
+def _short_levels(direct: np.ndarray, seed: list[int], sweeps: int, kept: int, rates: Rates) -> np.ndarray:
+    """Probabilities after one symbol from a 256 x 256 table of customers, with the empty context above it; sets the rates of both."""
     rng = np.random.default_rng(seed)
     code = np.flatnonzero(direct.ravel())
-    one = Level(1, code.astype(np.int64), direct.ravel()[code])
+    one = Level(1, code.astype(np.int64), direct.ravel()[code], rates)
     root_of = one.codes & 0xFF
-    root = Level(0, np.arange(256, dtype=np.int64), np.zeros(256, dtype=np.int64))
+    root = Level(0, np.arange(256, dtype=np.int64), np.zeros(256, dtype=np.int64), rates)
     mean = np.zeros((256, 256))
     for s in range(sweeps):
         plain = root.predict(np.full(256, 1 / SYMBOLS))
@@ -232,6 +281,9 @@ def _short_levels(direct: np.ndarray, seed: list[int], sweeps: int, kept: int) -
         root.customers = np.bincount(root_of, weights=one.tables, minlength=256).astype(np.int64)
         root.tables = np.minimum(root.tables, root.customers)
         root.sweep(rng, np.full(256, 1 / SYMBOLS))
+        if s < sweeps - kept:
+            for level in (root, one):
+                rates.update(level.depth, *level.evidence())
         if s >= sweeps - kept:
             plain = root.predict(np.full(256, 1 / SYMBOLS))
             weight = np.ones(256)
@@ -251,20 +303,30 @@ def fit(counts: DataFrame, rounds: int = 3, sweeps: int = 8, kept: int = 4, seed
     pairs = np.zeros((256, 256), dtype=np.int64)
     for r in events.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("code")).agg(F.sum("n").alias("n")).collect():
         pairs[r["code"] >> 8, r["code"] & 0xFF] = r["n"]
-    short = _short_levels(pairs, [seed], sweeps, kept)
+    rates = Rates.first()
+    short = _short_levels(pairs, [seed], sweeps, kept, rates)
     if not pairs.any():
         return Model(short, counts.sparkSession.createDataFrame([], _DONE))
     got = None
     for r in range(rounds):
         last = r == rounds - 1
-        run = functools.partial(_sample, short=short, seed=[seed, r + 1], sweeps=sweeps, kept=kept, last=last)
+        run = functools.partial(_sample, short=short, seed=[seed, r + 1], sweeps=sweeps, kept=kept, rates=rates, last=last)
         got = stage(events.repartition(_ending(F.col("code"))).mapInArrow(run, _DONE))
+        if last:
+            break
         entered = np.zeros((256, 256), dtype=np.int64)
-        tables = got.where("part = 't'").groupBy("code").agg(F.sum("value").cast("bigint").alias("n")).collect()
-        for x in tables:
-            entered[x["code"] >> 8, x["code"] & 0xFF] += x["n"]
-        short = _short_levels(entered, [seed, 100 + r], sweeps, kept)
-    return Model(short, got.where("part <> 't'"))
+        fits = {depth: np.zeros(len(STRENGTHS) + 2) for depth in range(2, ORDER)}
+        sums = got.where("part IN ('t', 'r')").groupBy("part", "depth", "code").agg(F.sum("value").alias("value")).collect()
+        for x in sums:
+            if x["part"] == "t":
+                entered[x["code"] >> 8, x["code"] & 0xFF] += int(x["value"])
+            else:
+                fits[x["depth"]][x["code"]] = x["value"]
+        rates = Rates(rates.discount.copy(), rates.strength.copy())
+        for depth, fit_of in fits.items():
+            rates.update(depth, fit_of[0], fit_of[1], fit_of[2:])
+        short = _short_levels(entered, [seed, 100 + r], sweeps, kept, rates)
+    return Model(short, got.where("part IN ('p', 'b')"))
 
 
 def _ending(code: Column) -> Column:
@@ -272,14 +334,14 @@ def _ending(code: Column) -> Column:
     return F.shiftright(code, 8).bitwiseAND(F.lit(0xFFFF))
 
 
-def _sample(batches: Iterator[pa.RecordBatch], short: np.ndarray, seed: list[int], sweeps: int, kept: int, last: bool) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Iterator[pa.RecordBatch], short: np.ndarray, seed: list[int], sweeps: int, kept: int, rates: Rates, last: bool) -> Iterator[pa.RecordBatch]:
     """Seat the trees of one partition."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     rows = pa.Table.from_batches(got)
     code, n = (rows.column(c).to_numpy() for c in ("code", "n"))
-    levels = _trees({ORDER - 1: (code, n)})
+    levels = _trees({ORDER - 1: (code, n)}, rates)
     mean, upper, tables = _run_trees(levels, short, [*seed, int(code.min() & 0xFFFFFF)], sweeps, kept)
 
     def batch(part: str, k: int, codes: np.ndarray, values: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
@@ -287,8 +349,12 @@ def _sample(batches: Iterator[pa.RecordBatch], short: np.ndarray, seed: list[int
                                            pa.array(codes.astype(np.int64)), pa.array(values.astype(np.float64)),
                                            pa.array(np.zeros(len(codes), dtype=np.int64) if n is None else n.astype(np.int64))], ["part", "depth", "code", "value", "n"])
 
-    yield batch("t", 2, upper, tables)
-    if last:
+    if not last:
+        yield batch("t", 2, upper, tables)
+        for level in levels:
+            once, twice, fit_of = level.evidence()
+            yield batch("r", level.depth, np.arange(len(fit_of) + 2), np.array([once, twice, *fit_of]))
+    else:
         for level, (chance, back) in zip(levels, mean):
             yield batch("p", level.depth, level.codes, chance, level.direct)
             yield batch("b", level.depth, level.contexts, back)
@@ -365,6 +431,7 @@ def _lists(counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), most: int = MOST_EVENTS) -> DataFrame:
     """Carried columns, n_tokens, n_known, train_tokens, base_score, score. `most` says how many events are broadcast; results do not depend on it."""
     spark = docs.sparkSession
+    carry = tuple(c for c in carry if c not in RESULTS)
     words = counts.where("kind = 'w'").select("code", "n")
     size = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     train, distinct = size[0] or 0, size[1]

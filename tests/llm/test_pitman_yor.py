@@ -55,7 +55,22 @@ def test_probabilities_add_up_to_one(fitted):
     seen = model.contexts[5][0]
     for context in [*seen[:: max(1, len(seen) // 20)].tolist(), 0x7878787878, 0x0A0A0A0A0A]:
         total = (10 ** py._log_chance((context << 8) + np.arange(256, dtype=np.int64), *model.parts())).sum()
-        assert 0.95 < total < 1.02
+        assert total == pytest.approx(1.0, abs=1e-9)
+
+
+def test_rates_follow_the_seating():
+    """The likelihood of a strength against the product over customers; discounts from dishes met once and twice."""
+    level = py.Level(2, np.array([0x616101, 0x616102, 0x616103, 0x626201]), np.array([1, 2, 7, 1]), py.Rates.first())
+    level.tables = np.array([1, 1, 3, 1])
+    once, twice, fit = level.evidence()
+    assert (once, twice) == (2, 1)
+    for a, got in zip(py.STRENGTHS, fit):
+        want = 0.0
+        for n, t in ((10, 5), (1, 1)):
+            want += sum(math.log(a / 0.5 + i) for i in range(1, t)) - sum(math.log(a + i) for i in range(1, n))
+        assert got == pytest.approx(want, abs=1e-6)
+    level.rates.update(2, once, twice, fit)
+    assert level.pair == (0.5, py.STRENGTHS[int(np.argmax(fit))])
 
 
 def test_seating_follows_the_restaurant():
@@ -86,7 +101,7 @@ def test_without_training_texts(spark, fitted):
     counts = stage(py.count(df.limit(0)))
     got = py.score(df.where("doc_id = 900"), py.fit(counts), counts).first()
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["base_score"]) == (1, 0, 0, 0.0)
-    assert got["score"] == pytest.approx(math.log10(1 / 257), abs=0.01)
+    assert got["score"] == pytest.approx(math.log10(1 / 256))
     assert py.score(df.limit(0), py.fit(counts), counts).count() == 0
 
 
@@ -94,6 +109,9 @@ def test_null_ids_and_clashing_columns(spark, fitted):
     _, counts, model = fitted
     out = py.score(spark.createDataFrame([(None, "ka", 1)], "doc_id bigint, text string, row int").withColumn("held_out", F.lit(True)), model, counts, carry=("doc_id", "held_out"))
     assert out.count() == 1 and out.columns[:2] == ["doc_id", "held_out"]
+    clash = spark.createDataFrame([(1, "ka", 2.0, 3)], "doc_id bigint, text string, score double, n_tokens int")
+    out = py.score(clash, model, counts, carry=("doc_id", "score", "n_tokens"))
+    assert out.columns.count("score") == 1 and out.first()["n_tokens"] == 2
 
 
 def test_every_event_is_seated_whatever_the_size(spark, fitted, monkeypatch):
