@@ -1,16 +1,20 @@
 """Personal data by a skip-chain conditional random field over a document's mentions.
 
 Base rules find e-mail addresses, IPv4 addresses, card numbers and phone numbers; what they find stays. A mention is a base
-span or a run that looks like one and failed (seven digits or more, or an address spelled with "at"). Mentions are
-the field's nodes: a node's own potential comes from its shape, neighbouring mentions share a chain edge, and mentions
-that repeat each other (the same address, or the same last digits, wherever they stand) share a skip edge. Loopy message passing makes the
-labels of a document agree: a number the base rules passed over is marked where the document holds it as a phone number elsewhere.
-
-Shape weights are a multinomial logistic regression on the counts of (shape, base label), and edge weights are log odds of
-agreement, both over all documents; only distinct shapes, a bounded number, reach the driver. Occurrences of a
-repeated mention are linked in a row and to one base span, not pairwise. A document is one row in and out.
-
-Defined results: a NULL or empty text has no spans; positions are code points, ends exclusive; a tie goes to "no personal data".
+span or a number or address that resembles one and was passed over: seven digits or more, or an address spelled with "at". Digits that a rule
+ran together are parted again at spaces, so a card number beside another number is a mention of its own. Mentions are the field's nodes: a
+node's own potential comes from its shape, neighbours in the text share a chain edge, mentions that repeat each other (the same address, or the
+same last digits, wherever they stand) a repeat edge, and mentions alike in part (the same domain, network, or leading digits) a similarity edge.
+Loopy message passing makes the labels of a document agree.
+
+All weights are learnt together by pseudo-likelihood: each mention's label given its shape and the labels beside it. Base spans are the labels. A base
+span that is repeated is learnt from a second time with what its rule tests (plus, check digit, dots) masked, so that only its neighbours tell; a
+passed-over mention that repeats a base span has no known label and is left out. Repeat edges start from a prior of agreement, which data move. Only
+distinct configurations, a bounded number, reach the driver: in learning, more than MOST_BESIDE edges of one kind to one label count as MOST_BESIDE.
+Occurrences of a mention are linked in a row and to one base span, not pairwise. A document is one row in and out.
+
+Defined results: a NULL or empty text has no spans; positions are code points, ends exclusive; a tie goes to "no personal data"; equal rows have equal spans;
+carried columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -37,9 +41,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LIKE_NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,3}[0-9]){6,}")
 LIKE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}) ?[\[(] ?at ?[\])] ?([A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63})+)", re.I)
 SPELLED = re.compile(r"at ?[\])]", re.I)
+PIECE = re.compile(r"[^ ]+")
+ALONE = 12
 NEAR = 40
 PULL = 2.0
+AGREE = (0.0, 3.0, 0.5)
+MOST_BESIDE = 3
 SHAPES = ("7-8", "9-11", "12-15", "16", "17-19", "20+", "plus", "bracket", "dash", "space", "dots3", "glued", "luhn", "at")
+TESTED = tuple(SHAPES.index(x) for x in ("plus", "dots3", "luhn"))
+LABELS = len(KINDS) + 1
 
 
 @dataclass
@@ -49,6 +59,7 @@ class Mention:
     label: int
     shape: tuple[int, ...]
     keys: tuple[str, ...]
+    alike: tuple[str, ...]
 
 
 def luhn(digits: str) -> bool:
@@ -102,52 +113,90 @@ def _shape(text: str, start: int, end: int, digits: str, spelled: bool) -> tuple
     return tuple(i for i, on in enumerate([*bins, *more]) if on)
 
 
-def _keys(label: int, body: str, digits: str) -> tuple[str, ...]:
+def _keys(label: int, body: str, digits: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """What a mention shares with those that repeat it, and with those alike in part."""
     if label == 0 or "@" in body:
-        return ("@" + body.lower(),)
-    return tuple(f"{k}:{digits[-k:]}" for k in (7, 10, 16) if len(digits) >= k)
+        return ("@" + body.lower(),), ("@" + body.lower().rpartition("@")[2],)
+    alike = ("net:" + body.rpartition(".")[0],) if body.count(".") == 3 else (f"{len(digits)}:{digits[:6]}",) if len(digits) >= 9 else ()
+    return tuple(f"{k}:{digits[-k:]}" for k in (7, 10, 16) if len(digits) >= k), alike
+
+
+def _parted(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Pieces of a run of digits: one of ALONE digits or more stands alone, shorter ones stay together."""
+    begin = stop = -1
+    for m in PIECE.finditer(text, start, end):
+        if len(_digits(m[0])) >= ALONE:
+            if begin >= 0:
+                yield begin, stop
+            yield m.span()
+            begin = -1
+        else:
+            begin, stop = (m.start() if begin < 0 else begin), m.end()
+    if begin >= 0:
+        yield begin, stop
 
 
 def mentions(text: str) -> list[Mention]:
     """Base spans and what resembles them, in order; mentions that resemble do not overlap base spans."""
     base = base_spans(text)
-    made = [Mention(s, e, k + 1, _shape(text, s, e, d, False), _keys(k, text[s:e], d)) for s, k, e in base for d in (_digits(text[s:e]),)]
+    made = [Mention(s, e, k + 1, _shape(text, s, e, d, False), *_keys(k, text[s:e], d)) for s, k, e in base for d in (_digits(text[s:e]),)]
     taken = np.zeros(len(text) + 1, dtype=bool) if base else None
     for s, _, e in base:
         taken[s:e] = True
     for m in LIKE_NUMBER.finditer(text):
-        if taken is None or not taken[m.start():m.end()].any():
-            digits = _digits(m[0])
-            made.append(Mention(m.start(), m.end(), 0, _shape(text, m.start(), m.end(), digits, False), _keys(-1, m[0], digits)))
+        for s, e in _parted(text, *m.span()):
+            digits = _digits(text[s:e])
+            if len(digits) >= 7 and (taken is None or not taken[s:e].any()):
+                made.append(Mention(s, e, 0, _shape(text, s, e, digits, False), *_keys(-1, text[s:e], digits)))
     if SPELLED.search(text):
         for m in LIKE_EMAIL.finditer(text):
             if taken is None or not taken[m.start():m.end()].any():
                 plain = f"{m[1]}@{re.sub(r' ?(?:[.]|[(\[] ?dot ?[)\]]) ?', '.', m[2], flags=re.I)}"
-                made.append(Mention(m.start(), m.end(), 0, _shape(text, m.start(), m.end(), "", True), _keys(0, plain, "")))
+                made.append(Mention(m.start(), m.end(), 0, _shape(text, m.start(), m.end(), "", True), *_keys(0, plain, "")))
     return sorted(made, key=lambda m: (m.start, m.label, m.end))
 
 
 def _edges(found: list[Mention]) -> list[tuple[int, int, int]]:
-    """(from, to, kind): kind 0 joins neighbours, kind 1 successive occurrences of one key, and each with the key's first base span."""
+    """(from, to, kind): kind 0 joins neighbours, kind 1 successive occurrences of one key and each with the key's first base span, kind 2
+    likewise mentions alike in part that do not repeat each other."""
     edges = [(i, i + 1, 0) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= NEAR]
-    last: dict[str, int] = {}
-    sure: dict[str, int] = {}
-    for i, m in enumerate(found):
-        if m.label:
-            for key in m.keys:
-                sure.setdefault(key, i)
     linked = set()
-    for i, m in enumerate(found):
-        for key in m.keys:
-            for other in (last.get(key, i), i if m.label else sure.get(key, i)):
-                pair = (min(other, i), max(other, i))
-                if other != i and pair not in linked:
-                    linked.add(pair)
-                    edges.append((*pair, 1))
-            last[key] = i
+    for kind, keys in ((1, [m.keys for m in found]), (2, [m.alike for m in found])):
+        last: dict[str, int] = {}
+        sure: dict[str, int] = {}
+        for i, m in enumerate(found):
+            if m.label:
+                for key in keys[i]:
+                    sure.setdefault(key, i)
+        for i, m in enumerate(found):
+            for key in keys[i]:
+                for other in (last.get(key, i), i if m.label else sure.get(key, i)):
+                    pair = (min(other, i), max(other, i))
+                    if other != i and pair not in linked:
+                        linked.add(pair)
+                        edges.append((*pair, kind))
+                last[key] = i
     return edges
 
 
+def _cases(found: list[Mention]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """What each labelled mention teaches: its features, and its label."""
+    beside = np.zeros((len(found), len(AGREE), LABELS), dtype=np.int64)
+    for a, b, kind in _edges(found):
+        beside[a, kind, found[b].label] += 1
+        beside[b, kind, found[a].label] += 1
+    around = np.minimum(beside, MOST_BESIDE)
+    for m, near in zip(found, around):
+        if not m.label and near[1, 1:].any():
+            continue
+        flags = np.zeros(len(SHAPES), dtype=np.int64)
+        flags[list(m.shape)] = 1
+        yield (*flags.tolist(), *near.ravel().tolist()), m.label
+        if m.label and near[1].any():
+            flags[list(TESTED)] = 0
+            yield (*flags.tolist(), *near.ravel().tolist()), m.label
+
+
 def _worth(column: pa.Array) -> np.ndarray:
     """Rows whose text holds a digit, an at sign or a bracket, found on the bytes."""
     table = np.zeros(256, dtype=bool)
@@ -161,67 +210,54 @@ def _worth(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Weights:
-    """Per label, a bias and a weight for each shape feature; edge potentials (label by label) for chain and skip edges."""
+    """Per label, a bias and a weight for each shape feature; edge potentials (label by label) for the three kinds of edges."""
 
     shape: np.ndarray
     edge: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", steps: int = 300, ridge: float = 1.0) -> Weights:
-    """Weights from the base labels of all documents' mentions."""
+def fit(docs: DataFrame, text: str = "text", steps: int = 500, ridge: float = 1.0) -> Weights:
+    """Weights by pseudo-likelihood over all documents' mentions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tally: dict[tuple[str, str, int], int] = {}
+            tally: dict[tuple[tuple[int, ...], int], int] = {}
             column = batch.column(0)
             for i in _worth(column):
-                found = mentions(column[int(i)].as_py())
-                for m in found:
-                    key = ("shape", ",".join(map(str, m.shape)), m.label)
-                    tally[key] = tally.get(key, 0) + 1
-                for a, b, kind in _edges(found):
-                    if kind == 0 or (found[a].label and found[b].label):
-                        key = (f"edge{kind}", str(found[a].label), found[b].label)
-                        tally[key] = tally.get(key, 0) + 1
+                for case in _cases(mentions(column[int(i)].as_py())):
+                    tally[case] = tally.get(case, 0) + 1
             if tally:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally]), pa.array([k[1] for k in tally]),
-                                                  pa.array([k[2] for k in tally], pa.int32()), pa.array(list(tally.values()), pa.int64())],
-                                                 ["part", "shape", "label", "n"])
-
-    counted = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).mapInArrow(run, "part string, shape string, label int, n bigint")
-    rows = counted.groupBy("part", "shape", "label").agg(F.sum("n").alias("n")).collect()
-    labels = len(KINDS) + 1
-    x, y, n = [], [], []
-    edge = np.ones((2, labels, labels))
-    for r in rows:
-        if r["part"] == "shape":
-            features = np.zeros(len(SHAPES) + 1)
-            features[0] = 1
-            features[[int(f) + 1 for f in r["shape"].split(",") if f]] = 1
-            x.append(features)
-            y.append(r["label"])
-            n.append(r["n"])
-        else:
-            edge[int(r["part"][-1]), int(r["shape"]), r["label"]] += r["n"]
-    weight = np.zeros((len(SHAPES) + 1, labels))
-    if x:
-        xs, target, counts = np.array(x), np.eye(labels)[y], np.array(n, dtype=np.float64)
-        counts /= counts.sum() / 1000
-        step = 4.0 / (counts.sum() * 4 + ridge)
-        for _ in range(steps):
-            z = xs @ weight
+                yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k[0])) for k in tally]), pa.array([k[1] for k in tally], pa.int32()),
+                                                  pa.array(list(tally.values()), pa.int64())], ["features", "label", "n"])
+
+    counted = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).mapInArrow(run, "features string, label int, n bigint")
+    rows = counted.groupBy("features", "label").agg(F.sum("n").alias("n")).orderBy("features", "label").collect()
+    return learn([([int(f) for f in r["features"].split(",")], r["label"], r["n"]) for r in rows], steps, ridge)
+
+
+def learn(cases: list[tuple[list[int], int, int]], steps: int = 500, ridge: float = 1.0) -> Weights:
+    """Weights from (features, label, number of mentions): regularised multinomial regression by gradient steps, towards the prior of agreement."""
+    prior = np.zeros((1 + len(SHAPES) + len(AGREE) * LABELS, LABELS))
+    for kind, pull in enumerate(AGREE):
+        at = 1 + len(SHAPES) + kind * LABELS
+        prior[at:at + LABELS] = pull * np.eye(LABELS)
+    weight = prior.copy()
+    if cases:
+        x = np.array([[1, *c[0]] for c in cases], dtype=np.float64)
+        target, counts = np.eye(LABELS)[[c[1] for c in cases]], np.array([c[2] for c in cases], dtype=np.float64)
+        counts *= min(1.0, 1000 / counts.sum())
+        step = 1.0 / (0.5 * float((counts * (x**2).sum(axis=1)).sum()) + ridge)
+        momentum, ahead = weight.copy(), weight.copy()
+        for k in range(steps):
+            z = x @ ahead
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            weight += step * (xs.T @ ((target - p) * counts[:, None]) - ridge * weight)
-    both = np.zeros_like(edge)
-    for kind in range(2):
-        share = edge[kind] + edge[kind].T
-        alone = share.sum(axis=1) / share.sum()
-        both[kind] = np.clip(np.log(share / share.sum() / (alone[:, None] * alone[None, :])), -0.5, 0.5)
-    repeats = edge[1, 1:, 1:] - 1
-    agree, differ = np.trace(repeats) + 20.0, repeats.sum() - np.trace(repeats) + 1.0
-    both[1] = np.eye(labels) * min(np.log(agree / differ), 4.0)
-    return Weights(weight, both)
+            new = ahead + step * (x.T @ ((target - p) * counts[:, None]) - ridge * (ahead - prior))
+            ahead, momentum = new + k / (k + 3) * (new - momentum), new
+        weight = momentum
+    tables = weight[1 + len(SHAPES):].reshape(len(AGREE), LABELS, LABELS)
+    # Each edge was learnt from both of its ends.
+    return Weights(weight[:1 + len(SHAPES)], (tables + tables.transpose(0, 2, 1)) / 2)
 
 
 def _possible(m: Mention) -> np.ndarray:
@@ -231,36 +267,43 @@ def _possible(m: Mention) -> np.ndarray:
     return np.array([spelled, "dots3" in on, not spelled and bool(on & {"12-15", "16", "17-19"}), not spelled and bool(on & {"7-8", "9-11", "12-15"})])
 
 
-def infer(found: list[Mention], weights: Weights, rounds: int = 12) -> list[int]:
-    """Label of each mention by loopy max-free message passing; base labels are held fixed."""
-    labels = len(KINDS) + 1
-    edges = _edges(found)
-    own = np.zeros((len(found), labels))
+def beliefs(own: np.ndarray, edges: list[tuple[int, int, int]], tables: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Log marginals (up to a constant per node) by loopy sum-product messages, damped by half; exact where the edges form a forest."""
+    if not edges:
+        return own
+    a, b, kind = np.array(edges).T
+    source, to = np.concatenate([a, b]), np.concatenate([b, a])
+    table = np.concatenate([tables[kind], tables[kind].transpose(0, 2, 1)])
+    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
+    message = np.zeros((len(source), own.shape[1]))
+    for _ in range(rounds):
+        belief = own.copy()
+        np.add.at(belief, to, message)
+        joint = (belief[source] - message[back])[:, :, None] + table
+        top = joint.max(axis=1, keepdims=True)
+        new = np.log(np.exp(joint - top).sum(axis=1)) + top[:, 0, :]
+        new -= new.max(axis=1, keepdims=True)
+        moved = float(np.abs(new - message).max())
+        message = 0.5 * message + 0.5 * new
+        if moved < 1e-9:
+            break
+    belief = own.copy()
+    np.add.at(belief, to, message)
+    return belief
+
+
+def infer(found: list[Mention], weights: Weights) -> list[int]:
+    """Label of each mention by message passing; base labels are held fixed. No mention's own potential exceeds PULL either way, so none outweighs a repeat
+    of a base span by itself."""
+    own = np.zeros((len(found), LABELS))
     for i, m in enumerate(found):
         if m.label:
             own[i] = -50.0
             own[i, m.label] = 0.0
         else:
             z = weights.shape[0] + weights.shape[[f + 1 for f in m.shape]].sum(axis=0)
-            own[i, 1:] = np.where(_possible(m), np.clip(z[1:] - z[0], -PULL, -0.1), -50.0)
-    if edges:
-        a, b, kind = np.array(edges).T
-        source, to = np.concatenate([a, b]), np.concatenate([b, a])
-        table = np.concatenate([weights.edge[kind], weights.edge[kind].transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        message = np.zeros((len(source), labels))
-        for _ in range(rounds):
-            belief = own.copy()
-            np.add.at(belief, to, message)
-            send = belief[source] - message[back]
-            joint = send[:, :, None] + table
-            top = joint.max(axis=1, keepdims=True)
-            new = np.log(np.exp(joint - top).sum(axis=1)) + top[:, 0, :]
-            new -= new.max(axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
-        own = own.copy()
-        np.add.at(own, to, message)
-    return [int(k) for k in own.argmax(axis=1)]
+            own[i, 1:] = np.where(_possible(m), np.clip(z[1:] - z[0], -PULL, PULL), -50.0)
+    return [int(k) for k in np.round(beliefs(own, _edges(found), weights.edge), 9).argmax(axis=1)]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from basketlens.llm import skip_chain as sc
@@ -75,3 +77,51 @@ def test_without_rows_and_long_runs(spark, corpus):
     assert sc.find(corpus.limit(0), weights).count() == 0
     long = [("1" * 200_000,), ("a" * 200_000 + "@" + "b" * 200_000,), ("999." * 50_000,), ("+ (" * 50_000,)]
     assert {r["spans"] for r in sc.find(spark.createDataFrame(long, "text string"), weights).collect()} == {""}
+
+
+def test_digits_run_together_are_parted(spark, corpus):
+    """Two card numbers side by side fail the base rule as one run; the valid one is found, the invalid one is not."""
+    rows = corpus.collect()
+    rng = random.Random(4)
+    known = [(1000 + i, f"ipsum {n} dolor") for i in range(300) for n in [str(rng.randrange(10**15, 10**16))]]
+    weights = sc.fit(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows] + known, "doc_id int, text string"))
+    text = "4539148803436467 4539148803436468 sit 4539148803436468 amet 10.0.0.1 4539148803436467"
+    assert [text[s:e] for s, _, e in sc.base_spans(text)] == ["10.0.0.1"]
+    got = sc.find(spark.createDataFrame([(text,), (text,)], "text string"), weights).collect()
+    assert {r["spans"] for r in got} == {"card:0:16,ip:60:68,card:69:85"} and len(got) == 2
+
+
+def test_messages_against_enumeration():
+    """Marginals equal those summed over all labellings where the edges form a tree, and come near them on a loop."""
+    rng = np.random.default_rng(3)
+    tables = rng.normal(0, 1, (3, 3, 3))
+    tables = (tables + tables.transpose(0, 2, 1)) / 2
+    for edges, near in (([(0, 1, 0), (1, 2, 1), (1, 3, 2), (3, 4, 1)], 1e-6), ([(0, 1, 0), (1, 2, 0), (0, 2, 1)], 0.15)):
+        n = max(b for _, b, _ in edges) + 1
+        own = rng.normal(0, 1, (n, 3))
+        want = np.zeros((n, 3))
+        for labels in itertools.product(range(3), repeat=n):
+            weight = np.exp(sum(own[i, k] for i, k in enumerate(labels)) + sum(tables[kind][labels[a], labels[b]] for a, b, kind in edges))
+            want[range(n), labels] += weight
+        got = np.exp(sc.beliefs(own, edges, tables))
+        assert np.abs(got / got.sum(axis=1, keepdims=True) - want / want.sum(axis=1, keepdims=True)).max() < near
+
+
+def test_repeat_edges_are_learnt():
+    """Masked repeats that agree raise the agreement above its prior; repeats that differ lower it."""
+    width = len(sc.SHAPES)
+    def case(label, beside):
+        around = np.zeros((len(sc.AGREE), sc.LABELS), dtype=int)
+        if beside is not None:
+            around[1, beside] = 1
+        return [0] * width + around.ravel().tolist(), label, 100
+    plain = [case(k, None) for k in range(sc.LABELS)]
+    start = sc.learn([]).edge[1]
+    agree, differ = sc.learn([*plain, case(4, 4)]).edge[1], sc.learn([*plain, case(4, 3), case(3, 4)]).edge[1]
+    assert start[4, 4] == sc.AGREE[1] and agree[4, 4] - agree[3, 4] > differ[4, 4] - differ[3, 4]
+
+
+def test_clashing_columns(spark, corpus):
+    df = spark.createDataFrame([("x", "a@b.co", 3)], "spans string, text string, n_email int")
+    got = sc.find(df, sc.fit(corpus.limit(5)))
+    assert sorted(got.columns).count("spans") == 1 and got.first()["spans"] == "email:0:6"
