@@ -60,15 +60,20 @@ def _events(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, starts, np.searchsorted(block.bounds, at[starts], side="right") - 1
 
 
-def _sample(docs: DataFrame, text: str, label: str, per_language: int) -> DataFrame:
-    known = docs.where(col(label).isNotNull() & col(text).isNotNull()).select(col(label).alias("lang"), col(text).alias("text"))
+def _sample(docs: DataFrame, text: str, label: str, per_language: int, key: str | None) -> DataFrame:
+    """About `per_language` texts of each label, drawn by a hash of id and text, so copies of a text are drawn apart."""
+    row = [col(text)] if key is None else [col(key), col(text)]
+    known = docs.where(col(label).isNotNull() & col(text).isNotNull()).select(col(label).alias("lang"), col(text).alias("text"), F.xxhash64(*row).alias("hash"))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    share = F.pmod(F.col("hash"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return known.join(F.broadcast(sizes), "lang").where(share * F.col("n") < per_language).select("lang", "text")
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = 4000, weight: float = 4.0) -> Models:
-    """Trigram models of the labelled languages; `weight` is how many observations the shorter context counts for."""
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = 4000, weight: float = 4.0, key: str | None = None) -> Models:
+    """Trigram models of the labelled languages; `weight` is how many observations the shorter context counts for.
+
+    `key` names the rows' ids; it only serves to draw the sample, whose bound a group of equal texts could exceed without it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +88,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
                 yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys // CLASSES**3)).cast(pa.string()),
                                                   pa.array(keys % CLASSES**3), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    counts = _sample(docs, text, label, per_language).mapInArrow(count, "lang string, code bigint, n bigint")
+    counts = _sample(docs, text, label, per_language, key).mapInArrow(count, "lang string, code bigint, n bigint")
     got = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(got["lang"].unique())
     codes = np.unique(got["code"].to_numpy(dtype=np.int64))

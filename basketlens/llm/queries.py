@@ -34,7 +34,7 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from four fifths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = id_modulus(F.col("doc_id"), 5) == 0
-    models = language_mixture.fit(docs.where(~held))
+    models = language_mixture.fit(docs.where(~held), key="doc_id")
     return language_mixture.predict(docs.withColumn("held_out", held), models, carry=["doc_id", "held_out"])
 
 

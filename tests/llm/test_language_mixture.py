@@ -60,3 +60,11 @@ def test_held_out_accuracy(spark):
     held = id_modulus(F.col("doc_id"), 5) == 0
     out = lm.predict(docs.where(held), lm.fit(docs.where(~held)))
     assert out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_sample_keeps_its_bound_among_copies(spark):
+    """Copies of one text are drawn one by one when the id is named: half the rows stay half of the sample."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'copy', CONCAT('text ', id)) AS text", "'en' AS lang", "1 AS hash")
+    drawn = lm._sample(docs, "text", "lang", 400, "doc_id")
+    n, copies = drawn.count(), drawn.where("text = 'copy'").count()
+    assert 300 < n < 500 and 0.4 < copies / n < 0.6
