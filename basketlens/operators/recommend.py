@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import decay_power, score_key, uniform
+from ..functions.skew import pairs_within
 from .association import basket_pairs
 from .baskets import last_index
 from .neighbors import euclidean_knn, similarity, top_k
@@ -232,11 +233,14 @@ def decayed_sum(hist: DataFrame, decay: float = 0.6) -> DataFrame:
 
 
 def last_basket_scores(hist: DataFrame, assoc: DataFrame) -> DataFrame:
-    """`user, item, v`: summed association from the items of the user's last basket."""
+    """`user, item, v`: summed association from the items of the user's last basket.
+
+    An item that is in very many last baskets is cut by user, each part meeting all of the item's links.
+    """
     ends = last_index(hist).select("user", F.col("last_t").alias("t"))
     last = hist.join(ends, ["user", "t"]).select("user", F.col("item").alias("i"))
     links = assoc.where(F.col("assoc") > 0).select("i", F.col("j").alias("item"), "assoc")
-    return last.join(links, "i").groupBy("user", "item").agg(F.sum("assoc").alias("v"))
+    return pairs_within(last, links, ["i"], "user").groupBy("user", "item").agg(F.sum("assoc").alias("v"))
 
 
 def item_share(hist: DataFrame) -> DataFrame:

@@ -141,3 +141,15 @@ def test_duplicate_purchases_count(spark):
     model = factors.FactorModel(vecs("user", [("u", [1.0])]), vecs("item", [("a", [1.0])]), vecs("item", [("a", [3.0]), ("b", [0.0])]), vecs("item", [("a", [1.0])]))
     last = spark.createDataFrame(rows[:2], "user string, t bigint, item string, qty bigint")
     assert factors.recommend_factors(model, last, last.select("user"), 1).first()["score"] == pytest.approx(1.0 + 2.0)
+
+
+def test_hot_last_item_is_cut_by_user(spark, monkeypatch):
+    """An item in every last basket: the sums equal those of a plain join."""
+    from basketlens.functions import skew
+    from basketlens.operators.association import transition_assoc
+    hist = as_hist(spark, {f"u{k}": [["hot"], ["a", "b"], ["hot", "abc"[k % 3]]] for k in range(40)})
+    assoc = transition_assoc(hist)
+    want = {(r["user"], r["item"]): r["v"] for r in recommend.last_basket_scores(hist, assoc).collect()}
+    monkeypatch.setattr(skew.pairs_within, "__defaults__", (3,))
+    got = {(r["user"], r["item"]): r["v"] for r in recommend.last_basket_scores(hist, assoc).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
