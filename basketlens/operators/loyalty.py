@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ordering import add_position, add_running_total
+from ..functions.ordering import add_running_total
 from .recommend import softmax
 
 TINY = 1e-10
@@ -35,10 +35,10 @@ def _product(steps: Column) -> Column:
 
 
 def running_purchases(hist: DataFrame) -> DataFrame:
-    """`user, t, at, before, upto`: a basket's position, and purchases before and up to it, copies counted."""
+    """`user, at, before, upto`: purchases before and up to each basket, copies counted."""
     sizes = hist.groupBy("user", "t").agg(F.sum("qty").alias("size"))
-    sized = add_position(add_running_total(sizes, ["user"], ["t"], "size", "before"), ["user"], ["t"], "at")
-    return sized.select("user", "t", "at", "before", (F.col("before") + F.col("size")).alias("upto"))
+    sized = add_running_total(sizes, ["user"], ["t"], "size", "before")
+    return sized.select("user", F.col("t").alias("at"), "before", (F.col("before") + F.col("size")).alias("upto"))
 
 
 def _mass_before(bought: DataFrame) -> DataFrame:
@@ -69,9 +69,9 @@ def loyalty(hist: DataFrame, p: DataFrame, l0: float = 0.5, chunk: int = CHUNK)
     An item bought several times in a basket is updated once per copy.
     """
     steps = running_purchases(hist).withColumn("chunk", F.floor(F.col("at") / F.lit(chunk)))
-    shared = steps.groupBy("user", "chunk").agg(F.sort_array(F.collect_list("before")).alias("sizes"))
+    shared = steps.groupBy("user", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "before"))).alias("sizes"))
     ends = steps.groupBy("user").agg(F.max("at").alias("last_at"), F.max("upto").alias("total"))
-    bought = hist.groupBy("user", "item", "t").agg(F.sum("qty").cast("int").alias("hits")).join(steps, ["user", "t"]).drop("t")
+    bought = hist.groupBy("user", "item", F.col("t").alias("at")).agg(F.sum("qty").cast("int").alias("hits")).join(steps, ["user", "at"])
     a = F.col("before") / F.col("upto")
     n = F.col("upto") - F.col("before")
     q = F.coalesce(F.try_divide(F.col("mass"), F.col("before").cast("double")), F.lit(0.0))
@@ -94,11 +94,9 @@ def loyalty(hist: DataFrame, p: DataFrame, l0: float = 0.5, chunk: int = CHUNK)
     here = F.when(F.col("first") & (F.col("hits") == 1), one).otherwise(F.aggregate(copies, one, lambda m, j: _then(m, matrix(after(j), prob))))
     parts = rows.select("user", "item", "at", "until", "total", prob.alias("p"), here.alias("here"), (after(F.col("hits")) * F.col("upto")).alias("mass"),
                         F.sequence("chunk", F.floor(F.col("until") / F.lit(chunk))).alias("chunk")).withColumn("chunk", F.explode("chunk"))
-    begin = F.col("chunk") * chunk
-    start = F.greatest(F.col("at") + 1, begin)
-    gap = F.slice("sizes", (start - begin + 1).cast("int"), (F.least(F.col("until"), begin + chunk - 1) - start + 1).cast("int"))
-    opening = F.when(F.col("at") >= begin, F.col("here")).otherwise(one)
-    folded = F.aggregate(gap, opening, lambda m, before: _then(m, matrix(1.0 - F.col("mass") / before, 1.0 - F.col("p"))))
+    gap = F.filter("sizes", lambda b: (b["at"] > F.col("at")) & (b["at"] <= F.col("until")))
+    opening = F.when(F.floor(F.col("at") / F.lit(chunk)) == F.col("chunk"), F.col("here")).otherwise(one)
+    folded = F.aggregate(gap, opening, lambda m, b: _then(m, matrix(1.0 - F.col("mass") / b["before"], 1.0 - F.col("p"))))
     pieces = parts.join(shared, ["user", "chunk"]).select(
         "user", "item", "chunk", F.struct("at", folded.alias("m")).alias("step"), "at", (F.col("mass") / F.col("total")).alias("q"))
     chunks = pieces.groupBy("user", "item", "chunk").agg(_product(F.sort_array(F.collect_list("step"))).alias("m"), F.max_by("q", "at").alias("q"))
