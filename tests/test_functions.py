@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from basketlens.functions import ordering, staging
 from basketlens.functions.columns import score_key, seeded_hash, uniform
+from basketlens.functions.staging import SIZES, stage
+from basketlens.plans import data
 
 
 def test_hash_reaches_past_32_bits(spark):
@@ -66,3 +68,21 @@ def test_staging_refuses_a_local_folder_on_a_cluster(spark, monkeypatch):
 def test_staged_tables_never_collide(spark):
     one, two = staging.stage(spark.range(3), "x"), staging.stage(spark.range(5), "x")
     assert (one.count(), two.count()) == (3, 5)
+
+
+def test_tables_are_planned_by_their_size_in_memory(spark):
+    """Three million rows in a small file are no broadcast; a size that the caller has set stays."""
+    was = {name: spark.conf.get(name, None) for name in SIZES}
+    try:
+        for name in SIZES:
+            spark.conf.unset(name)
+        data.open_data(spark, "/nowhere", "part")
+        rows = stage(spark.range(0, 3_000_000, 1, 2).selectExpr("id div 100 AS user", "id % 25 AS item"))
+        plan = rows.join(rows.selectExpr("user", "item AS other"), "user")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", "2.0")
+        data.open_data(spark, "/nowhere", "part")
+        assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == "2.0"
+    finally:
+        for name, size in was.items():
+            spark.conf.unset(name) if size is None else spark.conf.set(name, size)
