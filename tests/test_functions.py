@@ -77,7 +77,7 @@ def test_tables_are_planned_by_their_size_in_memory(spark):
         for name in SIZES:
             spark.conf.unset(name)
         data.open_data(spark, "/nowhere", "part")
-        rows = stage(spark.range(0, 3_000_000, 1, 2).selectExpr("id div 100 AS user", "id % 25 AS item"))
+        rows = stage(spark.range(0, 3_000_000, 1, 2).selectExpr("pmod(xxhash64(id), 500) AS user", "pmod(xxhash64(id, 1), 500) AS item"))
         plan = rows.join(rows.selectExpr("user", "item AS other"), "user")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         spark.conf.set("spark.sql.sources.fileCompressionFactor", "2.0")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,26 @@ def test_small_similarities_are_kept(spark):
     cells = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1e-12), (2, "b", 1.0), (2, "c", 1.0)], "row int, col string, value double")
     got = {(r["a"], r["b"]): r["sim"] for r in neighbors.similarity(cells, "cosine", 5).collect()}
     assert got[("a", "b")] == pytest.approx(1e-12, rel=1e-5)
+
+
+def test_only_cells_near_the_kth_score_are_rounded():
+    """Candidates of a block are few, and hold every reference that rounded scores put among the k best, ties included."""
+    rng = np.random.default_rng(4)
+    weights = rng.integers(0, 4, (3000, 12)).astype(float) * np.array([1.0, 1e-5] * 6)
+    weights[:, 0] += 1.0
+    weights[2000:2200] = weights[7]
+    b = (weights * weights).sum(axis=1)
+    rows = pd.DataFrame({"id": np.arange(3000), "item": [np.arange(12)] * 3000, "v": list(weights)})
+    q, r = rows.iloc[:40].assign(a=b[:40]), rows.assign(b=b)
+    dots = weights[:40] @ weights.T
+    for square, k, score in ((False, 20, lambda d, x, y: d / np.sqrt(x * y)), (True, 30, neighbors._minus_square)):
+        raw = score(dots, b[:40, None], b[None])
+        value = neighbors._significant(neighbors._significant(raw, b[:40, None] + b[None]) if square else raw)
+        asked = 0
+        for (ids, a, others, norms), some in neighbors._same_queries(neighbors._sparse_tiles(q, r, k)):
+            at, cols, dot = neighbors._near_best(some, a, norms, k, score, True, square)
+            asked += len(at)
+            for i in range(len(ids)):
+                wanted = np.lexsort((others, -value[ids[i]]))[:k]
+                assert set(wanted) <= set(cols[at == i])
+        assert asked < 40 * 3000 / 4
