@@ -161,3 +161,23 @@ def test_spearman_matrix_with_nulls_matches_pandas(spark):
                 both = part[[a, b]].dropna()
                 want = both[a].rank().corr(both[b].rank()) if len(both) > 1 else None
                 assert rho is None if want is None else rho == pytest.approx(want)
+
+
+def test_trials_share_searches(spark, hist, monkeypatch):
+    from basketlens.operators import recommend
+    users = hist.select("user").distinct()
+    train, query = users.where("user % 4 > 0"), users.where("user % 4 = 0")
+    grid = trials.grid(spark, {"neighbors": [2, 5], "alpha": [0.3], "groups": [3, 7], "within": [0.9], "group": [0.7]})
+    met, search = [], trials.euclidean_knn
+
+    def watched(own, ref, k, keys, blocks):
+        met.append((ref.groupBy("user", "item").count().agg({"count": "max"}).first()[0], k))
+        return search(own, ref, k, keys, blocks)
+    monkeypatch.setattr(trials, "euclidean_knn", watched)
+    got = trials.grid_temporal_knn(hist, train, query, grid, 4).collect()
+    assert met == [(2, 5)]
+    wanted = set()
+    for t in grid.collect():
+        one = recommend.recommend_temporal_knn(hist, train, query, t["neighbors"], t["alpha"], t["groups"], t["within"], t["group"], 4)
+        wanted |= {(t["trial_id"], r["user"], r["rank"], r["item"]) for r in one.collect()}
+    assert {tuple(r) for r in got} == wanted
