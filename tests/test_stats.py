@@ -181,3 +181,22 @@ def test_trials_share_searches(spark, hist, monkeypatch):
         one = recommend.recommend_temporal_knn(hist, train, query, t["neighbors"], t["alpha"], t["groups"], t["within"], t["group"], 4)
         wanted |= {(t["trial_id"], r["user"], r["rank"], r["item"]) for r in one.collect()}
     assert {tuple(r) for r in got} == wanted
+
+
+def test_similarity_trials_equal_single_runs(spark, hist, monkeypatch):
+    from basketlens.operators import recommend
+    query = hist.where("user % 4 = 0").select("user").distinct()
+    grid = trials.grid(spark, {"recency": [2, 5], "alpha": [0.3], "q": [1, 2]})
+    asked, scores = [], trials.recency_scores
+
+    def watched(spread, r, keys):
+        asked.append(spread.count() // hist.count())
+        return scores(spread, r, keys)
+    monkeypatch.setattr(trials, "recency_scores", watched)
+    got = trials.grid_similarity(hist, query, grid, 4).collect()
+    assert asked == [2]
+    wanted = set()
+    for t in grid.collect():
+        one = recommend.recommend_similarity(hist, query, t["recency"], t["alpha"], t["q"], 4)
+        wanted |= {(t["trial_id"], r["user"], r["rank"], r["item"]) for r in one.collect()}
+    assert {tuple(r) for r in got} == wanted
