@@ -19,7 +19,7 @@ import os
 import uuid
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -36,6 +36,8 @@ LIMIT = 4096
 END = 1
 BLOCK = 20_000
 KEPT_WORDS = 700_000
+# Bins that are looked at together for one that gains by an exchange.
+SCREENED = 256
 TAILS = ".,;:!?"
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -217,23 +219,84 @@ def _best_fit(sizes: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(giver: list[int], taker: list[int], room: int, size: list[int]) -> tuple[list[int], list[int]] | None:
+def _pairs(items: list[int], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of all pairs of items, and both items: an item with each one before it."""
+    late, early = np.tril_indices(len(items), -1)
+    items = np.asarray(items, dtype=np.int64)
+    return size[items[late]] + size[items[early]], items[late], items[early]
+
+
+def _exchange(giver: list[int], taker: list[int], room: int, size: Sequence[int]) -> tuple[list[int], list[int]] | None:
     """What leaves `giver` and what comes back from `taker`, so that `taker` gains most without passing its room."""
+    size = np.asarray(size, dtype=np.int64)
     best, found = 0, None
-    back: list[tuple[int, list[int]]] = [(0, [])] + sorted((size[j], [j]) for j in taker)
-    pairs = sorted([(size[a] + size[b], [a, b]) for k, a in enumerate(taker) for b in taker[:k]])
-    two = [(size[a] + size[b], [a, b]) for k, a in enumerate(giver) for b in giver[:k]]
-    for out, back_of in (([(size[i], [i]) for i in giver], back), ([(size[i], [i]) for i in giver], pairs), (two, back[1:])):
-        keys = [s for s, _ in back_of]
-        for total, items in out:
-            k = bisect_left(keys, total - room)
-            if k < len(keys) and total - keys[k] > best:
-                best, found = total - keys[k], (items, back_of[k][1])
-                if best == room:
-                    return found
+
+    def better(totals: np.ndarray, keys: np.ndarray) -> tuple[int, int] | None:
+        """The first total, with the least key, that gains more than the best so far."""
+        nonlocal best
+        if not len(totals) or not len(keys):
+            return None
+        k = np.searchsorted(keys, totals - room)
+        gain = np.where(k < len(keys), totals - keys[np.minimum(k, len(keys) - 1)], 0)
+        at = int(gain.argmax())
+        if gain[at] <= best:
+            return None
+        best = int(gain[at])
+        return at, int(k[at])
+
+    mine, theirs = size[giver], np.asarray(sorted(taker, key=lambda j: (size[j], j)), dtype=np.int64)
+    at = better(mine, np.concatenate([[0], size[theirs]]))
+    if at:
+        found = [giver[at[0]]], [int(theirs[at[1] - 1])] if at[1] else []
+    if best < room and len(taker) > 1:
+        sums, a, b = _pairs(taker, size)
+        order = np.lexsort((b, a, sums))
+        at = better(mine, sums[order])
+        if at:
+            found = [giver[at[0]]], [int(a[order[at[1]]]), int(b[order[at[1]]])]
+    if best < room and len(giver) > 1:
+        sums, a, b = _pairs(giver, size)
+        at = better(sums, size[theirs])
+        if at:
+            found = [int(a[at[0]]), int(b[at[0]])], [int(theirs[at[1]])]
     return found
 
 
+class _Sums:
+    """What a bin can give away by one item and by two, as distinct sums."""
+
+    def __init__(self, items: list[int], size: np.ndarray):
+        self.one, times = np.unique(size[items], return_counts=True)
+        late, early = np.tril_indices(len(self.one), -1)
+        self.two = np.unique(np.concatenate([self.one[late] + self.one[early], 2 * self.one[times > 1]]))
+
+
+def _at_most(sums: np.ndarray, limit: int) -> np.ndarray:
+    """For 0 to `limit`: the largest of the sums that is no larger, else 0."""
+    out = np.zeros(limit + 1, dtype=np.int64)
+    sums = sums[sums <= limit]
+    out[sums] = sums
+    return np.maximum.accumulate(out)
+
+
+def _next_taker(giver: _Sums, takers: list[int], first: int, sums: Callable[[int], _Sums], fill: list[int], limit: int) -> int:
+    """The first place in `takers`, from `first` on, of a bin that an exchange makes fuller; their number if there is none."""
+    one, two = _at_most(giver.one, limit), _at_most(giver.two, limit)
+    while first < len(takers):
+        some = takers[first:first + SCREENED]
+        lists = [sums(b) for b in some]
+        room = np.array([limit - fill[b] for b in some])
+        gains = np.zeros(len(some), dtype=bool)
+        for table, backs in ((one, [s.one for s in lists]), (one, [s.two for s in lists]), (two, [s.one for s in lists])):
+            bin_of, back = np.repeat(np.arange(len(some)), [len(x) for x in backs]), np.concatenate(backs)
+            gains[bin_of[table[np.minimum(back + room[bin_of], limit)] > back]] = True
+        gains |= one[room] > 0
+        if gains.any():
+            return first + int(gains.argmax())
+        first += SCREENED
+    return len(takers)
+
+
 def pack(lengths: Sequence[int], limit: int = LIMIT) -> list[list[int]]:
     """Bins of item numbers, none above `limit`."""
     sizes = np.asarray(lengths, dtype=np.int64)
@@ -241,23 +304,34 @@ def pack(lengths: Sequence[int], limit: int = LIMIT) -> list[list[int]]:
     fill = [sum(size[i] for i in b) for b in bins]
     open_bins = sorted((b for b in range(len(bins)) if fill[b] < limit), key=lambda b: fill[b])
     room = sum(limit - fill[b] for b in open_bins)
+    known: dict[int, _Sums] = {}
+
+    def kept(b: int) -> _Sums:
+        if b not in known:
+            known[b] = _Sums(bins[b], sizes)
+        return known[b]
     while len(open_bins) > 1:
         victim = open_bins[0]
         if room - (limit - fill[victim]) < fill[victim]:
             break
-        moved = False
-        for b in reversed(open_bins[1:]):
-            while bins[victim] and fill[b] < limit and fill[b] >= fill[victim]:
-                swap = _exchange(bins[victim], bins[b], limit - fill[b], size)
-                if swap is None:
-                    break
-                out, back = swap
-                gain = sum(size[i] for i in out) - sum(size[i] for i in back)
-                bins[victim] = [i for i in bins[victim] if i not in out] + back
-                bins[b] = [i for i in bins[b] if i not in back] + out
-                fill[victim] -= gain
-                fill[b] += gain
-                moved = True
+        moved, takers, at = False, open_bins[:0:-1], 0
+        while bins[victim]:
+            # Bins that can gain nothing are passed over together; bins emptier than the victim take nothing from it.
+            at = _next_taker(kept(victim), takers, at, kept, fill, limit)
+            while at < len(takers) and (fill[takers[at]] >= limit or fill[takers[at]] < fill[victim]):
+                at = _next_taker(kept(victim), takers, at + 1, kept, fill, limit)
+            if at == len(takers):
+                break
+            b = takers[at]
+            out, back = _exchange(bins[victim], bins[b], limit - fill[b], sizes)
+            gain = sum(size[i] for i in out) - sum(size[i] for i in back)
+            bins[victim] = [i for i in bins[victim] if i not in out] + back
+            bins[b] = [i for i in bins[b] if i not in back] + out
+            fill[victim] -= gain
+            fill[b] += gain
+            known.pop(victim, None)
+            known.pop(b, None)
+            moved = True
         if not bins[victim]:
             room -= limit
         elif not moved:
