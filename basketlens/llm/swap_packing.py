@@ -7,7 +7,7 @@ bins: a document moves, or one is swapped for one, one for two or two for one, s
 emptier loses. Every exchange raises the sum of squared fills, and the emptiest bin is emptied while the others have room for it.
 Bins that stay underfull in their blocks are opened again and packed together in a second round.
 
-Token ids are written once with the pieces; packing moves only (row, piece, length). The last join brings the places back to the pieces.
+Token ids are written once with the pieces; packing moves only (row, piece, length). The last join brings the places back to the pieces; until then an id takes two bytes.
 
 Defined results: a NULL or empty text is a document of the end id alone; rows that repeat an id are documents of their
 own, told apart by `row`; an empty table gives an empty result; a carried column that bears the name of a made one is replaced by it.
@@ -155,9 +155,10 @@ def _word_ids(tokenizer: str, end: int) -> WordIds:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), limit: int = LIMIT, end: int = END,
-             with_ids: bool = True) -> DataFrame:
+             with_ids: bool = True, squeezed: bool = False) -> DataFrame:
     """One row per piece: the carried columns, `row` (a number of its own for every input row), `piece`, `start`, `length`, `ids` (NULL without `with_ids`),
     `ids_crc32`, `full_no` (numbers full pieces).
+    With `squeezed` the ids are a struct that `restore_ids` reads, two bytes an id where all of a batch fit.
 
     `tokenizer` is the path of a tokenizer file that every executor can read.
     """
@@ -165,6 +166,8 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequenc
     carry = [c for c in carry if c.lower() not in own.names]
     source = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(col(text), F.lit("")).alias("text"))
     n, call = len(carry), uuid.uuid4().hex
+    if squeezed:
+        own["ids"].dataType = T._parse_datatype_string("struct<short: array<smallint>, wide: array<int>>")
     schema = T.StructType([*source.schema.fields[:n], *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +185,8 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequenc
                 cut = np.concatenate([[0], np.cumsum(length)])
                 sums = [zlib.crc32(ids[lo:hi]) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 listed = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.view(np.int32))) if with_ids else pa.nulls(len(doc), pa.list_(pa.int32()))
+                if squeezed:
+                    listed = squeeze(listed)
                 is_full = length == limit
                 number = full + np.cumsum(is_full) - is_full
                 full += int(is_full.sum())
@@ -194,6 +199,19 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequenc
     return source.mapInArrow(run, schema).toDF(*carry, *own.names)
 
 
+def squeeze(listed: pa.ListArray) -> pa.StructArray:
+    """Lists of ids as `short` (the lower 16 bits) where no id needs more, else as they are in `wide`."""
+    ids = listed.values.to_numpy().view(np.uint32)
+    fits = not len(ids) or int(ids.max()) < 1 << 16
+    short = pa.ListArray.from_arrays(listed.offsets, pa.array(ids.astype(np.uint16).view(np.int16))) if fits else pa.nulls(len(listed), pa.list_(pa.int16()))
+    return pa.StructArray.from_arrays([short, pa.nulls(len(listed), pa.list_(pa.int32())) if fits else listed], ["short", "wide"])
+
+
+def restore_ids(pieces: DataFrame) -> DataFrame:
+    """Pieces with squeezed `ids` again as an array of numbers."""
+    return pieces.withColumn("ids", F.coalesce(F.transform("ids.short", lambda x: x.cast("int").bitwiseAND((1 << 16) - 1)), F.col("ids.wide")))
+
+
 def _best_fit(sizes: np.ndarray, limit: int) -> list[list[int]]:
     """Best-fit decreasing: bins of item numbers."""
     bins: list[list[int]] = []
@@ -375,8 +393,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", carry: S
                    block: int = BLOCK, with_ids: bool = True) -> DataFrame:
     """The pieces of `tokenize` with `sequence_id` and `offset`; without `ids` (their CRC-32 stays) unless `with_ids`, so that they are never written."""
     with small_batches(docs.sparkSession):
-        tokens = tokenize(docs, tokenizer, text, [c for c in carry if c.lower() not in ("sequence_id", "offset")], limit, end, with_ids)
-        pieces = stage(tokens if with_ids else tokens.drop("ids"))
+        tokens = tokenize(docs, tokenizer, text, [c for c in carry if c.lower() not in ("sequence_id", "offset")], limit, end, with_ids, with_ids)
+        pieces = stage(tokens if with_ids else tokens.drop("ids"), codec="zstd")
     full = pieces.where(F.col("length") == limit).withColumn("sequence_id", F.col("full_no")).withColumn("offset", F.lit(0).cast("bigint"))
     rest = pieces.where(F.col("length") < limit).join(assign(pieces, limit, block), ["row", "piece"])
-    return full.unionByName(rest).drop("full_no")
+    out = full.unionByName(rest).drop("full_no")
+    return restore_ids(out) if with_ids else out

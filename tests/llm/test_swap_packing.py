@@ -144,3 +144,19 @@ def test_many_bins_that_gain_nothing_are_passed_over():
     assert len(sp.pack(sizes, 4096)) == 4001
     # Trying the small pieces and their pairs bin by bin did not end in 30 seconds.
     assert time.process_time() - begun < 15
+
+
+def test_ids_take_two_bytes_until_the_last_join(spark):
+    from basketlens.functions.staging import stage
+    for ids, fits in (([], True), ([1], True), ([65535, 0, 7] * 50, True), ([65536, 3], False), ([2**31 - 1] * 9, False)):
+        (got,) = sp.squeeze(pa.array([ids], pa.list_(pa.int32()))).to_pylist()
+        assert (got["wide"] is None) == fits and [x % 65536 for x in got["short"] or []] == (ids if fits else [])
+    rows = [({"short": [-1, 0, -32768, 32767], "wide": None},), ({"short": None, "wide": [65536, 2]},), ({"short": [], "wide": None},)]
+    held = spark.createDataFrame(rows, "ids struct<short: array<smallint>, wide: array<int>>")
+    assert sorted(r["ids"] for r in sp.restore_ids(held).collect()) == [[], [65535, 0, 32768, 32767], [65536, 2]]
+    df = spark.createDataFrame([(i, "alpha beta " * i) for i in range(20)], "doc_id bigint, text string")
+    plain, small = sp.tokenize(df, tokenizer_path(), limit=9), stage(sp.tokenize(df, tokenizer_path(), limit=9, squeezed=True), codec="zstd")
+    assert dict(small.dtypes)["ids"] == "struct<short:array<smallint>,wide:array<int>>"
+    assert sorted(sp.restore_ids(small).collect()) == sorted(plain.collect())
+    packed = sp.pack_documents(df, tokenizer_path(), limit=9)
+    assert dict(packed.dtypes)["ids"] == "array<int>" and "array<smallint>" in packed._jdf.queryExecution().analyzed().collectLeaves().head().schema().catalogString()
