@@ -242,3 +242,55 @@ def test_only_cells_near_the_kth_score_are_rounded():
                 wanted = np.lexsort((others, -value[ids[i]]))[:k]
                 assert set(wanted) <= set(cols[at == i])
         assert asked < 40 * 3000 / 4
+
+
+def _block(weights, square):
+    norm = (weights * weights).sum(axis=1)
+    rows = pd.DataFrame({"id": np.arange(len(weights)), "item": [np.arange(weights.shape[1])] * len(weights), "v": list(weights)})
+    return rows, norm if square else np.sqrt(norm)
+
+
+@pytest.mark.parametrize("rough, k, score", [("unit", 20, lambda d, x, y: d / (x * y)), ("ratio", 15, lambda d, x, y: d / (x * y + 3.0)), ("square", 30, neighbors._minus_square)])
+def test_single_precision_picks_the_same_neighbours(rough, k, score):
+    rng = np.random.default_rng(8)
+    weights = rng.integers(0, 4, (3000, 12)) * rng.uniform(1, 1.3, 12)
+    weights[:, 0] += 1.0
+    weights[2000:2200] = weights[7]
+    # Scores nearer to each other than single precision can tell.
+    weights[1000:1400] = weights[11] * (1 + 1e-9 * rng.integers(-9, 9, (400, 12)))
+    rows, norm = _block(weights, rough == "square")
+    q, r = rows.iloc[:40].assign(a=norm[:40]), rows.assign(b=norm)
+    found = {}
+    for how in (None, rough):
+        best, asked = [], 0
+        for (ids, a, others, b), some in neighbors._same_queries(neighbors._sparse_tiles(q, r, k, how)):
+            some = list(some)
+            assert all(d.dtype == (np.float32 if how else float) for _, d, _ in some)
+            at, cols, dot = neighbors._near_best(some, a, b, k, score, True, how == "square" or rough == "square")
+            asked += len(at)
+            value = neighbors._significant(score(dot, a[at], b[cols]), a[at] + b[cols])
+            at, cols, value = neighbors._first_k(at, cols, value, np.arange(len(others)), len(ids), k)
+            best.append(np.stack([ids[at], others[cols], np.round(value, 6)]))
+        found[how] = np.concatenate(best, axis=1)
+        assert asked < 40 * 3000 / 4
+    assert np.array_equal(found[None], found[rough])
+
+
+def test_single_precision_is_left_where_it_may_mislead():
+    plain = np.array([[1.0, 2.0], [3.0, 1.0]])
+    for weights, rough in ((plain * [1.0, -1.0], "unit"), (plain * [1.0, 1e-20], "unit"), (plain * [1e16, 1.0], "square")):
+        rows, norm = _block(weights, rough == "square")
+        assert all(t[6] is None for t in neighbors._sparse_tiles(rows.assign(a=norm), rows.assign(b=norm), 1, rough))
+    rows, norm = _block(plain * [1.0, -1.0], True)
+    assert all(t[6] is not None for t in neighbors._sparse_tiles(rows.assign(a=norm), rows.assign(b=norm), 1, "square"))
+
+
+def test_kth_of_rows(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, found = rng.integers(0, 9, 500), rng.integers(0, 40, 500).astype(float)
+    keep = rows != 3
+    rows, found = np.concatenate([rows[keep], [3]]), np.concatenate([found[keep], [5.0]])
+    want = [np.sort(found[rows == i])[-4] if (rows == i).sum() >= 4 else -np.inf for i in range(10)]
+    assert neighbors._kth_of_rows(rows, found, 10, 4).tolist() == want
+    monkeypatch.setattr(neighbors, "TILE", 1)
+    assert neighbors._kth_of_rows(rows, found, 10, 4).tolist() == want
