@@ -39,11 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from .common import attach, col
+from .common import attach, col, small_batches
 from .textcode import Block, Runs, blocks, per_doc
 
 MOST_EVENTS = 1 << 22
 MOST_WORDS = 1 << 16
+# Codes that a counting task holds before it hands them on, and codes that may wait to be merged.
+MOST_HELD = 1 << 20
+MOST_WAITING = 1 << 19
 ORDER = 6
 END = 0x0A
 GAP = 0x20
@@ -81,25 +84,61 @@ def _stream(block: Block, words: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return code, first, sizes
 
 
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind ('e' event, 'w' word hash), code, n over all texts."""
+class Sums:
+    """Numbers summed by code. What comes in waits until it is worth merging, so little more than the distinct codes is held."""
+
+    def __init__(self, waiting: int):
+        self.waiting, self.parts, self.merged, self.size = waiting, [], 0, 0
+
+    def add(self, code: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append(np.stack([code, n]))
+        self.size += len(code)
+        if self.size > self.merged + self.waiting:
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            code, n = np.concatenate(self.parts, axis=1)
+            self.parts = []
+            # A stable sort merges the runs, which are sorted already.
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            self.parts = [np.stack([code[first], np.add.reduceat(n[order], first)])]
+        self.merged = self.size = sum(p.shape[1] for p in self.parts)
+
+    def take(self) -> np.ndarray:
+        """All codes and their sums, which are held no longer."""
+        self.merge()
+        out = self.parts[0] if self.parts else np.empty((2, 0), dtype=np.int64)
+        self.parts, self.merged, self.size = [], 0, 0
+        return out
+
+
+def count(docs: DataFrame, text: str = "text", held: int = MOST_HELD, waiting: int = MOST_WAITING) -> DataFrame:
+    """kind ('e' event, 'w' word hash), code, n over all texts. A task hands on what it has summed once it holds `held` codes of a kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {"e": Sums(waiting), "w": Sums(waiting)}
+
+        def handed(kind: str) -> pa.RecordBatch:
+            code, n = sums[kind].take()
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(kind, pa.string()), len(code)), pa.array(code), pa.array(n)], ["kind", "code", "n"])
+
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {"e": [], "w": []}
             for b in blocks(batch.column(0), lower=True):
                 words = b.words()
                 code, _, _ = _stream(b, words)
-                found["e"].append(np.stack([a.astype(np.int64) for a in np.unique(code, return_counts=True)]))
+                sums["e"].add(*[a.astype(np.int64) for a in np.unique(code, return_counts=True)])
                 hashes = np.concatenate([words.hash, np.full(b.size, END_TOKEN, dtype=np.uint64)])
                 seen, n = np.unique(hashes, return_counts=True)
-                found["w"].append(np.stack([seen.view(np.int64), n]))
-            for kind, parts in found.items():
-                if parts:
-                    code, n = np.concatenate(parts, axis=1)
-                    keys, at = np.unique(code, return_inverse=True)
-                    sums = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys), pa.array(sums)], ["kind", "code", "n"])
+                sums["w"].add(seen.view(np.int64), n)
+                for kind, own in sums.items():
+                    if own.merged > held:
+                        yield handed(kind)
+        for kind, own in sums.items():
+            if own.size:
+                yield handed(kind)
 
     counts = docs.select(F.coalesce(col(text), F.lit("")).alias("text")).mapInArrow(run, "kind string, code bigint, n bigint")
     return counts.groupBy("kind", "code").agg(F.sum("n").alias("n"))
@@ -481,7 +520,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_carry], pa.array(rows), *[pa.array(np.concatenate(c)) for c in columns[:4]], *_lists(lists[0]), *_lists(lists[1])],
                                              [*[f"c{i}" for i in range(n_carry)], "row", "n_tokens", "known", "base", "score", "rare", "rare_n", "event", "event_n"])
 
-    scored = stage(source.mapInArrow(run, f"{fields}, {made}"))
+    with small_batches(spark):
+        scored = stage(source.mapInArrow(run, f"{fields}, {made}"))
 
     def listed(codes: str, times: str) -> DataFrame:
         return scored.select("row", F.explode(F.arrays_zip(codes, times)).alias("x")).select("row", F.col(f"x.{codes}").alias("code"), F.col(f"x.{times}").alias("times"))

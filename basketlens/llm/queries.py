@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import stage
 from . import bloom_dedup, filter_audit, fingerprint_trees, hamming_index, language_mixture, list_intervals, pitman_yor, repetition, skip_chain, source_mixing, swap_packing, text_density, token_alignment
-from .common import id_modulus, table
+from .common import id_modulus, small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,7 +88,8 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a model of six sevenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = id_modulus(F.col("doc_id"), 7) == 2
-    counts = stage(pitman_yor.count(docs.where(~held)))
+    with small_batches(spark):
+        counts = stage(pitman_yor.count(docs.where(~held)))
     scored = pitman_yor.score(docs.withColumn("held_out", held), pitman_yor.fit(counts), counts, carry=("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

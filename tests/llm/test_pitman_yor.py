@@ -131,3 +131,21 @@ def test_every_event_is_seated_whatever_the_size(spark, fitted, monkeypatch):
         code, first, _ = py._stream(b, b.words())
         plain = np.add.reduceat(py._log_chance(code.view(np.int64), *parts), first)
         assert [want[i] for i, _ in texts[b.first:b.first + b.size]] == pytest.approx(plain.tolist(), rel=1e-9)
+
+
+def test_counts_do_not_depend_on_what_a_task_holds(spark, fitted):
+    df, counts, _ = fitted
+    few = py.count(df.where("doc_id % 3 <> 0"), held=50, waiting=20)
+    assert sorted(few.collect()) == sorted(counts.collect())
+
+
+def test_sums_hold_little_more_than_the_distinct_codes():
+    rng, sums, want, most = np.random.default_rng(3), py.Sums(1000), Counter(), 0
+    for _ in range(200):
+        code, n = np.unique(rng.integers(-500, 500, 900), return_counts=True)
+        sums.add(code, n)
+        want.update(dict(zip(code.tolist(), n.tolist())))
+        most = max(most, sum(p.shape[1] for p in sums.parts))
+    assert most <= 1000 + 1000
+    code, n = sums.take()
+    assert dict(zip(code.tolist(), n.tolist())) == want and (np.diff(code) > 0).all() and not sums.parts
