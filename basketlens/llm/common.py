@@ -34,24 +34,29 @@ def id_modulus(c: Column, n: int) -> Column:
 
 
 def add_columns(docs: DataFrame, inputs: Sequence[str], made: str, fn: Callable[..., list[pa.Array]],
-                carry: Sequence[str] | None = None) -> DataFrame:
+                carry: Sequence[str] | None = None, remembers: bool = False) -> DataFrame:
     """Columns `made` (a DDL string) computed by `fn` from the Arrow arrays of `inputs`, after the columns `carry`.
 
-    All columns are carried by default. One that bears the name of a made column is replaced by it.
+    All columns are carried by default. One that bears the name of a made column is replaced by it. An input that is carried too is passed to Python
+    once. What an earlier job left in the worker by `per_process` is let go first, unless `fn` `remembers` by it.
     """
     new = T.StructType.fromDDL(made)
     taken = {f.name.lower() for f in new}
     kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
-    source = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], *[col(c).alias(f"i{i}") for i, c in enumerate(inputs)])
+    own = [c for c in dict.fromkeys(inputs) if c not in kept]
+    source = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], *[col(c).alias(f"i{i}") for i, c in enumerate(own)])
+    places = [[*kept, *own].index(c) for c in inputs]
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
     n = len(kept)
     schema = T.StructType([*fields, *[T.StructField(f"m{i}", f.dataType) for i, f in enumerate(new)]])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *fn(*batch.columns[n:])], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *fn(*[batch.column(i) for i in places])], names)
 
     return source.mapInArrow(run, schema).toDF(*kept, *new.names)
 
@@ -80,6 +85,12 @@ def per_process(key: tuple, make: Callable[[], object]) -> object:
     return held["value"]
 
 
+def forget() -> None:
+    """Let go what `per_process` holds: a worker process outlives the job it was made for."""
+    if "basketlens_worker" in sys.modules:
+        sys.modules["basketlens_worker"].__dict__.update(key=None, value=None)
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
     """Join `left` with the one row that `right` has for each `key`; right's `rows` is how many left rows the key has.
 

@@ -20,6 +20,8 @@ from .common import add_columns
 from .textcode import BASE, INVERSE, SPACE, Block, blocks, mix, per_doc
 
 SYMBOLS = b"#*$%&|<>"
+# Bytes of a block: each takes some hundred bytes of arrays while it is measured.
+BLOCK = 1 << 18
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 SHARES = "line_share double, gram_share array<double>"
 
@@ -115,7 +117,7 @@ def repetition(docs: DataFrame, text: str = "text", limits: Limits = Limits(), c
     most = np.array([share for _, share in limits.gram])
 
     def fn(column: pa.Array) -> list[pa.Array]:
-        parts = [_measure(b, limits.base_gram, grams) for b in blocks(column)]
+        parts = [_measure(b, limits.base_gram, grams) for b in blocks(column, size=BLOCK)]
         got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         failed = (got["n_words"] < limits.min_words) | (100 * got["n_repeat_words"] > limits.base_percent * got["n_words"])
         kept = ~failed & (got["line_share"] <= limits.line) & (got["gram_share"] <= most).all(axis=1)

@@ -115,8 +115,8 @@ class Block:
         return Runs(doc, start, end, self.hashes(start, end, prefix))
 
 
-def blocks(column: pa.Array, lower: bool = False) -> Iterator[Block]:
-    """The texts of an Arrow string column in blocks; NULL counts as empty."""
+def blocks(column: pa.Array, lower: bool = False, size: int = BLOCK) -> Iterator[Block]:
+    """The texts of an Arrow string column in blocks of `size` bytes; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -127,7 +127,7 @@ def blocks(column: pa.Array, lower: bool = False) -> Iterator[Block]:
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, side="right")) - 1)
         part = raw[bounds[at]:bounds[to]]
         yield Block(at, LOWER[part] if lower else part, bounds[at:to + 1] - bounds[at])
         at = to

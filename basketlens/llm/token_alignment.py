@@ -296,7 +296,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", carry:
         memory = per_process(("align", path_a, path_b), lambda: Memory(Vocabularies(path_a, path_b)))
         return [pa.concat_arrays(x) for x in zip(*[one(memory, b) for b in blocks(column)])]
 
-    return add_columns(docs, [text], made, fn, carry=carry)
+    return add_columns(docs, [text], made, fn, carry=carry, remembers=True)
 
 
 def pair_counts(aligned: DataFrame, pairs: int) -> DataFrame:
