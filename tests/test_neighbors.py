@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import neighbors, recommend
+from basketlens.functions import blocks
+from basketlens.operators import neighbors, recommend, search
 from basketlens.operators.features import idf_vectors
 
 
@@ -294,3 +296,81 @@ def test_kth_of_rows(monkeypatch):
     assert neighbors._kth_of_rows(rows, found, 10, 4).tolist() == want
     monkeypatch.setattr(neighbors, "TILE", 1)
     assert neighbors._kth_of_rows(rows, found, 10, 4).tolist() == want
+
+
+def _arrow(weights, stat, name, ids=None, null=()):
+    rows = [np.flatnonzero(w) for w in weights]
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32))
+    item = np.concatenate(rows)
+    return pa.table({name: pa.array(list(range(len(weights))) if ids is None else ids), "stat": pa.array(stat.astype(float)),
+                     "item": pa.ListArray.from_arrays(ends, pa.array([None if i in null else f"i{i}" for i in item], pa.string())),
+                     "v": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([w[r] for w, r in zip(weights, rows)])))})
+
+
+@pytest.mark.parametrize("kind", ["unit", "ratio", "square", "other"])
+@pytest.mark.parametrize("n_items", [14, 900])
+def test_search_by_batches_equals_all_pairs(monkeypatch, kind, n_items):
+    """Ties, near ties, lists shorter than k, an item without a name and references in any order."""
+    monkeypatch.setattr(search, "AT_ONCE", 150)
+    monkeypatch.setattr(search, "TILE_COLUMNS", 32)
+    monkeypatch.setattr(search, "STEP", 500)
+    monkeypatch.setattr(search, "PRODUCTS", 300)
+    rng = np.random.default_rng(n_items)
+    weights = rng.integers(0, 4, (600, n_items)) * (rng.random((600, n_items)) < (0.9 if n_items < 100 else 0.01)) * rng.uniform(1, 1.3, n_items)
+    weights[np.arange(600), rng.integers(0, n_items, 600)] += 1.0
+    weights[300:360] = weights[7]
+    weights[400:430] = weights[11] * (1 + 1e-9 * rng.integers(-9, 9, (30, n_items)))
+    sq = (weights * weights).sum(axis=1)
+    # The fourth item has no name: it counts in norms and matches nothing.
+    dots = np.delete(weights, 3, 1)
+    dots = dots[:50] @ dots.T
+    score = {"unit": lambda d, x, y: d / (x * y), "ratio": lambda d, x, y: d / (x * y + 3.0), "square": neighbors._minus_square, "other": lambda d, x, y: d / (x + y - d + 1e-6)}[kind]
+    norm = np.sqrt(sq) if kind in ("unit", "ratio") else sq
+
+    def exact(value, a, b):
+        return neighbors._significant(neighbors._significant(value, a + b) if kind == "square" else value)
+    value = exact(score(dots, norm[:50, None], norm[None]), norm[:50, None], norm[None])
+    k, zeros, drop = 25, kind in ("unit", "square"), kind != "square"
+    found = search.Search(k, search.Score(kind, score, exact, 3.0 if kind == "ratio" else 0.0), zeros, drop)
+    own, rest, order = _arrow(weights[:50], norm[:50], "id", null={3}), _arrow(weights, norm, "other", null={3}), rng.permutation(600)
+    found.own(own.slice(0, 20))
+    found.own(own.slice(20))
+    for lo in range(0, 600, 70):
+        found.rest(rest.take(pa.array(order[lo:lo + 70])))
+    out = pa.table(found.result()).to_pandas()
+    for i in range(50):
+        mine = out[out["id"] == i].sort_values("rank")
+        if drop:
+            value[i, i] = -np.inf
+        want = [j for j in np.lexsort((np.arange(600), -value[i])) if value[i, j] > -np.inf and (zeros or value[i, j] != 0)][:k]
+        assert mine["other"].tolist() == want and mine["rank"].tolist() == list(range(1, len(want) + 1))
+        assert mine["score"].tolist() == pytest.approx([value[i, j] for j in want], abs=1e-9)
+
+
+def test_a_search_hands_on_k_rows_a_query(spark, hist):
+    """Rows were handed on per pair of blocks and ranked after one more shuffle."""
+    vec = idf_vectors(hist)
+    found = neighbors.euclidean_knn(vec, vec, 4, blocks=(3, 5))
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "CoGroup" not in plan
+    assert found.count() == 4 * vec.select("user").distinct().count()
+
+
+def test_lend_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(search, "PRODUCTS", 40)
+    rng = np.random.default_rng(6)
+    pairs = [(f, u, f"o{o}", float(rng.random())) for f in (0, 1) for u in range(40) for o in rng.permutation(60)[:7]]
+    vectors = [(f, f"o{o}", None if i == 2 else int(i), float(rng.normal())) for f in (0, 1) for o in range(50) for i in rng.permutation(30)[:6]]
+    one = spark.createDataFrame(pairs + pairs[:3], "fold int, user int, other string, w double")
+    two = spark.createDataFrame(vectors + vectors[:5], "fold int, other string, item int, v double")
+    want = one.join(two, ["fold", "other"]).groupBy("fold", "user", "item").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
+    for cells in (1 << 22, 10):
+        monkeypatch.setattr(search, "SUM_CELLS", cells)
+        got = {(r["fold"], r["user"], r["item"]): r["score"] for r in neighbors.lend(one, two, ["fold"]).collect()}
+        assert got == pytest.approx({(r["fold"], r["user"], r["item"]): r["score"] for r in want.collect()}, abs=1e-9)
+
+
+def test_rows_of_an_id_stay_together():
+    rows = pa.table({"_block": [0, 0, 0, 0, 1, 1], "_side": [0, 1, 1, 1, 0, 1], "id": ["a", None, None, None, "b", None], "other": [None, "x", "x", "y", None, "x"], "v": range(6)})
+    batches = [b for cut in (rows.slice(0, 2), rows.slice(2, 1), rows.slice(3)) for b in cut.to_batches()]
+    assert [(g, side, t["v"].to_pylist()) for g, side, t in blocks._whole_ids(iter(batches), ["_block"])] == [((0,), 0, [0]), ((0,), 1, [1, 2, 3]), ((1,), 0, [4]), ((1,), 1, [5])]
